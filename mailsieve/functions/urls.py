@@ -114,50 +114,44 @@ def _fmt(template: str, value: Column) -> Column:
     return F.concat(F.lit(left), value.cast("string"), F.lit(right))
 
 
-def risk_from_parts(url: Column, sch: Column, domain: Column, port: Column) -> Column:
-    """struct<url, risk_level, risk_score, reasons> from parsed parts."""
+def _rules(url: Column, sch: Column, domain: Column, port: Column):
+    """[(rule name, condition, points, reason text)] in rule order."""
     shortener = _first_contained(domain, K.SHORTENERS)
     tld = _first_suffix(domain, K.SUSPICIOUS_TLDS)
     brand = _first_contained(domain, K.BRANDS)
     term = _first_contained(domain, K.PHISH_TERMS)
     hyphens = _count_char(domain, "-")
     labels = _count_char(domain, ".") + 1
+    brand_official = (domain.endswith(F.concat(brand, F.lit(".com")))
+                      | domain.endswith(F.concat(brand, F.lit(".cn"))))
+    return [
+        ("http", sch == "http", 1, F.lit(K.REASON_HTTP)),
+        ("ip", domain.rlike(IPV4_HOST), 3, F.lit(K.REASON_IP)),
+        ("shortener", shortener.isNotNull(), 3, _fmt(K.REASON_SHORTENER, shortener)),
+        ("tld", tld.isNotNull(), 2, _fmt(K.REASON_TLD, tld)),
+        ("brand", brand.isNotNull() & domain.contains("-"), 3, _fmt(K.REASON_BRAND_HYPHEN, brand)),
+        ("brand", brand.isNotNull() & ~domain.contains("-") & ~brand_official, 2,
+         _fmt(K.REASON_BRAND_UNOFFICIAL, brand)),
+        ("hyphens", hyphens > 2, 1, _fmt(K.REASON_HYPHENS, hyphens)),
+        ("term", term.isNotNull(), 1, _fmt(K.REASON_TERM, term)),
+        ("depth", labels > 4, 1, _fmt(K.REASON_DEPTH, labels)),
+        ("at", url.contains("@"), 4, F.lit(K.REASON_AT)),
+        ("port", port.isNotNull() & (port != 0) & ~port.isin(*K.ALLOWED_PORTS), 1, _fmt(K.REASON_PORT, port)),
+    ]
+
+
+def _guarded(url: Column) -> Column:
+    """Null or dot-less input is safe with score 0 and no reason."""
+    return url.isNull() | ~url.contains(".")
 
-    is_http = sch == "http"
-    is_ip = domain.rlike(IPV4_HOST)
-    brand_hyphen = brand.isNotNull() & domain.contains("-")
-    brand_unofficial = (
-        brand.isNotNull() & ~domain.contains("-")
-        & ~domain.endswith(F.concat(brand, F.lit(".com")))
-        & ~domain.endswith(F.concat(brand, F.lit(".cn")))
-    )
-    many_hyphens = hyphens > 2
-    deep = labels > 4
-    has_at = url.contains("@")
-    odd_port = port.isNotNull() & (port != 0) & ~port.isin(*K.ALLOWED_PORTS)
-
-    def pts(cond: Column, n: int) -> Column:
-        return F.when(cond, F.lit(n)).otherwise(F.lit(0))
-
-    score = (
-        pts(is_http, 1) + pts(is_ip, 3) + pts(shortener.isNotNull(), 3) + pts(tld.isNotNull(), 2)
-        + pts(brand_hyphen, 3) + pts(brand_unofficial, 2) + pts(many_hyphens, 1)
-        + pts(term.isNotNull(), 1) + pts(deep, 1) + pts(has_at, 4) + pts(odd_port, 1)
-    )
-    reasons = F.array_compact(F.array(
-        F.when(is_http, F.lit(K.REASON_HTTP)),
-        F.when(is_ip, F.lit(K.REASON_IP)),
-        F.when(shortener.isNotNull(), _fmt(K.REASON_SHORTENER, shortener)),
-        F.when(tld.isNotNull(), _fmt(K.REASON_TLD, tld)),
-        F.when(brand_hyphen, _fmt(K.REASON_BRAND_HYPHEN, brand)),
-        F.when(brand_unofficial, _fmt(K.REASON_BRAND_UNOFFICIAL, brand)),
-        F.when(many_hyphens, _fmt(K.REASON_HYPHENS, hyphens)),
-        F.when(term.isNotNull(), _fmt(K.REASON_TERM, term)),
-        F.when(deep, _fmt(K.REASON_DEPTH, labels)),
-        F.when(has_at, F.lit(K.REASON_AT)),
-        F.when(odd_port, _fmt(K.REASON_PORT, port)),
-    ))
-    guarded = url.isNull() | ~url.contains(".")
+
+def risk_from_parts(url: Column, sch: Column, domain: Column, port: Column) -> Column:
+    """struct<url, risk_level, risk_score, reasons> from parsed parts."""
+    rules = _rules(url, sch, domain, port)
+    score = sum((F.when(c, F.lit(p)).otherwise(F.lit(0)) for _, c, p, _ in rules[1:]),
+                F.when(rules[0][1], F.lit(rules[0][2])).otherwise(F.lit(0)))
+    reasons = F.array_compact(F.array(*[F.when(c, r) for _, c, _, r in rules]))
+    guarded = _guarded(url)
     final_score = F.when(guarded, F.lit(0)).otherwise(score)
     final_reasons = F.when(guarded, F.array().cast("array<string>")).otherwise(reasons)
     return F.struct(
@@ -168,6 +162,19 @@ def risk_from_parts(url: Column, sch: Column, domain: Column, port: Column) -> C
     )
 
 
+def rule_hits(url: Column) -> Column:
+    """array<struct<rule_no, rule, points, reason>>: one element per rule hit."""
+    p = url_parts(url)
+    rules = _rules(p["url"], p["scheme"], p["domain"], p["port"])
+    hits = F.array(*[
+        F.when(c, F.struct(F.lit(i + 1).alias("rule_no"), F.lit(n).alias("rule"),
+                           F.lit(pt).alias("points"), r.alias("reason")))
+        for i, (n, c, pt, r) in enumerate(rules)
+    ])
+    return F.when(_guarded(url), F.array_compact(F.array(F.lit(None).cast(
+        "struct<rule_no:int,rule:string,points:int,reason:string>")))).otherwise(F.array_compact(hits))
+
+
 def risk_level(score: Column) -> Column:
     return (F.when(score == 0, F.lit("safe")).when(score <= 1, F.lit("low"))
             .when(score <= 3, F.lit("medium")).otherwise(F.lit("high")))

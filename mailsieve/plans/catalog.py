@@ -33,3 +33,433 @@ def q_score_mailbox(spark, sf_dir):
     """Flagship: MAIL -> URLs -> rule risks -> max risk, keyword density,
     fused PRED scores -> boost -> verdict and band, one row per mail."""
     return SC.score_mailbox(scored_mail(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- shared inputs
+from .. import constants as K  # noqa: E402
+from ..functions import features as FT  # noqa: E402
+from ..functions import text as T  # noqa: E402
+from ..functions import urls as U  # noqa: E402
+from ..operators import metrics as M  # noqa: E402
+from ..operators import ranking as RK  # noqa: E402
+from ..operators import relational as R  # noqa: E402
+from ..session import read_table  # noqa: E402
+
+
+def mail_urls(spark, sf_dir):
+    """(mail_id, pos 1-based, url) for every URL found in a MAIL body."""
+    m = FX.mail_table(spark, sf_dir)
+    return (m.select("mail_id", F.posexplode(U.extract_urls(F.col("raw_body"))).alias("pos0", "url"))
+            .select("mail_id", (F.col("pos0") + 1).alias("pos"), "url"))
+
+
+def url_inputs(spark, sf_dir):
+    """(src, id, pos, url): MAIL URLs and page URLs."""
+    pages = read_table(spark, sf_dir, "pages").select(
+        F.lit("page").alias("src"), F.col("page_id").alias("id"), F.lit(1).alias("pos"), "url")
+    mails = mail_urls(spark, sf_dir).select(F.lit("mail").alias("src"), F.col("mail_id").alias("id"), "pos", "url")
+    return mails.unionByName(pages)
+
+
+def pred_table(spark, sf_dir, labelled_only=False):
+    p = FX.pred_scores(spark, sf_dir)
+    return p.filter(F.col("y").isNotNull()) if labelled_only else p
+
+
+def pred_long(spark, sf_dir):
+    """(mail_id, model, y, pred) for the three scorers on labelled mails."""
+    p = pred_table(spark, sf_dir, labelled_only=True)
+    fused = SC.fuse(F.col("p_rf"), F.col("p_second"))
+    models = F.array(
+        F.struct(F.lit("rf").alias("model"), SC.is_phishing(F.round(F.col("p_rf"), 6)).alias("pred")),
+        F.struct(F.lit("second").alias("model"), SC.is_phishing(F.round(F.col("p_second"), 6)).alias("pred")),
+        F.struct(F.lit("fused").alias("model"), SC.is_phishing(fused).alias("pred")),
+    )
+    return p.select("mail_id", "y", F.explode(models).alias("m")).select("mail_id", "m.model", "y", "m.pred")
+
+
+def pred_prob(spark, sf_dir):
+    p = pred_table(spark, sf_dir)
+    p = p.withColumn("p_fused", SC.fuse(F.col("p_rf"), F.col("p_second")))
+    p = p.withColumn("url_boost", U.url_boost(F.col("url_max_risk")))
+    return p.withColumn("prob", SC.boosted(F.col("p_fused"), F.col("url_boost")))
+
+
+# ---------------------------------------------------------------- URL keys
+@query("extract_urls")
+def q_extract_urls(spark, sf_dir):
+    return mail_urls(spark, sf_dir)
+
+
+@query("url_netloc")
+def q_url_netloc(spark, sf_dir):
+    nl = U.netloc(F.col("url"))
+    return url_inputs(spark, sf_dir).select("src", "id", "pos", "url", nl.alias("netloc"),
+                                            U.netloc_labels(nl).alias("netloc_labels"))
+
+
+@query("url_parts")
+def q_url_parts(spark, sf_dir):
+    return url_inputs(spark, sf_dir).select("src", "id", "pos", U.url_parts(F.col("url")).alias("p")) \
+        .select("src", "id", "pos", "p.url", "p.scheme", "p.domain", "p.port")
+
+
+@query("url_risk_score")
+def q_url_risk_score(spark, sf_dir):
+    return url_inputs(spark, sf_dir).select("src", "id", "pos", U.url_risk(F.col("url")).alias("r")) \
+        .select("src", "id", "pos", "r.url", "r.risk_score", "r.risk_level")
+
+
+@query("url_risk_rules")
+def q_url_risk_rules(spark, sf_dir):
+    """One row per rule hit; per URL the points sum to its risk score."""
+    return url_inputs(spark, sf_dir).select("src", "id", "pos", F.explode(U.rule_hits(F.col("url"))).alias("h")) \
+        .select("src", "id", "pos", "h.rule_no", "h.rule", "h.points", "h.reason")
+
+
+@query("url_risk_reasons")
+def q_url_risk_reasons(spark, sf_dir):
+    r = U.url_risk(F.col("url"))
+    return url_inputs(spark, sf_dir).select("src", "id", "pos", r.alias("r")).select(
+        "src", "id", "pos", F.size("r.reasons").alias("n_reasons"),
+        F.array_join("r.reasons", " | ").alias("reasons_text"))
+
+
+@query("url_risk_level")
+def q_url_risk_level(spark, sf_dir):
+    r = url_inputs(spark, sf_dir).select("src", U.url_risk(F.col("url"))["risk_level"].alias("risk_level"))
+    return r.groupBy("src", "risk_level").agg(F.count(F.lit(1)).alias("n_urls"))
+
+
+@query("mail_url_risks")
+def q_mail_url_risks(spark, sf_dir):
+    m = FX.mail_table(spark, sf_dir).select("mail_id", U.url_risks(U.extract_urls(F.col("raw_body"))).alias("r"))
+    return m.select(
+        "mail_id", F.size("r").alias("n_urls"),
+        F.array_join(F.transform("r", lambda x: x["risk_score"].cast("string")), ",").alias("scores"),
+        F.array_join(F.transform("r", lambda x: x["risk_level"]), ",").alias("levels"),
+    )
+
+
+@query("mail_max_risk")
+def q_mail_max_risk(spark, sf_dir):
+    m = FX.mail_table(spark, sf_dir)
+    return m.select("mail_id", U.max_risk(U.url_risks(U.extract_urls(F.col("raw_body")))).alias("url_max_risk"))
+
+
+@query("url_report")
+def q_url_report(spark, sf_dir):
+    m = FX.mail_table(spark, sf_dir)
+    return m.select("mail_id", U.url_report(U.url_risks(U.extract_urls(F.col("raw_body")))).alias("url_report"))
+
+
+@query("url_features")
+def q_url_features(spark, sf_dir):
+    m = FX.mail_table(spark, sf_dir).select("mail_id", U.extract_urls(F.col("raw_body")).alias("urls"))
+    return m.select("mail_id", *FT.url_features(F.col("urls")))
+
+
+# ---------------------------------------------------------------- scoring keys
+@query("fuse_scores")
+def q_fuse_scores(spark, sf_dir):
+    return pred_prob(spark, sf_dir).select("mail_id", "p_rf", "p_second", "p_fused")
+
+
+@query("score_mode")
+def q_score_mode(spark, sf_dir):
+    p = pred_table(spark, sf_dir)
+    frames = [p.select("mail_id", F.lit(m).alias("mode"),
+                       SC.mode_probability(m, F.col("p_rf"), F.col("p_second")).alias("p_mode"))
+              for m in SC.MODES]
+    return R.union_sources(frames)
+
+
+@query("url_boost")
+def q_url_boost(spark, sf_dir):
+    return pred_prob(spark, sf_dir).select("mail_id", "url_max_risk", "url_boost")
+
+
+@query("boosted_score")
+def q_boosted_score(spark, sf_dir):
+    return pred_prob(spark, sf_dir).select("mail_id", "p_fused", "url_boost", "prob")
+
+
+@query("verdict")
+def q_verdict(spark, sf_dir):
+    return pred_prob(spark, sf_dir).select("mail_id", "prob", SC.is_phishing(F.col("prob")).alias("is_phishing"),
+                                           SC.verdict_text(F.col("prob")).alias("verdict"))
+
+
+@query("risk_band")
+def q_risk_band(spark, sf_dir):
+    res, lvl = SC.band(F.col("prob"))
+    return pred_prob(spark, sf_dir).select("mail_id", "prob", res.alias("band"), lvl.alias("level"))
+
+
+@query("format_score")
+def q_format_score(spark, sf_dir):
+    return pred_prob(spark, sf_dir).select("mail_id", "prob", T.format_percent(F.col("prob")).alias("prob_text"))
+
+
+# ---------------------------------------------------------------- text keys
+def text_inputs(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages").select(F.lit("page").alias("src"), F.col("page_id").alias("id"),
+                                                      F.col("html").alias("s"))
+    docs = read_table(spark, sf_dir, "documents").select(F.lit("doc").alias("src"), F.col("doc_id").alias("id"),
+                                                         F.col("text").alias("s"))
+    return pages.unionByName(docs)
+
+
+@query("html_to_text")
+def q_html_to_text(spark, sf_dir):
+    p = read_table(spark, sf_dir, "pages")
+    return p.select("page_id", T.html_to_text(F.col("html")).alias("text"))
+
+
+@query("clean_text_deep")
+def q_clean_text_deep(spark, sf_dir):
+    return text_inputs(spark, sf_dir).select("src", "id", T.clean_text_deep(F.col("s")).alias("clean"))
+
+
+@query("clean_text_light")
+def q_clean_text_light(spark, sf_dir):
+    return text_inputs(spark, sf_dir).select("src", "id", T.clean_text_light(F.col("s")).alias("clean"))
+
+
+@query("mail_text")
+def q_mail_text(spark, sf_dir):
+    m = FX.mail_table(spark, sf_dir)
+    return m.select("mail_id", T.mail_text(F.col("subject"), T.html_to_text(F.col("raw_body"))).alias("mail_text"))
+
+
+@query("keyword_density")
+def q_keyword_density(spark, sf_dir):
+    m = FX.mail_table(spark, sf_dir)
+    return m.select(
+        "mail_id",
+        FT.keyword_hits(F.col("raw_body"), K.LEXICON_FULL35).alias("hits_full35"),
+        FT.keyword_density(F.col("raw_body"), K.LEXICON_FULL35).alias("density_full35"),
+        FT.keyword_hits(F.col("raw_body"), K.LEXICON_SHORT9).alias("hits_short9"),
+        FT.keyword_density(F.col("raw_body"), K.LEXICON_SHORT9).alias("density_short9"),
+    )
+
+
+@query("tokenize_corpus")
+def q_tokenize_corpus(spark, sf_dir):
+    m = FX.mail_table(spark, sf_dir)
+    return (m.select("mail_id", F.explode(T.tokenize(F.col("raw_body"))).alias("token"))
+            .groupBy("mail_id", "token").agg(F.count(F.lit(1)).alias("n")))
+
+
+# ---------------------------------------------------------------- relational keys
+def mail_email(spark, sf_dir):
+    """MAIL as e-mail rows: defaults applied, deep-cleaned body, URLs."""
+    m = FX.mail_table(spark, sf_dir)
+    m = m.withColumns({"body": T.clean_text_deep(F.col("raw_body")),
+                       "urls": U.extract_urls(F.col("raw_body"))})
+    m = R.default_columns(m).withColumn("url_count", F.size("urls"))
+    return m
+
+
+def fraud_email(spark, sf_dir):
+    f = R.binarize_label(FX.fraud_table(spark, sf_dir))
+    f = f.withColumn("body", T.clean_text_light(F.col("body")))
+    return R.align_to_email(f.withColumnRenamed("row_id", "mail_id"), "body", "label", "fraud")
+
+
+@query("filter_by_label")
+def q_filter_by_label(spark, sf_dir):
+    return R.filter_by_label(FX.mail_table(spark, sf_dir), 0).select("mail_id", "label", "source_dataset")
+
+
+@query("binarize_label")
+def q_binarize_label(spark, sf_dir):
+    return R.binarize_label(FX.fraud_table(spark, sf_dir)).select("row_id", "label_id", "label")
+
+
+@query("default_columns")
+def q_default_columns(spark, sf_dir):
+    return mail_email(spark, sf_dir).select("mail_id", "subject", "sender", "reply_to", "received_count",
+                                            "body", "url_count", "label")
+
+
+@query("align_schema")
+def q_align_schema(spark, sf_dir):
+    return fraud_email(spark, sf_dir).select("mail_id", "subject", "sender", "reply_to", "received_count",
+                                             "body", "url_count", "label", "source_dataset")
+
+
+@query("label_counts")
+def q_label_counts(spark, sf_dir):
+    m = FX.mail_table(spark, sf_dir).select(F.lit("mail").alias("origin"), "label")
+    f = fraud_email(spark, sf_dir).select(F.lit("fraud").alias("origin"), "label")
+    return R.label_counts(m.unionByName(f), group_cols=["origin"])
+
+
+@query("dedup_report")
+def q_dedup_report(spark, sf_dir):
+    return R.dedup_report(FX.mail_table(spark, sf_dir), "text")
+
+
+@query("dedup_keep_first")
+def q_dedup_keep_first(spark, sf_dir):
+    m = FX.mail_table(spark, sf_dir).withColumn("source_rank", F.lit(0))
+    f = FX.fraud_table(spark, sf_dir).select(F.col("row_id").alias("mail_id"), F.col("body").alias("text"),
+                                             F.lit(1).alias("source_rank"))
+    both = m.select("mail_id", "text", "source_rank").unionByName(f)
+    return R.dedup_keep_first(both, "text").select("mail_id", "source_rank")
+
+
+@query("url_presence_by_label")
+def q_url_presence_by_label(spark, sf_dir):
+    m = mail_email(spark, sf_dir).select("source_dataset", "label", "url_count")
+    f = fraud_email(spark, sf_dir).select("source_dataset", "label", "url_count")
+    return m.unionByName(f).groupBy("source_dataset", "label").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.avg((F.col("url_count") > 0).cast("int")), 6).alias("share_with_urls"))
+
+
+@query("union_sources")
+def q_union_sources(spark, sf_dir):
+    m = mail_email(spark, sf_dir).select(F.lit("mail").alias("origin"), "mail_id", "label", "body")
+    f = fraud_email(spark, sf_dir).select(F.lit("fraud").alias("origin"), "mail_id", "label", "body")
+    return R.union_sources([m, f]).select("origin", "mail_id", "label", F.length("body").alias("body_len"))
+
+
+@query("union_ragged")
+def q_union_ragged(spark, sf_dir):
+    m = mail_email(spark, sf_dir).select("mail_id", "subject", "sender", "body", "url_count", "label", "source_dataset")
+    f = fraud_email(spark, sf_dir).select("mail_id", "subject", "sender", "body", "url_count", "label", "source_dataset")
+    a = FX.llm_rows(spark, sf_dir).select("mail_id", "subject", "sender", "body", "url_count", "label",
+                                          "phish_type", "tone", "source")
+    u = R.union_ragged([m.withColumn("origin", F.lit("mail")), f.withColumn("origin", F.lit("fraud")),
+                        a.withColumn("origin", F.lit("llm"))])
+    return u.select("origin", "mail_id", "subject", "sender", "url_count", "label", "source_dataset",
+                    "phish_type", "tone", "source", F.length("body").alias("body_len"))
+
+
+@query("head_preview")
+def q_head_preview(spark, sf_dir):
+    m = mail_email(spark, sf_dir)
+    return m.orderBy("mail_id").limit(5).select("mail_id", "subject", "sender", "reply_to", "received_count",
+                                                 F.substring("body", 1, 60).alias("body_head"), "url_count", "label")
+
+
+@query("prefix_decontaminate")
+def q_prefix_decontaminate(spark, sf_dir):
+    m = FX.mail_table(spark, sf_dir)
+    known = read_table(spark, sf_dir, "documents").filter(F.col("source") == "src0")
+    return R.prefix_decontaminate(m, known, "text", "text").select("mail_id", "label")
+
+
+@query("class_weights")
+def q_class_weights(spark, sf_dir):
+    return R.class_weights(FX.mail_table(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- ranking keys
+@query("sample_exact_n")
+def q_sample_exact_n(spark, sf_dir):
+    return RK.sample_exact_n(FX.mail_table(spark, sf_dir), "mail_id", 200, 42, ["label"]).select("mail_id", "label")
+
+
+@query("sample_fraction_seeds")
+def q_sample_fraction_seeds(spark, sf_dir):
+    return RK.sample_fraction_seeds(FX.mail_table(spark, sf_dir).select("mail_id"), "mail_id").select("seed", "mail_id")
+
+
+@query("split_random")
+def q_split_random(spark, sf_dir):
+    return RK.split_flag(FX.mail_table(spark, sf_dir), "mail_id", 0.2, 42).select("mail_id", "is_test")
+
+
+@query("split_stratified")
+def q_split_stratified(spark, sf_dir):
+    return RK.split_flag(FX.mail_table(spark, sf_dir), "mail_id", 0.2, 42, "label").select("mail_id", "label", "is_test")
+
+
+@query("stratified_kfold")
+def q_stratified_kfold(spark, sf_dir):
+    return RK.stratified_folds(FX.mail_table(spark, sf_dir), "mail_id", "label").select("mail_id", "label", "fold")
+
+
+@query("kfold_contiguous")
+def q_kfold_contiguous(spark, sf_dir):
+    return RK.contiguous_folds(FX.mail_table(spark, sf_dir), "mail_id", "label").select("mail_id", "label", "fold")
+
+
+# ---------------------------------------------------------------- metric keys
+@query("metrics_binary")
+def q_metrics_binary(spark, sf_dir):
+    return M.binary_metrics(pred_long(spark, sf_dir), "y", "pred", ["model"])
+
+
+@query("confusion_matrix")
+def q_confusion_matrix(spark, sf_dir):
+    return M.confusion_counts(pred_long(spark, sf_dir), "y", "pred", ["model"])
+
+
+@query("classification_report")
+def q_classification_report(spark, sf_dir):
+    return M.classification_report(pred_long(spark, sf_dir), "y", "pred", ["model"])
+
+
+def fold_metrics(spark, sf_dir):
+    folds = RK.stratified_folds(pred_table(spark, sf_dir, True), "mail_id", "y").select("mail_id", "fold")
+    return M.binary_metrics(pred_long(spark, sf_dir).join(folds, "mail_id"), "y", "pred", ["model", "fold"])
+
+
+@query("fold_summary")
+def q_fold_summary(spark, sf_dir):
+    return M.mean_std(fold_metrics(spark, sf_dir), ["accuracy", "f1"], ["model"])
+
+
+@query("seed_stability")
+def q_seed_stability(spark, sf_dir):
+    """Five 20% hash samples of held-out (unlabelled-for-training) rows,
+    accuracy/F1 of the fused score per seed, then mean and deviation."""
+    p = pred_table(spark, sf_dir, True)
+    samples = RK.sample_fraction_seeds(p.select("mail_id"), "mail_id")
+    preds = pred_long(spark, sf_dir).filter(F.col("model") == "fused")
+    per_seed = M.binary_metrics(samples.join(preds, "mail_id"), "y", "pred", ["seed"])
+    return M.mean_std(per_seed, ["accuracy", "f1"]).withColumn("n_seeds", F.lit(5))
+
+
+@query("model_comparison")
+def q_model_comparison(spark, sf_dir):
+    s = M.mean_std(fold_metrics(spark, sf_dir).filter(F.col("model").isin("rf", "second")),
+                   ["accuracy", "f1"], ["model"])
+    stacked = s.select("model", F.explode(F.array(
+        F.struct(F.lit("Accuracy").alias("metric"), F.col("accuracy_text").alias("text")),
+        F.struct(F.lit("F1-Score").alias("metric"), F.col("f1_text").alias("text")))).alias("x")) \
+        .select("model", "x.metric", "x.text")
+    return stacked.groupBy("metric").pivot("model", ["rf", "second"]).agg(F.first("text"))
+
+
+def mixed_testset(spark, sf_dir):
+    """Known generated rows (documents of source src0, label 1) plus up to
+    200 held-out normal mails from a decontaminated stratified split."""
+    docs = read_table(spark, sf_dir, "documents")
+    ai = docs.filter(F.col("source") == "src0")
+    train = R.prefix_decontaminate(FX.mail_table(spark, sf_dir), ai, "text", "text")
+    held = RK.split_flag(train, "mail_id", 0.2, 42, "label").filter((F.col("is_test") == 1) & (F.col("label") == 0))
+    normal = RK.sample_exact_n(held, "mail_id", 200, 42).select("mail_id", "label", F.lit("normal").alias("origin"))
+    ai_rows = ai.select(F.col("doc_id").alias("mail_id"), F.lit(1).alias("label"), F.lit("ai").alias("origin"))
+    return R.union_sources([ai_rows, normal])
+
+
+@query("mixed_testset")
+def q_mixed_testset(spark, sf_dir):
+    return mixed_testset(spark, sf_dir)
+
+
+@query("ablation_report")
+def q_ablation_report(spark, sf_dir):
+    t = SC.with_pred_scores(mixed_testset(spark, sf_dir))
+    variants = F.array(
+        F.struct(F.lit("full").alias("variant"), SC.is_phishing(F.round(F.col("p_rf"), 6)).alias("pred")),
+        F.struct(F.lit("no_ppl").alias("variant"), SC.is_phishing(F.round(F.col("p_second"), 6)).alias("pred")))
+    long = t.select("mail_id", F.col("label").alias("y"), F.explode(variants).alias("v")).select("mail_id", "y", "v.*")
+    c = M.confusion_counts(long, "y", "pred", ["variant"])
+    m = M.binary_metrics(long, "y", "pred", ["variant"]).drop("n")
+    return c.join(m, "variant")

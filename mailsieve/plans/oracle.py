@@ -12,3 +12,293 @@ def oracle(name: str, sql: str) -> None:
 
 
 oracle("score_mailbox", S.score_mailbox_sql("ENSEMBLE"))
+
+# ---------------------------------------------------------------- shared CTEs
+from .. import constants as K  # noqa: E402
+from ..sources.fixtures import MAIL_KEYWORDS  # noqa: E402, F401
+
+q, lst, NL = S.q, S.lst, S.NL
+MAIL = S.MAIL_CTE
+MAIL_URLS = f"""{MAIL},
+mu0 AS (SELECT mail_id, {S.extract_urls('raw_body')} AS urls FROM mail),
+mu AS (SELECT mail_id, CAST(generate_subscripts(urls, 1) AS INTEGER) AS pos, unnest(urls) AS url FROM mu0)"""
+URL_INPUTS = f"""{MAIL_URLS},
+ui AS (SELECT 'mail' AS src, mail_id AS id, pos, url FROM mu
+       UNION ALL SELECT 'page', page_id, 1, url FROM pages)"""
+PRED = f"WITH {S.PRED_CTE}"
+PRED_PROB = f"""WITH {S.PRED_CTE},
+pp0 AS (SELECT *, {S.fuse_sql()} AS p_fused, {S.boost_sql('url_max_risk')} AS url_boost FROM pred),
+pp AS (SELECT *, round(least(p_fused + url_boost, 1.0), 6) AS prob FROM pp0)"""
+
+# ---------------------------------------------------------------- URL keys
+oracle("extract_urls", f"WITH {MAIL_URLS} SELECT mail_id, pos, url FROM mu")
+
+oracle("url_netloc", f"""WITH {URL_INPUTS},
+n AS (SELECT *, regexp_extract(url, {q(S.U.NETLOC_PATTERN)}, 1) AS netloc FROM ui)
+SELECT src, id, pos, url, netloc,
+  CAST(CASE WHEN contains(netloc, '[') <> contains(netloc, ']') THEN 0
+       WHEN contains(netloc, '[') AND NOT regexp_matches(regexp_extract(netloc, '\\[([^\\]]*)', 1),
+            '^([0-9a-fA-F]*:[0-9a-fA-F:.]*|v[0-9a-fA-F]+\\..+)$') THEN 0
+       ELSE length(netloc) - length(replace(netloc, '.', '')) + 1 END AS INTEGER) AS netloc_labels
+FROM n""")
+
+oracle("url_parts", f"WITH {URL_INPUTS}, {S.url_parts_ctes('ui')} SELECT src, id, pos, url, scheme, domain, port FROM u_lv")
+
+oracle("url_risk_score", f"WITH {URL_INPUTS}, {S.url_parts_ctes('ui')} SELECT src, id, pos, url, risk_score, risk_level FROM u_lv")
+
+_RULE_ROWS = [
+    (1, "http", "r_http", 1, q(K.REASON_HTTP)),
+    (2, "ip", "r_ip", 3, q(K.REASON_IP)),
+    (3, "shortener", "r_short", 3, f"{q(K.REASON_SHORTENER.split('{}')[0])} || shortener || {q(K.REASON_SHORTENER.split('{}')[1])}"),
+    (4, "tld", "r_tld", 2, f"{q(K.REASON_TLD.split('{}')[0])} || tld || {q(K.REASON_TLD.split('{}')[1])}"),
+    (5, "brand", "r_brand_h", 3, f"{q(K.REASON_BRAND_HYPHEN.split('{}')[0])} || brand || {q(K.REASON_BRAND_HYPHEN.split('{}')[1])}"),
+    (6, "brand", "r_brand_u", 2, f"{q(K.REASON_BRAND_UNOFFICIAL.split('{}')[0])} || brand || {q(K.REASON_BRAND_UNOFFICIAL.split('{}')[1])}"),
+    (7, "hyphens", "r_hyph", 1, f"{q(K.REASON_HYPHENS.split('{}')[0])} || CAST(hyphens AS VARCHAR) || {q(K.REASON_HYPHENS.split('{}')[1])}"),
+    (8, "term", "r_term", 1, f"{q(K.REASON_TERM.split('{}')[0])} || term || {q(K.REASON_TERM.split('{}')[1])}"),
+    (9, "depth", "r_deep", 1, f"{q(K.REASON_DEPTH.split('{}')[0])} || CAST(labels AS VARCHAR) || {q(K.REASON_DEPTH.split('{}')[1])}"),
+    (10, "at", "r_at", 4, q(K.REASON_AT)),
+    (11, "port", "r_port", 1, f"{q(K.REASON_PORT.split('{}')[0])} || CAST(port AS VARCHAR) || {q(K.REASON_PORT.split('{}')[1])}"),
+]
+oracle("url_risk_rules", f"WITH {URL_INPUTS}, {S.url_parts_ctes('ui')} " + " UNION ALL ".join(
+    f"SELECT src, id, pos, {n} AS rule_no, {q(name)} AS rule, {pts} AS points, {reason} AS reason "
+    f"FROM u_lv WHERE NOT guarded AND {cond}" for n, name, cond, pts, reason in _RULE_ROWS))
+
+oracle("url_risk_reasons", f"""WITH {URL_INPUTS}, {S.url_parts_ctes('ui')}
+SELECT src, id, pos, CAST(length(reasons) AS INTEGER) AS n_reasons, array_to_string(reasons, ' | ') AS reasons_text FROM u_lv""")
+
+oracle("url_risk_level", f"""WITH {URL_INPUTS}, {S.url_parts_ctes('ui')}
+SELECT src, risk_level, count(*) AS n_urls FROM u_lv GROUP BY src, risk_level""")
+
+_PER_MAIL_RISK = f"""WITH {MAIL_URLS}, {S.url_parts_ctes('mu')},
+pm AS (SELECT mail_id, count(*) AS n, max(risk_score) AS mx,
+              string_agg(CAST(risk_score AS VARCHAR), ',' ORDER BY pos) AS scores,
+              string_agg(risk_level, ',' ORDER BY pos) AS levels,
+              string_agg({S.report_block()}, {NL} ORDER BY pos) AS report
+       FROM u_lv GROUP BY mail_id)"""
+
+oracle("mail_url_risks", f"""{_PER_MAIL_RISK}
+SELECT m.mail_id, CAST(coalesce(pm.n, 0) AS INTEGER) AS n_urls, coalesce(pm.scores, '') AS scores,
+       coalesce(pm.levels, '') AS levels FROM mail m LEFT JOIN pm ON m.mail_id = pm.mail_id""")
+
+oracle("mail_max_risk", f"""{_PER_MAIL_RISK}
+SELECT m.mail_id, CAST(coalesce(pm.mx, 0) AS INTEGER) AS url_max_risk FROM mail m LEFT JOIN pm ON m.mail_id = pm.mail_id""")
+
+oracle("url_report", f"""{_PER_MAIL_RISK}
+SELECT m.mail_id, coalesce(pm.report, {q(K.REPORT_NO_LINKS)}) AS url_report FROM mail m LEFT JOIN pm ON m.mail_id = pm.mail_id""")
+
+oracle("url_features", f"""WITH {MAIL_URLS},
+f AS (SELECT mail_id, avg(length(url)) AS l, avg(length(url) - length(replace(url, '.', ''))) AS d,
+             max(CASE WHEN contains(url, '@') THEN 1 ELSE 0 END) AS a,
+             max(CASE WHEN regexp_matches(url, {q(S.U.IPV4_ANYWHERE)}) THEN 1 ELSE 0 END) AS ip,
+             avg(CASE WHEN contains(nl, '[') <> contains(nl, ']') THEN 0
+                      WHEN contains(nl, '[') AND NOT regexp_matches(regexp_extract(nl, '\\[([^\\]]*)', 1),
+                           '^([0-9a-fA-F]*:[0-9a-fA-F:.]*|v[0-9a-fA-F]+\\..+)$') THEN 0
+                      ELSE length(nl) - length(replace(nl, '.', '')) + 1 END) AS s, count(*) AS c
+      FROM (SELECT *, regexp_extract(url, {q(S.U.NETLOC_PATTERN)}, 1) AS nl FROM mu) GROUP BY mail_id)
+SELECT m.mail_id, coalesce(f.l, 0.0) AS avg_url_len, coalesce(f.d, 0.0) AS avg_url_dots,
+       CAST(coalesce(f.a, 0) AS INTEGER) AS has_at_symbol, CAST(coalesce(f.ip, 0) AS INTEGER) AS has_ip_url,
+       coalesce(f.s, 0.0) AS avg_subdomains, CAST(coalesce(f.c, 0) AS INTEGER) AS url_count
+FROM mail m LEFT JOIN f ON m.mail_id = f.mail_id""")
+
+# ---------------------------------------------------------------- scoring keys
+oracle("fuse_scores", f"{PRED_PROB} SELECT mail_id, p_rf, p_second, p_fused FROM pp")
+oracle("score_mode", f"""{PRED}
+SELECT mail_id, 'RF' AS mode, round(p_rf, 6) AS p_mode FROM pred
+UNION ALL SELECT mail_id, 'BERT', round(p_second, 6) FROM pred
+UNION ALL SELECT mail_id, 'ENSEMBLE', {S.fuse_sql()} FROM pred""")
+oracle("url_boost", f"{PRED_PROB} SELECT mail_id, url_max_risk, url_boost FROM pp")
+oracle("boosted_score", f"{PRED_PROB} SELECT mail_id, p_fused, url_boost, prob FROM pp")
+oracle("verdict", f"{PRED_PROB} SELECT mail_id, prob, CAST(prob > 0.5 AS INTEGER) AS is_phishing, {S.verdict_sql('prob')} AS verdict FROM pp")
+_res, _lvl = S.band_sql("prob")
+oracle("risk_band", f"{PRED_PROB} SELECT mail_id, prob, {_res} AS band, {_lvl} AS level FROM pp")
+oracle("format_score", f"{PRED_PROB} SELECT mail_id, prob, {S.percent_sql('prob')} AS prob_text FROM pp")
+
+# ---------------------------------------------------------------- text keys
+TEXT_INPUTS = """ti AS (SELECT 'page' AS src, page_id AS id, html AS s FROM pages
+       UNION ALL SELECT 'doc', doc_id, text FROM documents)"""
+oracle("html_to_text", f"SELECT page_id, {S.html_to_text('html')} AS text FROM pages")
+oracle("clean_text_deep", f"WITH {TEXT_INPUTS} SELECT src, id, {S.clean_deep('s')} AS clean FROM ti")
+oracle("clean_text_light", f"WITH {TEXT_INPUTS} SELECT src, id, {S.clean_light('s')} AS clean FROM ti")
+oracle("mail_text", f"WITH {MAIL} SELECT mail_id, concat_ws(' ', subject, {S.html_to_text('raw_body')}) AS mail_text FROM mail")
+oracle("keyword_density", f"""WITH {MAIL}
+SELECT mail_id, CAST({S.keyword_hits('raw_body', K.LEXICON_FULL35)} AS INTEGER) AS hits_full35,
+       {S.keyword_density('raw_body', K.LEXICON_FULL35)} AS density_full35,
+       CAST({S.keyword_hits('raw_body', K.LEXICON_SHORT9)} AS INTEGER) AS hits_short9,
+       {S.keyword_density('raw_body', K.LEXICON_SHORT9)} AS density_short9 FROM mail""")
+oracle("tokenize_corpus", f"""WITH {MAIL},
+t AS (SELECT mail_id, unnest({S.tokenize('raw_body')}) AS token FROM mail)
+SELECT mail_id, token, count(*) AS n FROM t GROUP BY mail_id, token""")
+
+# ---------------------------------------------------------------- relational keys
+_DEEP_BODY = S.clean_deep("raw_body")
+MAIL_EMAIL = f"""{MAIL},
+me AS (SELECT mail_id,
+  CASE WHEN subject IS NULL OR {S.py_strip('subject')} = '' THEN 'Unknown' ELSE {S.py_strip('subject')} END AS subject,
+  CASE WHEN sender IS NULL OR {S.py_strip('sender')} = '' THEN 'Unknown' ELSE {S.py_strip('sender')} END AS sender,
+  'None' AS reply_to, 0 AS received_count,
+  CASE WHEN {_DEEP_BODY} = '' THEN 'Empty_Body' ELSE {_DEEP_BODY} END AS body,
+  CAST(length({S.extract_urls('raw_body')}) AS INTEGER) AS url_count, label, source_dataset
+  FROM mail)"""
+FRAUD = """fr AS (SELECT conv_id * 1000 + turn AS row_id,
+  CASE WHEN length(text) % 13 = 0 THEN NULL ELSE CAST((conv_id + turn) % 11 AS INTEGER) END AS label_id,
+  text AS body FROM conversations)"""
+FRAUD_EMAIL = f"""{FRAUD},
+fe AS (SELECT row_id AS mail_id, 'Unknown' AS subject, 'Unknown' AS sender, 'None' AS reply_to, 0 AS received_count,
+  {S.clean_light('body')} AS body, 0 AS url_count,
+  CASE WHEN label_id = 0 THEN 0 ELSE 1 END AS label, 'fraud' AS source_dataset FROM fr)"""
+
+oracle("filter_by_label", f"WITH {MAIL} SELECT mail_id, label, source_dataset FROM mail WHERE label = 0")
+oracle("binarize_label", f"WITH {FRAUD} SELECT row_id, label_id, CASE WHEN label_id = 0 THEN 0 ELSE 1 END AS label FROM fr")
+oracle("default_columns", f"WITH {MAIL_EMAIL} SELECT mail_id, subject, sender, reply_to, received_count, body, url_count, label FROM me")
+oracle("align_schema", f"WITH {FRAUD_EMAIL} SELECT * FROM fe")
+oracle("label_counts", f"""WITH {MAIL}, {FRAUD_EMAIL},
+u AS (SELECT 'mail' AS origin, label FROM mail UNION ALL SELECT 'fraud', label FROM fe)
+SELECT origin, count(*) AS n, CAST(sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_label0,
+       CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_label1 FROM u GROUP BY origin""")
+oracle("dedup_report", f"""WITH {MAIL}
+SELECT count(*) AS n_before, count(DISTINCT text) AS n_after, count(*) - count(DISTINCT text) AS n_removed FROM mail""")
+oracle("dedup_keep_first", f"""WITH {MAIL}, {FRAUD},
+b AS (SELECT mail_id, text, 0 AS source_rank FROM mail UNION ALL SELECT row_id, body, 1 FROM fr),
+r AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY source_rank, mail_id) AS rn FROM b)
+SELECT mail_id, source_rank FROM r WHERE rn = 1""")
+oracle("url_presence_by_label", f"""WITH {MAIL_EMAIL}, {FRAUD_EMAIL},
+u AS (SELECT source_dataset, label, url_count FROM me UNION ALL SELECT source_dataset, label, url_count FROM fe)
+SELECT source_dataset, label, count(*) AS n, round(avg(CASE WHEN url_count > 0 THEN 1 ELSE 0 END), 6) AS share_with_urls
+FROM u GROUP BY source_dataset, label""")
+oracle("union_sources", f"""WITH {MAIL_EMAIL}, {FRAUD_EMAIL}
+SELECT 'mail' AS origin, mail_id, label, CAST(length(body) AS INTEGER) AS body_len FROM me
+UNION ALL SELECT 'fraud', mail_id, label, CAST(length(body) AS INTEGER) FROM fe""")
+oracle("union_ragged", f"""WITH {MAIL_EMAIL}, {FRAUD_EMAIL}
+SELECT 'mail' AS origin, mail_id, subject, sender, url_count, label, source_dataset,
+       NULL::VARCHAR AS phish_type, NULL::VARCHAR AS tone, NULL::VARCHAR AS source, CAST(length(body) AS INTEGER) AS body_len FROM me
+UNION ALL SELECT 'fraud', mail_id, subject, sender, url_count, label, source_dataset, NULL, NULL, NULL, CAST(length(body) AS INTEGER) FROM fe
+UNION ALL SELECT 'llm', item_id, 'Unknown', 'AI Generated', 0, 1, NULL, 'benchmark', 'mild', 'ai_generated', CAST(length(text) AS INTEGER) FROM benchmark""")
+oracle("head_preview", f"""WITH {MAIL_EMAIL}
+SELECT mail_id, subject, sender, reply_to, received_count, substring(body, 1, 60) AS body_head, url_count, label
+FROM me ORDER BY mail_id LIMIT 5""")
+_PK = lambda e: f"substring({S.py_strip(f'coalesce({e}, {q(chr(0))[:0]}{chr(39)}{chr(39)})')}, 1, {K.DECONTAMINATION_PREFIX})"
+DECON = f"""{MAIL},
+known AS (SELECT DISTINCT {_PK('text')} AS pk FROM documents WHERE source = 'src0'),
+train AS (SELECT * FROM mail WHERE {_PK('text')} NOT IN (SELECT pk FROM known))"""
+oracle("prefix_decontaminate", f"WITH {DECON} SELECT mail_id, label FROM train")
+oracle("class_weights", f"""WITH {MAIL},
+c AS (SELECT label, count(*) AS n_c FROM mail GROUP BY label)
+SELECT label, n_c, round(sum(n_c) OVER () / (count(*) OVER () * n_c), 6) AS weight FROM c""")
+
+# ---------------------------------------------------------------- ranking keys
+def _hrank(idc: str, seed, part: str) -> str:
+    p = f"PARTITION BY {part} " if part else ""
+    return f"row_number() OVER ({p}ORDER BY md5(concat_ws('|', CAST({idc} AS VARCHAR), {seed})), {idc})"
+
+
+def _cnt(part: str) -> str:
+    return f"count(*) OVER (PARTITION BY {part})" if part else "count(*) OVER ()"
+
+
+oracle("sample_exact_n", f"""WITH {MAIL}, r AS (SELECT mail_id, label, {_hrank('mail_id', "'42'", 'label')} AS rk FROM mail)
+SELECT mail_id, label FROM r WHERE rk <= 200""")
+oracle("sample_fraction_seeds", f"""WITH {MAIL},
+x AS (SELECT seed, mail_id FROM mail CROSS JOIN (SELECT unnest([100, 101, 102, 103, 104]) AS seed)),
+r AS (SELECT seed, mail_id, {_hrank('mail_id', 'CAST(seed AS VARCHAR)', 'seed')} AS rk, {_cnt('seed')} AS n FROM x)
+SELECT seed, mail_id FROM r WHERE rk <= round_even(n * 0.2::DOUBLE, 0)""")
+oracle("split_random", f"""WITH {MAIL}, r AS (SELECT mail_id, {_hrank('mail_id', "'42'", '')} AS rk, {_cnt('')} AS n FROM mail)
+SELECT mail_id, CAST(rk <= ceil(n * 0.2::DOUBLE) AS INTEGER) AS is_test FROM r""")
+oracle("split_stratified", f"""WITH {MAIL}, r AS (SELECT mail_id, label, {_hrank('mail_id', "'42'", 'label')} AS rk, {_cnt('label')} AS n FROM mail)
+SELECT mail_id, label, CAST(rk <= ceil(n * 0.2::DOUBLE) AS INTEGER) AS is_test FROM r""")
+oracle("stratified_kfold", f"""WITH {MAIL}, r AS (SELECT mail_id, label, {_hrank('mail_id', "'42'", 'label')} AS rk FROM mail)
+SELECT mail_id, label, CAST((rk - 1) % 5 AS INTEGER) AS fold FROM r""")
+oracle("kfold_contiguous", f"""WITH {MAIL}
+SELECT mail_id, label, CAST(ntile(5) OVER (PARTITION BY label ORDER BY mail_id) - 1 AS INTEGER) AS fold FROM mail""")
+
+# ---------------------------------------------------------------- metric keys
+PRED_LONG = f"""{S.PRED_CTE},
+pl AS (SELECT mail_id, 'rf' AS model, y, CAST(round(p_rf, 6) > 0.5 AS INTEGER) AS pred FROM pred WHERE y IS NOT NULL
+  UNION ALL SELECT mail_id, 'second', y, CAST(round(p_second, 6) > 0.5 AS INTEGER) FROM pred WHERE y IS NOT NULL
+  UNION ALL SELECT mail_id, 'fused', y, CAST({S.fuse_sql()} > 0.5 AS INTEGER) FROM pred WHERE y IS NOT NULL)"""
+
+
+def _cm(src: str, group: str) -> str:
+    g = f"{group}, " if group else ""
+    gb = f" GROUP BY {group}" if group else ""
+    return (f"SELECT {g}count(*) AS n, "
+            f"CAST(sum(CASE WHEN y = 0 AND pred = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn, "
+            f"CAST(sum(CASE WHEN y = 0 AND pred = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp, "
+            f"CAST(sum(CASE WHEN y = 1 AND pred = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fn, "
+            f"CAST(sum(CASE WHEN y = 1 AND pred = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp FROM {src}{gb}")
+
+
+def _div(a: str, b: str) -> str:
+    return f"(CASE WHEN ({b}) = 0 THEN 0.0 ELSE CAST({a} AS DOUBLE) / ({b}) END)"
+
+
+def _metrics(cm: str, group: str) -> str:
+    g = f"{group}, " if group else ""
+    return (f"SELECT {g}n, round({_div('tp + tn', 'n')}, 6) AS accuracy, "
+            f"round({_div('2 * tp', '2 * tp + fp + fn')}, 6) AS f1 FROM ({cm})")
+
+
+oracle("metrics_binary", f"WITH {PRED_LONG} {_metrics(_cm('pl', 'model'), 'model')}")
+oracle("confusion_matrix", f"WITH {PRED_LONG} {_cm('pl', 'model')}")
+
+
+def _f1(p, r):
+    return f"(CASE WHEN ({p}) + ({r}) = 0 THEN 0.0 ELSE 2 * ({p}) * ({r}) / (({p}) + ({r})) END)"
+
+
+_p1, _r1, _p0, _r0 = _div("tp", "tp + fp"), _div("tp", "tp + fn"), _div("tn", "tn + fn"), _div("tn", "tn + fp")
+oracle("classification_report", f"""WITH {PRED_LONG}, c AS ({_cm('pl', 'model')}),
+rows AS (
+  SELECT model, '0' AS row, {_p0} AS precision, {_r0} AS recall, {_f1(_p0, _r0)} AS f1, tn + fp AS support FROM c
+  UNION ALL SELECT model, '1', {_p1}, {_r1}, {_f1(_p1, _r1)}, tp + fn FROM c
+  UNION ALL SELECT model, 'accuracy', NULL, NULL, {_div('tp + tn', 'n')}, n FROM c
+  UNION ALL SELECT model, 'macro avg', ({_p0} + {_p1}) / 2, ({_r0} + {_r1}) / 2, ({_f1(_p0, _r0)} + {_f1(_p1, _r1)}) / 2, n FROM c
+  UNION ALL SELECT model, 'weighted avg', {_div(f'{_p0} * (tn + fp) + {_p1} * (tp + fn)', 'n')},
+         {_div(f'{_r0} * (tn + fp) + {_r1} * (tp + fn)', 'n')},
+         {_div(f'{_f1(_p0, _r0)} * (tn + fp) + {_f1(_p1, _r1)} * (tp + fn)', 'n')}, n FROM c)
+SELECT model, row, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       CAST(support AS BIGINT) AS support FROM rows""")
+
+FOLD_METRICS = f"""{PRED_LONG},
+folds AS (SELECT mail_id, CAST(({_hrank('mail_id', "'42'", 'y')} - 1) % 5 AS INTEGER) AS fold FROM pred WHERE y IS NOT NULL),
+plf AS (SELECT pl.*, folds.fold FROM pl JOIN folds ON pl.mail_id = folds.mail_id),
+fm AS ({_metrics(_cm('plf', 'model, fold'), 'model, fold')})"""
+
+
+def _mean_std(src: str, group: str) -> str:
+    g = f"{group}, " if group else ""
+    gb = f" GROUP BY {group}" if group else ""
+    cols = []
+    for v in ("accuracy", "f1"):
+        cols += [f"round(avg({v}), 6) AS {v}_mean", f"round(stddev_pop({v}), 6) AS {v}_std"]
+    inner = f"SELECT {g}{', '.join(cols)} FROM {src}{gb}"
+    txt = ", ".join(f"printf('%.4f ± %.4f', round({v}_mean, 4), round({v}_std, 4)) AS {v}_text" for v in ("accuracy", "f1"))
+    return f"SELECT *, {txt} FROM ({inner})"
+
+
+oracle("fold_summary", f"WITH {FOLD_METRICS} {_mean_std('fm', 'model')}")
+oracle("seed_stability", f"""WITH {PRED_LONG},
+lab AS (SELECT mail_id FROM pred WHERE y IS NOT NULL),
+x AS (SELECT seed, mail_id FROM lab CROSS JOIN (SELECT unnest([100, 101, 102, 103, 104]) AS seed)),
+r AS (SELECT seed, mail_id, {_hrank('mail_id', 'CAST(seed AS VARCHAR)', 'seed')} AS rk, {_cnt('seed')} AS n FROM x),
+s AS (SELECT seed, mail_id FROM r WHERE rk <= round_even(n * 0.2::DOUBLE, 0)),
+sp AS (SELECT s.seed, pl.y, pl.pred FROM s JOIN pl ON s.mail_id = pl.mail_id WHERE pl.model = 'fused'),
+ps AS ({_metrics(_cm('sp', 'seed'), 'seed')})
+SELECT *, 5 AS n_seeds FROM ({_mean_std('ps', '')})""")
+oracle("model_comparison", f"""WITH {FOLD_METRICS}, ms AS ({_mean_std("(SELECT * FROM fm WHERE model IN ('rf', 'second'))", 'model')})
+SELECT 'Accuracy' AS metric, max(CASE WHEN model = 'rf' THEN accuracy_text END) AS rf,
+       max(CASE WHEN model = 'second' THEN accuracy_text END) AS second FROM ms
+UNION ALL SELECT 'F1-Score', max(CASE WHEN model = 'rf' THEN f1_text END), max(CASE WHEN model = 'second' THEN f1_text END) FROM ms""")
+MIXED = f"""{DECON},
+held AS (SELECT *, {_hrank('mail_id', "'42'", 'label')} AS rk, {_cnt('label')} AS n FROM train),
+ht AS (SELECT * FROM held WHERE rk <= ceil(n * 0.2::DOUBLE) AND label = 0),
+hn AS (SELECT mail_id, label, {_hrank('mail_id', "'42'", '')} AS rk2 FROM ht),
+mixed AS (SELECT doc_id AS mail_id, 1 AS label, 'ai' AS origin FROM documents WHERE source = 'src0'
+          UNION ALL SELECT mail_id, label, 'normal' FROM hn WHERE rk2 <= 200)"""
+oracle("mixed_testset", f"WITH {MIXED} SELECT * FROM mixed")
+oracle("ablation_report", f"""WITH {MIXED},
+t AS (SELECT mail_id, label AS y, CAST(mail_id * 37 % 101 AS DOUBLE) / 100.0 AS p_rf,
+             CAST(mail_id * 53 % 101 AS DOUBLE) / 100.0 AS p_second FROM mixed),
+long AS (SELECT mail_id, y, 'full' AS variant, CAST(round(p_rf, 6) > 0.5 AS INTEGER) AS pred FROM t
+         UNION ALL SELECT mail_id, y, 'no_ppl', CAST(round(p_second, 6) > 0.5 AS INTEGER) FROM t),
+c AS ({_cm('long', 'variant')})
+SELECT c.*, round({_div('tp + tn', 'n')}, 6) AS accuracy, round({_div('2 * tp', '2 * tp + fp + fn')}, 6) AS f1 FROM c""")

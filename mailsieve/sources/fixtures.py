@@ -90,3 +90,29 @@ def render_message(subject: Column, sender: Column, body: Column) -> Column:
               "Content-Transfer-Encoding: 8bit\r\n\r\n"),
     )
     return F.encode(F.concat(head, body), "UTF-8")
+
+
+def fraud_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A multi-class labelled message table (the fraud-TSV shape) derived
+    from `conversations`: row_id, label_id (0-10, null for every text whose
+    length is a multiple of 13), body."""
+    conv = read_table(spark, sf_dir, "conversations")
+    return conv.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"),
+        F.when(F.length("text") % 13 == 0, F.lit(None).cast("int"))
+         .otherwise(((F.col("conv_id") + F.col("turn")) % 11).cast("int")).alias("label_id"),
+        F.col("text").alias("body"),
+    )
+
+
+def llm_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated-phishing rows (the LLM-output shape) derived from `benchmark`."""
+    b = read_table(spark, sf_dir, "benchmark")
+    return b.select(
+        F.col("item_id").alias("mail_id"),
+        F.lit(K.UNKNOWN).alias("subject"), F.lit("AI Generated").alias("sender"),
+        F.lit(K.REPLY_TO_DEFAULT).alias("reply_to"), F.lit(0).alias("received_count"),
+        F.col("text").alias("body"), F.array().cast("array<string>").alias("urls"),
+        F.lit(0).alias("url_count"), F.lit(1).alias("label"),
+        F.lit("benchmark").alias("phish_type"), F.lit("mild").alias("tone"), F.lit("ai_generated").alias("source"),
+    )
