@@ -463,3 +463,90 @@ def q_ablation_report(spark, sf_dir):
     c = M.confusion_counts(long, "y", "pred", ["variant"])
     m = M.binary_metrics(long, "y", "pred", ["variant"]).drop("n")
     return c.join(m, "variant")
+
+
+# ---------------------------------------------------------------- corpus model keys
+from ..operators import corpus_models as CM  # noqa: E402
+
+
+def corpus_terms(spark, sf_dir):
+    c = mail_email(spark, sf_dir)
+    return c, CM.doc_terms(c, "mail_id", "body")
+
+
+@query("term_stats")
+def q_term_stats(spark, sf_dir):
+    _, dt = corpus_terms(spark, sf_dir)
+    return CM.term_stats(dt, "mail_id")
+
+
+@query("vocab_top500")
+def q_vocab_top500(spark, sf_dir):
+    _, dt = corpus_terms(spark, sf_dir)
+    return CM.vocabulary(CM.term_stats(dt, "mail_id"), K.VOCAB_SIZE).select("term", "cf", "df", "term_index")
+
+
+@query("topk_terms")
+def q_topk_terms(spark, sf_dir):
+    _, dt = corpus_terms(spark, sf_dir)
+    return CM.vocabulary(CM.term_stats(dt, "mail_id"), 10).select("term", "cf", "df", "term_index")
+
+
+@query("term_counts")
+def q_term_counts(spark, sf_dir):
+    _, dt = corpus_terms(spark, sf_dir)
+    vocab = CM.vocabulary(CM.term_stats(dt, "mail_id")).select("term", "term_index")
+    return dt.join(F.broadcast(vocab), "term").select("mail_id", "term", "term_index", "tf")
+
+
+@query("tfidf_table")
+def q_tfidf_table(spark, sf_dir):
+    c, dt = corpus_terms(spark, sf_dir)
+    vocab = CM.vocabulary(CM.term_stats(dt, "mail_id"))
+    return CM.tfidf(dt, vocab, "mail_id", c.count())
+
+
+def sentiment_scores(spark, sf_dir, corpus=None, terms=None):
+    if corpus is None:
+        corpus, terms = corpus_terms(spark, sf_dir)
+    labels = FX.mail_table(spark, sf_dir).select("mail_id", "quality")
+    model, prior = CM.train_naive_bayes(terms, labels, "mail_id", "quality")
+    return CM.score_naive_bayes(corpus, terms, model, prior, "mail_id")
+
+
+@query("sentiment_nb")
+def q_sentiment_nb(spark, sf_dir):
+    return sentiment_scores(spark, sf_dir)
+
+
+@query("perplexity_ngram")
+def q_perplexity_ngram(spark, sf_dir):
+    return CM.bigram_perplexity(mail_email(spark, sf_dir), "mail_id", "body")
+
+
+def feature_table(spark, sf_dir):
+    """Nine numeric features per mail in their fixed order (one function for
+    training, scoring and ablation)."""
+    c, dt = corpus_terms(spark, sf_dir)
+    sent = sentiment_scores(spark, sf_dir, c, dt)
+    ppl = CM.bigram_perplexity(c, "mail_id", "body")
+    base = c.select("mail_id", "label", "body", "urls",
+                    FT.keyword_density(F.col("body")).alias("subjectivity"), *FT.url_features(F.col("urls")))
+    out = base.join(sent, "mail_id", "left").join(ppl, "mail_id", "left")
+    return out.select("mail_id", "label", "body", "urls", *K.FEATURES)
+
+
+@query("feature_table")
+def q_feature_table(spark, sf_dir):
+    return feature_table(spark, sf_dir).drop("body", "urls")
+
+
+@query("parse_url_list_text")
+def q_parse_url_list_text(spark, sf_dir):
+    """URL lists stored as Python-style list text, parsed back with from_json."""
+    m = FX.mail_table(spark, sf_dir).select("mail_id", U.extract_urls(F.col("raw_body")).alias("urls"))
+    as_text = F.concat(F.lit("["), F.array_join(F.transform("urls", lambda u: F.concat(F.lit("'"), u, F.lit("'"))), ", "),
+                       F.lit("]"))
+    parsed = F.from_json(F.regexp_replace(as_text, "'", '"'), "array<string>")
+    return m.select("mail_id", parsed.alias("p")).select(
+        "mail_id", F.size("p").alias("url_count"), F.array_join("p", " ").alias("urls_text"))

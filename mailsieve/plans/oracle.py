@@ -302,3 +302,60 @@ long AS (SELECT mail_id, y, 'full' AS variant, CAST(round(p_rf, 6) > 0.5 AS INTE
          UNION ALL SELECT mail_id, y, 'no_ppl', CAST(round(p_second, 6) > 0.5 AS INTEGER) FROM t),
 c AS ({_cm('long', 'variant')})
 SELECT c.*, round({_div('tp + tn', 'n')}, 6) AS accuracy, round({_div('2 * tp', '2 * tp + fp + fn')}, 6) AS f1 FROM c""")
+
+# ---------------------------------------------------------------- corpus model keys
+DT = f"""{MAIL_EMAIL},
+dt AS (SELECT mail_id, term, count(*) AS tf FROM (SELECT mail_id, unnest({S.tokenize('body')}) AS term FROM me)
+       GROUP BY mail_id, term),
+st AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM dt GROUP BY term)"""
+
+
+def _voc(k: int) -> str:
+    return (f"SELECT term, cf, df, CAST(row_number() OVER (ORDER BY cf DESC, term) - 1 AS INTEGER) AS term_index "
+            f"FROM (SELECT * FROM st ORDER BY cf DESC, term LIMIT {k})")
+
+
+oracle("term_stats", f"WITH {DT} SELECT * FROM st")
+oracle("vocab_top500", f"WITH {DT} {_voc(500)}")
+oracle("topk_terms", f"WITH {DT} {_voc(10)}")
+oracle("term_counts", f"WITH {DT}, voc AS ({_voc(500)}) SELECT dt.mail_id, dt.term, voc.term_index, dt.tf FROM dt JOIN voc ON dt.term = voc.term")
+oracle("tfidf_table", f"""WITH {DT}, voc AS ({_voc(500)}), nd AS (SELECT count(*) AS n FROM me),
+x AS (SELECT dt.mail_id, dt.term, voc.term_index, dt.tf, dt.tf * (ln((1.0 + n) / (df + 1)) + 1) AS w
+      FROM dt JOIN voc ON dt.term = voc.term CROSS JOIN nd)
+SELECT mail_id, term, term_index, tf, round(w / sqrt(sum(w * w) OVER (PARTITION BY mail_id)), 6) AS weight FROM x""")
+NB = f"""lab AS (SELECT mail_id, CAST(quality AS INTEGER) AS c FROM mail WHERE quality IS NOT NULL),
+per AS (SELECT term, sum(CASE WHEN c = 1 THEN tf ELSE 0 END) AS n1, sum(CASE WHEN c = 0 THEN tf ELSE 0 END) AS n0
+        FROM dt JOIN lab ON dt.mail_id = lab.mail_id GROUP BY term),
+tot AS (SELECT CAST(sum(n1) AS DOUBLE) AS t1, CAST(sum(n0) AS DOUBLE) AS t0, count(*) AS v FROM per),
+pr AS (SELECT ln(sum(c) / count(*)) - ln((count(*) - sum(c)) / count(*)) AS prior FROM lab),
+model AS (SELECT term, ln((n1 + 1) / (t1 + v)) - ln((n0 + 1) / (t0 + v)) AS llr FROM per CROSS JOIN tot),
+nbs AS (SELECT dt.mail_id, sum(dt.tf * model.llr) AS s FROM dt JOIN model ON dt.term = model.term GROUP BY dt.mail_id),
+sent AS (SELECT me.mail_id, round(1.0 / (1.0 + exp(-(prior + coalesce(nbs.s, 0.0)))), 6) AS sentiment
+         FROM me LEFT JOIN nbs ON me.mail_id = nbs.mail_id CROSS JOIN pr)"""
+PPL = f"""p AS (SELECT mail_id, substring(body, 1, {K.PERPLEXITY_PREFIX}) AS t FROM me),
+bgr AS (SELECT mail_id, unnest(CASE WHEN length(t) < 2 THEN []::VARCHAR[]
+          ELSE list_transform(range(1, length(t)), lambda i: substring(t, i, 2)) END) AS bg FROM p),
+cnt AS (SELECT bg, count(*) AS c_ab, substring(bg, 1, 1) AS a FROM bgr GROUP BY bg),
+ctx AS (SELECT a, sum(c_ab) AS c_a FROM cnt GROUP BY a),
+vv AS (SELECT count(DISTINCT ch) AS v FROM (SELECT unnest(regexp_extract_all(t, '(?s).')) AS ch FROM p)),
+pm AS (SELECT bg, ln((c_ab + 1) / (c_a + v)) AS lp FROM cnt JOIN ctx ON cnt.a = ctx.a CROSS JOIN vv),
+pper AS (SELECT bgr.mail_id, avg(lp) AS m FROM bgr JOIN pm ON bgr.bg = pm.bg GROUP BY bgr.mail_id),
+ppl AS (SELECT me.mail_id, round(coalesce(ln(1 + exp(-m)), 0.0), 6) AS perplexity FROM me LEFT JOIN pper ON me.mail_id = pper.mail_id)"""
+oracle("sentiment_nb", f"WITH {DT}, {NB} SELECT * FROM sent")
+oracle("perplexity_ngram", f"WITH {MAIL_EMAIL}, {PPL} SELECT * FROM ppl")
+oracle("feature_table", f"""WITH {DT}, {NB}, {PPL},
+uf AS (SELECT mail_id, {S.extract_urls('raw_body')} AS urls FROM mail),
+ue AS (SELECT mail_id, unnest(urls) AS url FROM uf),
+f AS (SELECT mail_id, avg(length(url)) AS l, avg(length(url) - length(replace(url, '.', ''))) AS d,
+             max(CASE WHEN contains(url, '@') THEN 1 ELSE 0 END) AS a,
+             max(CASE WHEN regexp_matches(url, {q(S.U.IPV4_ANYWHERE)}) THEN 1 ELSE 0 END) AS ip,
+             avg(CASE WHEN contains(nl, '[') <> contains(nl, ']') THEN 0
+                      ELSE length(nl) - length(replace(nl, '.', '')) + 1 END) AS s, count(*) AS c
+      FROM (SELECT *, regexp_extract(url, {q(S.U.NETLOC_PATTERN)}, 1) AS nl FROM ue) GROUP BY mail_id)
+SELECT me.mail_id, me.label, sent.sentiment, {S.keyword_density('me.body')} AS subjectivity,
+       coalesce(f.l, 0.0) AS avg_url_len, coalesce(f.d, 0.0) AS avg_url_dots,
+       CAST(coalesce(f.a, 0) AS INTEGER) AS has_at_symbol, CAST(coalesce(f.ip, 0) AS INTEGER) AS has_ip_url,
+       coalesce(f.s, 0.0) AS avg_subdomains, CAST(coalesce(f.c, 0) AS INTEGER) AS url_count, ppl.perplexity
+FROM me JOIN sent ON me.mail_id = sent.mail_id JOIN ppl ON me.mail_id = ppl.mail_id LEFT JOIN f ON me.mail_id = f.mail_id""")
+oracle("parse_url_list_text", f"""WITH {MAIL}, uf AS (SELECT mail_id, {S.extract_urls('raw_body')} AS urls FROM mail)
+SELECT mail_id, CAST(length(urls) AS INTEGER) AS url_count, array_to_string(urls, ' ') AS urls_text FROM uf""")
