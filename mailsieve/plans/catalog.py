@@ -550,3 +550,121 @@ def q_parse_url_list_text(spark, sf_dir):
     parsed = F.from_json(F.regexp_replace(as_text, "'", '"'), "array<string>")
     return m.select("mail_id", parsed.alias("p")).select(
         "mail_id", F.size("p").alias("url_count"), F.array_join("p", " ").alias("urls_text"))
+
+
+# ---------------------------------------------------------------- ingestion keys
+from ..session import scratch_path  # noqa: E402
+from ..sources import files as SF  # noqa: E402
+from ..sources import mail as SM  # noqa: E402
+
+
+def written_index(spark, sf_dir):
+    path = scratch_path(spark, "index")
+    FX.label_index_lines(spark, sf_dir).write.mode("overwrite").text(path)
+    return SM.scan_label_index(spark, path)
+
+
+def written_mailbox(spark, sf_dir):
+    root = scratch_path(spark, "mailbox")
+    SM.write_message_files(FX.mail_files_frame(spark, sf_dir), root, "name", "content")
+    return root
+
+
+@query("scan_label_index")
+def q_scan_label_index(spark, sf_dir):
+    return written_index(spark, sf_dir)
+
+
+@query("scan_mail_files")
+def q_scan_mail_files(spark, sf_dir):
+    root = written_mailbox(spark, sf_dir)
+    files = SM.scan_mail_files(spark, root)
+    index = written_index(spark, sf_dir)
+    return SM.restore_empty_files(index, files, root).select("rel_path", "length")
+
+
+@query("join_index_files")
+def q_join_index_files(spark, sf_dir):
+    root = written_mailbox(spark, sf_dir)
+    index = written_index(spark, sf_dir)
+    files = SM.restore_empty_files(index, SM.scan_mail_files(spark, root), root)
+    return index.join(files, "rel_path").select("rel_path", "label", "length")
+
+
+@query("ingest_skip_report")
+def q_ingest_skip_report(spark, sf_dir):
+    root = written_mailbox(spark, sf_dir)
+    index = written_index(spark, sf_dir)
+    files = SM.scan_mail_files(spark, root)
+    parsed = SM.parse_messages(files).withColumn("rel_path", F.substring_index("path", "/", -2))
+    return SM.skip_report(index, files, parsed, root)
+
+
+def rendered_mail(spark, sf_dir, multipart=False):
+    m = FX.mail_table(spark, sf_dir)
+    render = FX.render_multipart if multipart else FX.render_message
+    return m.select(F.col("mail_id").cast("string").alias("path"),
+                    render(F.col("subject"), F.col("sender"), F.col("raw_body")).alias("content"), "label")
+
+
+@query("parse_mail_corpus")
+def q_parse_mail_corpus(spark, sf_dir):
+    """Message bytes -> MIME job -> e-mail rows (label joined by id)."""
+    r = rendered_mail(spark, sf_dir)
+    rows = SM.mail_rows(SM.parse_messages(r)).withColumn("mail_id", F.col("path").cast("bigint"))
+    return rows.join(r.select(F.col("path").cast("bigint").alias("mail_id"), "label"), "mail_id").select(
+        "mail_id", "subject", "sender", "body", "url_count", F.array_join("urls", " ").alias("urls_text"), "label")
+
+
+@query("mail_part_report")
+def q_mail_part_report(spark, sf_dir):
+    r = rendered_mail(spark, sf_dir, multipart=True)
+    rep = SM.part_report(SM.parse_message_parts(r))
+    return rep.select(F.col("path").cast("bigint").alias("mail_id"), "part_no", "content_type", "text_head",
+                      "total_len", "truncated")
+
+
+@query("decode_lenient")
+def q_decode_lenient(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    raw = F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF")), F.encode(F.lit(" tail"), "UTF-8"))
+    return d.select("doc_id", T.decode_lenient(raw).alias("text"))
+
+
+@query("scan_fraud_tsv")
+def q_scan_fraud_tsv(spark, sf_dir):
+    path = scratch_path(spark, "fraud-tsv")
+    SF.write_tsv(FX.fraud_table(spark, sf_dir).select("label_id", "body"), path)
+    return SF.scan_tsv_positional(spark, path)
+
+
+EMAIL_CSV_SCHEMA = ("mail_id bigint, subject string, sender string, reply_to string, received_count int, "
+                    "body string, urls string, url_count int, label int, source_dataset string")
+
+
+@query("scan_csv_roundtrip")
+def q_scan_csv_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "email-csv")
+    e = mail_email(spark, sf_dir).select("mail_id", "subject", "sender", "reply_to", "received_count", "body",
+                                         "urls", "url_count", "label", "source_dataset")
+    SF.write_email_csv(e, path)
+    back = SF.scan_email_csv(spark, path, EMAIL_CSV_SCHEMA)
+    return back.select("mail_id", "subject", "sender", "body", "url_count",
+                       F.array_join("urls", " ").alias("urls_text"), "label")
+
+
+@query("optional_source_union")
+def q_optional_source_union(spark, sf_dir):
+    present = scratch_path(spark, "optional-present")
+    fraud_email(spark, sf_dir).select("mail_id", "label").write.mode("overwrite").parquet(present)
+    schema = "mail_id bigint, label int"
+    frames = [mail_email(spark, sf_dir).select("mail_id", "label").withColumn("origin", F.lit("mail")),
+              SF.read_optional(spark, present, schema).withColumn("origin", F.lit("fraud")),
+              SF.read_optional(spark, scratch_path(spark, "optional-absent"), schema).withColumn("origin", F.lit("llm"))]
+    return R.union_sources(frames).select("origin", "mail_id", "label")
+
+
+@query("ingest_llm_replies")
+def q_ingest_llm_replies(spark, sf_dir):
+    rows = SF.ingest_llm_replies(FX.llm_reply_table(spark, sf_dir))
+    return rows.select("reply_id", "obj_pos", "subject", "sender", "body", "label", "phish_type", "tone", "source")

@@ -359,3 +359,50 @@ SELECT me.mail_id, me.label, sent.sentiment, {S.keyword_density('me.body')} AS s
 FROM me JOIN sent ON me.mail_id = sent.mail_id JOIN ppl ON me.mail_id = ppl.mail_id LEFT JOIN f ON me.mail_id = f.mail_id""")
 oracle("parse_url_list_text", f"""WITH {MAIL}, uf AS (SELECT mail_id, {S.extract_urls('raw_body')} AS urls FROM mail)
 SELECT mail_id, CAST(length(urls) AS INTEGER) AS url_count, array_to_string(urls, ' ') AS urls_text FROM uf""")
+
+# ---------------------------------------------------------------- ingestion keys
+INDEX_EXPECTED = f"""{MAIL},
+idx AS (SELECT 'data/' || CAST(mail_id AS VARCHAR) || '.eml' AS rel_path, CASE WHEN label = 0 THEN 0 ELSE 1 END AS label FROM mail
+        UNION ALL SELECT 'data/missing-' || CAST(item_id AS VARCHAR) || '.eml', 1 FROM benchmark)"""
+RENDERED = f"""{MAIL},
+msg AS (SELECT mail_id, label, CASE WHEN mail_id % 29 = 0 THEN 0 ELSE strlen(
+  CASE WHEN subject IS NULL THEN '' ELSE 'Subject: ' || subject || chr(13) || chr(10) END
+  || 'From: ' || sender || chr(13) || chr(10) || 'MIME-Version: 1.0' || chr(13) || chr(10)
+  || 'Content-Type: text/plain; charset=utf-8' || chr(13) || chr(10)
+  || 'Content-Transfer-Encoding: 8bit' || chr(13) || chr(10) || chr(13) || chr(10) || raw_body) END AS length
+  FROM mail)"""
+oracle("scan_label_index", f"WITH {INDEX_EXPECTED} SELECT rel_path, label FROM idx")
+oracle("scan_mail_files", f"WITH {RENDERED} SELECT 'data/' || CAST(mail_id AS VARCHAR) || '.eml' AS rel_path, CAST(length AS BIGINT) AS length FROM msg")
+oracle("join_index_files", f"WITH {RENDERED} SELECT 'data/' || CAST(mail_id AS VARCHAR) || '.eml' AS rel_path, label, CAST(length AS BIGINT) AS length FROM msg")
+oracle("ingest_skip_report", f"""WITH {MAIL}
+SELECT (SELECT count(*) FROM mail) + (SELECT count(*) FROM benchmark) AS n_index,
+       CAST((SELECT count(*) FROM mail WHERE mail_id % 29 <> 0) AS BIGINT) AS n_parsed, CAST(0 AS BIGINT) AS n_failed,
+       CAST((SELECT count(*) FROM mail WHERE mail_id % 29 = 0) AS BIGINT) AS n_empty,
+       CAST((SELECT count(*) FROM benchmark) AS BIGINT) AS n_missing""")
+_DB = S.clean_deep("raw_body")
+oracle("parse_mail_corpus", f"""WITH {MAIL}
+SELECT mail_id, CASE WHEN subject IS NULL OR {S.py_strip('subject')} = '' THEN 'Unknown' ELSE {S.py_strip('subject')} END AS subject,
+       {S.py_strip('sender')} AS sender, CASE WHEN {_DB} = '' THEN 'Empty_Body' ELSE {_DB} END AS body,
+       CAST(length({S.extract_urls('raw_body')}) AS INTEGER) AS url_count,
+       array_to_string({S.extract_urls('raw_body')}, ' ') AS urls_text, label FROM mail""")
+_HT = S.html_to_text("'<p>' || coalesce(subject, '') || '</p>'")
+oracle("mail_part_report", f"""WITH {MAIL}
+SELECT mail_id, 1 AS part_no, 'text/plain' AS content_type, substring(raw_body, 1, 3000) AS text_head,
+       CAST(length(raw_body) AS INTEGER) AS total_len, CAST(length(raw_body) > 3000 AS INTEGER) AS truncated FROM mail
+UNION ALL SELECT mail_id, 2, 'text/html', substring({_HT}, 1, 3000), CAST(length({_HT}) AS INTEGER),
+       CAST(length({_HT}) > 3000 AS INTEGER) FROM mail""")
+oracle("decode_lenient", "SELECT doc_id, text || ' tail' AS text FROM documents")
+oracle("scan_fraud_tsv", f"WITH {FRAUD} SELECT label_id, body FROM fr")
+oracle("scan_csv_roundtrip", f"""WITH {MAIL_EMAIL}, uf AS (SELECT mail_id, {S.extract_urls('raw_body')} AS urls FROM mail)
+SELECT me.mail_id, subject, sender, body, url_count, array_to_string(uf.urls, ' ') AS urls_text, label
+FROM me JOIN uf ON me.mail_id = uf.mail_id""")
+oracle("optional_source_union", f"""WITH {MAIL}, {FRAUD}
+SELECT 'mail' AS origin, mail_id, label FROM mail
+UNION ALL SELECT 'fraud', row_id, CASE WHEN label_id = 0 THEN 0 ELSE 1 END FROM fr""")
+oracle("ingest_llm_replies", """SELECT conv_id * 1000 + turn AS reply_id, 1 AS obj_pos,
+       CASE WHEN turn % 6 = 4 THEN 'Unknown' ELSE 'turn ' || CAST(turn AS VARCHAR) END AS subject,
+       'AI Generated' AS sender, text AS body, 1 AS label, role AS phish_type,
+       CASE WHEN turn % 6 = 4 THEN 'mild' ELSE 'urgent' END AS tone, 'ai_generated' AS source
+FROM conversations WHERE turn % 6 IN (0, 3, 4)
+UNION ALL SELECT conv_id * 1000 + turn, 2, 'second', 'AI Generated', 'copy: ' || text, 1, 'delivery', 'mild', 'ai_generated'
+FROM conversations WHERE turn % 6 = 3""")
