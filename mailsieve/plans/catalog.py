@@ -668,3 +668,98 @@ def q_optional_source_union(spark, sf_dir):
 def q_ingest_llm_replies(spark, sf_dir):
     rows = SF.ingest_llm_replies(FX.llm_reply_table(spark, sf_dir))
     return rows.select("reply_id", "obj_pos", "subject", "sender", "body", "label", "phish_type", "tone", "source")
+
+
+# ---------------------------------------------------------------- model keys
+from ..operators import ml as ML  # noqa: E402
+
+
+def split_features(spark, sf_dir):
+    """Feature table with a persisted stratified 80/20 split column."""
+    ft = feature_table(spark, sf_dir).drop("urls")
+    return RK.split_flag(ft, "mail_id", 0.2, 42, "label")
+
+
+@query("rf_scores")
+def q_rf_scores(spark, sf_dir):
+    data = split_features(spark, sf_dir).persist()
+    model = ML.fit_text_classifier(data.filter("is_test = 0"), kind="rf")
+    out = ML.positive_probability(model, data.filter("is_test = 1"), "p_rf")
+    return out.select("mail_id", "label", F.round("p_rf", 6).alias("p_rf"), "pred")
+
+
+@query("second_scores")
+def q_second_scores(spark, sf_dir):
+    data = split_features(spark, sf_dir).persist()
+    model = ML.fit_text_classifier(data.filter("is_test = 0"), kind="logreg")
+    out = ML.positive_probability(model, data.filter("is_test = 1"), "p_second")
+    return out.select("mail_id", "label", F.round("p_second", 6).alias("p_second"), "pred")
+
+
+@query("topk_importance")
+def q_topk_importance(spark, sf_dir):
+    data = split_features(spark, sf_dir)
+    model = ML.fit_text_classifier(data.filter("is_test = 0"), kind="rf")
+    imp = spark.createDataFrame(ML.feature_importances(model), "feature string, importance double")
+    return imp.orderBy(F.desc("importance"), F.asc("feature")).limit(10)
+
+
+@query("model_roundtrip")
+def q_model_roundtrip(spark, sf_dir):
+    from pyspark.ml import PipelineModel
+    data = split_features(spark, sf_dir).persist()
+    model = ML.fit_text_classifier(data.filter("is_test = 0"), kind="rf")
+    path = scratch_path(spark, "rf-model")
+    model.write().overwrite().save(path)
+    loaded = PipelineModel.load(path)
+    test = data.filter("is_test = 1")
+    a = ML.positive_probability(model, test, "p_before").select("mail_id", "p_before")
+    b = ML.positive_probability(loaded, test, "p_after").select("mail_id", "p_after")
+    return a.join(b, "mail_id").withColumn("same", (F.col("p_before") == F.col("p_after")).cast("int"))
+
+
+@query("cv_report")
+def q_cv_report(spark, sf_dir):
+    """Stratified 5-fold CV: vocabulary, IDF and forest fitted inside each
+    fold; per-fold accuracy / F1 plus mean and population deviation."""
+    ft = feature_table(spark, sf_dir).drop("urls")
+    data = RK.stratified_folds(ft, "mail_id", "label").persist()
+    rows = []
+    for k in range(5):
+        model = ML.fit_text_classifier(data.filter(F.col("fold") != k), kind="rf")
+        pred = ML.positive_probability(model, data.filter(F.col("fold") == k), "p").withColumn("fold", F.lit(k))
+        rows.append(pred.select("fold", F.col("label").alias("y"), "pred"))
+    per_fold = M.binary_metrics(R.union_sources(rows), "y", "pred", ["fold"])
+    return M.with_mean_std(per_fold, ["accuracy", "f1"])
+
+
+# ---------------------------------------------------------------- streaming keys
+from ..streaming import mailbox as ST  # noqa: E402
+
+
+def drop_folder(spark, sf_dir):
+    """A mail drop folder holding every MAIL message (no empty files)."""
+    root = scratch_path(spark, "dropbox")
+    m = FX.mail_table(spark, sf_dir)
+    files = m.select(F.concat(F.lit("in/"), F.col("mail_id").cast("string"), F.lit(".eml")).alias("name"),
+                     FX.render_message(F.col("subject"), F.col("sender"), F.col("raw_body")).alias("content"))
+    SM.write_message_files(files, root, "name", "content")
+    return root
+
+
+@query("stream_score")
+def q_stream_score(spark, sf_dir):
+    """Streaming mailbox scoring; its result equals the batch flagship."""
+    root = drop_folder(spark, sf_dir)
+    labels = FX.mail_table(spark, sf_dir).select("mail_id", "label")
+    sink, ckpt = scratch_path(spark, "stream-score-out"), scratch_path(spark, "stream-score-ckpt")
+    ST.run_available_now(ST.scoring_stream(spark, root, labels), sink, ckpt)
+    return spark.read.parquet(sink)
+
+
+@query("stream_dedup")
+def q_stream_dedup(spark, sf_dir):
+    root = drop_folder(spark, sf_dir)
+    sink, ckpt = scratch_path(spark, "stream-dedup-out"), scratch_path(spark, "stream-dedup-ckpt")
+    ST.run_available_now(ST.dedup_stream(spark, root), sink, ckpt)
+    return spark.read.parquet(sink)

@@ -406,3 +406,8 @@ oracle("ingest_llm_replies", """SELECT conv_id * 1000 + turn AS reply_id, 1 AS o
 FROM conversations WHERE turn % 6 IN (0, 3, 4)
 UNION ALL SELECT conv_id * 1000 + turn, 2, 'second', 'AI Generated', 'copy: ' || text, 1, 'delivery', 'mild', 'ai_generated'
 FROM conversations WHERE turn % 6 = 3""")
+
+# ---------------------------------------------------------------- streaming keys
+oracle("stream_score", S.score_mailbox_sql("ENSEMBLE"))
+oracle("stream_dedup", f"""WITH {MAIL_EMAIL}, b AS (SELECT {S.clean_deep('raw_body')} AS body FROM mail)
+SELECT DISTINCT sha256(body) AS body_sha, CAST(length(body) AS INTEGER) AS body_len FROM b""")
