@@ -16,20 +16,18 @@ from .. import constants as K
 # Characters for which Python's str.isspace() is true.
 PY_SPACE = (r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
             r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+PY_SPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                  + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
 # Control characters (Unicode category C) except '\n'.
 CONTROL_EXCEPT_NL = r"[\x00-\x09\x0b-\x1f\x7f-\x{9f}\p{Cf}]"
 
 # HTML constructs whose text is not part of get_text(): comments, script /
-# style / template elements, declarations, processing instructions; then tags.
-HTML_DROP = [
-    r"(?s)<!--.*?-->",
-    r"(?is)<script\b.*?</script\s*>",
-    r"(?is)<style\b.*?</style\s*>",
-    r"(?is)<template\b.*?</template\s*>",
-    r"<![a-zA-Z][^>]*>",
-    r"<\?[^>]*>",
-    r"</?[a-zA-Z][^>]*>",
-]
+# style / template elements (raw text up to their end tag), declarations,
+# processing instructions, and tags.  One left-to-right pass: at each '<'
+# the first alternative that matches wins, so a comment-like string inside
+# a script is script text and a script inside a comment is comment text.
+HTML_DROP = (r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+             r"|<template\b.*?</template\s*>|<![a-z][^>]*>|<\?[^>]*>|</?[a-z][^>]*>")
 # Named and numeric entities decoded by the HTML parser; '&amp;' last.
 HTML_ENTITIES = [
     ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
@@ -44,16 +42,18 @@ CJK_RUN = rf"^[{CJK_CLASS}]+$"
 
 def html_to_text(c: Column) -> Column:
     """Text of an HTML fragment: markup removed without separators,
-    non-text elements dropped, entities decoded."""
-    for pattern in HTML_DROP:
-        c = F.regexp_replace(c, pattern, "")
+    non-text elements dropped, entities decoded.  Text without '<' / '&'
+    skips the regex / replace work."""
+    c = F.when(c.contains("<"), F.regexp_replace(c, HTML_DROP, "")).otherwise(c)
+    decoded = c
     for entity, char in HTML_ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
+    return F.when(c.contains("&"), decoded).otherwise(c)
 
 
 def py_strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{PY_SPACE}+|{PY_SPACE}+$", "")
+    """str.strip(): Unicode whitespace removed at both ends (a set trim)."""
+    return F.trim(c, F.lit(PY_SPACE_CHARS))
 
 
 def clean_text_deep(c: Column) -> Column:

@@ -162,28 +162,33 @@ def risk_from_parts(url: Column, sch: Column, domain: Column, port: Column) -> C
     )
 
 
-def rule_hits(url: Column) -> Column:
-    """array<struct<rule_no, rule, points, reason>>: one element per rule hit."""
-    p = url_parts(url)
+def _hits_from_parts(p: Column) -> Column:
     rules = _rules(p["url"], p["scheme"], p["domain"], p["port"])
     hits = F.array(*[
         F.when(c, F.struct(F.lit(i + 1).alias("rule_no"), F.lit(n).alias("rule"),
                            F.lit(pt).alias("points"), r.alias("reason")))
         for i, (n, c, pt, r) in enumerate(rules)
     ])
-    return F.when(_guarded(url), F.array_compact(F.array(F.lit(None).cast(
+    return F.when(_guarded(p["url"]), F.array_compact(F.array(F.lit(None).cast(
         "struct<rule_no:int,rule:string,points:int,reason:string>")))).otherwise(F.array_compact(hits))
 
 
+def rule_hits(url: Column) -> Column:
+    """array<struct<rule_no, rule, points, reason>>: one element per rule hit
+    (parts parsed once, as in `url_risk`)."""
+    return F.flatten(F.transform(F.transform(F.array(url), url_parts), _hits_from_parts))
+
+
 def risk_level(score: Column) -> Column:
     return (F.when(score == 0, F.lit("safe")).when(score <= 1, F.lit("low"))
             .when(score <= 3, F.lit("medium")).otherwise(F.lit("high")))
 
 
 def url_risk(url: Column) -> Column:
-    """Risk struct of one URL column (flat use; parts computed inline)."""
-    p = url_parts(url)
-    return risk_from_parts(p["url"], p["scheme"], p["domain"], p["port"])
+    """Risk struct of one URL column.  Routed through a one-element array so
+    the parsed parts are materialised once and the rule lambdas read struct
+    fields instead of re-running the host regexes."""
+    return F.element_at(url_risks(F.array(url)), 1)
 
 
 def url_risks(urls: Column) -> Column:

@@ -29,15 +29,14 @@ def rx_replace(expr: str, pattern: str, repl: str = "") -> str:
 
 
 def html_to_text(expr: str) -> str:
-    for p in T.HTML_DROP:
-        expr = rx_replace(expr, p)
+    expr = rx_replace(expr, T.HTML_DROP)
     for ent, ch in T.HTML_ENTITIES:
         expr = f"replace({expr}, {q(ent)}, {q(ch)})"
     return expr
 
 
 def py_strip(expr: str) -> str:
-    return rx_replace(expr, rf"^{T.PY_SPACE}+|{T.PY_SPACE}+$")
+    return f"trim({expr}, {q(T.PY_SPACE_CHARS)})"
 
 
 def clean_deep(expr: str) -> str:
