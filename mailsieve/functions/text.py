@@ -38,6 +38,9 @@ HTML_ENTITIES = [
 CJK_CLASS = r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}"
 TOKEN_PATTERN = rf"[{CJK_CLASS}]+|[a-z\x{{df}}-\x{{24f}}]+|[0-9]+"
 CJK_RUN = rf"^[{CJK_CLASS}]+$"
+# Tokens are homogeneous runs and every non-CJK token class lies below
+# U+3400, so "is a CJK run" is a string comparison (UTF-8 keeps code-point order).
+CJK_FIRST = "\u3400"
 
 
 def html_to_text(c: Column) -> Column:
@@ -101,7 +104,7 @@ def tokenize(c: Column) -> Column:
     CJK runs (a single ideograph stays a token)."""
     runs = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN_PATTERN), 0)
     return F.flatten(F.transform(runs, lambda t: F.when(
-        t.rlike(CJK_RUN) & (F.length(t) > 1),
+        (t >= F.lit(CJK_FIRST)) & (F.length(t) > 1),
         F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, 2)),
     ).otherwise(F.array(t))))
 

@@ -43,7 +43,7 @@ from ..functions import urls as U  # noqa: E402
 from ..operators import metrics as M  # noqa: E402
 from ..operators import ranking as RK  # noqa: E402
 from ..operators import relational as R  # noqa: E402
-from ..session import read_table  # noqa: E402
+from ..session import materialize, read_table  # noqa: E402
 
 
 def mail_urls(spark, sf_dir):
@@ -470,8 +470,11 @@ from ..operators import corpus_models as CM  # noqa: E402
 
 
 def corpus_terms(spark, sf_dir):
-    c = mail_email(spark, sf_dir)
-    return c, CM.doc_terms(c, "mail_id", "body")
+    """Cleaned mail corpus and its (mail_id, term, tf) table, each written
+    once to the shared folder and reused by every model job."""
+    c = materialize(mail_email(spark, sf_dir).select(
+        "mail_id", "subject", "sender", "body", "urls", "url_count", "label", "source_dataset", "quality"), "corpus")
+    return c, materialize(CM.doc_terms(c, "mail_id", "body"), "doc-terms")
 
 
 @query("term_stats")
@@ -509,7 +512,7 @@ def q_tfidf_table(spark, sf_dir):
 def sentiment_scores(spark, sf_dir, corpus=None, terms=None):
     if corpus is None:
         corpus, terms = corpus_terms(spark, sf_dir)
-    labels = FX.mail_table(spark, sf_dir).select("mail_id", "quality")
+    labels = corpus.select("mail_id", "quality")
     model, prior = CM.train_naive_bayes(terms, labels, "mail_id", "quality")
     return CM.score_naive_bayes(corpus, terms, model, prior, "mail_id")
 
@@ -521,7 +524,8 @@ def q_sentiment_nb(spark, sf_dir):
 
 @query("perplexity_ngram")
 def q_perplexity_ngram(spark, sf_dir):
-    return CM.bigram_perplexity(mail_email(spark, sf_dir), "mail_id", "body")
+    c = materialize(mail_email(spark, sf_dir).select("mail_id", "body"), "corpus")
+    return CM.bigram_perplexity(c, "mail_id", "body")
 
 
 def feature_table(spark, sf_dir):

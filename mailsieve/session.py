@@ -68,11 +68,22 @@ def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
     """Join `big` with `small`, broadcasting `small` only when its row count
     is proven to be under `row_limit`; otherwise a shuffle join (AQE splits
     skewed partitions)."""
+    small = small.persist()
     n = small.count()
     if n <= row_limit:
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as Parquet below the shared checkpoint folder and read it
+    back: later actions reuse it and its lineage is cut (a lost executor
+    costs a re-read, not a recomputation)."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
