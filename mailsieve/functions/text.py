@@ -110,9 +110,16 @@ def tokenize(c: Column) -> Column:
 
 
 def char_bigrams(c: Column) -> Column:
-    """Overlapping character bigrams of a string (empty when shorter than 2)."""
+    """Overlapping character bigrams of a string (empty when shorter than 2).
+
+    Built from the code points (`split` on the empty pattern) zipped with
+    themselves shifted by one: linear in the length, where a positional
+    `substring` per bigram would rescan the UTF-8 prefix each time."""
+    chars = F.split(c, "")
+    n = F.greatest(F.size(chars) - 1, F.lit(1))
+    pairs = F.arrays_zip(F.slice(chars, 1, n), F.slice(chars, 2, n))
     return F.when(F.length(c) < 2, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, 2)))
+        F.transform(pairs, lambda x: F.concat(x["0"], x["1"])))
 
 
 def format_percent(p: Column) -> Column:

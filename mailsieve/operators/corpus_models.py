@@ -85,19 +85,28 @@ def score_naive_bayes(docs: DataFrame, terms: DataFrame, model: DataFrame, prior
 
 
 def char_bigram_rows(df: DataFrame, id_col: str, text_col: str, prefix: int = K.PERPLEXITY_PREFIX) -> DataFrame:
-    """(id, bigram) for the overlapping character bigrams of the text prefix."""
+    """(id, bigram) for the overlapping character bigrams of the text prefix.
+    The prefix is projected first so the bigram lambda reads a column
+    instead of re-evaluating the substring for every element."""
     t = F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, prefix)
-    return df.select(F.col(id_col), F.explode(T.char_bigrams(t)).alias("bg"))
+    staged = df.select(F.col(id_col), t.alias("_t"))
+    return staged.select(F.col(id_col), F.explode(T.char_bigrams(F.col("_t"))).alias("bg"))
 
 
 def bigram_perplexity(df: DataFrame, id_col: str, text_col: str, prefix: int = K.PERPLEXITY_PREFIX) -> DataFrame:
-    """(id, perplexity) = log1p(exp(-mean ln P(b|a))); 0.0 for texts under 2 chars."""
+    """(id, perplexity) = log1p(exp(-mean ln P(b|a))); 0.0 for texts under 2 chars.
+
+    The alphabet size V (distinct characters of all prefixes) is read from
+    the bounded bigram-count table plus the one-character prefixes, not from
+    a second pass over the corpus."""
     bg = char_bigram_rows(df, id_col, text_col, prefix)
-    counts = bg.groupBy("bg").agg(F.count(F.lit(1)).alias("c_ab"))
-    counts = counts.withColumn("a", F.substring("bg", 1, 1))
+    counts = bg.groupBy("bg").agg(F.count(F.lit(1)).alias("c_ab")).withColumn("a", F.substring("bg", 1, 1)).persist()
     t = F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, prefix)
-    chars = df.select(F.explode(F.split(t, "")).alias("ch")).filter(F.col("ch") != "")
-    v = chars.agg(F.count_distinct("ch")).first()[0] or 0
+    singles = df.select(t.alias("ch")).filter(F.length("ch") == 1)
+    alphabet = (counts.select(F.col("a").alias("ch"))
+                .unionByName(counts.select(F.substring("bg", 2, 1).alias("ch")))
+                .unionByName(singles))
+    v = alphabet.agg(F.count_distinct("ch")).first()[0] or 0
     ctx = counts.groupBy("a").agg(F.sum("c_ab").alias("c_a"))
     model = counts.join(ctx, "a").select("bg", F.log((F.col("c_ab") + 1) / (F.col("c_a") + F.lit(v))).alias("lp"))
     per = join_checked(bg, model, "bg").groupBy(id_col).agg(F.avg("lp").alias("_m"))
