@@ -104,8 +104,7 @@ def tokenize(c: Column) -> Column:
     CJK runs (a single ideograph stays a token)."""
     runs = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN_PATTERN), 0)
     return F.flatten(F.transform(runs, lambda t: F.when(
-        (t >= F.lit(CJK_FIRST)) & (F.length(t) > 1),
-        F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, 2)),
+        (t >= F.lit(CJK_FIRST)) & (F.length(t) > 1), char_bigrams(t),
     ).otherwise(F.array(t))))
 
 

@@ -89,12 +89,14 @@ def score_mailbox(mails: DataFrame, mode: str = "ENSEMBLE", lexicon=K.LEXICON_FU
         U.url_risks(U.extract_urls(F.col(body_col))).alias("_risks"),
     )
     prob_base = mode_probability(mode, F.col("p_rf"), F.col("p_second"), w_rf, w_second)
+    staged = staged.withColumn("keyword_hits", FT.keyword_hits(F.col("_text"), lexicon))
     scored = staged.select(
         "mail_id", "label", "p_rf", "p_second",
         F.size("_risks").alias("url_count"),
         U.max_risk(F.col("_risks")).alias("url_max_risk"),
-        FT.keyword_hits(F.col("_text"), lexicon).alias("keyword_hits"),
-        FT.keyword_density(F.col("_text"), lexicon).alias("subjectivity"),
+        "keyword_hits",
+        (F.col("keyword_hits") / F.greatest(F.length(F.coalesce(F.col("_text"), F.lit(""))), F.lit(1)))
+        .alias("subjectivity"),
         prob_base.alias("p_mode"),
         U.url_report(F.col("_risks")).alias("url_report"),
     )
