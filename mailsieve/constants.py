@@ -72,7 +72,8 @@ BAND_SAFE = ("✅ 安全：正常邮件", "无风险")
 BAND_MEDIUM = ("🟠 中危：风险钓鱼邮件", "中危")
 BAND_HIGH = ("🛑 高危：极高风险钓鱼邮件", "高危")
 
-# Engine display names -> scoring mode.
+# Scoring modes and engine display names -> scoring mode.
+MODES = ("RF", "BERT", "ENSEMBLE")
 MODE_NAMES = {"机器学习引擎": "RF", "深度学习引擎": "BERT", "加权集成检测": "ENSEMBLE"}
 
 # Score fusion and URL boost.

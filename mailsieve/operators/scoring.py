@@ -15,7 +15,7 @@ from ..functions import features as FT
 from ..functions import text as T
 from ..functions import urls as U
 
-MODES = ("RF", "BERT", "ENSEMBLE")
+MODES = K.MODES
 
 
 def fuse(p_rf: Column, p_second: Column, w_rf: float = K.DEFAULT_RF_WEIGHT,
