@@ -19,7 +19,7 @@ Token streams are pre-aggregated to (doc, term, tf) before any join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -75,13 +75,23 @@ def train_naive_bayes(terms: DataFrame, labels: DataFrame, id_col: str, class_co
     return model, prior_logodds
 
 
+def naive_bayes_sums(terms: DataFrame, model: DataFrame, id_col: str) -> DataFrame:
+    """(id, _s): sum of tf * llr over a doc's known terms (docs with no known
+    term are absent)."""
+    return join_checked(terms, model, "term").groupBy(id_col).agg(F.sum(F.col("tf") * F.col("llr")).alias("_s"))
+
+
+def sentiment_from_sums(s: Column, prior_logodds: float) -> Column:
+    lo = F.lit(prior_logodds) + F.coalesce(s, F.lit(0.0))
+    return F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-lo)), 6)
+
+
 def score_naive_bayes(docs: DataFrame, terms: DataFrame, model: DataFrame, prior_logodds: float,
                       id_col: str) -> DataFrame:
     """(id, sentiment) = logistic(prior + sum tf * llr) for every doc of `docs`."""
-    s = join_checked(terms, model, "term").groupBy(id_col).agg(F.sum(F.col("tf") * F.col("llr")).alias("_s"))
-    lo = F.lit(prior_logodds) + F.coalesce(F.col("_s"), F.lit(0.0))
+    s = naive_bayes_sums(terms, model, id_col)
     return docs.select(id_col).join(s, id_col, "left").select(
-        id_col, F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-lo)), 6).alias("sentiment"))
+        id_col, sentiment_from_sums(F.col("_s"), prior_logodds).alias("sentiment"))
 
 
 def char_bigram_rows(df: DataFrame, id_col: str, text_col: str, prefix: int = K.PERPLEXITY_PREFIX) -> DataFrame:
@@ -93,7 +103,7 @@ def char_bigram_rows(df: DataFrame, id_col: str, text_col: str, prefix: int = K.
     return staged.select(F.col(id_col), F.explode(T.char_bigrams(F.col("_t"))).alias("bg"))
 
 
-def bigram_perplexity(df: DataFrame, id_col: str, text_col: str, prefix: int = K.PERPLEXITY_PREFIX) -> DataFrame:
+def bigram_mean_logprob(df: DataFrame, id_col: str, text_col: str, prefix: int = K.PERPLEXITY_PREFIX) -> DataFrame:
     """(id, perplexity) = log1p(exp(-mean ln P(b|a))); 0.0 for texts under 2 chars.
 
     The alphabet size V (distinct characters of all prefixes) is read from
@@ -109,7 +119,16 @@ def bigram_perplexity(df: DataFrame, id_col: str, text_col: str, prefix: int = K
     v = alphabet.agg(F.count_distinct("ch")).first()[0] or 0
     ctx = counts.groupBy("a").agg(F.sum("c_ab").alias("c_a"))
     model = counts.join(ctx, "a").select("bg", F.log((F.col("c_ab") + 1) / (F.col("c_a") + F.lit(v))).alias("lp"))
-    per = join_checked(bg, model, "bg").groupBy(id_col).agg(F.avg("lp").alias("_m"))
-    ppl = F.log1p(F.exp(-F.col("_m")))
+    return join_checked(bg, model, "bg").groupBy(id_col).agg(F.avg("lp").alias("_m"))
+
+
+def perplexity_from_mean(m: Column) -> Column:
+    return F.round(F.coalesce(F.log1p(F.exp(-m)), F.lit(0.0)), 6)
+
+
+def bigram_perplexity(df: DataFrame, id_col: str, text_col: str, prefix: int = K.PERPLEXITY_PREFIX) -> DataFrame:
+    """(id, perplexity) = log1p(exp(-mean ln P(b|a))) for every doc; 0.0 for
+    texts under 2 characters."""
+    per = bigram_mean_logprob(df, id_col, text_col, prefix)
     return df.select(id_col).join(per, id_col, "left").select(
-        id_col, F.round(F.coalesce(ppl, F.lit(0.0)), 6).alias("perplexity"))
+        id_col, perplexity_from_mean(F.col("_m")).alias("perplexity"))

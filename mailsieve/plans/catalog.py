@@ -532,11 +532,16 @@ def feature_table(spark, sf_dir):
     """Nine numeric features per mail in their fixed order (one function for
     training, scoring and ablation)."""
     c, dt = corpus_terms(spark, sf_dir)
-    sent = sentiment_scores(spark, sf_dir, c, dt)
-    ppl = CM.bigram_perplexity(c, "mail_id", "body")
+    model, prior = CM.train_naive_bayes(dt, c.select("mail_id", "quality"), "mail_id", "quality")
+    sums = CM.naive_bayes_sums(dt, model, "mail_id")
+    means = CM.bigram_mean_logprob(c, "mail_id", "body")
     base = c.select("mail_id", "label", "body", "urls",
                     FT.keyword_density(F.col("body")).alias("subjectivity"), *FT.url_features(F.col("urls")))
-    out = base.join(sent, "mail_id", "left").join(ppl, "mail_id", "left")
+    # one pass: both per-mail aggregates are hash-partitioned by mail_id
+    out = base.join(sums, "mail_id", "left").join(means, "mail_id", "left").withColumns({
+        "sentiment": CM.sentiment_from_sums(F.col("_s"), prior),
+        "perplexity": CM.perplexity_from_mean(F.col("_m")),
+    })
     return out.select("mail_id", "label", "body", "urls", *K.FEATURES)
 
 
