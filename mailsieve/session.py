@@ -30,6 +30,9 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
         .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 * 1024 * 1024))
         .config("spark.driver.memory", "16g")
+        # a file-stream micro-batch indexes its new files by path; cap the
+        # listing job's tasks instead of one task per file
+        .config("spark.sql.sources.parallelPartitionDiscovery.parallelism", "64")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
