@@ -772,3 +772,10 @@ def q_stream_dedup(spark, sf_dir):
     sink, ckpt = scratch_path(spark, "stream-dedup-out"), scratch_path(spark, "stream-dedup-ckpt")
     ST.run_available_now(ST.dedup_stream(spark, root), sink, ckpt)
     return spark.read.parquet(sink)
+
+
+@query("rf_holdout_report")
+def q_rf_holdout_report(spark, sf_dir):
+    """Classification report of the forest on the held-out 20% (stratified split)."""
+    preds = q_rf_scores(spark, sf_dir).select(F.col("label").alias("y"), "pred")
+    return M.classification_report(preds, "y", "pred")

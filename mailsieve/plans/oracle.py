@@ -15,7 +15,6 @@ oracle("score_mailbox", S.score_mailbox_sql("ENSEMBLE"))
 
 # ---------------------------------------------------------------- shared CTEs
 from .. import constants as K  # noqa: E402
-from ..sources.fixtures import MAIL_KEYWORDS  # noqa: E402, F401
 
 q, lst, NL = S.q, S.lst, S.NL
 MAIL = S.MAIL_CTE
