@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Largest number of rows a side may have to be broadcast by `join_checked`.
-BROADCAST_ROW_LIMIT = 2_000_000
+BROADCAST_ROW_LIMIT = 1_000_000
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "mailsieve") -> SparkSession:
