@@ -8,8 +8,10 @@ are reproduced with `PY_SPACE`.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from .. import constants as K
 
@@ -125,3 +127,15 @@ def char_bigrams(c: Column) -> Column:
 def format_percent(p: Column) -> Column:
     """'51.23%' style text of a probability (two decimals of a percent)."""
     return F.format_string("%.2f%%", F.round(p * 100, 4))
+
+
+def python_tokenizer(fn):
+    """Wrap a Python tokenizer callable `str -> list[str]` (e.g. a dictionary
+    word segmenter) as an Arrow-batched pandas UDF `string -> array<string>`.
+    The built-in `tokenize` stays the default; this is the optional slow path
+    for users who need their own segmenter."""
+    @F.pandas_udf(ArrayType(StringType()))
+    def _tok(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: list(fn(x)) if x is not None else [])
+
+    return _tok

@@ -29,3 +29,12 @@ def test_cv_report_five_folds(spark):
     rows = E.queries()["cv_report"](spark, SF).collect()
     assert sorted(r.fold for r in rows) == [0, 1, 2, 3, 4]
     assert all(0.0 <= r.accuracy <= 1.0 for r in rows)
+
+
+def test_mlp_second_scorer(spark):
+    from mailsieve.operators import ml as ML
+    from mailsieve.plans import catalog as C
+    data = C.split_features(spark, SF)
+    model = ML.fit_text_classifier(data.filter("is_test = 0"), kind="mlp")
+    out = ML.positive_probability(model, data.filter("is_test = 1"), "p").select("p").collect()
+    assert out and all(0.0 <= r.p <= 1.0 for r in out)

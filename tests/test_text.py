@@ -63,3 +63,9 @@ def test_decode_lenient(spark):
 def test_format_percent(spark):
     (s,), = spark.createDataFrame([(0.5123,)], "p double").select(T.format_percent(F.col("p"))).collect()
     assert s == "51.23%"
+
+
+def test_python_tokenizer_hook(spark):
+    tok = T.python_tokenizer(lambda s: s.lower().split())
+    (toks,), = spark.createDataFrame([("Verify YOUR account",)], "s string").select(tok(F.col("s"))).collect()
+    assert toks == ["verify", "your", "account"]
