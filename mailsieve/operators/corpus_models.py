@@ -5,7 +5,8 @@
 * sentiment: multinomial naive Bayes trained by `groupBy(term, class)`
   with add-one smoothing, scored by a join and a per-mail sum of log-odds;
 * perplexity: character-bigram model with add-one smoothing over the first
-  256 characters, exp(-mean ln p) per mail, then log1p.
+  256 characters (the feature's definition; `prefix=None` scores whole
+  texts), exp(-mean ln p) per mail, then log1p.
 
 Sentiment and perplexity replace pretrained neural scorers: their numbers
 differ from those models, their direction (formulaic text scores lower
@@ -94,16 +95,24 @@ def score_naive_bayes(docs: DataFrame, terms: DataFrame, model: DataFrame, prior
         id_col, sentiment_from_sums(F.col("_s"), prior_logodds).alias("sentiment"))
 
 
-def char_bigram_rows(df: DataFrame, id_col: str, text_col: str, prefix: int = K.PERPLEXITY_PREFIX) -> DataFrame:
+def _prefixed(text_col: str, prefix: int | None) -> Column:
+    """The scored text: its first `prefix` characters (the feature's
+    definition), or the whole text when prefix is None."""
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    return t if prefix is None else F.substring(t, 1, prefix)
+
+
+def char_bigram_rows(df: DataFrame, id_col: str, text_col: str, prefix: int | None = K.PERPLEXITY_PREFIX) -> DataFrame:
     """(id, bigram) for the overlapping character bigrams of the text prefix.
     The prefix is projected first so the bigram lambda reads a column
     instead of re-evaluating the substring for every element."""
-    t = F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, prefix)
+    t = _prefixed(text_col, prefix)
     staged = df.select(F.col(id_col), t.alias("_t"))
     return staged.select(F.col(id_col), F.explode(T.char_bigrams(F.col("_t"))).alias("bg"))
 
 
-def bigram_mean_logprob(df: DataFrame, id_col: str, text_col: str, prefix: int = K.PERPLEXITY_PREFIX) -> DataFrame:
+def bigram_mean_logprob(df: DataFrame, id_col: str, text_col: str,
+                        prefix: int | None = K.PERPLEXITY_PREFIX) -> DataFrame:
     """(id, perplexity) = log1p(exp(-mean ln P(b|a))); 0.0 for texts under 2 chars.
 
     The alphabet size V (distinct characters of all prefixes) is read from
@@ -111,8 +120,7 @@ def bigram_mean_logprob(df: DataFrame, id_col: str, text_col: str, prefix: int =
     a second pass over the corpus."""
     bg = char_bigram_rows(df, id_col, text_col, prefix)
     counts = bg.groupBy("bg").agg(F.count(F.lit(1)).alias("c_ab")).withColumn("a", F.substring("bg", 1, 1)).persist()
-    t = F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, prefix)
-    singles = df.select(t.alias("ch")).filter(F.length("ch") == 1)
+    singles = df.select(_prefixed(text_col, prefix).alias("ch")).filter(F.length("ch") == 1)
     alphabet = (counts.select(F.col("a").alias("ch"))
                 .unionByName(counts.select(F.substring("bg", 2, 1).alias("ch")))
                 .unionByName(singles))
@@ -126,7 +134,8 @@ def perplexity_from_mean(m: Column) -> Column:
     return F.round(F.coalesce(F.log1p(F.exp(-m)), F.lit(0.0)), 6)
 
 
-def bigram_perplexity(df: DataFrame, id_col: str, text_col: str, prefix: int = K.PERPLEXITY_PREFIX) -> DataFrame:
+def bigram_perplexity(df: DataFrame, id_col: str, text_col: str,
+                      prefix: int | None = K.PERPLEXITY_PREFIX) -> DataFrame:
     """(id, perplexity) = log1p(exp(-mean ln P(b|a))) for every doc; 0.0 for
     texts under 2 characters."""
     per = bigram_mean_logprob(df, id_col, text_col, prefix)
