@@ -141,3 +141,73 @@ def bigram_perplexity(df: DataFrame, id_col: str, text_col: str,
     per = bigram_mean_logprob(df, id_col, text_col, prefix)
     return df.select(id_col).join(per, id_col, "left").select(
         id_col, perplexity_from_mean(F.col("_m")).alias("perplexity"))
+
+
+# ------------------------------------------------------------------ saved feature models
+class FeatureModels:
+    """The count-based models behind `sentiment` and `perplexity`, kept as
+    tables so new mail can be scored: naive-Bayes log-likelihood ratios per
+    term with the prior log-odds, and bigram / context counts with the
+    alphabet size.  Unseen bigrams get the add-one probability 1/(c_a + V)
+    (1/V for an unseen context); unseen terms contribute nothing."""
+
+    def __init__(self, nb: DataFrame, prior: float, bigrams: DataFrame, contexts: DataFrame, alphabet: int,
+                 prefix: int | None = K.PERPLEXITY_PREFIX, lexicon=tuple(K.LEXICON_FULL35)):
+        self.nb, self.prior, self.bigrams, self.contexts = nb, prior, bigrams, contexts
+        self.alphabet, self.prefix, self.lexicon = alphabet, prefix, list(lexicon)
+
+    @classmethod
+    def fit(cls, corpus: DataFrame, terms: DataFrame, id_col: str = "mail_id", text_col: str = "body",
+            class_col: str = "quality", prefix: int | None = K.PERPLEXITY_PREFIX) -> "FeatureModels":
+        nb, prior = train_naive_bayes(terms, corpus.select(id_col, class_col), id_col, class_col)
+        bg = char_bigram_rows(corpus, id_col, text_col, prefix)
+        counts = bg.groupBy("bg").agg(F.count(F.lit(1)).alias("c_ab")).withColumn("a", F.substring("bg", 1, 1))
+        singles = corpus.select(_prefixed(text_col, prefix).alias("ch")).filter(F.length("ch") == 1)
+        v = (counts.select(F.col("a").alias("ch")).unionByName(counts.select(F.substring("bg", 2, 1).alias("ch")))
+             .unionByName(singles).agg(F.count_distinct("ch")).first()[0] or 0)
+        contexts = counts.groupBy("a").agg(F.sum("c_ab").alias("c_a"))
+        return cls(nb, prior, counts.select("bg", "c_ab"), contexts, int(v), prefix)
+
+    def save(self, path: str) -> None:
+        import json
+        spark = self.nb.sparkSession
+        self.nb.write.mode("overwrite").parquet(f"{path}/nb")
+        self.bigrams.write.mode("overwrite").parquet(f"{path}/bigrams")
+        self.contexts.write.mode("overwrite").parquet(f"{path}/contexts")
+        meta = {"prior": self.prior, "alphabet": self.alphabet, "prefix": self.prefix, "lexicon": self.lexicon}
+        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(
+            f"{path}/meta")
+
+    @classmethod
+    def load(cls, spark, path: str) -> "FeatureModels":
+        import json
+        meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+        return cls(spark.read.parquet(f"{path}/nb"), meta["prior"], spark.read.parquet(f"{path}/bigrams"),
+                   spark.read.parquet(f"{path}/contexts"), meta["alphabet"], meta["prefix"], meta["lexicon"])
+
+    def sentiment(self, docs: DataFrame, id_col: str = "mail_id", text_col: str = "body") -> DataFrame:
+        """(id, _s) naive-Bayes sums for new docs."""
+        return naive_bayes_sums(doc_terms(docs, id_col, text_col), self.nb, id_col)
+
+    def mean_logprob(self, docs: DataFrame, id_col: str = "mail_id", text_col: str = "body") -> DataFrame:
+        """(id, _m) mean smoothed log-probability of each doc's bigrams."""
+        bg = char_bigram_rows(docs, id_col, text_col, self.prefix).withColumn("a", F.substring("bg", 1, 1))
+        x = join_checked(bg, self.bigrams, "bg", "left")
+        x = join_checked(x, self.contexts, "a", "left")
+        lp = F.log((F.coalesce(F.col("c_ab"), F.lit(0)) + 1)
+                   / (F.coalesce(F.col("c_a"), F.lit(0)) + F.lit(self.alphabet)))
+        return x.groupBy(id_col).agg(F.avg(lp).alias("_m"))
+
+
+def score_features(mails: DataFrame, models: FeatureModels, id_col: str = "mail_id", text_col: str = "body",
+                   urls_col: str = "urls") -> DataFrame:
+    """The nine features for new mails with saved models (same definitions
+    as the training feature table; unseen bigrams smoothed)."""
+    from ..functions import features as FT
+    mails = mails.drop(*[c for c in K.FEATURES if c in mails.columns])
+    base = mails.select("*", FT.keyword_density(F.col(text_col), models.lexicon).alias("subjectivity"),
+                        *FT.url_features(F.col(urls_col)))
+    out = base.join(models.sentiment(mails, id_col, text_col), id_col, "left") \
+        .join(models.mean_logprob(mails, id_col, text_col), id_col, "left")
+    return out.withColumns({"sentiment": sentiment_from_sums(F.col("_s"), models.prior),
+                            "perplexity": perplexity_from_mean(F.col("_m"))}).drop("_s", "_m")

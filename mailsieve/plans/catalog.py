@@ -779,3 +779,26 @@ def q_rf_holdout_report(spark, sf_dir):
     """Classification report of the forest on the held-out 20% (stratified split)."""
     preds = q_rf_scores(spark, sf_dir).select(F.col("label").alias("y"), "pred")
     return M.classification_report(preds, "y", "pred")
+
+
+@query("score_mailbox_models")
+def q_score_mailbox_models(spark, sf_dir):
+    """End-to-end M11 with trained models: fit the detector on the training
+    split, save and reload it, then score the held-out mails parsed from
+    their message bytes."""
+    from ..operators import detection as D
+    corpus = materialize(mail_email(spark, sf_dir).select("mail_id", "subject", "body", "urls", "label", "quality"),
+                         "corpus")
+    corpus = RK.split_flag(corpus, "mail_id", 0.2, 42, "label")
+    train = corpus.filter("is_test = 0")
+    path = scratch_path(spark, "detector")
+    D.train_detector(train).save(path)
+    detector = D.Detector.load(spark, path)
+    test_ids = corpus.filter("is_test = 1").select("mail_id")
+    msgs = rendered_mail(spark, sf_dir).join(test_ids.select(F.col("mail_id").cast("string").alias("path")), "path")
+    parsed = SM.parse_messages(msgs).filter(F.col("error").isNull()).select(
+        F.col("path").cast("bigint").alias("mail_id"), "subject", "raw_body")
+    labelled = parsed.join(FX.mail_table(spark, sf_dir).select("mail_id", "label"), "mail_id")
+    out = D.score_mails(labelled, detector, "ENSEMBLE")
+    return out.select("mail_id", "label", F.round("p_rf", 6).alias("p_rf"), F.round("p_second", 6).alias("p_second"),
+                      "url_max_risk", "prob", "is_phishing", "level")

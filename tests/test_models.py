@@ -38,3 +38,18 @@ def test_mlp_second_scorer(spark):
     model = ML.fit_text_classifier(data.filter("is_test = 0"), kind="mlp")
     out = ML.positive_probability(model, data.filter("is_test = 1"), "p").select("p").collect()
     assert out and all(0.0 <= r.p <= 1.0 for r in out)
+
+
+def test_cli_train_and_score_folder(spark, capsys):
+    from mailsieve import predict
+    from mailsieve.plans import catalog as C
+    from mailsieve.session import scratch_path
+    models, out = scratch_path(spark, "cli-models"), scratch_path(spark, "cli-out")
+    predict.main(["train", "--sf-dir", SF, "--out", models])
+    folder = C.written_mailbox(spark, SF)
+    predict.main(["score", "--folder", folder, "--models", models, "--mode", "加权集成检测", "--out", out, "--show", "2"])
+    res = spark.read.parquet(out)
+    # zero-byte messages are not scanned by binaryFile; every other file is scored once
+    assert res.count() == res.select("path").distinct().count() > 0
+    assert res.filter(~F.col("level").isin("无风险", "中危", "高危")).count() == 0
+    assert "data/" in capsys.readouterr().out
