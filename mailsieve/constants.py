@@ -97,7 +97,7 @@ FEATURES = [
 FEATURES_NO_PPL = FEATURES[:-1]
 
 # Text limits.
-PERPLEXITY_PREFIX = 256
+PERPLEXITY_PREFIX = 256  # optional window (the original scorer input), not used by default
 DECONTAMINATION_PREFIX = 100
 PART_TEXT_LIMIT = 3000
 VOCAB_SIZE = 500

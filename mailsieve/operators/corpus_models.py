@@ -4,9 +4,9 @@
   ln((1+n)/(1+df)) + 1 and L2 normalisation per document;
 * sentiment: multinomial naive Bayes trained by `groupBy(term, class)`
   with add-one smoothing, scored by a join and a per-mail sum of log-odds;
-* perplexity: character-bigram model with add-one smoothing over the first
-  256 characters (the feature's definition; `prefix=None` scores whole
-  texts), exp(-mean ln p) per mail, then log1p.
+* perplexity: character-bigram model with add-one smoothing over the whole
+  text (`prefix=n` restricts it to the first n characters, as the original
+  neural scorer's input window did), exp(-mean ln p) per mail, then log1p.
 
 Sentiment and perplexity replace pretrained neural scorers: their numbers
 differ from those models, their direction (formulaic text scores lower
@@ -96,14 +96,14 @@ def score_naive_bayes(docs: DataFrame, terms: DataFrame, model: DataFrame, prior
 
 
 def _prefixed(text_col: str, prefix: int | None) -> Column:
-    """The scored text: its first `prefix` characters (the feature's
-    definition), or the whole text when prefix is None."""
+    """The scored text: the whole text, or its first `prefix` characters
+    when a prefix is given."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     return t if prefix is None else F.substring(t, 1, prefix)
 
 
-def char_bigram_rows(df: DataFrame, id_col: str, text_col: str, prefix: int | None = K.PERPLEXITY_PREFIX) -> DataFrame:
-    """(id, bigram) for the overlapping character bigrams of the text prefix.
+def char_bigram_rows(df: DataFrame, id_col: str, text_col: str, prefix: int | None = None) -> DataFrame:
+    """(id, bigram) for the overlapping character bigrams of the text.
     The prefix is projected first so the bigram lambda reads a column
     instead of re-evaluating the substring for every element."""
     t = _prefixed(text_col, prefix)
@@ -112,7 +112,7 @@ def char_bigram_rows(df: DataFrame, id_col: str, text_col: str, prefix: int | No
 
 
 def bigram_mean_logprob(df: DataFrame, id_col: str, text_col: str,
-                        prefix: int | None = K.PERPLEXITY_PREFIX) -> DataFrame:
+                        prefix: int | None = None) -> DataFrame:
     """(id, perplexity) = log1p(exp(-mean ln P(b|a))); 0.0 for texts under 2 chars.
 
     The alphabet size V (distinct characters of all prefixes) is read from
@@ -135,7 +135,7 @@ def perplexity_from_mean(m: Column) -> Column:
 
 
 def bigram_perplexity(df: DataFrame, id_col: str, text_col: str,
-                      prefix: int | None = K.PERPLEXITY_PREFIX) -> DataFrame:
+                      prefix: int | None = None) -> DataFrame:
     """(id, perplexity) = log1p(exp(-mean ln P(b|a))) for every doc; 0.0 for
     texts under 2 characters."""
     per = bigram_mean_logprob(df, id_col, text_col, prefix)
@@ -152,13 +152,13 @@ class FeatureModels:
     (1/V for an unseen context); unseen terms contribute nothing."""
 
     def __init__(self, nb: DataFrame, prior: float, bigrams: DataFrame, contexts: DataFrame, alphabet: int,
-                 prefix: int | None = K.PERPLEXITY_PREFIX, lexicon=tuple(K.LEXICON_FULL35)):
+                 prefix: int | None = None, lexicon=tuple(K.LEXICON_FULL35)):
         self.nb, self.prior, self.bigrams, self.contexts = nb, prior, bigrams, contexts
         self.alphabet, self.prefix, self.lexicon = alphabet, prefix, list(lexicon)
 
     @classmethod
     def fit(cls, corpus: DataFrame, terms: DataFrame, id_col: str = "mail_id", text_col: str = "body",
-            class_col: str = "quality", prefix: int | None = K.PERPLEXITY_PREFIX) -> "FeatureModels":
+            class_col: str = "quality", prefix: int | None = None) -> "FeatureModels":
         nb, prior = train_naive_bayes(terms, corpus.select(id_col, class_col), id_col, class_col)
         bg = char_bigram_rows(corpus, id_col, text_col, prefix)
         counts = bg.groupBy("bg").agg(F.count(F.lit(1)).alias("c_ab")).withColumn("a", F.substring("bg", 1, 1))

@@ -331,7 +331,7 @@ model AS (SELECT term, ln((n1 + 1) / (t1 + v)) - ln((n0 + 1) / (t0 + v)) AS llr
 nbs AS (SELECT dt.mail_id, sum(dt.tf * model.llr) AS s FROM dt JOIN model ON dt.term = model.term GROUP BY dt.mail_id),
 sent AS (SELECT me.mail_id, round(1.0 / (1.0 + exp(-(prior + coalesce(nbs.s, 0.0)))), 6) AS sentiment
          FROM me LEFT JOIN nbs ON me.mail_id = nbs.mail_id CROSS JOIN pr)"""
-PPL = f"""p AS (SELECT mail_id, substring(body, 1, {K.PERPLEXITY_PREFIX}) AS t FROM me),
+PPL = f"""p AS (SELECT mail_id, body AS t FROM me),
 bgr AS (SELECT mail_id, unnest(CASE WHEN length(t) < 2 THEN []::VARCHAR[]
           ELSE list_transform(range(1, length(t)), lambda i: substring(t, i, 2)) END) AS bg FROM p),
 cnt AS (SELECT bg, count(*) AS c_ab, substring(bg, 1, 1) AS a FROM bgr GROUP BY bg),

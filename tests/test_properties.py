@@ -48,10 +48,10 @@ def test_dedup_with_a_hot_key(spark):
     assert "WindowGroupLimit" in plan
 
 
-def test_perplexity_whole_text_option(spark):
+def test_perplexity_scores_whole_text_by_default(spark):
     from mailsieve.operators import corpus_models as CM
     df = spark.createDataFrame([(1, "abababab" * 50 + "xyz"), (2, "a"), (3, None)], "id int, t string")
-    pre = {r.id: r.perplexity for r in CM.bigram_perplexity(df, "id", "t").collect()}
-    whole = {r.id: r.perplexity for r in CM.bigram_perplexity(df, "id", "t", prefix=None).collect()}
+    pre = {r.id: r.perplexity for r in CM.bigram_perplexity(df, "id", "t", prefix=256).collect()}
+    whole = {r.id: r.perplexity for r in CM.bigram_perplexity(df, "id", "t").collect()}
     assert pre[2] == whole[2] == 0.0 and pre[3] == 0.0
     assert pre[1] != whole[1]  # the tail beyond 256 characters changes the score
