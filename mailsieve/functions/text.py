@@ -111,17 +111,18 @@ def tokenize(c: Column) -> Column:
     ).otherwise(F.array(t))))
 
 
+BIGRAM_PATTERN = r"(?s)(?=(\P{Cs}.))"
+
+
 def char_bigrams(c: Column) -> Column:
     """Overlapping character bigrams of a string (empty when shorter than 2).
 
-    Built from the code points (`split` on the empty pattern) zipped with
-    themselves shifted by one: linear in the length, where a positional
-    `substring` per bigram would rescan the UTF-8 prefix each time."""
-    chars = F.split(c, "")
-    n = F.greatest(F.size(chars) - 1, F.lit(1))
-    pairs = F.arrays_zip(F.slice(chars, 1, n), F.slice(chars, 2, n))
-    return F.when(F.length(c) < 2, F.array().cast("array<string>")).otherwise(
-        F.transform(pairs, lambda x: F.concat(x["0"], x["1"])))
+    One JVM regex pass: a zero-width lookahead captures the two code points
+    at every position, so the pairs overlap and the cost is linear in the
+    length.  A match may not start on a lone surrogate (`\\P{Cs}`): after a
+    zero-width match the scan advances one UTF-16 unit, which lands inside
+    an astral character; the guard skips that position."""
+    return F.regexp_extract_all(c, F.lit(BIGRAM_PATTERN), F.lit(1))
 
 
 def format_percent(p: Column) -> Column:

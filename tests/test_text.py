@@ -69,3 +69,13 @@ def test_python_tokenizer_hook(spark):
     tok = T.python_tokenizer(lambda s: s.lower().split())
     (toks,), = spark.createDataFrame([("Verify YOUR account",)], "s string").select(tok(F.col("s"))).collect()
     assert toks == ["verify", "your", "account"]
+
+
+def test_char_bigrams_are_code_point_pairs(spark):
+    from pyspark.sql import functions as F
+    from mailsieve.functions import text as T
+    cases = ["a😀b", "😀😀", "x😀", "😀", "𠀀中𠀁", "中文邮件\r\n测试　 x", "ab​c\x07d", "\n\n", "a", ""]
+    df = spark.createDataFrame(list(enumerate(cases)), "id int, t string")
+    got = {r.id: r.bg for r in df.select("id", T.char_bigrams(F.col("t")).alias("bg")).collect()}
+    for i, s in enumerate(cases):
+        assert got[i] == [s[j:j + 2] for j in range(len(s) - 1)], s
