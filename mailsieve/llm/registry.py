@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op3_merge_replay_bpe
 from .packing import op1_best_fit_packing
+from .pii import op2_pii_checked_spans
 from .repair_files import op4_repair_token_files
+from .secret_scan import op6_assignment_secrets
 
 LLM_QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing,
+    op2_pii_checked_spans,
+    op3_merge_replay_bpe,
     op4_repair_token_files,
+    op6_assignment_secrets,
 )}
 LLM_ORACLES: dict[str, str] = {}
