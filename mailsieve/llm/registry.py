@@ -5,8 +5,10 @@ from __future__ import annotations
 from .byte_bpe import op3_merge_replay_bpe
 from .packing import op1_best_fit_packing
 from .pii import op2_pii_checked_spans
+from .quality import op7_weak_quality_rules
 from .repair_files import op4_repair_token_files
 from .secret_scan import op6_assignment_secrets
+from .toxicity import op8_nearest_toxicity
 
 LLM_QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing,
@@ -14,5 +16,7 @@ LLM_QUERIES = {f.__name__: f for f in (
     op3_merge_replay_bpe,
     op4_repair_token_files,
     op6_assignment_secrets,
+    op7_weak_quality_rules,
+    op8_nearest_toxicity,
 )}
 LLM_ORACLES: dict[str, str] = {}
