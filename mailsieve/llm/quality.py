@@ -4,9 +4,9 @@ Each rule looks at a document's counts and votes good, bad or abstains.  Votes
 of all documents are counted by pattern (at most 3 to the number of rules, so
 the table stays small however many documents there are), and
 expectation-maximisation over these counts estimates how often good documents
-exist and how each rule votes on good and on bad ones.  A document is kept when
-its posterior probability of being good is at least one half, rather than when
-every rule passes.
+and each kind of fault occur and how every rule votes on them.  A document is
+kept when its posterior probability of being good is at least one half, rather
+than when every rule passes.
 
 Edge cases: a null or empty text has no words, gets the votes of an empty text
 and fails the base rule; repeated rows are judged as often as they occur; an
@@ -16,6 +16,8 @@ empty table gives no rows; other columns of the input are kept by
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +28,9 @@ WHITE_CLASS = "[\\x20\\x09-\\x0D]"
 WINDOW = 8  # words of a window that counts as repeated; a power of two
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-STEPS = 12  # rounds of expectation-maximisation at most
-STILL = 1e-4  # change of every estimate that ends the rounds
+SURE = (0.96, 0.03, 0.01)  # a fault's own rule: bad, abstain, good
+STEPS = 8  # rounds of expectation-maximisation at most
+STILL = 1e-3  # change of every estimate that ends the rounds
 SMOOTH = 2.0  # votes of each kind added to each rule's counts, so none is certain
 
 GOOD, ABSTAIN, BAD = 1, 0, -1
@@ -92,51 +95,69 @@ def votes() -> dict[str, Column]:
         "word_length": _vote(~some | (chars < 2 * words) | (chars > 14 * words), some & (chars >= 3 * words) & (chars <= 9 * words)),
         "symbols": _vote(10 * F.col("_n_symbols") > 2 * words, 50 * F.col("_n_symbols") <= words),
         "repeats": _vote(100 * F.col("_n_repeat_words") > 20 * words, 100 * F.col("_n_repeat_words") <= 2 * words),
-        "lines": _vote((F.col("_n_lines") >= 3) & (10 * F.col("_n_dup_lines") >= 3 * F.col("_n_lines")), F.col("_n_dup_lines") == 0),
+        "lines": _vote((F.col("_n_lines") >= 3) & (2 * F.col("_n_dup_lines") >= F.col("_n_lines")), F.col("_n_dup_lines") == 0),
         "variety": _vote((words >= 20) & (100 * F.col("_n_distinct") < 25 * words), some & (10 * F.col("_n_distinct") >= 4 * words)),
         "capitals": _vote(10 * F.col("_n_upper") > 4 * chars, 10 * F.col("_n_upper") <= 2 * chars),
     }
 
 
-def fit(patterns: DataFrame, rules: list[str], steps: int = STEPS) -> tuple[float, dict[str, dict[int, tuple[float, float]]]]:
-    """Share of good documents, and for each rule and vote its probability on good and on bad documents.
+class Estimates(NamedTuple):
+    """Shares of the kinds of document, and how each kind is voted on: tables[kind][rule] has (bad, abstain, good)."""
+
+    shares: dict[str, float]
+    tables: dict[str, dict[str, tuple[float, float, float]]]
+
+    def likelihood(self, kind: str) -> Column:
+        """Share of a kind times the probability of a document's votes in it."""
+        out = F.lit(self.shares[kind])
+        for rule, table_ in self.tables[kind].items():
+            out = out * F.element_at(F.array(*[F.lit(p) for p in table_]), F.col(rule).cast("int") + 2)
+        return out
+
+
+def first_estimates(rules: list[str]) -> Estimates:
+    """Good documents, and one kind per rule whose fault it looks for: rules seldom object without reason."""
+    usual = (0.01, 0.1, 0.89)
+    return Estimates({"good": 0.8} | {r: 0.2 / len(rules) for r in rules},
+                     {k: {r: SURE if r == k else usual for r in rules} for k in ("good", *rules)})
+
+
+def fit(patterns: DataFrame, rules: list[str], steps: int = STEPS) -> Estimates:
+    """Expectation-maximisation over the votes.
 
     `patterns` has a column per rule and the number `n` of documents with these
-    votes.  Every round is one aggregation of this table; the first estimates
-    say that rules seldom object to a good document, and that a good vote says
-    little, as each rule looks at one fault of many.
+    votes.  A document is good or has one of the faults; a fault's own rule is
+    sure of it, everything else is estimated.  Every round is one aggregation
+    of this table.
     """
-    prior = 0.8
-    table_ = {r: {GOOD: (0.5, 0.42), ABSTAIN: (0.49, 0.33), BAD: (0.01, 0.25)} for r in rules}
+    now = first_estimates(rules)
+    kinds = list(now.shares)
     for _ in range(steps):
-        weighed = patterns.withColumn("_p", posterior(prior, table_))
-        cells = [(r, v) for r in rules for v in (GOOD, ABSTAIN, BAD)]
-        row = weighed.agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("n") * F.col("_p")), F.lit(0.0)).alias("g"),
-            *[F.coalesce(F.sum(F.when(F.col(r) == v, F.col("n") * F.col("_p"))), F.lit(0.0)).alias(f"g_{r}_{v}") for r, v in cells],
-            *[F.coalesce(F.sum(F.when(F.col(r) == v, F.col("n") * (1 - F.col("_p")))), F.lit(0.0)).alias(f"b_{r}_{v}") for r, v in cells],
-        ).first()
-        good, bad = row["g"], row["n"] - row["g"]
-        fresh_prior = (good + SMOOTH) / (row["n"] + 2 * SMOOTH)
-        fresh = {r: {v: ((row[f"g_{r}_{v}"] + SMOOTH) / (good + 3 * SMOOTH), (row[f"b_{r}_{v}"] + SMOOTH) / (bad + 3 * SMOOTH))
-                     for v in (GOOD, ABSTAIN, BAD)} for r in rules}
-        moved = max([abs(fresh_prior - prior)] + [abs(fresh[r][v][k] - table_[r][v][k]) for r, v in cells for k in (0, 1)])
-        prior, table_ = fresh_prior, fresh
+        weighed = patterns.withColumns({f"_l{i}": now.likelihood(k) for i, k in enumerate(kinds)})
+        total = sum((F.col(f"_l{i}") for i in range(1, len(kinds))), F.col("_l0"))
+        cells = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("vote")) for r in rules])).alias("cell")
+        rows = (weighed.select("n", *[(F.col(f"_l{i}") / total).alias(f"_p{i}") for i in range(len(kinds))], cells)
+                .groupBy("cell.rule", "cell.vote")
+                .agg(*[F.sum(F.col("n") * F.col(f"_p{i}")).alias(f"s{i}") for i in range(len(kinds))]).collect())  # 3 per rule
+        seen = {(r["rule"], r["vote"]): [r[f"s{i}"] for i in range(len(kinds))] for r in rows}
+        of = {k: sum(v[i] for (r, _), v in seen.items() if r == rules[0]) for i, k in enumerate(kinds)}
+        n = sum(of.values())
+        shares = {k: (of[k] + SMOOTH) / (n + SMOOTH * len(kinds)) for k in kinds}
+        tables = {k: {r: SURE if r == k else tuple(
+            (seen.get((r, v), [0.0] * len(kinds))[i] + SMOOTH) / (of[k] + 3 * SMOOTH) for v in (BAD, ABSTAIN, GOOD))
+            for r in rules} for i, k in enumerate(kinds)}
+        moved = max([abs(shares[k] - now.shares[k]) for k in kinds]
+                    + [abs(x - y) for k in kinds for r in rules for x, y in zip(tables[k][r], now.tables[k][r])])
+        now = Estimates(shares, tables)
         if moved < STILL:
             break
-    return prior, table_
+    return now
 
 
-def posterior(prior: float, table_: dict[str, dict[int, tuple[float, float]]]) -> Column:
+def posterior(estimates: Estimates) -> Column:
     """Probability that a document with these votes is good."""
-    import math
-
-    odds = F.lit(math.log(prior / (1 - prior)))
-    for rule, kinds in table_.items():
-        odds = odds + F.when(F.col(rule) == GOOD, math.log(kinds[GOOD][0] / kinds[GOOD][1])) \
-            .when(F.col(rule) == BAD, math.log(kinds[BAD][0] / kinds[BAD][1])) \
-            .otherwise(math.log(kinds[ABSTAIN][0] / kinds[ABSTAIN][1]))
-    return 1 / (1 + F.exp(-odds))
+    good = estimates.likelihood("good")
+    return good / sum((estimates.likelihood(k) for k in estimates.shares if k != "good"), good)
 
 
 def _judged(narrow: DataFrame) -> DataFrame:
@@ -144,9 +165,9 @@ def _judged(narrow: DataFrame) -> DataFrame:
     rules = votes()
     voted = narrow.withColumns({f"_v_{r}": c for r, c in rules.items()})
     names = [f"_v_{r}" for r in rules]
-    prior, table_ = fit(materialize(voted.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "votes"), names)
+    estimates = fit(materialize(voted.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "votes"), names)
     failed = (F.col("_n_words") < MIN_WORDS) | (100 * F.col("_n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_n_words"))
-    return (voted.withColumn("_base_failed", failed).withColumn("_quality", posterior(prior, table_))
+    return (voted.withColumn("_base_failed", failed).withColumn("_quality", posterior(estimates))
             .withColumn("_kept", ~F.col("_base_failed") & (F.col("_quality") >= 0.5)).drop(*names))
 
 
@@ -167,9 +188,9 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     voted = counts(inner).withColumns({f"_v_{r}": c for r, c in rules.items()})
     columns = [f"_v_{r}" for r in rules]
     kept_rows = materialize(voted.drop("text"), "quality-votes")
-    prior, table_ = fit(materialize(kept_rows.groupBy(*columns).agg(F.count("*").alias("n")).coalesce(1), "votes"), columns)
+    estimates = fit(materialize(kept_rows.groupBy(*columns).agg(F.count("*").alias("n")).coalesce(1), "votes"), columns)
     failed = (F.col("_n_words") < MIN_WORDS) | (100 * F.col("_n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_n_words"))
-    kept = kept_rows.filter(~failed & (posterior(prior, table_) >= 0.5))
+    kept = kept_rows.filter(~failed & (posterior(estimates) >= 0.5))
     return kept.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op3_merge_replay_bpe
+from .ngram_join import op5_partition_signature_join
 from .packing import op1_best_fit_packing
 from .pii import op2_pii_checked_spans
 from .quality import op7_weak_quality_rules
@@ -15,6 +16,7 @@ LLM_QUERIES = {f.__name__: f for f in (
     op2_pii_checked_spans,
     op3_merge_replay_bpe,
     op4_repair_token_files,
+    op5_partition_signature_join,
     op6_assignment_secrets,
     op7_weak_quality_rules,
     op8_nearest_toxicity,
