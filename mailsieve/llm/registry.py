@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op3_merge_replay_bpe
+from .embedding_dedup import op9_quantised_embedding_dedup
 from .ngram_join import op5_partition_signature_join
 from .packing import op1_best_fit_packing
 from .pii import op2_pii_checked_spans
@@ -20,5 +21,6 @@ LLM_QUERIES = {f.__name__: f for f in (
     op6_assignment_secrets,
     op7_weak_quality_rules,
     op8_nearest_toxicity,
+    op9_quantised_embedding_dedup,
 )}
 LLM_ORACLES: dict[str, str] = {}
