@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op3_merge_replay_bpe
+from .context_tree import op10_context_tree_scores
 from .embedding_dedup import op9_quantised_embedding_dedup
 from .ngram_join import op5_partition_signature_join
 from .packing import op1_best_fit_packing
@@ -22,5 +23,6 @@ LLM_QUERIES = {f.__name__: f for f in (
     op7_weak_quality_rules,
     op8_nearest_toxicity,
     op9_quantised_embedding_dedup,
+    op10_context_tree_scores,
 )}
 LLM_ORACLES: dict[str, str] = {}
