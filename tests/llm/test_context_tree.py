@@ -103,13 +103,13 @@ def test_next_byte_probabilities_sum_to_one():
     every = context + np.arange(256, dtype=np.uint64)
     union = np.unique(np.concatenate((keys, every)))
     n = C._with_training(union, keys, counts)
-    upper = C.Upper(*C.subtree_sums(*zip_groups(union, n)))
+    upper = C.Upper(*C.subtree_sums(union, n))
     p = 10 ** C.log_probabilities(union, n, upper)
     assert p[np.searchsorted(union, every)].sum() == pytest.approx(1.0)
 
 
-def zip_groups(keys, counts):
-    return keys, counts
+
+
 
 
 def test_empty_table_and_null_id(spark):
