@@ -8,10 +8,10 @@ are reproduced with `PY_SPACE`.
 
 from __future__ import annotations
 
-import pandas as pd
+import html.entities
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from .. import constants as K
 
@@ -28,32 +28,76 @@ CONTROL_EXCEPT_NL = r"[\x00-\x09\x0b-\x1f\x7f-\x{9f}\p{Cf}]"
 # processing instructions, and tags.  One left-to-right pass: at each '<'
 # the first alternative that matches wins, so a comment-like string inside
 # a script is script text and a script inside a comment is comment text.
-HTML_DROP = (r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-             r"|<template\b.*?</template\s*>|<![a-z][^>]*>|<\?[^>]*>|</?[a-z][^>]*>")
-# Named and numeric entities decoded by the HTML parser; '&amp;' last.
-HTML_ENTITIES = [
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-    ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
-]
-
-# Token classes: CJK ideograph runs, Latin-script words, ASCII digit runs.
-CJK_CLASS = r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}"
-TOKEN_PATTERN = rf"[{CJK_CLASS}]+|[a-z\x{{df}}-\x{{24f}}]+|[0-9]+"
-CJK_RUN = rf"^[{CJK_CLASS}]+$"
-# Tokens are homogeneous runs and every non-CJK token class lies below
-# U+3400, so "is a CJK run" is a string comparison (UTF-8 keeps code-point order).
-CJK_FIRST = "\u3400"
+# Comments and raw-text elements also end where the text ends.  The pass is
+# given the text up to its last '>' only, so a tag that begins there ends
+# there too and the pass is linear.
+HTML_DROP = (r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+             r"|<template\b.*?(?:</template\s*>|\z)|<![a-z][^>]*>|<\?[^>]*>|</?[a-z][^>]*>")
+HTML_HEAD = r"(?s)^(.*>)"
+OPEN_COMMENT = r"(?s)<!--.*"
+HEAD_END = "\x01"  # follows the head; an element that is still open takes it along
+
+# Character references: names with their semicolon, the older ones also
+# without it, and numbers.  The table is the HTML standard's, from the
+# standard library; numbers in the range of C1 controls mean Windows-1252.
+_NAMED = {k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")}
+_BARE = sorted((k for k in html.entities.html5 if not k.endswith(";")), key=len, reverse=True)
+REFERENCE = (r"^(?:#([0-9]+);?|#[xX]([0-9a-fA-F]+);?|([A-Za-z][A-Za-z0-9]*);|(" + "|".join(_BARE) + "))")
+_WINDOWS = {c: bytes([c]).decode("cp1252") for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+# Token classes: runs of a script written without spaces (ideographs, kana,
+# Thai, Lao, Myanmar, Khmer), words of any other script, digit runs.
+UNSPACED = (r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{3040}-\x{30ff}"
+            r"\x{0e00}-\x{0eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}")
+UNSPACED_RUN = rf"([{UNSPACED}]+)"
+TOKEN_PATTERN = rf"[{UNSPACED}]+|[\p{{L}}\p{{M}}]+|\p{{Nd}}+"
 
 
 def html_to_text(c: Column) -> Column:
     """Text of an HTML fragment: markup removed without separators,
-    non-text elements dropped, entities decoded.  Text without '<' / '&'
-    skips the regex / replace work."""
-    c = F.when(c.contains("<"), F.regexp_replace(c, HTML_DROP, "")).otherwise(c)
-    decoded = c
-    for entity, char in HTML_ENTITIES:
-        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
-    return F.when(c.contains("&"), decoded).otherwise(c)
+    non-text elements dropped, character references decoded.  Text without
+    '<' / '&' skips the work."""
+    head = F.regexp_extract(c, HTML_HEAD, 1)
+    tail = F.regexp_replace(F.substr(c, F.length(head) + 1), OPEN_COMMENT, "")
+    kept = F.regexp_replace(F.concat(head, F.lit(HEAD_END)), HTML_DROP, "")
+    closed = kept.endswith(HEAD_END)
+    without = F.when(closed, F.concat(F.substr(kept, F.lit(1), F.length(kept) - 1), tail)).otherwise(kept)
+    c = F.when(c.contains("<"), without).otherwise(c)
+    return F.when(c.contains("&"), decode_references(c)).otherwise(c)
+
+
+def decode_references(c: Column) -> Column:
+    """Named and numeric character references of a string, as HTML decodes
+    them: split at '&', each piece begins with a reference or keeps its '&'."""
+    names = F.create_map(*[F.lit(x) for pair in _NAMED.items() for x in pair])
+    windows = F.create_map(*[F.lit(x) for pair in _WINDOWS.items() for x in pair])
+
+    def group(piece: Column, n: int) -> Column:
+        return F.regexp_extract(piece, REFERENCE, n)
+
+    def number(piece: Column) -> Column:
+        hexadecimal, decimal = F.ltrim(group(piece, 2), F.lit("0")), F.ltrim(group(piece, 1), F.lit("0"))
+        code = (F.when(F.length(hexadecimal) > 6, -1).when(hexadecimal != "", F.conv(hexadecimal, 16, 10).cast("int"))
+                .when(F.length(decimal) > 7, -1).when(decimal != "", decimal.cast("int")).otherwise(0))
+        bad = (code <= 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        mute = (code.between(1, 8) | code.between(14, 31) | code.between(0x7F, 0x9F) | (code == 11) | code.between(0xFDD0, 0xFDEF)
+                | (code.bitwiseAND(0xFFFE) == 0xFFFE))
+        return (F.when(bad, "\ufffd").when(F.element_at(windows, code).isNotNull(), F.element_at(windows, code))
+                .when(mute, "").otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+
+    def decoded(piece: Column) -> Column:
+        whole, named = F.regexp_extract(piece, REFERENCE, 0), group(piece, 3)
+        old = group(piece, 4)
+        bare = F.regexp_extract(piece, "^(" + "|".join(_BARE) + ")", 1)  # a longer name that is unknown may begin with an old one
+        name = F.when(F.element_at(names, named).isNotNull(), named).when(old != "", old).when(bare != "", bare)
+        taken = F.when(F.element_at(names, named).isNotNull(), F.length(whole)).otherwise(F.length(name))
+        return (F.when(piece.startswith("#") & (whole != ""), F.concat(number(piece), F.substr(piece, F.length(whole) + 1)))
+                .when(name.isNotNull(), F.concat(F.element_at(names, name), F.substr(piece, taken + 1)))
+                .otherwise(F.concat(F.lit("&"), piece)))
+
+    pieces = F.split(c, "&")
+    rest = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), decoded)
+    return F.concat(pieces[0], F.array_join(rest, ""))
 
 
 def py_strip(c: Column) -> Column:
@@ -103,11 +147,13 @@ def decode_lenient(b: Column) -> Column:
 
 
 def tokenize(c: Column) -> Column:
-    """Lower-cased tokens: Latin words, digit runs, and overlapping bigrams of
-    CJK runs (a single ideograph stays a token)."""
-    runs = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN_PATTERN), 0)
+    """Lower-cased tokens: words and digit runs of any script, and overlapping
+    bigrams of the runs of scripts written without spaces (a single character
+    stays a token)."""
+    spaced = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), UNSPACED_RUN, " $1 ")
+    runs = F.regexp_extract_all(spaced, F.lit(TOKEN_PATTERN), 0)
     return F.flatten(F.transform(runs, lambda t: F.when(
-        (t >= F.lit(CJK_FIRST)) & (F.length(t) > 1), char_bigrams(t),
+        t.rlike("^" + UNSPACED_RUN) & (F.length(t) > 1), char_bigrams(t),
     ).otherwise(F.array(t))))
 
 
@@ -128,15 +174,3 @@ def char_bigrams(c: Column) -> Column:
 def format_percent(p: Column) -> Column:
     """'51.23%' style text of a probability (two decimals of a percent)."""
     return F.format_string("%.2f%%", F.round(p * 100, 4))
-
-
-def python_tokenizer(fn):
-    """Wrap a Python tokenizer callable `str -> list[str]` (e.g. a dictionary
-    word segmenter) as an Arrow-batched pandas UDF `string -> array<string>`.
-    The built-in `tokenize` stays the default; this is the optional slow path
-    for users who need their own segmenter."""
-    @F.pandas_udf(ArrayType(StringType()))
-    def _tok(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: list(fn(x)) if x is not None else [])
-
-    return _tok

@@ -71,9 +71,11 @@ def port_text(hi: Column) -> Column:
     )
 
 
-def port_number(pt: Column) -> Column:
-    """Port as BIGINT, null when empty or not a run of ASCII digits."""
-    return F.when(pt.rlike(r"^[0-9]{1,18}$"), pt.try_cast("bigint"))
+def port_digits(pt: Column) -> Column:
+    """Port as text without leading zeros, of any length; null when empty or
+    not a run of ASCII digits."""
+    bare = F.ltrim(pt, F.lit("0"))
+    return F.when(pt.rlike(r"^[0-9]+$"), F.when(bare == "", F.lit("0")).otherwise(bare))
 
 
 def netloc_parse_ok(nl: Column) -> Column:
@@ -96,7 +98,7 @@ def url_parts(url: Column) -> Column:
         url.alias("url"),
         scheme(url).alias("scheme"),
         hostname(hi).alias("domain"),
-        port_number(port_text(hi)).alias("port"),
+        port_digits(port_text(hi)).alias("port"),
     )
 
 
@@ -136,7 +138,7 @@ def _rules(url: Column, sch: Column, domain: Column, port: Column):
         ("term", term.isNotNull(), 1, _fmt(K.REASON_TERM, term)),
         ("depth", labels > 4, 1, _fmt(K.REASON_DEPTH, labels)),
         ("at", url.contains("@"), 4, F.lit(K.REASON_AT)),
-        ("port", port.isNotNull() & (port != 0) & ~port.isin(*K.ALLOWED_PORTS), 1, _fmt(K.REASON_PORT, port)),
+        ("port", port.isNotNull() & (port != "0") & ~port.isin(*map(str, K.ALLOWED_PORTS)), 1, _fmt(K.REASON_PORT, port)),
     ]
 
 

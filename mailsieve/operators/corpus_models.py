@@ -13,8 +13,8 @@ differ from those models, their direction (formulaic text scores lower
 perplexity) is what is kept.
 
 Model tables are bounded by the vocabulary (or alphabet^2), not by the
-number of mails; they are joined with `join_checked`, which broadcasts only
-below a row limit and otherwise shuffles (AQE splits skewed terms).
+number of mails; whether they are broadcast is left to the optimizer's byte
+statistics, and AQE splits skewed terms otherwise.
 Token streams are pre-aggregated to (doc, term, tf) before any join.
 """
 
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
-from ..session import join_checked
 
 
 def doc_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -51,7 +50,7 @@ def tfidf(terms: DataFrame, vocab: DataFrame, id_col: str, n_docs: int) -> DataF
     """(id, term, tf, weight): tf * (ln((1+n)/(1+df)) + 1), L2-normalised per doc."""
     v = vocab.select("term", "term_index",
                      (F.log((F.lit(1.0) + n_docs) / (F.col("df") + 1)) + 1).alias("idf"))
-    x = join_checked(terms, v, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    x = terms.join(v, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return x.select(id_col, "term", "term_index", "tf", F.round(F.col("w") / norm, 6).alias("weight"))
 
@@ -79,7 +78,7 @@ def train_naive_bayes(terms: DataFrame, labels: DataFrame, id_col: str, class_co
 def naive_bayes_sums(terms: DataFrame, model: DataFrame, id_col: str) -> DataFrame:
     """(id, _s): sum of tf * llr over a doc's known terms (docs with no known
     term are absent)."""
-    return join_checked(terms, model, "term").groupBy(id_col).agg(F.sum(F.col("tf") * F.col("llr")).alias("_s"))
+    return terms.join(model, "term").groupBy(id_col).agg(F.sum(F.col("tf") * F.col("llr")).alias("_s"))
 
 
 def sentiment_from_sums(s: Column, prior_logodds: float) -> Column:
@@ -127,7 +126,7 @@ def bigram_mean_logprob(df: DataFrame, id_col: str, text_col: str,
     v = alphabet.agg(F.count_distinct("ch")).first()[0] or 0
     ctx = counts.groupBy("a").agg(F.sum("c_ab").alias("c_a"))
     model = counts.join(ctx, "a").select("bg", F.log((F.col("c_ab") + 1) / (F.col("c_a") + F.lit(v))).alias("lp"))
-    return join_checked(bg, model, "bg").groupBy(id_col).agg(F.avg("lp").alias("_m"))
+    return bg.join(model, "bg").groupBy(id_col).agg(F.avg("lp").alias("_m"))
 
 
 def perplexity_from_mean(m: Column) -> Column:
@@ -192,8 +191,8 @@ class FeatureModels:
     def mean_logprob(self, docs: DataFrame, id_col: str = "mail_id", text_col: str = "body") -> DataFrame:
         """(id, _m) mean smoothed log-probability of each doc's bigrams."""
         bg = char_bigram_rows(docs, id_col, text_col, self.prefix).withColumn("a", F.substring("bg", 1, 1))
-        x = join_checked(bg, self.bigrams, "bg", "left")
-        x = join_checked(x, self.contexts, "a", "left")
+        x = bg.join(self.bigrams, "bg", "left")
+        x = x.join(self.contexts, "a", "left")
         lp = F.log((F.coalesce(F.col("c_ab"), F.lit(0)) + 1)
                    / (F.coalesce(F.col("c_a"), F.lit(0)) + F.lit(self.alphabet)))
         return x.groupBy(id_col).agg(F.avg(lp).alias("_m"))

@@ -6,7 +6,7 @@ A row's rank inside a group is `offset(bucket) + row_number within bucket`:
   order key, or a linear bucket of a dense id);
 * bucket sizes come from one partial-aggregated `groupBy` whose output is
   bounded by groups x buckets; running offsets are a window over that small
-  table and it is joined back with a size-checked broadcast;
+  table and it is joined back (null-safe: a null group value is a group);
 * `row_number` then runs per (group, bucket), so a class holding most of the
   rows is still spread over up to 65,536 tasks instead of one.
 
@@ -17,12 +17,12 @@ produce the same digest, so the oracle can use a plain `row_number`.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import join_checked
-
 HASH_BUCKET_HEX = 4  # 16 bits -> 65,536 buckets per group
 
 
@@ -43,7 +43,9 @@ def ranked(df: DataFrame, group_cols: list[str], order_cols: list[Column], bucke
         F.coalesce(F.sum("_cnt").over(running), F.lit(0)).alias("_offset"),
         F.sum("_cnt").over(whole).alias(size_col),
     )
-    joined = join_checked(b, offsets, keys)
+    # null is a group of its own, so the join is null-safe
+    joined = b.join(offsets.withColumnsRenamed({k: f"_of_{k}" for k in keys}),
+                    reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])).drop(*[f"_of_{k}" for k in keys])
     inner = Window.partitionBy(*keys).orderBy(*order_cols)
     return joined.withColumn(rank_col, F.col("_offset") + F.row_number().over(inner)).drop("_bucket", "_offset")
 

@@ -552,12 +552,12 @@ def q_feature_table(spark, sf_dir):
 
 @query("parse_url_list_text")
 def q_parse_url_list_text(spark, sf_dir):
-    """URL lists stored as Python-style list text, parsed back with from_json."""
+    """URL lists stored as Python-style list text, parsed back item by item."""
     m = FX.mail_table(spark, sf_dir).select("mail_id", U.extract_urls(F.col("raw_body")).alias("urls"))
-    as_text = F.concat(F.lit("["), F.array_join(F.transform("urls", lambda u: F.concat(F.lit("'"), u, F.lit("'"))), ", "),
-                       F.lit("]"))
-    parsed = F.from_json(F.regexp_replace(as_text, "'", '"'), "array<string>")
-    return m.select("mail_id", parsed.alias("p")).select(
+    quoted = F.transform("urls", lambda u: F.when(u.contains("'"), F.concat(F.lit('"'), u, F.lit('"')))
+                         .otherwise(F.concat(F.lit("'"), u, F.lit("'"))))
+    as_text = F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
+    return m.select("mail_id", SF.parse_quoted_list(as_text).alias("p")).select(
         "mail_id", F.size("p").alias("url_count"), F.array_join("p", " ").alias("urls_text"))
 
 
@@ -605,7 +605,7 @@ def q_ingest_skip_report(spark, sf_dir):
     root = written_mailbox(spark, sf_dir)
     index = written_index(spark, sf_dir)
     files = SM.scan_mail_files(spark, root)
-    parsed = SM.parse_messages(files).withColumn("rel_path", F.substring_index("path", "/", -2))
+    parsed = SM.parse_messages(files, carry=("rel_path",))
     return SM.skip_report(index, files, parsed, root)
 
 
@@ -618,10 +618,9 @@ def rendered_mail(spark, sf_dir, multipart=False):
 
 @query("parse_mail_corpus")
 def q_parse_mail_corpus(spark, sf_dir):
-    """Message bytes -> MIME job -> e-mail rows (label joined by id)."""
-    r = rendered_mail(spark, sf_dir)
-    rows = SM.mail_rows(SM.parse_messages(r)).withColumn("mail_id", F.col("path").cast("bigint"))
-    return rows.join(r.select(F.col("path").cast("bigint").alias("mail_id"), "label"), "mail_id").select(
+    """Message bytes -> MIME job -> e-mail rows (the label rides along)."""
+    rows = SM.mail_rows(SM.parse_messages(rendered_mail(spark, sf_dir), carry=("label",)), keep=("label",))
+    return rows.withColumn("mail_id", F.col("path").cast("bigint")).select(
         "mail_id", "subject", "sender", "body", "url_count", F.array_join("urls", " ").alias("urls_text"), "label")
 
 
@@ -633,6 +632,13 @@ def q_mail_part_report(spark, sf_dir):
                       "total_len", "truncated")
 
 
+@query("mail_header_report")
+def q_mail_header_report(spark, sf_dir):
+    rep = SM.header_report(rendered_mail(spark, sf_dir, multipart=True))
+    return rep.select(F.col("path").cast("bigint").alias("mail_id"), F.col("from").alias("sender"),
+                      F.col("to").alias("recipient"), "subject", F.col("date").alias("sent"))
+
+
 @query("decode_lenient")
 def q_decode_lenient(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")

@@ -33,7 +33,7 @@ pp AS (SELECT *, round(least(p_fused + url_boost, 1.0), 6) AS prob FROM pp0)"""
 oracle("extract_urls", f"WITH {MAIL_URLS} SELECT mail_id, pos, url FROM mu")
 
 oracle("url_netloc", f"""WITH {URL_INPUTS},
-n AS (SELECT *, regexp_extract(url, {q(S.U.NETLOC_PATTERN)}, 1) AS netloc FROM ui)
+n AS (SELECT *, regexp_extract(url, {q(S.NETLOC)}, 1) AS netloc FROM ui)
 SELECT src, id, pos, url, netloc,
   CAST(CASE WHEN contains(netloc, '[') <> contains(netloc, ']') THEN 0
        WHEN contains(netloc, '[') AND NOT regexp_matches(regexp_extract(netloc, '\\[([^\\]]*)', 1),
@@ -88,12 +88,12 @@ SELECT m.mail_id, coalesce(pm.report, {q(K.REPORT_NO_LINKS)}) AS url_report FROM
 oracle("url_features", f"""WITH {MAIL_URLS},
 f AS (SELECT mail_id, avg(length(url)) AS l, avg(length(url) - length(replace(url, '.', ''))) AS d,
              max(CASE WHEN contains(url, '@') THEN 1 ELSE 0 END) AS a,
-             max(CASE WHEN regexp_matches(url, {q(S.U.IPV4_ANYWHERE)}) THEN 1 ELSE 0 END) AS ip,
+             max(CASE WHEN regexp_matches(url, {q(S.OCTETS)}) THEN 1 ELSE 0 END) AS ip,
              avg(CASE WHEN contains(nl, '[') <> contains(nl, ']') THEN 0
                       WHEN contains(nl, '[') AND NOT regexp_matches(regexp_extract(nl, '\\[([^\\]]*)', 1),
                            '^([0-9a-fA-F]*:[0-9a-fA-F:.]*|v[0-9a-fA-F]+\\..+)$') THEN 0
                       ELSE length(nl) - length(replace(nl, '.', '')) + 1 END) AS s, count(*) AS c
-      FROM (SELECT *, regexp_extract(url, {q(S.U.NETLOC_PATTERN)}, 1) AS nl FROM mu) GROUP BY mail_id)
+      FROM (SELECT *, regexp_extract(url, {q(S.NETLOC)}, 1) AS nl FROM mu) GROUP BY mail_id)
 SELECT m.mail_id, coalesce(f.l, 0.0) AS avg_url_len, coalesce(f.d, 0.0) AS avg_url_dots,
        CAST(coalesce(f.a, 0) AS INTEGER) AS has_at_symbol, CAST(coalesce(f.ip, 0) AS INTEGER) AS has_ip_url,
        coalesce(f.s, 0.0) AS avg_subdomains, CAST(coalesce(f.c, 0) AS INTEGER) AS url_count
@@ -347,10 +347,10 @@ uf AS (SELECT mail_id, {S.extract_urls('raw_body')} AS urls FROM mail),
 ue AS (SELECT mail_id, unnest(urls) AS url FROM uf),
 f AS (SELECT mail_id, avg(length(url)) AS l, avg(length(url) - length(replace(url, '.', ''))) AS d,
              max(CASE WHEN contains(url, '@') THEN 1 ELSE 0 END) AS a,
-             max(CASE WHEN regexp_matches(url, {q(S.U.IPV4_ANYWHERE)}) THEN 1 ELSE 0 END) AS ip,
+             max(CASE WHEN regexp_matches(url, {q(S.OCTETS)}) THEN 1 ELSE 0 END) AS ip,
              avg(CASE WHEN contains(nl, '[') <> contains(nl, ']') THEN 0
                       ELSE length(nl) - length(replace(nl, '.', '')) + 1 END) AS s, count(*) AS c
-      FROM (SELECT *, regexp_extract(url, {q(S.U.NETLOC_PATTERN)}, 1) AS nl FROM ue) GROUP BY mail_id)
+      FROM (SELECT *, regexp_extract(url, {q(S.NETLOC)}, 1) AS nl FROM ue) GROUP BY mail_id)
 SELECT me.mail_id, me.label, sent.sentiment, {S.keyword_density('me.body')} AS subjectivity,
        coalesce(f.l, 0.0) AS avg_url_len, coalesce(f.d, 0.0) AS avg_url_dots,
        CAST(coalesce(f.a, 0) AS INTEGER) AS has_at_symbol, CAST(coalesce(f.ip, 0) AS INTEGER) AS has_ip_url,
@@ -390,6 +390,8 @@ SELECT mail_id, 1 AS part_no, 'text/plain' AS content_type, substring(raw_body,
        CAST(length(raw_body) AS INTEGER) AS total_len, CAST(length(raw_body) > 3000 AS INTEGER) AS truncated FROM mail
 UNION ALL SELECT mail_id, 2, 'text/html', substring({_HT}, 1, 3000), CAST(length({_HT}) AS INTEGER),
        CAST(length({_HT}) > 3000 AS INTEGER) FROM mail""")
+oracle("mail_header_report", f"""WITH {MAIL}
+SELECT mail_id, sender, 'N/A' AS recipient, coalesce(subject, 'N/A') AS subject, 'N/A' AS sent FROM mail""")
 oracle("decode_lenient", "SELECT doc_id, text || ' tail' AS text FROM documents")
 oracle("scan_fraud_tsv", f"WITH {FRAUD} SELECT label_id, body FROM fr")
 oracle("scan_csv_roundtrip", f"""WITH {MAIL_EMAIL}, uf AS (SELECT mail_id, {S.extract_urls('raw_body')} AS urls FROM mail)

@@ -1,4 +1,4 @@
-"""Session helpers: building a session, shared scratch space, checked broadcasts."""
+"""Session helpers: building a session, shared scratch space."""
 
 from __future__ import annotations
 
@@ -7,10 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Largest number of rows a side may have to be broadcast by `join_checked`.
-BROADCAST_ROW_LIMIT = 1_000_000
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "mailsieve") -> SparkSession:
@@ -44,8 +40,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     It is read from the session (`spark.checkpoint.dir` or the context's
-    checkpoint dir).  Only when neither is set - a local test - a folder under
-    the system temp dir is created and registered.
+    checkpoint dir).  Only when neither is set and the master is local - a
+    test - a folder under the system temp dir is created and registered; on a
+    cluster that is an error, as executors would not see the driver's folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -53,6 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="mailsieve-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -64,23 +63,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/mailsieve-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a `file:` scheme (for Python code that opens local test files)."""
-    return path[5:] if path.startswith("file:") else path
-
-
-def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
-                 row_limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Join `big` with `small`, broadcasting `small` only when its row count
-    is proven to be under `row_limit`; otherwise a shuffle join (AQE splits
-    skewed partitions)."""
-    small = small.persist()
-    n = small.count()
-    if n <= row_limit:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet below the shared checkpoint folder and read it
     back: later actions reuse it and its lineage is cut (a lost executor

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -72,3 +72,12 @@ def ingest_llm_replies(replies: DataFrame, content_col: str = "content", keys=("
         F.coalesce("o.type", F.lit("unknown")).alias("phish_type"),
         F.coalesce("o.tone", F.lit("unknown")).alias("tone"), F.lit("ai_generated").alias("source"),
     )
+
+
+def parse_quoted_list(c: Column) -> Column:
+    """Items of list text such as ['a', "it's"]: each item is read between its
+    own quotes (single or double), so the other kind may stand inside it; a
+    backslash takes the next character as it is.  Null stays null."""
+    items = F.regexp_extract_all(c, F.lit(r"""'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)\""""), F.lit(0))
+    inner = F.transform(items, lambda i: F.regexp_replace(i.substr(F.lit(2), F.length(i) - 2), r"\\(.)", "$1"))
+    return F.when(c.isNotNull(), inner)

@@ -44,3 +44,11 @@ def test_split_and_sample_sizes(spark):
     assert {r.label: r["count"] for r in s} == {0: 200, 1: min(200, n1)}
     seeds = RK.sample_fraction_seeds(m.select("mail_id"), "mail_id").groupBy("seed").count().collect()
     assert all(r["count"] == round(0.2 * n) for r in seeds) and len(seeds) == 5
+
+
+def test_rows_of_a_null_group_stay(spark):
+    df = spark.createDataFrame([(1, 0), (2, 1), (3, None), (4, None)], "id long, label int")
+    assert {r.id for r in RK.split_flag(df, "id", 0.2, 42, "label").collect()} == {1, 2, 3, 4}
+    folds = {r.id: r.fold for r in RK.contiguous_folds(df, "id", "label", 2).collect()}
+    assert folds == {1: 0, 2: 0, 3: 0, 4: 1}
+    assert RK.sample_exact_n(df, "id", 1, 42, ["label"]).count() == 3

@@ -65,12 +65,6 @@ def test_format_percent(spark):
     assert s == "51.23%"
 
 
-def test_python_tokenizer_hook(spark):
-    tok = T.python_tokenizer(lambda s: s.lower().split())
-    (toks,), = spark.createDataFrame([("Verify YOUR account",)], "s string").select(tok(F.col("s"))).collect()
-    assert toks == ["verify", "your", "account"]
-
-
 def test_char_bigrams_are_code_point_pairs(spark):
     from pyspark.sql import functions as F
     from mailsieve.functions import text as T
@@ -79,3 +73,35 @@ def test_char_bigrams_are_code_point_pairs(spark):
     got = {r.id: r.bg for r in df.select("id", T.char_bigrams(F.col("t")).alias("bg")).collect()}
     for i, s in enumerate(cases):
         assert got[i] == [s[j:j + 2] for j in range(len(s) - 1)], s
+
+
+SCRIPTS = "Привет мир, カタカナです 한국어 مرحبا ไทย hello 验证码 42 ٣"
+
+
+def test_tokens_of_all_scripts(spark):
+    (toks,), = spark.createDataFrame([(SCRIPTS,)], "s string").select(T.tokenize(F.col("s"))).collect()
+    assert toks == ["привет", "мир", "カタ", "タカ", "カナ", "ナで", "です", "한국어", "مرحبا", "ไท", "ทย", "hello", "验证", "证码", "42", "٣"]
+
+
+def test_references_decode_as_the_standard_library_does(spark):
+    import html
+
+    texts = ["&#39564;&#35777;&hellip;&eacute;&#x9a8c;&#xA0;", "&notin; &notit; &not; &ampx &amp;lt; &copy2 &unknown; &; & &#; &#x; a&",
+             "&#0; &#x80; &#150; &#xD800; &#1114112; &#99999999999999; &#xFFFFFFFFFF; &#1; &#x1F600; &#xFDD0; &#13;", "&NotEqualTilde; &AMP &lt&gt"]
+    got = spark.createDataFrame([(t,) for t in texts], "s string").select(T.decode_references(F.col("s")).alias("t")).collect()
+    assert [r.t for r in got] == [html.unescape(t) for t in texts]
+
+
+def test_open_elements_end_with_the_text(spark):
+    cases = {"a<script>b < c": "a", "a<!-- b <i>c": "a", "a<style>x</style >b<template>c": "ab", "x<b>y</b> <!-- z": "xy ", "1 < 2 <i>3</i> <u": "1 < 2 3 <u"}
+    got = spark.createDataFrame([(t,) for t in cases], "s string").select("s", T.html_to_text(F.col("s")).alias("t")).collect()
+    assert {r.s: r.t for r in got} == cases
+
+
+def test_hostile_markup_is_linear(spark):
+    import time
+
+    frame = spark.createDataFrame([("<a" * 500_000,), ("<!--" * 250_000,), ("<script" * 150_000 + ">",)], "s string")
+    start = time.perf_counter()
+    lengths = [r.n for r in frame.select(F.length(T.html_to_text(F.col("s"))).alias("n")).collect()]
+    assert lengths[0] == 1_000_000 and lengths[1:] == [0, 0] and time.perf_counter() - start < 30

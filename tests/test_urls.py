@@ -10,6 +10,10 @@ EXTRA = [
     ("https://h.example.com:abc/", 0, "safe"),        # non-numeric port -> no port
     ("https://h.example.com:70000/", 1, "low"),       # port above 65535 -> abnormal
     ("https://h.example.com:0/", 0, "safe"),          # port 0 is falsy
+    ("https://h.example.com:000443/", 0, "safe"),     # leading zeros of an allowed port
+    ("https://h.example.com:65534/", 1, "low"),
+    ("https://h.example.com:" + "9" * 18 + "/", 1, "low"),
+    ("https://h.example.com:" + "9" * 25 + "/", 1, "low"),
     ("http://[::1]:8080/x.html", 1, "low"),           # bracketed host, allowed port, http
     ("http://[::1]:8080/x", 0, "safe"),               # no '.' anywhere: guarded
     ("http://", 0, "safe"),                           # empty netloc, no '.': guarded
