@@ -172,5 +172,7 @@ def char_bigrams(c: Column) -> Column:
 
 
 def format_percent(p: Column) -> Column:
-    """'51.23%' style text of a probability (two decimals of a percent)."""
-    return F.format_string("%.2f%%", F.round(p * 100, 4))
+    """'51.23%' style text of a probability: two decimals of a percent, from
+    its six decimal places, half up."""
+    hundredths = F.floor((F.round(p * 1_000_000).cast("bigint") + 50) / 100).cast("bigint")
+    return F.concat(F.floor(hundredths / 100).cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"), F.lit("%"))

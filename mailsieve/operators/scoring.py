@@ -64,34 +64,25 @@ def mode_probability(mode: str, p_rf: Column, p_second: Column, w_rf: float = K.
     return fuse(p_rf, p_second, w_rf, w_second)
 
 
-def with_pred_scores(df: DataFrame, id_col: str = "mail_id") -> DataFrame:
-    """Deterministic stand-in model scores derived from the id (PRED)."""
-    i = F.col(id_col)
-    return df.withColumns({
-        "p_rf": (i * 37 % 101).cast("double") / 100.0,
-        "p_second": (i * 53 % 101).cast("double") / 100.0,
-    })
-
-
 def score_mailbox(mails: DataFrame, mode: str = "ENSEMBLE", lexicon=K.LEXICON_FULL35,
                   w_rf: float = K.DEFAULT_RF_WEIGHT, w_second: float = K.DEFAULT_SECOND_WEIGHT,
-                  body_col: str = "raw_body") -> DataFrame:
+                  body_col: str = "raw_body", keep=()) -> DataFrame:
     """One row per mail: URL risks, keyword density, fused and boosted score,
     two-way verdict, three-way band and the URL report.
 
-    `mails` needs mail_id, subject, label, the body column and model scores
+    Columns named in `keep` stay.  `mails` needs mail_id, subject, label, the body column and model scores
     p_rf / p_second.  Narrow plan: URLs are scored inside the row by two
     `transform` passes, so there is no explode, no shuffle and no skew."""
     mode = resolve_mode(mode)
     staged = mails.select(
-        "mail_id", "label", "p_rf", "p_second",
+        *keep, "mail_id", "label", "p_rf", "p_second",
         T.mail_text(F.col("subject"), T.html_to_text(F.col(body_col))).alias("_text"),
         U.url_risks(U.extract_urls(F.col(body_col))).alias("_risks"),
     )
     prob_base = mode_probability(mode, F.col("p_rf"), F.col("p_second"), w_rf, w_second)
     staged = staged.withColumn("keyword_hits", FT.keyword_hits(F.col("_text"), lexicon))
     scored = staged.select(
-        "mail_id", "label", "p_rf", "p_second",
+        *keep, "mail_id", "label", "p_rf", "p_second",
         F.size("_risks").alias("url_count"),
         U.max_risk(F.col("_risks")).alias("url_max_risk"),
         "keyword_hits",
@@ -104,7 +95,7 @@ def score_mailbox(mails: DataFrame, mode: str = "ENSEMBLE", lexicon=K.LEXICON_FU
     scored = scored.withColumn("prob", boosted(F.col("p_mode"), F.col("url_boost")))
     res, lvl = band(F.col("prob"))
     return scored.select(
-        "mail_id", "label", "url_count", "url_max_risk", "keyword_hits", "subjectivity",
+        *keep, "mail_id", "label", "url_count", "url_max_risk", "keyword_hits", "subjectivity",
         "p_rf", "p_second", "p_mode", "url_boost", "prob",
         is_phishing(F.col("prob")).alias("is_phishing"),
         verdict_text(F.col("prob")).alias("verdict"),
@@ -112,3 +103,13 @@ def score_mailbox(mails: DataFrame, mode: str = "ENSEMBLE", lexicon=K.LEXICON_FU
         T.format_percent(F.col("prob")).alias("prob_text"),
         "url_report",
     )
+
+
+def score_parsed(parsed: DataFrame, scorers, mode: str = "ENSEMBLE") -> DataFrame:
+    """Score parsed messages (path, error, mail_id, label, subject, raw_body)
+    with fitted scorers.  A message with an error keeps its row, path and
+    error; its other results are null."""
+    keep = ("path", "error")
+    out = score_mailbox(scorers.score(parsed), mode, keep=keep)
+    known = (*keep, "mail_id", "label")
+    return out.select(*known, *[F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in out.columns if c not in known])

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import bayes as BY
+from ..operators import ranking as RK
 from ..operators import scoring as SC
 from ..sources import fixtures as FX
 
@@ -24,14 +26,24 @@ def query(name: str):
     return deco
 
 
+def split_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MAIL with is_test: a fifth of each class, in hash order."""
+    return RK.split_flag(FX.mail_table(spark, sf_dir), "mail_id", 0.2, 42, "label")
+
+
+def mail_scorers(spark: SparkSession, sf_dir: str) -> BY.MailScorers:
+    """Both scorers, fitted on the training part of MAIL."""
+    return BY.MailScorers.fit(split_mail(spark, sf_dir).filter("is_test = 0"))
+
+
 def scored_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SC.with_pred_scores(FX.mail_table(spark, sf_dir))
+    return mail_scorers(spark, sf_dir).score(FX.mail_table(spark, sf_dir))
 
 
 @query("score_mailbox")
 def q_score_mailbox(spark, sf_dir):
     """Flagship: MAIL -> URLs -> rule risks -> max risk, keyword density,
-    fused PRED scores -> boost -> verdict and band, one row per mail."""
+    fused scores of the two trained scorers -> boost -> verdict and band, one row per mail."""
     return SC.score_mailbox(scored_mail(spark, sf_dir))
 
 
@@ -41,7 +53,6 @@ from ..functions import features as FT  # noqa: E402
 from ..functions import text as T  # noqa: E402
 from ..functions import urls as U  # noqa: E402
 from ..operators import metrics as M  # noqa: E402
-from ..operators import ranking as RK  # noqa: E402
 from ..operators import relational as R  # noqa: E402
 from ..session import materialize, read_table  # noqa: E402
 
@@ -62,8 +73,14 @@ def url_inputs(spark, sf_dir):
 
 
 def pred_table(spark, sf_dir, labelled_only=False):
-    p = FX.pred_scores(spark, sf_dir)
-    return p.filter(F.col("y").isNotNull()) if labelled_only else p
+    """(mail_id, y, p_rf, p_second, url_max_risk); with `labelled_only` the
+    held-out mails that have a label."""
+    m = mail_scorers(spark, sf_dir).score(split_mail(spark, sf_dir))
+    labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("mail_id"), F.col("toxic").cast("int").alias("y"))
+    p = m.join(labels, "mail_id", "left")
+    p = p.filter((F.col("is_test") == 1) & F.col("y").isNotNull()) if labelled_only else p
+    risk = U.max_risk(U.url_risks(U.extract_urls(F.col("raw_body"))))
+    return p.select("mail_id", "y", "p_rf", "p_second", risk.cast("int").alias("url_max_risk"))
 
 
 def pred_long(spark, sf_dir):
@@ -416,8 +433,7 @@ def q_fold_summary(spark, sf_dir):
 
 @query("seed_stability")
 def q_seed_stability(spark, sf_dir):
-    """Five 20% hash samples of held-out (unlabelled-for-training) rows,
-    accuracy/F1 of the fused score per seed, then mean and deviation."""
+    """Five 20% hash samples of the held-out labelled rows, accuracy/F1 of the fused score per seed, then mean and deviation."""
     p = pred_table(spark, sf_dir, True)
     samples = RK.sample_fraction_seeds(p.select("mail_id"), "mail_id")
     preds = pred_long(spark, sf_dir).filter(F.col("model") == "fused")
@@ -455,11 +471,21 @@ def q_mixed_testset(spark, sf_dir):
 
 @query("ablation_report")
 def q_ablation_report(spark, sf_dir):
-    t = SC.with_pred_scores(mixed_testset(spark, sf_dir))
+    """The shape scorer with and without perplexity, fitted on the training
+    mails that are not in the mixed test set, judged on that set."""
+    email = mail_email(spark, sf_dir).select("mail_id", "body")
+    ppl = email.join(CM.bigram_mean_logprob(email, "mail_id", "body"), "mail_id", "left").select(
+        "mail_id", CM.perplexity_from_mean(F.col("_m")).alias("perplexity"))
+    rows = materialize(split_mail(spark, sf_dir).withColumns(BY.text_shape(F.col("raw_body"))).join(ppl, "mail_id")
+                       .select("mail_id", "label", "is_test", "perplexity", *BY.SHAPE), "ablation")
+    mixed = materialize(mixed_testset(spark, sf_dir), "mixed")
+    train = rows.filter("is_test = 0").join(mixed.select("mail_id"), "mail_id", "left_anti")
+    test = mixed.select("mail_id", F.col("label").alias("y")).join(rows.drop("label"), "mail_id")
+    with_ppl, without = (BY.GaussianScorer.fit(train, f) for f in ((*BY.SHAPE, "perplexity"), BY.SHAPE))
     variants = F.array(
-        F.struct(F.lit("full").alias("variant"), SC.is_phishing(F.round(F.col("p_rf"), 6)).alias("pred")),
-        F.struct(F.lit("no_ppl").alias("variant"), SC.is_phishing(F.round(F.col("p_second"), 6)).alias("pred")))
-    long = t.select("mail_id", F.col("label").alias("y"), F.explode(variants).alias("v")).select("mail_id", "y", "v.*")
+        F.struct(F.lit("full").alias("variant"), SC.is_phishing(with_ppl.probability()).alias("pred")),
+        F.struct(F.lit("no_ppl").alias("variant"), SC.is_phishing(without.probability()).alias("pred")))
+    long = test.select("mail_id", "y", F.explode(variants).alias("v")).select("mail_id", "y", "v.*")
     c = M.confusion_counts(long, "y", "pred", ["variant"])
     m = M.binary_metrics(long, "y", "pred", ["variant"]).drop("n")
     return c.join(m, "variant")
@@ -768,8 +794,8 @@ def q_stream_score(spark, sf_dir):
     root = drop_folder(spark, sf_dir)
     labels = FX.mail_table(spark, sf_dir).select("mail_id", "label")
     sink, ckpt = scratch_path(spark, "stream-score-out"), scratch_path(spark, "stream-score-ckpt")
-    ST.run_available_now(ST.scoring_stream(spark, root, labels), sink, ckpt)
-    return spark.read.parquet(sink)
+    ST.run_available_now(ST.scoring_stream(spark, root, labels, mail_scorers(spark, sf_dir)), sink, ckpt)
+    return spark.read.parquet(sink).drop("path", "error")
 
 
 @query("stream_dedup")

@@ -211,9 +211,9 @@ SELECT mail_id, label, CAST(ntile(5) OVER (PARTITION BY label ORDER BY mail_id)
 
 # ---------------------------------------------------------------- metric keys
 PRED_LONG = f"""{S.PRED_CTE},
-pl AS (SELECT mail_id, 'rf' AS model, y, CAST(round(p_rf, 6) > 0.5 AS INTEGER) AS pred FROM pred WHERE y IS NOT NULL
-  UNION ALL SELECT mail_id, 'second', y, CAST(round(p_second, 6) > 0.5 AS INTEGER) FROM pred WHERE y IS NOT NULL
-  UNION ALL SELECT mail_id, 'fused', y, CAST({S.fuse_sql()} > 0.5 AS INTEGER) FROM pred WHERE y IS NOT NULL)"""
+pl AS (SELECT mail_id, 'rf' AS model, y, CAST(round(p_rf, 6) > 0.5 AS INTEGER) AS pred FROM judged
+  UNION ALL SELECT mail_id, 'second', y, CAST(round(p_second, 6) > 0.5 AS INTEGER) FROM judged
+  UNION ALL SELECT mail_id, 'fused', y, CAST({S.fuse_sql()} > 0.5 AS INTEGER) FROM judged)"""
 
 
 def _cm(src: str, group: str) -> str:
@@ -258,7 +258,7 @@ SELECT model, row, round(precision, 6) AS precision, round(recall, 6) AS recall,
        CAST(support AS BIGINT) AS support FROM rows""")
 
 FOLD_METRICS = f"""{PRED_LONG},
-folds AS (SELECT mail_id, CAST(({_hrank('mail_id', "'42'", 'y')} - 1) % 5 AS INTEGER) AS fold FROM pred WHERE y IS NOT NULL),
+folds AS (SELECT mail_id, CAST(({_hrank('mail_id', "'42'", 'y')} - 1) % 5 AS INTEGER) AS fold FROM judged),
 plf AS (SELECT pl.*, folds.fold FROM pl JOIN folds ON pl.mail_id = folds.mail_id),
 fm AS ({_metrics(_cm('plf', 'model, fold'), 'model, fold')})"""
 
@@ -276,7 +276,7 @@ def _mean_std(src: str, group: str) -> str:
 
 oracle("fold_summary", f"WITH {FOLD_METRICS} {_mean_std('fm', 'model')}")
 oracle("seed_stability", f"""WITH {PRED_LONG},
-lab AS (SELECT mail_id FROM pred WHERE y IS NOT NULL),
+lab AS (SELECT mail_id FROM judged),
 x AS (SELECT seed, mail_id FROM lab CROSS JOIN (SELECT unnest([100, 101, 102, 103, 104]) AS seed)),
 r AS (SELECT seed, mail_id, {_hrank('mail_id', 'CAST(seed AS VARCHAR)', 'seed')} AS rk, {_cnt('seed')} AS n FROM x),
 s AS (SELECT seed, mail_id FROM r WHERE rk <= round_even(n * 0.2::DOUBLE, 0)),
@@ -294,13 +294,6 @@ hn AS (SELECT mail_id, label, {_hrank('mail_id', "'42'", '')} AS rk2 FROM ht),
 mixed AS (SELECT doc_id AS mail_id, 1 AS label, 'ai' AS origin FROM documents WHERE source = 'src0'
           UNION ALL SELECT mail_id, label, 'normal' FROM hn WHERE rk2 <= 200)"""
 oracle("mixed_testset", f"WITH {MIXED} SELECT * FROM mixed")
-oracle("ablation_report", f"""WITH {MIXED},
-t AS (SELECT mail_id, label AS y, CAST(mail_id * 37 % 101 AS DOUBLE) / 100.0 AS p_rf,
-             CAST(mail_id * 53 % 101 AS DOUBLE) / 100.0 AS p_second FROM mixed),
-long AS (SELECT mail_id, y, 'full' AS variant, CAST(round(p_rf, 6) > 0.5 AS INTEGER) AS pred FROM t
-         UNION ALL SELECT mail_id, y, 'no_ppl', CAST(round(p_second, 6) > 0.5 AS INTEGER) FROM t),
-c AS ({_cm('long', 'variant')})
-SELECT c.*, round({_div('tp + tn', 'n')}, 6) AS accuracy, round({_div('2 * tp', '2 * tp + fp + fn')}, 6) AS f1 FROM c""")
 
 # ---------------------------------------------------------------- corpus model keys
 DT = f"""{MAIL_EMAIL},
@@ -340,6 +333,18 @@ vv AS (SELECT count(DISTINCT ch) AS v FROM (SELECT unnest(regexp_extract_all(t,
 pm AS (SELECT bg, ln((c_ab + 1) / (c_a + v)) AS lp FROM cnt JOIN ctx ON cnt.a = ctx.a CROSS JOIN vv),
 pper AS (SELECT bgr.mail_id, avg(lp) AS m FROM bgr JOIN pm ON bgr.bg = pm.bg GROUP BY bgr.mail_id),
 ppl AS (SELECT me.mail_id, round(coalesce(ln(1 + exp(-m)), 0.0), 6) AS perplexity FROM me LEFT JOIN pper ON me.mail_id = pper.mail_id)"""
+_SHAPE_PPL = [*S.SHAPE_SQL, "perplexity"]
+oracle("ablation_report", f"""WITH {MIXED}, {MAIL_EMAIL.split(MAIL, 1)[1].lstrip(', ' + chr(10))}, {PPL},
+ranked AS (SELECT *, {_hrank('mail_id', "'42'", 'label')} AS rk_split, {_cnt('label')} AS n_split FROM mail),
+shaped AS (SELECT ranked.mail_id, ranked.label, rk_split <= ceil(n_split * 0.2::DOUBLE) AS is_test, perplexity,
+                  {", ".join(f"{e} AS {n}" for n, e in S.SHAPE_SQL.items())} FROM ranked JOIN ppl ON ranked.mail_id = ppl.mail_id),
+gs AS (SELECT {S.gaussian_stats(_SHAPE_PPL)} FROM shaped WHERE NOT is_test AND mail_id NOT IN (SELECT mail_id FROM mixed)),
+t AS (SELECT mixed.mail_id, mixed.label AS y, {S.logistic(S.gaussian_odds(_SHAPE_PPL, 'gs'))} AS p_full,
+             {S.logistic(S.gaussian_odds(S.SHAPE_SQL, 'gs'))} AS p_no FROM mixed JOIN shaped ON mixed.mail_id = shaped.mail_id CROSS JOIN gs),
+long AS (SELECT mail_id, y, 'full' AS variant, CAST(p_full > 0.5 AS INTEGER) AS pred FROM t
+         UNION ALL SELECT mail_id, y, 'no_ppl', CAST(p_no > 0.5 AS INTEGER) FROM t),
+c AS ({_cm('long', 'variant')})
+SELECT c.*, round({_div('tp + tn', 'n')}, 6) AS accuracy, round({_div('2 * tp', '2 * tp + fp + fn')}, 6) AS f1 FROM c""")
 oracle("sentiment_nb", f"WITH {DT}, {NB} SELECT * FROM sent")
 oracle("perplexity_ngram", f"WITH {MAIL_EMAIL}, {PPL} SELECT * FROM ppl")
 oracle("feature_table", f"""WITH {DT}, {NB}, {PPL},

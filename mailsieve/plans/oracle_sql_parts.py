@@ -95,17 +95,54 @@ MAIL_CTE = f"""mail AS (
          d.source || '@' || d.lang || '.example' AS sender,
          d.text || ' ' || {lst(MAIL_KEYWORDS)}[d.doc_id % 36 + 1] || ' ' || {lst(MAIL_URLS)}[d.doc_id % 20 + 1] AS raw_body,
          CAST(coalesce(l.toxic, 0) AS INTEGER) AS label,
-         d.source AS source_dataset, d.lang, d.text, l.quality,
-         CAST(d.doc_id * 37 % 101 AS DOUBLE) / 100.0 AS p_rf,
-         CAST(d.doc_id * 53 % 101 AS DOUBLE) / 100.0 AS p_second
+         d.source AS source_dataset, d.lang, d.text, l.quality, l.toxic
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
-PRED_CTE = """pred AS (
-  SELECT d.doc_id AS mail_id, CAST(l.toxic AS INTEGER) AS y,
-         CAST(d.doc_id * 37 % 101 AS DOUBLE) / 100.0 AS p_rf,
-         CAST(d.doc_id * 53 % 101 AS DOUBLE) / 100.0 AS p_second,
-         CAST(d.doc_id % 9 AS INTEGER) AS url_max_risk
-  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+def _share(pattern: str) -> str:
+    n, body = "length(coalesce(raw_body, ''))", "coalesce(raw_body, '')"
+    return f"({n} - length({rx_replace(body, pattern)})) / CAST(greatest({n}, 1) AS DOUBLE)"
+
+
+SHAPE_SQL = {"log_length": "ln(1 + CAST(length(coalesce(raw_body, '')) AS DOUBLE))", "digits": _share("[0-9]"), "capitals": _share("[A-Z]"),
+             "marks": _share("[!?]"), "spaces": _share(r"[ \n]")}
+
+
+def logistic(odds: str) -> str:
+    return f"round(1 / (1 + exp(-least(greatest({odds}, -500.0), 500.0))), 6)"
+
+
+def gaussian_odds(features, stats: str) -> str:
+    """Log odds of class 1 from columns n0, n1 and m0_f, v0_f, m1_f, v1_f of relation `stats`."""
+    def side(c: int) -> str:
+        terms = [f"ln({stats}.n{c} / CAST({stats}.n0 + {stats}.n1 AS DOUBLE))"]
+        for f in features:
+            v = f"({stats}.v{c}_{f} + 1e-6)"
+            terms.append(f"(-0.5 * ln(2 * pi() * {v}) - power({f} - {stats}.m{c}_{f}, 2) / (2 * {v}))")
+        return " + ".join(terms)
+    return f"(({side(1)}) - ({side(0)}))"
+
+
+def gaussian_stats(features) -> str:
+    cols = [f"count(*) FILTER (label = {c}) AS n{c}" for c in (0, 1)]
+    cols += [f"{fn}({f}) FILTER (label = {c}) AS {name}{c}_{f}"
+             for c in (0, 1) for f in features for name, fn in (("m", "avg"), ("v", "var_pop"))]
+    return ", ".join(cols)
+
+
+SCORED_CTE = f"""{MAIL_CTE},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(mail_id AS VARCHAR) || '|42'), mail_id) AS rk_split,
+                  count(*) OVER (PARTITION BY label) AS n_split FROM mail),
+shaped AS (SELECT *, CAST(rk_split <= ceil(n_split * 0.2::DOUBLE) AS INTEGER) AS is_test,
+                  {", ".join(f"{e} AS {n}" for n, e in SHAPE_SQL.items())} FROM ranked),
+gs AS (SELECT {gaussian_stats(SHAPE_SQL)} FROM shaped WHERE is_test = 0),
+words AS (SELECT mail_id, label, is_test, unnest(list_distinct({tokenize('raw_body')})) AS term FROM shaped),
+held_words AS (SELECT term, count(*) FILTER (label = 1) AS n1, count(*) FILTER (label = 0) AS n0 FROM words WHERE is_test = 0 GROUP BY term),
+odds AS (SELECT term, ln((h.n1 + 1) / (gs.n1 + 2.0)) - ln((h.n0 + 1) / (gs.n0 + 2.0)) AS w, h.n1 + h.n0 AS n FROM held_words h CROSS JOIN gs),
+telling AS (SELECT term, w FROM odds ORDER BY round(abs(w) * n, 6) DESC, term LIMIT 200),
+word_sum AS (SELECT mail_id, sum(w) AS w FROM words JOIN telling USING (term) GROUP BY mail_id),
+smail AS (SELECT shaped.* EXCLUDE (rk_split, n_split), {logistic(gaussian_odds(SHAPE_SQL, 'gs'))} AS p_rf,
+                 {logistic('(ln(gs.n1 / CAST(gs.n0 AS DOUBLE)) + coalesce(word_sum.w, 0.0))')} AS p_second
+          FROM shaped CROSS JOIN gs LEFT JOIN word_sum ON shaped.mail_id = word_sum.mail_id)"""
 
 
 def url_parts_ctes(src: str, url_col: str = "url", prefix: str = "u") -> str:
@@ -180,6 +217,15 @@ def url_parts_ctes(src: str, url_col: str = "url", prefix: str = "u") -> str:
   FROM {prefix}_risk)"""
 
 
+PRED_CTE = f"""{SCORED_CTE},
+wu AS (SELECT mail_id, unnest({extract_urls('raw_body')}) AS url FROM mail),
+{url_parts_ctes('wu', prefix='w')},
+wr AS (SELECT mail_id, max(risk_score) AS mx FROM w_lv GROUP BY mail_id),
+pred AS (SELECT smail.mail_id, CAST(toxic AS INTEGER) AS y, p_rf, p_second, CAST(coalesce(wr.mx, 0) AS INTEGER) AS url_max_risk, is_test
+         FROM smail LEFT JOIN wr ON smail.mail_id = wr.mail_id),
+judged AS (SELECT * FROM pred WHERE y IS NOT NULL AND is_test = 1)"""
+
+
 def report_block(prefix_rel: str = "") -> str:
     icon = "CASE risk_level " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in K.LEVEL_ICONS.items()) + " END"
     return (f"({icon} || ' [' || risk_level || '] ' || substring(url, 1, {K.URL_REPORT_WIDTH}) || "
@@ -204,7 +250,8 @@ def verdict_sql(p: str) -> str:
 
 
 def percent_sql(p: str) -> str:
-    return f"printf('%.2f%%', round({p} * 100, 4))"
+    hundredths = f"((CAST(round({p} * 1000000) AS BIGINT) + 50) // 100)"
+    return f"({hundredths} // 100) || '.' || lpad(CAST({hundredths} % 100 AS VARCHAR), 2, '0') || '%'"
 
 
 def fuse_sql(a: str = "p_rf", b: str = "p_second", wa: float = K.DEFAULT_RF_WEIGHT,
@@ -212,14 +259,14 @@ def fuse_sql(a: str = "p_rf", b: str = "p_second", wa: float = K.DEFAULT_RF_WEIG
     return f"round(CAST({wa} AS DOUBLE) * {a} + CAST({wb} AS DOUBLE) * {b}, 6)"
 
 
-def score_mailbox_sql(mode: str = "ENSEMBLE", body: str = "raw_body", mail_cte: str = MAIL_CTE) -> str:
+def score_mailbox_sql(mode: str = "ENSEMBLE", body: str = "raw_body", mail_cte: str = SCORED_CTE) -> str:
     p_mode = {"RF": "round(p_rf, 6)", "BERT": "round(p_second, 6)", "ENSEMBLE": fuse_sql()}[mode]
     res, lvl = band_sql("prob")
     return f"""WITH {mail_cte},
 staged AS (
   SELECT mail_id, label, p_rf, p_second, concat_ws(' ', subject, {html_to_text(body)}) AS _text,
          {extract_urls(body)} AS urls
-  FROM mail),
+  FROM smail),
 uu AS (SELECT mail_id, unnest(urls) AS url, generate_subscripts(urls, 1) AS pos FROM staged),
 {url_parts_ctes('uu')},
 per_mail AS (

@@ -30,7 +30,7 @@ def main(argv=None) -> None:
     args = ap.parse_args(argv)
 
     from .operators import detection as D
-    from .session import build_session
+    from .session import build_session, materialize
     from .sources import mail as SM
     spark = build_session()
     if args.cmd == "train":
@@ -40,10 +40,11 @@ def main(argv=None) -> None:
         print(f"saved detector to {args.out}")
         return
     files = SM.scan_mail_files(spark, args.folder)
-    parsed = SM.parse_messages(files).filter(F.col("error").isNull())
-    mails = parsed.select(F.col("path"), F.xxhash64("path").alias("mail_id"), "subject", "raw_body")
-    out = D.score_mails(mails.drop("path"), D.Detector.load(spark, args.models), args.mode)
-    out = out.join(mails.select("mail_id", "path"), "mail_id")
+    parsed = materialize(SM.parse_messages(files), "parsed")  # read several times below
+    mails = parsed.filter(F.col("error").isNull()).select(F.col("path").alias("mail_id"), "subject", "raw_body")
+    out = D.score_mails(mails, D.Detector.load(spark, args.models), args.mode).withColumnRenamed("mail_id", "path")
+    failed = parsed.filter(F.col("error").isNotNull()).select("path", "error")
+    out = out.unionByName(failed, allowMissingColumns=True)  # a message that cannot be read has a row too
     out.write.mode("overwrite").parquet(args.out)
     res = spark.read.parquet(args.out)
     print(res.groupBy("level").count().orderBy("level").collect())

@@ -4,8 +4,6 @@ MAIL: one mail per document.  The body is the document text, a space, a
 lexicon word chosen by `doc_id % 36` (36th choice: none), a space and a URL
 chosen by `doc_id % 20` (URLFIX, then none twice).  The subject is missing for
 every 11th document.  The label is `labels.toxic` (0 where unlabelled).
-
-PRED: deterministic model scores per document for fusion and metrics.
 """
 
 from __future__ import annotations
@@ -66,21 +64,6 @@ def mail_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pred_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """mail_id, y (toxic, null when unlabelled), p_rf, p_second, url_max_risk."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id")
-    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    d = docs.join(labels, "doc_id", "left")
-    mid = F.col("doc_id")
-    return d.select(
-        mid.alias("mail_id"),
-        F.col("toxic").cast("int").alias("y"),
-        ((mid * 37 % 101).cast("double") / 100.0).alias("p_rf"),
-        ((mid * 53 % 101).cast("double") / 100.0).alias("p_second"),
-        (mid % 9).cast("int").alias("url_max_risk"),
-    )
-
-
 def render_message(subject: Column, sender: Column, body: Column) -> Column:
     """RFC 822 bytes of a single-part UTF-8 text message."""
     head = F.concat(
