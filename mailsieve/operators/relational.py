@@ -53,8 +53,9 @@ def dedup_keep_first(df: DataFrame, key_col: str = "body", order_cols=("source_r
     `row_number() == 1` lets Catalyst insert a partial WindowGroupLimit
     before the shuffle: each map task forwards at most one row per key, so a
     key holding a third of the rows (e.g. 'Empty_Body') costs one row per
-    task in the exchange."""
-    w = Window.partitionBy(key_col).orderBy(*[F.col(c) for c in order_cols])
+    task in the exchange.  The key that travels and is sorted is the text's
+    SHA-256, not the text."""
+    w = Window.partitionBy(F.sha2(F.col(key_col).cast("string"), 256)).orderBy(*[F.col(c) for c in order_cols])
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
@@ -68,8 +69,8 @@ def label_counts(df: DataFrame, label_col: str = "label", group_cols=()) -> Data
 
 def dedup_report(df: DataFrame, key_col: str = "body") -> DataFrame:
     """Rows before, distinct keys after, removed: one partial-aggregated
-    count per key, then a global sum/count over the per-key rows."""
-    per_key = df.groupBy(key_col).agg(F.count(F.lit(1)).alias("_c"))
+    count per key (its SHA-256), then a global sum/count over the per-key rows."""
+    per_key = df.groupBy(F.sha2(F.col(key_col).cast("string"), 256).alias("_key")).agg(F.count(F.lit(1)).alias("_c"))
     return per_key.agg(F.sum("_c").cast("bigint").alias("n_before"), F.count(F.lit(1)).alias("n_after")) \
         .withColumn("n_removed", F.col("n_before") - F.col("n_after"))
 
