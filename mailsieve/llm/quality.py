@@ -29,9 +29,10 @@ WINDOW = 8  # words of a window that counts as repeated; a power of two
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SURE = (0.96, 0.03, 0.01)  # a fault's own rule: bad, abstain, good
+FALSE_ALARM = 0.01  # a rule's objections to good documents
 STEPS = 8  # rounds of expectation-maximisation at most
 STILL = 1e-3  # change of every estimate that ends the rounds
-SMOOTH = 2.0  # votes of each kind added to each rule's counts, so none is certain
+SMOOTH = 0.1  # votes of each kind added to each rule's counts, so none is certain
 
 GOOD, ABSTAIN, BAD = 1, 0, -1
 
@@ -117,18 +118,29 @@ class Estimates(NamedTuple):
 
 def first_estimates(rules: list[str]) -> Estimates:
     """Good documents, and one kind per rule whose fault it looks for: rules seldom object without reason."""
-    usual = (0.01, 0.1, 0.89)
+    usual = (FALSE_ALARM, 0.1, 0.9 - FALSE_ALARM)
     return Estimates({"good": 0.8} | {r: 0.2 / len(rules) for r in rules},
                      {k: {r: SURE if r == k else usual for r in rules} for k in ("good", *rules)})
 
 
+def _votes_of(kind: str, rule: str, weights: list[float]) -> tuple[float, float, float]:
+    """Probabilities of a kind's votes from their weights; what tells the kinds apart stays as it was given."""
+    if rule == kind:
+        return SURE
+    if kind == "good":
+        bad, (_, abstain, good) = FALSE_ALARM, weights
+        return bad, (1 - bad) * abstain / (abstain + good), (1 - bad) * good / (abstain + good)
+    return tuple(w / sum(weights) for w in weights)
+
+
 def fit(patterns: DataFrame, rules: list[str], steps: int = STEPS) -> Estimates:
     """Expectation-maximisation over the votes.
 
     `patterns` has a column per rule and the number `n` of documents with these
     votes.  A document is good or has one of the faults; a fault's own rule is
-    sure of it, everything else is estimated.  Every round is one aggregation
-    of this table.
+    sure of it and seldom objects to a good document, which tells the kinds
+    apart; everything else is estimated.  Every round is one aggregation of
+    this table.
     """
     now = first_estimates(rules)
     kinds = list(now.shares)
@@ -143,9 +155,8 @@ def fit(patterns: DataFrame, rules: list[str], steps: int = STEPS) -> Estimates:
         of = {k: sum(v[i] for (r, _), v in seen.items() if r == rules[0]) for i, k in enumerate(kinds)}
         n = sum(of.values())
         shares = {k: (of[k] + SMOOTH) / (n + SMOOTH * len(kinds)) for k in kinds}
-        tables = {k: {r: SURE if r == k else tuple(
-            (seen.get((r, v), [0.0] * len(kinds))[i] + SMOOTH) / (of[k] + 3 * SMOOTH) for v in (BAD, ABSTAIN, GOOD))
-            for r in rules} for i, k in enumerate(kinds)}
+        tables = {k: {r: _votes_of(k, r, [seen.get((r, v), [0.0] * len(kinds))[i] + SMOOTH for v in (BAD, ABSTAIN, GOOD)])
+                      for r in rules} for i, k in enumerate(kinds)}
         moved = max([abs(shares[k] - now.shares[k]) for k in kinds]
                     + [abs(x - y) for k in kinds for r in rules for x, y in zip(tables[k][r], now.tables[k][r])])
         now = Estimates(shares, tables)
