@@ -32,7 +32,7 @@ from .common import keep_only, materialize, table
 from .components import components
 
 SAMPLE = 20_000  # vectors that the rotations are learnt on, at most
-ROTATIONS = 3  # codes of each vector, from different starts
+TABLES = 15  # tables at least; as many rotations, from different starts, as give them
 SUBSTRING = 12  # bits of a table's key
 ROUNDS = 30  # rounds of iterative quantisation
 BLOCK = 1024  # vectors of a block of a split cell
@@ -41,33 +41,28 @@ BLOCK = 1024  # vectors of a block of a split cell
 class Codes:
     """Rotations for one vector length, and the tables' keys of vectors."""
 
-    def __init__(self, sample: np.ndarray, rotations: int = ROTATIONS, substring: int = SUBSTRING, seed: int = 7):
+    def __init__(self, sample: np.ndarray, tables: int = TABLES, substring: int = SUBSTRING, seed: int = 7):
         unit = _unit(sample)
-        self.mean = unit.mean(0)
-        centred = unit - self.mean
-        size = centred.shape[1]
-        _, _, axes = np.linalg.svd(centred.T @ centred)
-        axes = axes[:64]  # longer vectors keep their 64 strongest directions
-        bits = len(axes)
-        projected = centred @ axes.T
+        bits = min(64, unit.shape[1])  # longer vectors keep their 64 strongest directions
+        self.substring = min(substring, bits)
         random = np.random.default_rng(seed)
-        self.planes = []
-        for _ in range(rotations):
+        self.planes = []  # (mean, plane); where near copies dominate a sample, codes around their mean part them: every third code has none
+        for k in range(-(-tables // (bits // self.substring))):
+            mean = unit.mean(0) if k % 3 != 1 else np.zeros(unit.shape[1])
+            _, _, axes = np.linalg.svd((unit - mean).T @ (unit - mean))
+            projected = (unit - mean) @ axes[:bits].T
             rotation, _ = np.linalg.qr(random.standard_normal((bits, bits)))
             for _ in range(ROUNDS):  # codes for the rotation, then the rotation for the codes
                 code = np.where(projected @ rotation >= 0, 1.0, -1.0)
                 left, _, right = np.linalg.svd(code.T @ projected)
                 rotation = (left @ right).T
-            self.planes.append(axes.T @ rotation)
-        self.substring = min(substring, bits)
-        self.tables = rotations * max(1, bits // self.substring)
-        assert self.planes[0].shape[0] == size
+            self.planes.append((mean, axes[:bits].T @ rotation))
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
         """Key of each unit vector in each table."""
         weights, out = 1 << np.arange(self.substring), []
-        for plane in self.planes:
-            bit = (unit - self.mean) @ plane >= 0
+        for mean, plane in self.planes:
+            bit = (unit - mean) @ plane >= 0
             for at in range(0, bit.shape[1] - self.substring + 1, self.substring):
                 out.append(bit[:, at:at + self.substring] @ weights)
         return np.stack(out, 1).astype(np.int32)
