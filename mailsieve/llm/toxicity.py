@@ -6,8 +6,8 @@ words whose presence differs between the classes of the sample (chi-square);
 document frequencies come from all documents.  Every document's vector over
 these terms is written once; an inverted index over the examples, in blocks
 with the largest weight of each term per block, finds a document's K nearest
-examples exactly: blocks come in the order of their upper bounds and the search
-ends when no later block can reach the K-th best.  Their votes, weighted by
+examples exactly: blocks of the highest upper bounds are searched first, then
+the others that can still reach the K-th best.  Their votes, weighted by
 cosine and by how many labelled rows an example stands for, give the score.
 
 Edge cases: a null or empty text, or one without any of the terms, gets the
@@ -38,6 +38,7 @@ LEAST_CHI2 = 15.0  # chi-square that makes a word a term
 LEAST_DOCS = 3  # examples that a term occurs in
 K = 15  # nearest examples that vote
 BLOCK = 64  # examples of an index block
+FIRST_BLOCKS = 8  # blocks that are searched before bounds are compared
 DOUBT = 0.5  # weight of the base rate against the cosines of the voters
 EVIDENCE = 3  # voters named in the result
 
@@ -91,28 +92,23 @@ class Index:
             return np.zeros(0, np.int64), np.zeros(0)
         q = np.array([(1 + math.log(vector[t])) * self.idf[t] for t in terms])
         q /= math.sqrt(sum(((1 + math.log(n)) * self.idf[t]) ** 2 for t, n in vector.items()))
-        bound = np.zeros(self.blocks)
-        for t, w in zip(terms, q):
-            blocks, most = self.maxima[t]
-            bound[blocks] += w * most
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
+        bound = np.bincount(np.concatenate([self.maxima[t][0] for t in terms]),
+                            np.concatenate([w * self.maxima[t][1] for t, w in zip(terms, q)]), self.blocks)
+        at = np.concatenate([self.postings[t][0] for t in terms])
+        part = np.concatenate([w * self.postings[t][1] for t, w in zip(terms, q)])
         best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        step = 8
-        for i in range(0, len(order), step):
-            if len(best) == k and bound[order[i]] < best[-1] - 1e-12:
-                break
-            chosen = np.sort(order[i:i + step])
-            found = np.zeros((len(chosen), BLOCK))
-            for t, w in zip(terms, q):
-                at, weight = self.postings[t]
-                a, b = np.searchsorted(at, chosen * BLOCK), np.searchsorted(at, (chosen + 1) * BLOCK)
-                for row, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-                    if x < y:
-                        found[row, at[x:y] - chosen[row] * BLOCK] += w * weight[x:y]
-            rows, columns = np.nonzero(found)
-            best_at, best = self._top(np.concatenate((best_at, chosen[rows] * BLOCK + columns)),
-                                      np.concatenate((best, found[rows, columns])), k)
+        # the blocks of the highest bounds, then all others that can reach the K-th best found there
+        chosen = np.zeros(self.blocks, bool)
+        chosen[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        for blocks in (chosen, None):
+            if blocks is None:
+                blocks = ~chosen & (bound >= (best[-1] - 1e-12 if len(best) == k else 0)) & (bound > 0)
+                if not blocks.any():
+                    break
+            inside = blocks[at // BLOCK]
+            cosine = np.bincount(at[inside], part[inside], self.blocks * BLOCK)
+            found = np.flatnonzero(cosine)
+            best_at, best = self._top(np.concatenate((best_at, found)), np.concatenate((best, cosine[found])), k)
         return best_at, best
 
     def _top(self, at: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -235,7 +231,8 @@ def _scores(frame: DataFrame, index: Index, columns: list[str]) -> DataFrame:
 def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     """doc_id, score and evidence of every document."""
     _, index, vectors = build_index(spark, docs, labels, examples)
-    return _scores(vectors, index, ["doc_id"])
+    # vectors take little room but much time each: spread them over more tasks than their bytes would make
+    return _scores(vectors.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), index, ["doc_id"])
 
 
 def filter_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
