@@ -31,7 +31,8 @@ from .common import keep_only, materialize, table, text_slices
 from .word_ids import encoder
 
 MAGIC = b"RPG1"
-BLOCK_IDS = 1 << 20  # ids that end a block (a block holds whole documents)
+BLOCK_IDS = 1 << 19  # ids that end a block (a block holds whole documents)
+SLICE_CHARS = 2_000_000  # text encoded at once
 LEAST_SAVED = 0.02  # share of the symbols that a round must save to be followed by another
 LEAST_USES = 24  # occurrences that make a pair worth a rule
 MARK_EVERY = 256  # symbols from one mark to the next
@@ -46,15 +47,28 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[at], np.diff(np.append(at, len(values)))
 
 
-def _frequent_pairs(symbols: np.ndarray, most: int) -> np.ndarray:
-    """Keys (left << 32 | right) of the most frequent pairs, best first."""
+def _hashed(pairs: np.ndarray) -> np.ndarray:
+    return (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
+
+
+def _frequent_pairs(symbols: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys (left << 32 | right) of the most frequent pairs, best first; where they occur, and which one each time."""
     pairs = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:].astype(np.uint64)
-    hashed = (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
+    hashed = _hashed(pairs)
     often = np.bincount(hashed, minlength=1 << _HASH_BITS) >= LEAST_USES  # no frequent pair is outside
     keys, uses = _runs(np.sort(pairs[often[hashed]]))
     keep = uses >= LEAST_USES
     keys, uses = keys[keep], uses[keep]
-    return keys[np.lexsort((keys, -uses))[:most]]
+    best = keys[np.lexsort((keys, -uses))[:most]]
+    if not len(best):
+        return best, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    chosen = np.zeros(1 << _HASH_BITS, bool)
+    chosen[_hashed(best)] = True
+    at = np.flatnonzero(chosen[hashed])
+    order = np.argsort(best)
+    found = np.minimum(np.searchsorted(best[order], pairs[at]), len(best) - 1)
+    hit = best[order][found] == pairs[at]
+    return best, at[hit], order[found[hit]]
 
 
 def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
@@ -62,17 +76,9 @@ def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     base = int(ids.max()) + 1 if len(ids) else 0
     symbols, rules, lengths = ids.astype(np.uint32), np.zeros((0, 2), np.uint32), np.zeros(0, np.int64)
     while len(symbols) > 1:
-        best = _frequent_pairs(symbols, max(64, len(symbols) // 512))
+        best, at, rank = _frequent_pairs(symbols, max(64, len(symbols) // 512))
         if not len(best):
             break
-        order = np.argsort(best)
-        pairs = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:].astype(np.uint64)
-        lefts = np.zeros(int(symbols.max()) + 1, bool)
-        lefts[(best >> np.uint64(32)).astype(np.int64)] = True
-        at = np.flatnonzero(lefts[symbols[:-1]])
-        found = np.minimum(np.searchsorted(best[order], pairs[at]), len(best) - 1)
-        hit = best[order][found] == pairs[at]
-        at, rank = at[hit], order[found[hit]]
         # overlapping occurrences: the more frequent pair wins, the earlier one of equals; the rest wait for the next round
         clash = np.diff(at) == 1
         wins = np.ones(len(at), bool)
@@ -183,7 +189,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int = BLO
 
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
-            for at, texts in text_slices(batch, "text"):
+            for at, texts in text_slices(batch, "text", SLICE_CHARS):
                 for doc_id, ids in zip(doc_ids[at:at + len(texts)], encode(texts)):
                     parts += (ids, end)
                     n = len(ids) // 4 + 1

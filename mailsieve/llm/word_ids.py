@@ -2,28 +2,33 @@
 
 The vocabulary files meant here drop white space before the merges, so a text's
 ids are the ids of its white-space separated chunks, one after the other.  The
-encoder keeps the ids of chunks that it has met and gives only unseen ones to
-the library, many in one call.  A vocabulary for which that does not hold is
+encoder keeps the ids of chunks that it has met and gives only unseen ones to the
+library, many in one call.  A vocabulary for which that does not hold is
 refused when the encoder is made.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 
 import numpy as np
 
+# Latin-1 texts whose normal form and case map character by character, and that are split alike here and in the library
+_PLAIN = re.compile("[\t-\r -~\xa1-\xff]*")
+_POINT = re.compile(r"[.,](?<=[^\W_][.,])(?=\s|\Z)")  # after a letter or digit, a point is a piece of its own
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # str.split() splits there, the library does not
-_PLAIN = re.compile("[!-;=-~\xa1-\xff]+")  # no mark that begins a special token; normal forms and case are one to one
-_LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
+_SPECIAL = "<|"  # begins a special token
 _MARK = "\x00"  # stands between chunks of several pieces; never part of a plain chunk
+_TOGETHER = 500  # chunks given to the library as one text
 
 
 class WordIds:
     """Encoder for one vocabulary file; `limit` bounds the chunks it remembers."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 250_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share out the cores; threads here would only hold memory
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -47,45 +52,42 @@ class WordIds:
     def _ids(tokenizer, text: str) -> list[int]:
         return tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, chunks: set[str], out: dict[str, bytes]) -> None:
-        """Put the ids of the chunks into out: 4 bytes an id, little-endian."""
-        bases: dict[str, list[tuple[str, str]]] = {}
-        for chunk in chunks:
-            if not _PLAIN.fullmatch(chunk):
-                out[chunk] = np.array(self._ids(self.whole, chunk), "<u4").tobytes()
-            elif chunk[-1] in ".," and len(chunk) > 1 and chunk[-2].isalpha():
-                bases.setdefault(chunk[:-1].lower(), []).append((chunk, chunk[-1]))
-            else:
-                bases.setdefault(chunk.lower(), []).append((chunk, ""))
-        words, mixed = [], []
-        for base in bases:
-            (words if _LETTERS.fullmatch(base) else mixed).append(base)
-        found: dict[str, bytes] = {}
-        for at in range(0, len(words), 2000):
-            part = words[at:at + 2000]
-            ids = np.array(self._ids(self.plain, " ".join(part)), "<u4")
-            self._cut(part, ids, np.flatnonzero(self.ends[ids]) + 1, 0, found)
-        for at in range(0, len(mixed), 2000):
-            part = mixed[at:at + 2000]
-            ids = np.array(self._ids(self.plain, f" {_MARK} ".join(part) + f" {_MARK}"), "<u4")
-            self._cut(part, ids, np.flatnonzero(ids == self.mark[0]) + 1, 1, found)
-        point = {c: np.array(self._ids(self.plain, c), "<u4").tobytes() for c in ".,"} | {"": b""}
-        for base, uses in bases.items():
-            for chunk, last in uses:
-                out[chunk] = found[base] + point[last]
-
-    @staticmethod
-    def _cut(part: list[str], ids: np.ndarray, ends: np.ndarray, drop: int, found: dict[str, bytes]) -> None:
+    def _learn(self, chunks: set[str]) -> None:
+        """Remember the ids of plain chunks in lower case."""
+        words = [c for c in chunks if c.isalpha()]  # one piece each: their last tokens have the suffix
+        mixed = [c for c in chunks if not c.isalpha()]
+        for part, ids in self._joined(words, " ", ""):
+            self._cut(part, ids, np.flatnonzero(self.ends[ids]) + 1, 0)
+        for part, ids in self._joined(mixed, f" {_MARK} ", f" {_MARK}"):
+            self._cut(part, ids, np.flatnonzero(ids == self.mark[0]) + 1, 1)
+
+    def _joined(self, chunks: list[str], between: str, last: str):
+        parts = [chunks[at:at + _TOGETHER] for at in range(0, len(chunks), _TOGETHER)]
+        for at in range(0, len(parts), 8):
+            some = parts[at:at + 8]
+            for part, found in zip(some, self.plain.encode_batch_fast([between.join(p) + last for p in some], add_special_tokens=False)):
+                yield part, np.array(found.ids, "<u4")
+
+    def _cut(self, part: list[str], ids: np.ndarray, ends: np.ndarray, drop: int) -> None:
         if len(ends) != len(part):
             raise ValueError("the library cut the chunks in another way")
         raw, start = ids.tobytes(), 0
-        for base, end in zip(part, (4 * ends).tolist()):
-            found[base] = raw[start:end - 4 * drop]
+        for chunk, end in zip(part, (4 * ends).tolist()):
+            self.known[chunk] = raw[start:end - 4 * drop]
             start = end
 
+    def _other(self, text: str) -> bytes:
+        """Ids of a text that is not plain, chunk by chunk where that is possible."""
+        if _ODD_SPACE.search(text):
+            return np.array(self._ids(self.whole, text), "<u4").tobytes()
+        chunks = text.split()
+        found = self.whole.encode_batch_fast(list(dict.fromkeys(chunks)), add_special_tokens=False)
+        ids = dict(zip(dict.fromkeys(chunks), (np.array(f.ids, "<u4").tobytes() for f in found)))
+        return b"".join([ids[c] for c in chunks])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, 4 bytes each, little-endian."""
-        split = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
+        split = [_POINT.sub(r" \g<0>", t.lower()).split() if _PLAIN.fullmatch(t) and _SPECIAL not in t else None for t in texts]
         fresh: set[str] = set()
         for chunks in split:
             if chunks:
@@ -94,11 +96,9 @@ class WordIds:
         if len(self.known) + len(fresh) > self.limit:
             fresh.update(*(c for c in split if c))
             self.known = {}
-        self._learn(fresh, self.known)
+        self._learn(fresh)
         ids = self.known.__getitem__
-        return [b"".join(map(ids, chunks)) if chunks is not None
-                else np.array(self._ids(self.whole, text), "<u4").tobytes()
-                for text, chunks in zip(texts, split)]
+        return [self._other(text) if chunks is None else b"".join(map(ids, chunks)) for text, chunks in zip(texts, split)]
 
 
 _ENCODERS: dict[str, WordIds] = {}
