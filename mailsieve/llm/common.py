@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mailsieve.session import materialize, scratch_path
 
-__all__ = ["batches_of", "input_mb", "keep_only", "materialize", "scratch_path", "table", "text_slices"]
+__all__ = ["batches_of", "discard", "input_mb", "keep_only", "materialize", "scratch_path", "table", "text_slices"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,15 @@ def text_slices(batch: pa.RecordBatch, column: str, max_chars: int = 4_000_000)
         yield first, texts
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that `materialize` wrote and nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(conf).delete(folder, True)
+
+
 def batches_of(make: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
     """mapInArrow function that turns each batch into one batch."""
 

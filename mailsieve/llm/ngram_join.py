@@ -13,12 +13,13 @@ which then may differ by one element: its one-deletion neighbourhood is indexed.
 A set whose lighter segment has one element more emits the same signatures, as
 its partner may have decided so.
 
-Signatures travel in packed arrays; only those that more than one document
-shares become rows.  In a first round every document meets the smallest one of
-its signature (linear in the rows); exact overlaps decide, and linked documents
-form components.  In a second round, documents of different components that
-still share a signature meet.  So no link between components is lost, and
-copies are never expanded into all pairs.
+Signatures travel in packed arrays; no row is made for one that a single
+document has.  In a first round every document meets the smallest one of its
+signature (linear in the signatures); exact overlaps decide, and linked
+documents form components.  In a second round, documents that shared signatures
+connect, but not all links, are compared across components: by blocks of such a
+cluster, exactly, and only pairs that share a rare shingle.  So no link between
+components is lost, and pairs of copies are never made rows.
 
 Edge cases: a text without words is empty and linked with nothing; with fewer
 words than a shingle the whole sequence is one; a null doc_id has no component;
@@ -37,12 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_only, materialize, table, text_slices
+from .common import discard, keep_only, materialize, table, text_slices
 from .components import components
 from .shingles import mixed, overlap, shingle_sets
 
 LIGHT = 0  # elements of a segment up to which a pair's allowance goes to the union
 MEMBERS = 256  # documents that are compared with one in one group
+BLOCK = 1024  # documents of a block of a cluster
 
 
 class Scheme:
@@ -71,7 +73,7 @@ class Scheme:
 
     def _signatures(self, hashes: np.ndarray, band: int) -> np.ndarray:
         m = self.segments(band)
-        salt = np.uint64(band + 1) * np.uint64(0xA24BAED4963EE407)
+        salt = np.uint64((band + 1) * 0xA24BAED4963EE407 % 2**64)
         segment = ((hashes >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)  # hashes are sorted, so segments are too
         value = mixed(hashes ^ salt)
         count = np.bincount(segment, minlength=m)
@@ -109,11 +111,12 @@ def _similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 def _signed(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> DataFrame:
     """Sizes, links of exact copies within a task, and packed signatures by bucket.
 
-    Row kinds: 0 a document (a, n); 1 a link (a, b); 2 a shared signature of a
-    task (sig, a, n); 3 packed signatures of a bucket.
+    Row kinds: 0 a document (a, n); 1 a link (a, b); 3 packed signatures of a
+    bucket; 4 a pair to be verified (a, b); 5 documents that share a signature
+    but are of too different sizes (a, b).
     """
-    schema = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()),
-                        ("bucket", pa.int32()), ("packed", pa.binary())])
+    schema = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("bucket", pa.int32()),
+                        ("packed", pa.binary())])
 
     def rows(**columns) -> pa.RecordBatch:
         n = max(len(c) for c in columns.values() if not isinstance(c, int))
@@ -152,13 +155,12 @@ def _signed(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> Da
             sig = np.concatenate(sigs)
             doc = np.repeat(np.arange(len(docs_), dtype=np.int32), [len(s) for s in sigs])
             doc_id, size = np.array(docs_, np.int64), np.array(sizes, np.int64)
-            order = np.argsort(sig, kind="stable")
+            order = np.lexsort((doc_id[doc], sig))
             sig, doc = sig[order], doc[order]
-            again = sig[1:] == sig[:-1]
-            shared = np.concatenate((again, [False])) | np.concatenate(([False], again))
-            if shared.any():
-                yield rows(kind=2, sig=sig[shared].view(np.int64), a=doc_id[doc[shared]], n=size[doc[shared]])
-            lead = np.concatenate(([True], ~again))  # one document a signature goes to the others' tasks
+            lead, count = _groups(sig)  # one document a signature goes to the other tasks
+            for kind, pairs in _pairs(doc_id[doc], size[doc], lead, count, num, den).items():
+                if len(pairs):
+                    yield rows(kind=kind, a=pairs[:, 0], b=pairs[:, 1])
             sig, doc = sig[lead], doc[lead]
             bucket = (sig % np.uint64(buckets)).astype(np.int32)
             order = np.lexsort((doc, bucket))
@@ -176,29 +178,109 @@ def _signed(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> Da
             yield rows(kind=3, bucket=names, packed=packed)
 
     return keep_only(docs, "doc_id", "text").mapInArrow(
-        run, "kind tinyint, a long, b long, n long, sig long, bucket int, packed binary")
+        run, "kind tinyint, a long, b long, n long, bucket int, packed binary")
 
 
 def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, documents and set sizes."""
     n = int(np.frombuffer(packed, "<i8", 1)[0])
     ids = np.frombuffer(packed, "<i8", n, 8)
     sizes = np.frombuffer(packed, "<i4", n, 8 + 8 * n)
     counts = np.frombuffer(packed, "<i4", n, 8 + 12 * n)
-    sigs = np.frombuffer(packed, "<u8", -1, 8 + 16 * n)
-    return sigs, np.repeat(ids, counts), np.repeat(sizes, counts)
+    return np.frombuffer(packed, "<u8", -1, 8 + 16 * n), np.repeat(ids, counts), np.repeat(sizes, counts)
 
 
-def _shared(table_: pa.Table) -> pa.Table:
-    """Rows (sig, a, n) of the signatures that several tasks sent to a bucket."""
-    parts = [_unpack(p.as_py()) for p in table_.column("packed")]
-    sig, doc, size = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    order = np.argsort(sig, kind="stable")
-    sig = sig[order]
-    again = sig[1:] == sig[:-1]
-    keep = np.concatenate((again, [False])) | np.concatenate(([False], again))
-    order = order[keep]
-    return pa.table({"sig": pa.array(sig[keep].view(np.int64)), "a": pa.array(doc[order].astype(np.int64)),
-                     "n": pa.array(size[order].astype(np.int64))})
+def _groups(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and length of each run of equal values."""
+    lead = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+    return lead, np.diff(np.append(lead, len(sig)))
+
+
+def _pairs(doc: np.ndarray, size: np.ndarray, lead: np.ndarray, count: np.ndarray, num: int, den: int) -> dict[int, np.ndarray]:
+    """Distinct pairs of each run's documents with its first: kind 4 where the sizes allow the similarity, 5 elsewhere."""
+    first = np.repeat(lead, count)
+    a, b, n, m = doc, doc[first], size, size[first]
+    close = den * np.minimum(n, m) >= num * np.maximum(n, m)
+    return {kind: np.unique(np.stack((a[keep], b[keep]), 1), axis=0) for kind, keep in ((4, (a != b) & close), (5, (a != b) & ~close))}
+
+
+def _met(num: int, den: int):
+    """Function of a bucket's rows: the pairs of documents that several tasks' signatures bring together."""
+
+    def run(table_: pa.Table) -> pa.Table:
+        parts = [_unpack(p.as_py()) for p in table_.column("packed")]
+        sig, doc, size = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        order = np.lexsort((doc, sig))
+        sig, doc, size = sig[order], doc[order].astype(np.int64), size[order].astype(np.int64)
+        pairs = _pairs(doc, size, *_groups(sig), num, den)
+        return pa.table({"kind": pa.array(np.repeat(list(pairs), [len(p) for p in pairs.values()]), pa.int8()),
+                         **{c: pa.array(np.concatenate([p[:, i] for p in pairs.values()])) for i, c in enumerate("ab")}})
+
+    return run
+
+
+def _close_pairs(sets: list[np.ndarray], group: list[int], side: list[int], num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of sets that link, as far as they join groups; with two sides, pairs across them.
+
+    Exact by prefixes: with values in the order of their frequency, rare first,
+    two sets that link share a value among the first (1 - similarity) part of
+    each.  Near copies have their edits there, so few of their pairs meet.
+    """
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, value, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((value, uses[value], owner))
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    keep = order[place < np.repeat(sizes - -(-num * sizes // den) + 1, sizes)]
+    keep = keep[np.lexsort((owner[keep], value[keep]))]
+    value, owner = value[keep], owner[keep]
+    parent = {g: g for g in group}
+
+    def root(g: int) -> int:
+        while parent[g] != g:
+            parent[g] = parent[parent[g]]
+            g = parent[g]
+        return g
+
+    crossing, seen, out = len(set(side)) > 1, set(), []
+    cuts = np.flatnonzero(np.diff(value)) + 1
+    for part in np.split(owner, cuts):
+        met = part.tolist()
+        for k, x in enumerate(met):
+            for y in met[k + 1:]:
+                if (crossing and side[x] == side[y]) or root(group[x]) == root(group[y]) or (x, y) in seen:
+                    continue
+                seen.add((x, y))
+                if _similar(sets[x], sets[y], num, den):
+                    parent[root(group[x])] = root(group[y])
+                    out.append((x, y))
+    return out
+
+
+def _within_clusters(clusters: DataFrame, found: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links that join components of documents whose signatures connect them, by blocks of clusters."""
+    named = (clusters.join(found.withColumnRenamed("component", "own"), "node", "left")
+             .select("cluster", "node", F.coalesce("own", "node").alias("own")))
+    open_ = (named.groupBy("cluster").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("n"))
+             .filter("low <> high").select("cluster", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
+    members = (named.join(open_, "cluster")
+               .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")))
+    members = materialize(members, "open")
+    texts = keep_only(docs, "doc_id", "text").join(members, F.col("doc_id") == F.col("node"))
+    placed = (texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+              .select("cluster", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "own", "text"))
+
+    def compare(rows: pa.Table) -> pa.Table:
+        sets: list[np.ndarray] = []
+        for batch in rows.combine_chunks().to_batches():
+            for _, part in text_slices(batch, "text"):
+                sets += shingle_sets(part, width)
+        node, own, side = (rows.column(c).to_pylist() for c in ("node", "own", "part"))
+        mixed_block = rows.column("low")[0].as_py() != rows.column("high")[0].as_py()
+        pairs = _close_pairs(sets, own, side, num, den) if not mixed_block or len(set(side)) > 1 else []
+        return pa.table({"a": pa.array([node[x] for x, _ in pairs], pa.int64()), "b": pa.array([node[y] for _, y in pairs], pa.int64())})
+
+    return placed.groupBy("cluster", "low", "high").applyInArrow(compare, "a long, b long")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -235,29 +317,23 @@ def join(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = materialize(_signed(docs, width, num, den, buckets), "signatures")
-    copies = signed.filter("kind = 1").select("a", "b")
-    across = (signed.filter("kind = 3").select("bucket", "packed").groupBy("bucket").applyInArrow(_shared, "sig long, a long, n long"))
-    members = materialize(signed.filter("kind = 2").select("sig", "a", "n").unionByName(across).distinct(), "members")
-    close = F.lit(den) * F.least("n", "m") >= F.lit(num) * F.greatest("n", "m")
-
-    # first round: with the smallest document of each signature
-    lead = members.groupBy("sig").agg(F.min(F.struct("a", "n")).alias("lead")).select("sig", F.col("lead.a").alias("b"), F.col("lead.n").alias("m"))
-    pairs = materialize(members.join(lead, "sig").filter(F.col("a") != F.col("b")).filter(close).select("a", "b").distinct(), "pairs")
-    links = materialize(copies.unionByName(verify(pairs, docs, width, num, den)), "links")
-
-    # second round: across components that share a signature
+    met = materialize(signed.filter("kind = 3").select("bucket", "packed").groupBy("bucket")
+                      .applyInArrow(_met(num, den), "kind tinyint, a long, b long")
+                      .unionByName(signed.filter("kind > 3").select("kind", "a", "b")).distinct(), "met")
+    rows = materialize(signed.filter("kind < 2").select("kind", "a", "b", "n"), "rows")
+    discard(signed)  # the packed signatures are done with
+    copies = rows.filter("kind = 1").select("a", "b")
+
+    # first round: with the smallest document of each signature in its task, and of these with the smallest of all
+    links = materialize(copies.unionByName(verify(met.filter("kind = 4").select("a", "b"), docs, width, num, den)), "links")
     found = materialize(components(links), "components")
-    named = (members.join(found.withColumnRenamed("node", "a"), "a", "left")
-             .select("sig", "a", "n", F.coalesce("component", "a").alias("component")))
-    open_ = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("sig")
-    rest = materialize(named.join(open_, "sig"), "open")
-    other = rest.select("sig", F.col("a").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"))
-    more = (rest.join(other, "sig").filter((F.col("component") != F.col("c")) & (F.col("a") > F.col("b"))).filter(close)
-            .select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
-    late = materialize(verify(materialize(more, "pairs"), docs, width, num, den), "links")
+
+    # second round: documents that signatures connect, however indirectly, but no link yet
+    clusters = components(met).select("node", F.col("component").alias("cluster"))
+    late = materialize(_within_clusters(clusters, found, docs, width, num, den), "links")
     if late.limit(1).count():
         found = components(links.unionByName(late))
-    sizes = signed.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"))
+    sizes = rows.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"))
     return (sizes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
 
