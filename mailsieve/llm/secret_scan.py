@@ -77,17 +77,26 @@ def value_score(value: str) -> float:
 
 
 def _literals(text: str) -> list[Span]:
-    """Literals that reach a sensitive name, with their scores."""
-    constants: dict[str, list[tuple[int, int]]] = {}  # name -> places of the literals it holds
-    best: dict[tuple[int, int], float] = {}
+    """Literals that reach a sensitive name, with their scores.
+
+    Every assignment keeps its own literals and refers to the earlier ones whose
+    constants it uses, so nothing is copied or left out.  Sensitive names are
+    followed back from the highest score, each assignment once: the first name
+    that reaches a literal is the one that scores it best.
+    """
+    own: list[list[tuple[int, int]]] = []  # of each assignment, the places of the literals it holds itself
+    uses: list[list[int]] = []  # and the earlier assignments whose constants it uses
+    constants: dict[str, int] = {}  # name -> its latest assignment
+    sensitive: list[tuple[float, int]] = []
     at = 0
     while m := _TARGET.search(text, at):
         at = m.end()
         places: list[tuple[int, int]] = []
+        earlier: list[int] = []
         while p := _PIECE.match(text, at):
             kind = p.lastgroup
             if kind == "name" and p["name"] in constants:
-                places += constants[p["name"]]
+                earlier.append(constants[p["name"]])
             elif kind != "name" or len(p["name"]) >= LEAST:
                 places.append(p.span(kind))
             at = p.end()
@@ -95,14 +104,23 @@ def _literals(text: str) -> list[Span]:
             if not plus:
                 break
             at = plus.end()
-        constants[m["name"]] = places[-8:] if len(places) > 8 else places
+        constants[m["name"]] = len(own)
         named = name_score(m["name"])
         if named >= 0.4:
-            for a, b in places:
-                score = named + value_score(text[a:b])
-                if score > best.get((a, b), THRESHOLD - 1e-9):
-                    best[a, b] = score
-    return [Span("literal", a, b, min(1.0, s)) for (a, b), s in sorted(best.items())]
+            sensitive.append((named, len(own)))
+        own.append(places)
+        uses.append(earlier)
+    out: list[Span] = []
+    seen: set[int] = set()
+    for named, first in sorted(sensitive, reverse=True):
+        todo = [first]
+        while todo:
+            if (i := todo.pop()) not in seen:
+                seen.add(i)
+                todo += uses[i]
+                scored = ((a, b, named + value_score(text[a:b])) for a, b in own[i])
+                out += [Span("literal", a, b, min(1.0, s)) for a, b, s in scored if s > THRESHOLD - 1e-9]
+    return sorted(out, key=lambda s: s.start)
 
 
 def find(text: str) -> list[Span]:

@@ -70,6 +70,19 @@ def test_constants_reach_sensitive_names():
     assert secret_scan.find("k = " * 3000) == []
 
 
+def test_a_constant_keeps_all_its_literals():
+    parts = [f"Zx{i:02d}kPq7LmNw" for i in range(12)]
+    split = " + ".join(f'"{p}"' for p in parts)
+    values = lambda t: [t[s.start:s.end] for s in secret_scan.find(t)]
+    assert values(f"private_key = {split}") == values(f"k = {split}\nprivate_key = k") == parts
+    lines = "\n".join(f'k = k + "{p}"' for p in parts)
+    assert values(f'k = ""\n{lines}\nj = k\nprivate_key = j\napi_secret = k') == parts
+    # neither doubling nor long chains under many names grow beyond the text
+    assert values(f'k = "{parts[0]}"\n' + "k = k + k\n" * 3000 + "private_key = k") == parts[:1]
+    chain = "".join(f'k = k + "{p}"\nsecret_{i} = k\n' for i in range(250) for p in parts)
+    assert values(chain) == parts * 250
+
+
 def test_queries(spark, documents, folder):
     sf = folder(documents=documents(PII_TEXTS[:60]))
     got = {r["doc_id"]: r for r in pii.op2_pii_checked_spans(spark, sf).collect()}
