@@ -53,7 +53,7 @@ _NAME_PARTS = {
     "apikey": 0.6, "credential": 0.6, "credentials": 0.6, "private": 0.3, "auth": 0.3, "access": 0.2, "api": 0.2,
     "key": 0.3, "signing": 0.3, "encryption": 0.3, "bearer": 0.5,
 }
-_NAME_WORDS = (b"pass", b"pwd", b"secret", b"token", b"key", b"auth", b"credential", b"bearer")
+SENSITIVE = 0.4  # score of a name whose literals are looked at
 _HARMLESS = re.compile(r"example|change.?me|placeholder|dummy|sample|your|xxxx|\*\*\*|<[^>]*>|\$\{|\{\{|none|null|true|false", re.I)
 _TARGET = re.compile(r"""(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.-]*)(?P=q)[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*""")
 _PIECE = re.compile(r"""[ \t]*(?:"(?P<d>(?:[^"\\\n]|\\.)*)"|'(?P<s>(?:[^'\\\n]|\\.)*)'|(?P<name>[A-Za-z_][A-Za-z0-9_.]*)(?![A-Za-z0-9+/=-])|(?P<bare>[A-Za-z0-9+/_.=-]+))""")
@@ -67,6 +67,16 @@ def name_score(name: str) -> float:
     return min(1.0, sum(_NAME_PARTS.get(p, 0) for p in set(parts)))
 
 
+def _may_name(lower: bytes) -> bool:
+    """Whether the name parts that occur in a lower-cased text could make a sensitive name; no such name is missed.
+
+    Parts of a name are only ever parted by `_`, `.` and `-`, and a name scores no
+    more than all parts that occur in its text.
+    """
+    close = lower.translate(None, b"_.-")
+    return sum(score for part, score in _NAME_PARTS.items() if part.encode() in close) >= SENSITIVE - 1e-9
+
+
 def value_score(value: str) -> float:
     """How far a literal looks like a secret, -1 to 0.5."""
     if len(value) < LEAST or " " in value.strip() or _HARMLESS.search(value):
@@ -106,7 +116,7 @@ def _literals(text: str) -> list[Span]:
             at = plus.end()
         constants[m["name"]] = len(own)
         named = name_score(m["name"])
-        if named >= 0.4:
+        if named >= SENSITIVE:
             sensitive.append((named, len(own)))
         own.append(places)
         uses.append(earlier)
@@ -132,7 +142,7 @@ def find(text: str) -> list[Span]:
     if b"akia" in lower:
         out += [Span("access", *m.span(), 1.0) for m in _ACCESS.finditer(text) if len(m[0]) >= 16]
     out += [Span("hex", *m.span(), 1.0) for m in _HEX.finditer(text)]
-    if (b"=" in lower or b":" in lower) and any(w in lower for w in _NAME_WORDS):
+    if (b"=" in lower or b":" in lower) and _may_name(lower):
         base = list(out)
         out += [s for s in _literals(text) if not any(b.start < s.end and s.start < b.end for b in base)]
     return sorted(out, key=lambda s: (s.start, ORDER[s.kind], s.end))

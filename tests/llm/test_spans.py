@@ -83,6 +83,18 @@ def test_a_constant_keeps_all_its_literals():
     assert values(chain) == parts * 250
 
 
+def test_no_sensitive_name_is_skipped():
+    value = "Zx81kPq02LmN"
+    parts = list(secret_scan._NAME_PARTS)
+    halves = [p[:i] + "_" + p[i:] for p in parts for i in range(1, len(p))]
+    names = parts + halves + [f"{a}{c}{b}" for a in parts for b in parts for c in ("_", "-", ".")]
+    names = [n for n in names if secret_scan.name_score(n) >= 0.4]
+    assert {"private_signing", "private_access", "api_access", "signing_encryption", "tok_en"} <= set(names)
+    for n in names:
+        assert [s.kind for s in secret_scan.find(f"{n}: '{value}'")] in (["literal"], ["assign"]), n
+    assert secret_scan.find(f"author: '{value}'") == []
+
+
 def test_queries(spark, documents, folder):
     sf = folder(documents=documents(PII_TEXTS[:60]))
     got = {r["doc_id"]: r for r in pii.op2_pii_checked_spans(spark, sf).collect()}
