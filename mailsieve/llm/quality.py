@@ -6,7 +6,11 @@ the table stays small however many documents there are), and
 expectation-maximisation over these counts estimates how often good documents
 and each kind of fault occur and how every rule votes on them.  A document is
 kept when its posterior probability of being good is at least one half, rather
-than when every rule passes.
+than when every rule passes.  How often a rule objects to good documents is
+estimated too, so the verdict on one objection does not hang on how common it
+is.  Documents with the same votes get the same verdict: good ones that one rule
+wrongly objects to are kept only if the rule's real faults are many more and
+show in other rules' votes.
 
 Edge cases: a null or empty text has no words, gets the votes of an empty text
 and fails the base rule; repeated rows are judged as often as they occur; an
@@ -28,8 +32,10 @@ WHITE_CLASS = "[\\x20\\x09-\\x0D]"
 WINDOW = 8  # words of a window that counts as repeated; a power of two
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-SURE = (0.96, 0.03, 0.01)  # a fault's own rule: bad, abstain, good
-FALSE_ALARM = 0.01  # a rule's objections to good documents
+SURE = (0.96, 0.03, 0.01)  # a fault's own rule: bad, abstain, good; estimated, a kind drifts to documents that no rule objects to
+FALSE_ALARM = 0.01  # a rule's objections to good documents, at first
+PRIOR = 10.0  # documents that the first rates count as, when false alarms are estimated
+USUAL = (FALSE_ALARM, 0.1, 0.9 - FALSE_ALARM)  # any other rule, at first
 STEPS = 8  # rounds of expectation-maximisation at most
 STILL = 1e-3  # change of every estimate that ends the rounds
 SMOOTH = 0.1  # votes of each kind added to each rule's counts, so none is certain
@@ -118,29 +124,32 @@ class Estimates(NamedTuple):
 
 def first_estimates(rules: list[str]) -> Estimates:
     """Good documents, and one kind per rule whose fault it looks for: rules seldom object without reason."""
-    usual = (FALSE_ALARM, 0.1, 0.9 - FALSE_ALARM)
     return Estimates({"good": 0.8} | {r: 0.2 / len(rules) for r in rules},
-                     {k: {r: SURE if r == k else usual for r in rules} for k in ("good", *rules)})
+                     {k: {r: SURE if r == k else USUAL for r in rules} for k in ("good", *rules)})
 
 
-def _votes_of(kind: str, rule: str, weights: list[float]) -> tuple[float, float, float]:
-    """Probabilities of a kind's votes from their weights; what tells the kinds apart stays as it was given."""
+def _votes_of(kind: str, rule: str, weights: list[float], prior: float | None) -> tuple[float, float, float]:
+    """Probabilities of a kind's votes from their weights; what tells the kinds apart stays, or is weighed with, as it was given."""
     if rule == kind:
         return SURE
-    if kind == "good":
+    if kind == "good" and prior is None:
         bad, (_, abstain, good) = FALSE_ALARM, weights
         return bad, (1 - bad) * abstain / (abstain + good), (1 - bad) * good / (abstain + good)
+    if kind == "good":
+        weights = [w + prior * p for w, p in zip(weights, USUAL)]
     return tuple(w / sum(weights) for w in weights)
 
 
-def fit(patterns: DataFrame, rules: list[str], steps: int = STEPS) -> Estimates:
+def fit(patterns: DataFrame, rules: list[str], steps: int = STEPS, prior: float | None = None) -> Estimates:
     """Expectation-maximisation over the votes.
 
     `patterns` has a column per rule and the number `n` of documents with these
     votes.  A document is good or has one of the faults; a fault's own rule is
     sure of it and seldom objects to a good document, which tells the kinds
-    apart; everything else is estimated.  Every round is one aggregation of
-    this table.
+    apart.  With `prior`, the rates of false alarms are estimated, and their
+    first values count as that many documents; without, they stay as they are,
+    and one objection is taken for a false alarm or a fault by how common it
+    is.  Everything else is estimated.  Every round is one aggregation of this table.
     """
     now = first_estimates(rules)
     kinds = list(now.shares)
@@ -155,7 +164,7 @@ def fit(patterns: DataFrame, rules: list[str], steps: int = STEPS) -> Estimates:
         of = {k: sum(v[i] for (r, _), v in seen.items() if r == rules[0]) for i, k in enumerate(kinds)}
         n = sum(of.values())
         shares = {k: (of[k] + SMOOTH) / (n + SMOOTH * len(kinds)) for k in kinds}
-        tables = {k: {r: _votes_of(k, r, [seen.get((r, v), [0.0] * len(kinds))[i] + SMOOTH for v in (BAD, ABSTAIN, GOOD)])
+        tables = {k: {r: _votes_of(k, r, [seen.get((r, v), [0.0] * len(kinds))[i] + SMOOTH for v in (BAD, ABSTAIN, GOOD)], prior)
                       for r in rules} for i, k in enumerate(kinds)}
         moved = max([abs(shares[k] - now.shares[k]) for k in kinds]
                     + [abs(x - y) for k in kinds for r in rules for x, y in zip(tables[k][r], now.tables[k][r])])
@@ -176,7 +185,7 @@ def _judged(narrow: DataFrame) -> DataFrame:
     rules = votes()
     voted = narrow.withColumns({f"_v_{r}": c for r, c in rules.items()})
     names = [f"_v_{r}" for r in rules]
-    estimates = fit(materialize(voted.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "votes"), names)
+    estimates = fit(materialize(voted.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "votes"), names, prior=PRIOR)
     failed = (F.col("_n_words") < MIN_WORDS) | (100 * F.col("_n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_n_words"))
     return (voted.withColumn("_base_failed", failed).withColumn("_quality", posterior(estimates))
             .withColumn("_kept", ~F.col("_base_failed") & (F.col("_quality") >= 0.5)).drop(*names))
@@ -199,7 +208,7 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     voted = counts(inner).withColumns({f"_v_{r}": c for r, c in rules.items()})
     columns = [f"_v_{r}" for r in rules]
     kept_rows = materialize(voted.drop("text"), "quality-votes")
-    estimates = fit(materialize(kept_rows.groupBy(*columns).agg(F.count("*").alias("n")).coalesce(1), "votes"), columns)
+    estimates = fit(materialize(kept_rows.groupBy(*columns).agg(F.count("*").alias("n")).coalesce(1), "votes"), columns, prior=PRIOR)
     failed = (F.col("_n_words") < MIN_WORDS) | (100 * F.col("_n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_n_words"))
     kept = kept_rows.filter(~failed & (posterior(estimates) >= 0.5))
     return kept.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])

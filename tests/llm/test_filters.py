@@ -70,6 +70,39 @@ def test_quality_estimates_equal_plain_python(spark):
     assert all(got.tables[k][r] == pytest.approx(tuple(tables[k][r])) for k in kinds for r in rules)
 
 
+def estimated(spark, rows):
+    """Posterior by votes after `fit` as the query calls it, on a million rows: clean ones, 10% of them with an abstention, and (votes, rows)."""
+    from pyspark.sql import functions as F
+
+    rules, rest = list(quality.votes()), 1_000_000 - sum(n for _, n in rows)
+    cells = Counter({(1,) * 7: rest * 9 // 10})
+    for i in range(7):
+        cells[(1,) * i + (0,) + (1,) * (6 - i)] += rest // 70
+    for v, n in rows:
+        cells[v] += n
+    frame = spark.createDataFrame([(*v, n) for v, n in cells.items()], ", ".join(f"{r} int" for r in rules) + ", n long").coalesce(1)
+    out = frame.withColumn("p", quality.posterior(quality.fit(frame, rules, prior=quality.PRIOR))).collect()
+    return {tuple(r[x] for x in rules): r["p"] for r in out}
+
+
+def test_one_objection_is_judged_alike_at_any_share(spark):
+    symbols, alone = [], (1, 1, -1, 1, 1, 1, 1)
+    for n in (5_000, 100_000):
+        p = estimated(spark, [(alone, n * 9 // 10), ((0, 1, -1, 1, 1, 1, 1), n // 10)])
+        symbols.append(p[alone])
+        assert all((x < 0.5) == (-1 in v) for v, x in p.items())
+    assert symbols[0] == pytest.approx(symbols[1], abs=0.1)
+
+
+def test_wrong_objections_to_clean_documents(spark):
+    # clean documents have one objection only; with the fault itself a second rule abstains, so votes can tell them apart
+    fault, wrong = (1, 1, -1, 0, 1, 1, 1), (1, 1, -1, 1, 1, 1, 1)
+    for n in (5_000, 100_000):
+        p = estimated(spark, [(fault, n), (wrong, n // 50)])
+        assert p[fault] < 0.5 and all(x > 0.9 for v, x in p.items() if -1 not in v)
+    assert p[wrong] > 0.5  # at 0.5% of rows the rounds end before this is learnt
+
+
 def test_quality_filter_and_empty_table(documents):
     docs = documents([(None, GOOD[0]), (4, GOOD[1]), (4, GOOD[1]), (5, None), (6, BAD[6])])
     out = quality.filter_documents(docs)
