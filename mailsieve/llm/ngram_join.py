@@ -7,7 +7,8 @@ pair may have, plus one: then at least one segment must be equal (pigeonhole).
 A set's signatures are its non-empty segments, hashed as sets.
 
 Segments with few elements say little and would collide for unrelated sets.
-Segments 2q and 2q+1 share an allowance of two, spent by cost: normally one each
+Segments 2q and 2q+1 share an allowance of two, spent by a fixed rule (LIGHT), not
+by cost; frequencies of signatures are not looked at.  Normally they have one each
 (either may be equal), but where one of them is that light, both on their union,
 which then may differ by one element: its one-deletion neighbourhood is indexed.
 A set whose lighter segment has one element more emits the same signatures, as
