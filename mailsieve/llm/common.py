@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from mailsieve.session import materialize, scratch_path
 
-__all__ = ["batches_of", "discard", "input_mb", "keep_only", "materialize", "scratch_path", "table", "text_slices"]
+__all__ = ["batches_of", "byte_slices", "discard", "input_mb", "keep_only", "materialize", "scratch_path", "table", "text_slices"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +49,15 @@ def text_slices(batch: pa.RecordBatch, column: str, max_chars: int = 4_000_000)
         yield first, texts
 
 
+def byte_slices(column: pa.Array, max_bytes: int = 8_000_000) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, values) of consecutive rows of a string column that hold about `max_bytes`; a longer value is a slice of its own."""
+    if len(column):
+        held = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)) // max_bytes
+        firsts = np.flatnonzero(np.append(True, held[1:] != held[:-1])).tolist()
+        for first, end in zip(firsts, [*firsts[1:], len(column)]):
+            yield first, column.slice(first, end - first)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that `materialize` wrote and nothing reads any more."""
     files = df.inputFiles()

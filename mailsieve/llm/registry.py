@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op3_merge_replay_bpe
+from .concat_cut import op11_concatenate_and_cut
 from .context_tree import op10_context_tree_scores
 from .embedding_dedup import op9_quantised_embedding_dedup
 from .ngram_join import op5_partition_signature_join
@@ -24,5 +25,6 @@ LLM_QUERIES = {f.__name__: f for f in (
     op8_nearest_toxicity,
     op9_quantised_embedding_dedup,
     op10_context_tree_scores,
+    op11_concatenate_and_cut,
 )}
 LLM_ORACLES: dict[str, str] = {}
