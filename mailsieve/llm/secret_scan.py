@@ -20,7 +20,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -55,8 +57,10 @@ _NAME_PARTS = {
 }
 SENSITIVE = 0.4  # score of a name whose literals are looked at
 _HARMLESS = re.compile(r"example|change.?me|placeholder|dummy|sample|your|xxxx|\*\*\*|<[^>]*>|\$\{|\{\{|none|null|true|false", re.I)
-_TARGET = re.compile(r"""(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.-]*)(?P=q)[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*""")
+_MARK = re.compile(r"(?::=|=>|=(?!=)|:(?![:/]))[ \t]*")
+_NAME = "".join(map(chr, (*range(48, 58), *range(65, 91), *range(97, 123)))) + "_.-"  # a name's characters; it begins with a letter or `_`
 _PIECE = re.compile(r"""[ \t]*(?:"(?P<d>(?:[^"\\\n]|\\.)*)"|'(?P<s>(?:[^'\\\n]|\\.)*)'|(?P<name>[A-Za-z_][A-Za-z0-9_.]*)(?![A-Za-z0-9+/=-])|(?P<bare>[A-Za-z0-9+/_.=-]+))""")
+_PLUS = re.compile(r"[ \t]*[+.][ \t]*(?=[\"'A-Za-z_])")
 _PART = re.compile("[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -86,6 +90,24 @@ def value_score(value: str) -> float:
     return min(0.5, 0.1 * max(0.0, bits - 2) + 0.1 * (kinds - 1))
 
 
+def _target(text: str, at: int) -> tuple[str, int] | None:
+    """The next assigned name from a place on, plain or between equal quotes, and where its expression begins.
+
+    Names are read back from the marks.  They hold no mark, so each character is
+    read once however long the runs between marks are."""
+    since = at
+    for mark in _MARK.finditer(text, at):
+        before = text[since:mark.start()].rstrip(" \t")
+        quote = before[-1:] if before[-1:] in ("'", '"') else ""
+        before = before[:len(before) - len(quote)]
+        run = before[len(before.rstrip(_NAME)):]
+        name = run.lstrip("0123456789.-")
+        if name and (not quote or name == run and before[:len(before) - len(run)].endswith(quote)):
+            return name, mark.end()
+        since = mark.end()
+    return None
+
+
 def _literals(text: str) -> list[Span]:
     """Literals that reach a sensitive name, with their scores.
 
@@ -99,8 +121,8 @@ def _literals(text: str) -> list[Span]:
     constants: dict[str, int] = {}  # name -> its latest assignment
     sensitive: list[tuple[float, int]] = []
     at = 0
-    while m := _TARGET.search(text, at):
-        at = m.end()
+    while found := _target(text, at):
+        name, at = found
         places: list[tuple[int, int]] = []
         earlier: list[int] = []
         while p := _PIECE.match(text, at):
@@ -110,12 +132,12 @@ def _literals(text: str) -> list[Span]:
             elif kind != "name" or len(p["name"]) >= LEAST:
                 places.append(p.span(kind))
             at = p.end()
-            plus = re.compile(r"[ \t]*[+.][ \t]*(?=[\"'A-Za-z_])").match(text, at)
+            plus = _PLUS.match(text, at)
             if not plus:
                 break
             at = plus.end()
-        constants[m["name"]] = len(own)
-        named = name_score(m["name"])
+        constants[name] = len(own)
+        named = name_score(name)
         if named >= SENSITIVE:
             sensitive.append((named, len(own)))
         own.append(places)
@@ -143,8 +165,12 @@ def find(text: str) -> list[Span]:
         out += [Span("access", *m.span(), 1.0) for m in _ACCESS.finditer(text) if len(m[0]) >= 16]
     out += [Span("hex", *m.span(), 1.0) for m in _HEX.finditer(text)]
     if (b"=" in lower or b":" in lower) and _may_name(lower):
-        base = list(out)
-        out += [s for s in _literals(text) if not any(b.start < s.end and s.start < b.end for b in base)]
+        base = sorted(out, key=lambda s: s.start)
+        starts, reach = [s.start for s in base], list(accumulate((s.end for s in base), max))
+        for s in _literals(text):
+            before = bisect_left(starts, s.end)  # base spans that begin before its end; one that ends after its start overlaps
+            if not before or reach[before - 1] <= s.start:
+                out.append(s)
     return sorted(out, key=lambda s: (s.start, ORDER[s.kind], s.end))
 
 

@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+import time
+
+import pytest
 
 from mailsieve.llm import pii, secret_scan
 
@@ -120,3 +123,19 @@ def test_frames(documents):
     assert [(r["doc_id"], r["text"], r["n_chars"], r["spans"]) for r in rows] == [(1, "", 0, 7), (1, "[EMAIL] and more", 16, 7), (None, None, None, 7)]
     assert [len(r["spans"]) for r in secret_scan.find_documents(documents(["token=abcdefgh"])).collect()] == [1]
     assert pii.find_documents(documents([])).collect() == [] and pii.redact(documents([])).collect() == []
+
+
+@pytest.mark.parametrize("text", ["x=1 password " + "a" * 1_000_000, "password " + "= " * 300_000, "api_key " + "'" * 300_000, "token:\t" * 100_000,
+                                  "x=1 token " + "a1_." * 250_000, "k = 'hunter2-hunter2'\npassword: 'Zx81+q9Lm2='\n" * 20_000])
+def test_secret_scan_is_linear_in_long_runs(text):
+    began = time.process_time()
+    secret_scan.find(text)
+    assert time.process_time() - began < 10
+
+
+def test_secret_names_are_read_back_from_the_marks():
+    literal = "Zx81+q9Lm2/pT="
+    for before in ("private_key = ", '"private_key": ', "--private-key=", "a::b private_key := ", "x == y; private_key=", "5private_key\t=>"):
+        assert [s.kind for s in secret_scan._literals(f'{before}"{literal}"')] == ["literal"], before
+    for before in ("private_key == ", "private_key://", '"private_key = ', "'private_key\" = "):
+        assert not [s for s in secret_scan._literals(f'{before}"{literal}"')] or before.startswith('"'), before
