@@ -43,6 +43,8 @@ HEAD_END = "\x01"  # follows the head; an element that is still open takes it al
 _NAMED = {k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")}
 _BARE = sorted((k for k in html.entities.html5 if not k.endswith(";")), key=len, reverse=True)
 REFERENCE = (r"^(?:#([0-9]+);?|#[xX]([0-9a-fA-F]+);?|([A-Za-z][A-Za-z0-9]*);|(" + "|".join(_BARE) + "))")
+_USUAL = {f"{n};": _NAMED[n] for n in ("amp", "lt", "gt", "quot", "nbsp", "apos", "copy", "reg", "middot", "mdash", "ndash", "hellip", "bull",
+                                      "lsquo", "rsquo", "ldquo", "rdquo", "laquo", "raquo", "euro")} | {"#39;": "'", "#34;": '"', "#38;": "&", "#160;": "\xa0"}
 _WINDOWS = {c: bytes([c]).decode("cp1252") for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
 # Token classes: runs of a script written without spaces (ideographs, kana,
@@ -91,9 +93,13 @@ def decode_references(c: Column) -> Column:
         bare = F.regexp_extract(piece, "^(" + "|".join(_BARE) + ")", 1)  # a longer name that is unknown may begin with an old one
         name = F.when(F.element_at(names, named).isNotNull(), named).when(old != "", old).when(bare != "", bare)
         taken = F.when(F.element_at(names, named).isNotNull(), F.length(whole)).otherwise(F.length(name))
-        return (F.when(piece.startswith("#") & (whole != ""), F.concat(number(piece), F.substr(piece, F.length(whole) + 1)))
-                .when(name.isNotNull(), F.concat(F.element_at(names, name), F.substr(piece, taken + 1)))
-                .otherwise(F.concat(F.lit("&"), piece)))
+        general = (F.when(piece.startswith("#") & (whole != ""), F.concat(number(piece), F.substr(piece, F.length(whole) + 1)))
+                   .when(name.isNotNull(), F.concat(F.element_at(names, name), F.substr(piece, taken + 1)))
+                   .otherwise(F.concat(F.lit("&"), piece)))
+        cases = F.when(~piece.rlike("^[#A-Za-z]"), F.concat(F.lit("&"), piece))
+        for name, text in _USUAL.items():  # by a prefix, before any pattern
+            cases = cases.when(piece.startswith(name), F.concat(F.lit(text), F.substr(piece, F.lit(len(name) + 1))))
+        return cases.otherwise(general)
 
     pieces = F.split(c, "&")
     rest = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), decoded)
@@ -150,11 +156,14 @@ def tokenize(c: Column) -> Column:
     """Lower-cased tokens: words and digit runs of any script, and overlapping
     bigrams of the runs of scripts written without spaces (a single character
     stays a token)."""
-    spaced = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), UNSPACED_RUN, " $1 ")
+    lowered = F.lower(F.coalesce(c, F.lit("")))
+    spaced = F.regexp_replace(lowered, UNSPACED_RUN, " $1 ")
     runs = F.regexp_extract_all(spaced, F.lit(TOKEN_PATTERN), 0)
-    return F.flatten(F.transform(runs, lambda t: F.when(
+    mixed = F.flatten(F.transform(runs, lambda t: F.when(
         t.rlike("^" + UNSPACED_RUN) & (F.length(t) > 1), char_bigrams(t),
     ).otherwise(F.array(t))))
+    # a text without such a script has its runs for tokens: one look instead of one per token
+    return F.when(lowered.rlike(UNSPACED_RUN), mixed).otherwise(F.regexp_extract_all(lowered, F.lit(TOKEN_PATTERN), 0))
 
 
 BIGRAM_PATTERN = r"(?s)(?=(\P{Cs}.))"

@@ -2,19 +2,20 @@
 
 * term statistics, top-k vocabulary, TF-IDF with smoothed IDF
   ln((1+n)/(1+df)) + 1 and L2 normalisation per document;
-* sentiment: multinomial naive Bayes trained by `groupBy(term, class)`
-  with add-one smoothing, scored by a join and a per-mail sum of log-odds;
+* sentiment: multinomial naive Bayes with add-one smoothing, scored by a join
+  and a per-mail sum of log-odds (`feature_models`);
 * perplexity: character-bigram model with add-one smoothing over the whole
   text (`prefix=n` restricts it to the first n characters, as the original
-  neural scorer's input window did), exp(-mean ln p) per mail, then log1p.
+  neural scorer's input window did), exp(-mean ln p) per mail, then log1p
+  (`char_model`).
 
 Sentiment and perplexity replace pretrained neural scorers: their numbers
 differ from those models, their direction (formulaic text scores lower
 perplexity) is what is kept.
 
-Model tables are bounded by the vocabulary (or alphabet^2), not by the
-number of mails; whether they are broadcast is left to the optimizer's byte
-statistics, and AQE splits skewed terms otherwise.
+Term tables are bounded by the vocabulary, not by the number of mails; whether
+they are broadcast is left to the optimizer's byte statistics, and AQE splits
+skewed terms otherwise.
 Token streams are pre-aggregated to (doc, term, tf) before any join.
 """
 
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
+from .char_model import CharModel, bigram_counts
+from .feature_models import FeatureCounts, class_log_odds, perplexity_from_mean, probability_from_odds
 
 
 def doc_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -55,45 +58,6 @@ def tfidf(terms: DataFrame, vocab: DataFrame, id_col: str, n_docs: int) -> DataF
     return x.select(id_col, "term", "term_index", "tf", F.round(F.col("w") / norm, 6).alias("weight"))
 
 
-def train_naive_bayes(terms: DataFrame, labels: DataFrame, id_col: str, class_col: str) -> tuple[DataFrame, float]:
-    """Model table (term, llr) with llr = ln P(t|1) - ln P(t|0), add-one
-    smoothing over the training vocabulary, and the prior log-odds."""
-    lab = labels.select(id_col, F.col(class_col).cast("int").alias("c")).filter(F.col("c").isNotNull())
-    x = terms.join(lab, id_col)
-    per = x.groupBy("term").agg(
-        F.sum(F.when(F.col("c") == 1, F.col("tf")).otherwise(0)).alias("n1"),
-        F.sum(F.when(F.col("c") == 0, F.col("tf")).otherwise(0)).alias("n0"),
-    )
-    tot = per.agg(F.sum("n1").alias("t1"), F.sum("n0").alias("t0"), F.count(F.lit(1)).alias("v")).first()
-    t1, t0, v = float(tot["t1"] or 0), float(tot["t0"] or 0), float(tot["v"] or 0)
-    prior = lab.agg(F.sum("c").alias("k1"), F.count(F.lit(1)).alias("n")).first()
-    k1, n = float(prior["k1"] or 0), float(prior["n"] or 0)
-    import math
-    prior_logodds = (math.log(k1 / n) if k1 else float("-inf")) - (math.log((n - k1) / n) if n - k1 else float("-inf"))
-    model = per.select("term", (F.log((F.col("n1") + 1) / F.lit(t1 + v))
-                                - F.log((F.col("n0") + 1) / F.lit(t0 + v))).alias("llr"))
-    return model, prior_logodds
-
-
-def naive_bayes_sums(terms: DataFrame, model: DataFrame, id_col: str) -> DataFrame:
-    """(id, _s): sum of tf * llr over a doc's known terms (docs with no known
-    term are absent)."""
-    return terms.join(model, "term").groupBy(id_col).agg(F.sum(F.col("tf") * F.col("llr")).alias("_s"))
-
-
-def sentiment_from_sums(s: Column, prior_logodds: float) -> Column:
-    lo = F.lit(prior_logodds) + F.coalesce(s, F.lit(0.0))
-    return F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-lo)), 6)
-
-
-def score_naive_bayes(docs: DataFrame, terms: DataFrame, model: DataFrame, prior_logodds: float,
-                      id_col: str) -> DataFrame:
-    """(id, sentiment) = logistic(prior + sum tf * llr) for every doc of `docs`."""
-    s = naive_bayes_sums(terms, model, id_col)
-    return docs.select(id_col).join(s, id_col, "left").select(
-        id_col, sentiment_from_sums(F.col("_s"), prior_logodds).alias("sentiment"))
-
-
 def _prefixed(text_col: str, prefix: int | None) -> Column:
     """The scored text: the whole text, or its first `prefix` characters
     when a prefix is given."""
@@ -101,112 +65,17 @@ def _prefixed(text_col: str, prefix: int | None) -> Column:
     return t if prefix is None else F.substring(t, 1, prefix)
 
 
-def char_bigram_rows(df: DataFrame, id_col: str, text_col: str, prefix: int | None = None) -> DataFrame:
-    """(id, bigram) for the overlapping character bigrams of the text.
-    The prefix is projected first so the bigram lambda reads a column
-    instead of re-evaluating the substring for every element."""
-    t = _prefixed(text_col, prefix)
-    staged = df.select(F.col(id_col), t.alias("_t"))
-    return staged.select(F.col(id_col), F.explode(T.char_bigrams(F.col("_t"))).alias("bg"))
-
-
-def bigram_mean_logprob(df: DataFrame, id_col: str, text_col: str,
-                        prefix: int | None = None) -> DataFrame:
-    """(id, perplexity) = log1p(exp(-mean ln P(b|a))); 0.0 for texts under 2 chars.
-
-    The alphabet size V (distinct characters of all prefixes) is read from
-    the bounded bigram-count table plus the one-character prefixes, not from
-    a second pass over the corpus."""
-    bg = char_bigram_rows(df, id_col, text_col, prefix)
-    counts = bg.groupBy("bg").agg(F.count(F.lit(1)).alias("c_ab")).withColumn("a", F.substring("bg", 1, 1)).persist()
-    singles = df.select(_prefixed(text_col, prefix).alias("ch")).filter(F.length("ch") == 1)
-    alphabet = (counts.select(F.col("a").alias("ch"))
-                .unionByName(counts.select(F.substring("bg", 2, 1).alias("ch")))
-                .unionByName(singles))
-    v = alphabet.agg(F.count_distinct("ch")).first()[0] or 0
-    ctx = counts.groupBy("a").agg(F.sum("c_ab").alias("c_a"))
-    model = counts.join(ctx, "a").select("bg", F.log((F.col("c_ab") + 1) / (F.col("c_a") + F.lit(v))).alias("lp"))
-    return bg.join(model, "bg").groupBy(id_col).agg(F.avg("lp").alias("_m"))
-
-
-def perplexity_from_mean(m: Column) -> Column:
-    return F.round(F.coalesce(F.log1p(F.exp(-m)), F.lit(0.0)), 6)
-
-
-def bigram_perplexity(df: DataFrame, id_col: str, text_col: str,
-                      prefix: int | None = None) -> DataFrame:
-    """(id, perplexity) = log1p(exp(-mean ln P(b|a))) for every doc; 0.0 for
-    texts under 2 characters."""
-    per = bigram_mean_logprob(df, id_col, text_col, prefix)
-    return df.select(id_col).join(per, id_col, "left").select(
-        id_col, perplexity_from_mean(F.col("_m")).alias("perplexity"))
-
-
-# ------------------------------------------------------------------ saved feature models
-class FeatureModels:
-    """The count-based models behind `sentiment` and `perplexity`, kept as
-    tables so new mail can be scored: naive-Bayes log-likelihood ratios per
-    term with the prior log-odds, and bigram / context counts with the
-    alphabet size.  Unseen bigrams get the add-one probability 1/(c_a + V)
-    (1/V for an unseen context); unseen terms contribute nothing."""
-
-    def __init__(self, nb: DataFrame, prior: float, bigrams: DataFrame, contexts: DataFrame, alphabet: int,
-                 prefix: int | None = None, lexicon=tuple(K.LEXICON_FULL35)):
-        self.nb, self.prior, self.bigrams, self.contexts = nb, prior, bigrams, contexts
-        self.alphabet, self.prefix, self.lexicon = alphabet, prefix, list(lexicon)
-
-    @classmethod
-    def fit(cls, corpus: DataFrame, terms: DataFrame, id_col: str = "mail_id", text_col: str = "body",
-            class_col: str = "quality", prefix: int | None = None) -> "FeatureModels":
-        nb, prior = train_naive_bayes(terms, corpus.select(id_col, class_col), id_col, class_col)
-        bg = char_bigram_rows(corpus, id_col, text_col, prefix)
-        counts = bg.groupBy("bg").agg(F.count(F.lit(1)).alias("c_ab")).withColumn("a", F.substring("bg", 1, 1))
-        singles = corpus.select(_prefixed(text_col, prefix).alias("ch")).filter(F.length("ch") == 1)
-        v = (counts.select(F.col("a").alias("ch")).unionByName(counts.select(F.substring("bg", 2, 1).alias("ch")))
-             .unionByName(singles).agg(F.count_distinct("ch")).first()[0] or 0)
-        contexts = counts.groupBy("a").agg(F.sum("c_ab").alias("c_a"))
-        return cls(nb, prior, counts.select("bg", "c_ab"), contexts, int(v), prefix)
-
-    def save(self, path: str) -> None:
-        import json
-        spark = self.nb.sparkSession
-        self.nb.write.mode("overwrite").parquet(f"{path}/nb")
-        self.bigrams.write.mode("overwrite").parquet(f"{path}/bigrams")
-        self.contexts.write.mode("overwrite").parquet(f"{path}/contexts")
-        meta = {"prior": self.prior, "alphabet": self.alphabet, "prefix": self.prefix, "lexicon": self.lexicon}
-        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(
-            f"{path}/meta")
-
-    @classmethod
-    def load(cls, spark, path: str) -> "FeatureModels":
-        import json
-        meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-        return cls(spark.read.parquet(f"{path}/nb"), meta["prior"], spark.read.parquet(f"{path}/bigrams"),
-                   spark.read.parquet(f"{path}/contexts"), meta["alphabet"], meta["prefix"], meta["lexicon"])
-
-    def sentiment(self, docs: DataFrame, id_col: str = "mail_id", text_col: str = "body") -> DataFrame:
-        """(id, _s) naive-Bayes sums for new docs."""
-        return naive_bayes_sums(doc_terms(docs, id_col, text_col), self.nb, id_col)
-
-    def mean_logprob(self, docs: DataFrame, id_col: str = "mail_id", text_col: str = "body") -> DataFrame:
-        """(id, _m) mean smoothed log-probability of each doc's bigrams."""
-        bg = char_bigram_rows(docs, id_col, text_col, self.prefix).withColumn("a", F.substring("bg", 1, 1))
-        x = bg.join(self.bigrams, "bg", "left")
-        x = x.join(self.contexts, "a", "left")
-        lp = F.log((F.coalesce(F.col("c_ab"), F.lit(0)) + 1)
-                   / (F.coalesce(F.col("c_a"), F.lit(0)) + F.lit(self.alphabet)))
-        return x.groupBy(id_col).agg(F.avg(lp).alias("_m"))
-
-
-def score_features(mails: DataFrame, models: FeatureModels, id_col: str = "mail_id", text_col: str = "body",
-                   urls_col: str = "urls") -> DataFrame:
-    """The nine features for new mails with saved models (same definitions
-    as the training feature table; unseen bigrams smoothed)."""
-    from ..functions import features as FT
-    mails = mails.drop(*[c for c in K.FEATURES if c in mails.columns])
-    base = mails.select("*", FT.keyword_density(F.col(text_col), models.lexicon).alias("subjectivity"),
-                        *FT.url_features(F.col(urls_col)))
-    out = base.join(models.sentiment(mails, id_col, text_col), id_col, "left") \
-        .join(models.mean_logprob(mails, id_col, text_col), id_col, "left")
-    return out.withColumns({"sentiment": sentiment_from_sums(F.col("_s"), models.prior),
-                            "perplexity": perplexity_from_mean(F.col("_m"))}).drop("_s", "_m")
+def bigram_perplexity(df: DataFrame, id_col: str, text_col: str, prefix: int | None = None) -> DataFrame:
+    """(id, perplexity) = log1p(exp(-mean ln P(b|a))) for every doc under the
+    model of all docs; 0.0 for texts under 2 characters."""
+    docs = df.select(id_col, _prefixed(text_col, prefix).alias("_t"))
+    model = CharModel.of(bigram_counts(docs, F.col("_t")))
+    return model.add_means(docs, "_t", id_col).select(id_col, perplexity_from_mean(F.col("_m")[0]).alias("perplexity"))
+
+
+def sentiment(docs: DataFrame, terms: DataFrame, class_col: str, id_col: str = "mail_id") -> DataFrame:
+    """(id, sentiment) of every doc: naive-Bayes probability of class 1, trained on the docs that have a class."""
+    counts = FeatureCounts.fit(docs, terms, class_col, id_col=id_col, pairs=False)
+    llr, priors = counts.naive_bayes((None,))
+    odds = class_log_odds(docs.select(id_col), terms, llr, priors, id_col)
+    return odds.select(id_col, probability_from_odds(F.col("_odds")[0]).alias("sentiment"))

@@ -52,6 +52,7 @@ from .. import constants as K  # noqa: E402
 from ..functions import features as FT  # noqa: E402
 from ..functions import text as T  # noqa: E402
 from ..functions import urls as U  # noqa: E402
+from ..operators import lexicon as LX  # noqa: E402
 from ..operators import metrics as M  # noqa: E402
 from ..operators import relational as R  # noqa: E402
 from ..session import materialize, read_table  # noqa: E402
@@ -261,6 +262,14 @@ def q_keyword_density(spark, sf_dir):
     )
 
 
+@query("lexicon_hits")
+def q_lexicon_hits(spark, sf_dir):
+    """How many of the words of all benchmark items each mail contains, as substrings, and how densely."""
+    words = read_table(spark, sf_dir, "benchmark").select(F.explode(T.tokenize(F.col("text"))).alias("term"))
+    m = FX.mail_table(spark, sf_dir).select("mail_id", "raw_body")
+    return LX.lexicon_density(m, "raw_body", words).select("mail_id", "hits", "density")
+
+
 @query("tokenize_corpus")
 def q_tokenize_corpus(spark, sf_dir):
     m = FX.mail_table(spark, sf_dir)
@@ -474,8 +483,7 @@ def q_ablation_report(spark, sf_dir):
     """The shape scorer with and without perplexity, fitted on the training
     mails that are not in the mixed test set, judged on that set."""
     email = mail_email(spark, sf_dir).select("mail_id", "body")
-    ppl = email.join(CM.bigram_mean_logprob(email, "mail_id", "body"), "mail_id", "left").select(
-        "mail_id", CM.perplexity_from_mean(F.col("_m")).alias("perplexity"))
+    ppl = CM.bigram_perplexity(email, "mail_id", "body")
     rows = materialize(split_mail(spark, sf_dir).withColumns(BY.text_shape(F.col("raw_body"))).join(ppl, "mail_id")
                        .select("mail_id", "label", "is_test", "perplexity", *BY.SHAPE), "ablation")
     mixed = materialize(mixed_testset(spark, sf_dir), "mixed")
@@ -493,6 +501,7 @@ def q_ablation_report(spark, sf_dir):
 
 # ---------------------------------------------------------------- corpus model keys
 from ..operators import corpus_models as CM  # noqa: E402
+from ..operators import feature_models as FM  # noqa: E402
 
 
 def corpus_terms(spark, sf_dir):
@@ -535,17 +544,9 @@ def q_tfidf_table(spark, sf_dir):
     return CM.tfidf(dt, vocab, "mail_id", c.count())
 
 
-def sentiment_scores(spark, sf_dir, corpus=None, terms=None):
-    if corpus is None:
-        corpus, terms = corpus_terms(spark, sf_dir)
-    labels = corpus.select("mail_id", "quality")
-    model, prior = CM.train_naive_bayes(terms, labels, "mail_id", "quality")
-    return CM.score_naive_bayes(corpus, terms, model, prior, "mail_id")
-
-
 @query("sentiment_nb")
 def q_sentiment_nb(spark, sf_dir):
-    return sentiment_scores(spark, sf_dir)
+    return CM.sentiment(*corpus_terms(spark, sf_dir), "quality")
 
 
 @query("perplexity_ngram")
@@ -558,17 +559,8 @@ def feature_table(spark, sf_dir):
     """Nine numeric features per mail in their fixed order (one function for
     training, scoring and ablation)."""
     c, dt = corpus_terms(spark, sf_dir)
-    model, prior = CM.train_naive_bayes(dt, c.select("mail_id", "quality"), "mail_id", "quality")
-    sums = CM.naive_bayes_sums(dt, model, "mail_id")
-    means = CM.bigram_mean_logprob(c, "mail_id", "body")
-    base = c.select("mail_id", "label", "body", "urls",
-                    FT.keyword_density(F.col("body")).alias("subjectivity"), *FT.url_features(F.col("urls")))
-    # one pass: both per-mail aggregates are hash-partitioned by mail_id
-    out = base.join(sums, "mail_id", "left").join(means, "mail_id", "left").withColumns({
-        "sentiment": CM.sentiment_from_sums(F.col("_s"), prior),
-        "perplexity": CM.perplexity_from_mean(F.col("_m")),
-    })
-    return out.select("mail_id", "label", "body", "urls", *K.FEATURES)
+    models = FM.FeatureModels.of(FM.FeatureCounts.fit(c, dt, "quality"))
+    return models.features(c, dt).select("mail_id", "label", "body", "urls", *K.FEATURES)
 
 
 @query("feature_table")
@@ -717,13 +709,13 @@ from ..operators import ml as ML  # noqa: E402
 
 def split_features(spark, sf_dir):
     """Feature table with a persisted stratified 80/20 split column."""
-    ft = feature_table(spark, sf_dir).drop("urls")
-    return RK.split_flag(ft, "mail_id", 0.2, 42, "label")
+    ft = materialize(feature_table(spark, sf_dir).drop("urls"), "features")
+    return materialize(RK.split_flag(ft, "mail_id", 0.2, 42, "label"), "split-features")
 
 
 @query("rf_scores")
 def q_rf_scores(spark, sf_dir):
-    data = split_features(spark, sf_dir).persist()
+    data = split_features(spark, sf_dir)
     model = ML.fit_text_classifier(data.filter("is_test = 0"), kind="rf")
     out = ML.positive_probability(model, data.filter("is_test = 1"), "p_rf")
     return out.select("mail_id", "label", F.round("p_rf", 6).alias("p_rf"), "pred")
@@ -731,7 +723,7 @@ def q_rf_scores(spark, sf_dir):
 
 @query("second_scores")
 def q_second_scores(spark, sf_dir):
-    data = split_features(spark, sf_dir).persist()
+    data = split_features(spark, sf_dir)
     model = ML.fit_text_classifier(data.filter("is_test = 0"), kind="logreg")
     out = ML.positive_probability(model, data.filter("is_test = 1"), "p_second")
     return out.select("mail_id", "label", F.round("p_second", 6).alias("p_second"), "pred")
@@ -748,7 +740,7 @@ def q_topk_importance(spark, sf_dir):
 @query("model_roundtrip")
 def q_model_roundtrip(spark, sf_dir):
     from pyspark.ml import PipelineModel
-    data = split_features(spark, sf_dir).persist()
+    data = split_features(spark, sf_dir)
     model = ML.fit_text_classifier(data.filter("is_test = 0"), kind="rf")
     path = scratch_path(spark, "rf-model")
     model.write().overwrite().save(path)
@@ -759,23 +751,106 @@ def q_model_roundtrip(spark, sf_dir):
     return a.join(b, "mail_id").withColumn("same", (F.col("p_before") == F.col("p_after")).cast("int"))
 
 
+FOLDS = 5
+FOLD_PLANS = {"stratified": RK.stratified_folds, "contiguous": RK.contiguous_folds}
+
+
+def folded_corpus(spark, sf_dir, plan):
+    """Cleaned corpus with its folds, its (mail_id, term, tf) table, and the counts by fold with classes from `class_col`."""
+    c, dt = corpus_terms(spark, sf_dir)
+    return materialize(FOLD_PLANS[plan](c, "mail_id", "label", FOLDS), "folded-corpus"), dt
+
+
+def cv_predictions(spark, sf_dir, plan, kind="rf", numeric=tuple(K.FEATURES)):
+    """(fold, mail_id, y, pred): every mail scored by the classifier of the fold that leaves it out.
+
+    Vocabulary, IDF, sentiment and perplexity of all folds come from one set of
+    counts, total less fold; the features of all training parts from one pass."""
+    c, dt = folded_corpus(spark, sf_dir, plan)
+    counts = FM.FeatureCounts.fit(c, dt, "quality", "fold")
+    features = materialize(FM.FeatureModels.of(counts, range(FOLDS)).features(c, dt)
+                           .select("mail_id", "label", "body", "fold", *K.FEATURES), "cv-features")
+    terms = counts.vocabulary(range(FOLDS)).collect()  # the vocabulary size times the folds
+    rows = []
+    for k in range(FOLDS):
+        train, test = FM.held_out(features, k)
+        vocabulary = ML.Vocabulary.of([r for r in terms if r["variant"] == k])
+        model = ML.fit_text_classifier(train, kind=kind, vocabulary=vocabulary, numeric_cols=numeric)
+        rows.append(ML.positive_probability(model, test, "p").select("fold", "mail_id", F.col("label").alias("y"), "pred"))
+    return R.union_sources(rows)
+
+
 @query("cv_report")
 def q_cv_report(spark, sf_dir):
-    """Stratified 5-fold CV: vocabulary, IDF and forest fitted inside each
-    fold; per-fold accuracy / F1 plus mean and population deviation."""
-    ft = feature_table(spark, sf_dir).drop("urls")
-    data = RK.stratified_folds(ft, "mail_id", "label").persist()
-    rows = []
-    for k in range(5):
-        model = ML.fit_text_classifier(data.filter(F.col("fold") != k), kind="rf")
-        pred = ML.positive_probability(model, data.filter(F.col("fold") == k), "p").withColumn("fold", F.lit(k))
-        rows.append(pred.select("fold", F.col("label").alias("y"), "pred"))
-    per_fold = M.binary_metrics(R.union_sources(rows), "y", "pred", ["fold"])
+    """Stratified 5-fold CV of the forest, everything fitted without the held-out fold;
+    per-fold accuracy / F1 plus mean and population deviation."""
+    per_fold = M.binary_metrics(cv_predictions(spark, sf_dir, "stratified"), "y", "pred", ["fold"])
     return M.with_mean_std(per_fold, ["accuracy", "f1"])
 
 
+@query("cv_quick")
+def q_cv_quick(spark, sf_dir):
+    """Quick CV: folds are contiguous runs of each class; accuracy per fold, mean and population deviation."""
+    per_fold = M.binary_metrics(cv_predictions(spark, sf_dir, "contiguous"), "y", "pred", ["fold"])
+    return M.with_mean_std(per_fold.drop("f1"), ["accuracy"])
+
+
+@query("cv_feature_models")
+def q_cv_feature_models(spark, sf_dir):
+    """(mail_id, fold, variant, sentiment, perplexity): every mail under the count models of every training part."""
+    c, dt = folded_corpus(spark, sf_dir, "stratified")
+    models = FM.FeatureModels.of(FM.FeatureCounts.fit(c, dt, "quality", "fold"), range(FOLDS))
+    rows = models.features(c, dt).select("mail_id", "fold", F.posexplode(F.arrays_zip("sentiment", "perplexity")).alias("variant", "x"))
+    return rows.select("mail_id", "fold", "variant", "x.sentiment", "x.perplexity")
+
+
+@query("cv_vocabulary")
+def q_cv_vocabulary(spark, sf_dir):
+    """The vocabulary and smoothed IDF of every training part."""
+    c, dt = folded_corpus(spark, sf_dir, "stratified")
+    voc = FM.FeatureCounts.fit(c, dt, "quality", "fold", pairs=False).vocabulary(range(FOLDS))
+    idf = F.round(F.log((F.col("n_mails") + 1) / (F.col("df") + 1)) + 1, 6)
+    return voc.select("variant", "term", "cf", "df", "term_index", idf.alias("idf"))
+
+
+@query("cv_naive_bayes")
+def q_cv_naive_bayes(spark, sf_dir):
+    """Cross-validated naive Bayes on the mail label, under both fold plans: one
+    aggregation and one scoring pass for all folds of a plan."""
+    out = []
+    for plan in FOLD_PLANS:
+        c, dt = folded_corpus(spark, sf_dir, plan)
+        llr, priors = FM.FeatureCounts.fit(c, dt, "label", "fold", pairs=False).naive_bayes(range(FOLDS))
+        scored = FM.class_log_odds(c.select("mail_id", "fold", "label"), dt, llr, priors)
+        own = F.round(F.element_at("_odds", F.col("fold") + 1), 6)  # the model that left the mail's fold out
+        preds = scored.select("fold", F.col("label").alias("y"), (own > 0).cast("int").alias("pred"))
+        out.append(M.with_mean_std(M.binary_metrics(preds, "y", "pred", ["fold"]), ["accuracy", "f1"]).withColumn("plan", F.lit(plan)))
+    return R.union_sources(out)
+
+
+@query("ablation_classifier")
+def q_ablation_classifier(spark, sf_dir):
+    """The trained second scorer with and without perplexity among its columns, on the held-out mails.
+
+    Variants are read from their store; one that is not there is left out of the report."""
+    data = split_features(spark, sf_dir)
+    root = scratch_path(spark, "ablation-models")
+    columns = {"full": tuple(K.FEATURES), "no_ppl": tuple(c for c in K.FEATURES if c != "perplexity")}
+    for variant, numeric in columns.items():
+        ML.fit_text_classifier(data.filter("is_test = 0"), kind="logreg", numeric_cols=numeric).write().overwrite().save(f"{root}/{variant}")
+    rows = []
+    for variant in (*columns, "never_trained"):
+        model = ML.load_optional(spark, f"{root}/{variant}")
+        if model is not None:
+            scored = ML.positive_probability(model, data.filter("is_test = 1"), "p")
+            rows.append(scored.select(F.lit(variant).alias("variant"), F.col("label").alias("y"), "pred"))
+    long = R.union_sources(rows)
+    return M.confusion_counts(long, "y", "pred", ["variant"]).join(M.binary_metrics(long, "y", "pred", ["variant"]).drop("n"), "variant")
+
+
 # ---------------------------------------------------------------- streaming keys
 from ..streaming import mailbox as ST  # noqa: E402
+from ..streaming.seen import SeenStore  # noqa: E402
 
 
 def drop_folder(spark, sf_dir):
@@ -801,9 +876,29 @@ def q_stream_score(spark, sf_dir):
 @query("stream_dedup")
 def q_stream_dedup(spark, sf_dir):
     root = drop_folder(spark, sf_dir)
-    sink, ckpt = scratch_path(spark, "stream-dedup-out"), scratch_path(spark, "stream-dedup-ckpt")
-    ST.run_available_now(ST.dedup_stream(spark, root), sink, ckpt)
-    return spark.read.parquet(sink)
+    store, sink, ckpt = (scratch_path(spark, f"stream-dedup-{n}") for n in ("seen", "out", "ckpt"))
+    ST.dedup_folder(spark, root, SeenStore(store), sink, ckpt)
+    return spark.read.parquet(sink).select("body_sha", "body_len")
+
+
+@query("stream_dedup_restart")
+def q_stream_dedup_restart(spark, sf_dir):
+    """Three runs of the stream: bodies of the mail corpus are known from a seeded batch table except every
+    body of the label-1 mails; a copy of the folder arrives after the first run; the last run has a new checkpoint."""
+    root = drop_folder(spark, sf_dir)
+    m = FX.mail_table(spark, sf_dir)
+    known = F.sha2(T.clean_text_deep(F.col("raw_body")), 256).alias("hash")
+    store, sink = SeenStore(scratch_path(spark, "seen")), scratch_path(spark, "restart-out")
+    store.seed(m.filter("label = 0").select(known))
+    first, second = scratch_path(spark, "restart-ckpt"), scratch_path(spark, "restart-ckpt")
+    ST.dedup_folder(spark, root, store, sink, first)
+    late = m.select(F.concat(F.lit("late/"), F.col("mail_id").cast("string"), F.lit(".eml")).alias("name"),
+                    FX.render_message(F.col("subject"), F.col("sender"), F.col("raw_body")).alias("content"))
+    SM.write_message_files(late, root, "name", "content")
+    ST.dedup_folder(spark, root, store, sink, first)
+    store.compact(spark)
+    ST.dedup_folder(spark, root, store, sink, second)
+    return spark.read.parquet(sink).select("body_sha", "body_len")
 
 
 @query("rf_holdout_report")

@@ -124,6 +124,10 @@ SELECT mail_id, CAST({S.keyword_hits('raw_body', K.LEXICON_FULL35)} AS INTEGER)
        {S.keyword_density('raw_body', K.LEXICON_FULL35)} AS density_full35,
        CAST({S.keyword_hits('raw_body', K.LEXICON_SHORT9)} AS INTEGER) AS hits_short9,
        {S.keyword_density('raw_body', K.LEXICON_SHORT9)} AS density_short9 FROM mail""")
+oracle("lexicon_hits", f"""WITH {MAIL}, lex AS (SELECT DISTINCT unnest({S.tokenize('text')}) AS term FROM benchmark),
+h AS (SELECT mail_id, count(*) AS n FROM mail JOIN lex ON contains(raw_body, term) GROUP BY mail_id)
+SELECT mail_id, CAST(coalesce(n, 0) AS BIGINT) AS hits, coalesce(n, 0) / greatest(length(coalesce(raw_body, '')), 1) AS density
+FROM mail LEFT JOIN h USING (mail_id)""")
 oracle("tokenize_corpus", f"""WITH {MAIL},
 t AS (SELECT mail_id, unnest({S.tokenize('raw_body')}) AS token FROM mail)
 SELECT mail_id, token, count(*) AS n FROM t GROUP BY mail_id, token""")
@@ -361,6 +365,59 @@ SELECT me.mail_id, me.label, sent.sentiment, {S.keyword_density('me.body')} AS s
        CAST(coalesce(f.a, 0) AS INTEGER) AS has_at_symbol, CAST(coalesce(f.ip, 0) AS INTEGER) AS has_ip_url,
        coalesce(f.s, 0.0) AS avg_subdomains, CAST(coalesce(f.c, 0) AS INTEGER) AS url_count, ppl.perplexity
 FROM me JOIN sent ON me.mail_id = sent.mail_id JOIN ppl ON me.mail_id = ppl.mail_id LEFT JOIN f ON me.mail_id = f.mail_id""")
+# Cross-validation: every training part is counted anew, by leaving its fold out
+_FOLD = {"stratified": f"CAST(({_hrank('mail_id', "'42'", 'label')} - 1) % 5 AS INTEGER)",
+         "contiguous": "CAST(ntile(5) OVER (PARTITION BY label ORDER BY mail_id) - 1 AS INTEGER)"}
+_VARIANTS = "variants AS (SELECT unnest([0, 1, 2, 3, 4]) AS variant)"
+
+
+def _cv_bayes(class_rel: str, fold: str, p: str = "") -> str:
+    """CTEs: folds, class marks, naive Bayes of each training part and the log odds of every mail under each."""
+    return f"""{p}fo AS (SELECT mail_id, label, {fold} AS fold FROM mail),
+{p}lab AS ({class_rel.format(fo=p + 'fo')}),
+{p}per AS (SELECT variant, term, sum(CASE WHEN c = 1 THEN tf ELSE 0 END) AS n1, sum(CASE WHEN c = 0 THEN tf ELSE 0 END) AS n0
+  FROM dt JOIN {p}lab USING (mail_id) CROSS JOIN variants WHERE fold <> variant GROUP BY variant, term),
+{p}tot AS (SELECT variant, CAST(sum(n1) AS DOUBLE) AS t1, CAST(sum(n0) AS DOUBLE) AS t0, count(*) AS v FROM {p}per GROUP BY variant),
+{p}pr AS (SELECT variant, ln(sum(c) / count(*)) - ln((count(*) - sum(c)) / count(*)) AS prior FROM {p}lab CROSS JOIN variants
+  WHERE fold <> variant GROUP BY variant),
+{p}nbs AS (SELECT dt.mail_id, variant, sum(tf * (ln((n1 + 1) / (t1 + v)) - ln((n0 + 1) / (t0 + v)))) AS s
+  FROM dt JOIN {p}per USING (term) JOIN {p}tot USING (variant) GROUP BY dt.mail_id, variant),
+{p}odds AS (SELECT {p}fo.mail_id, label, fold, variant, prior + coalesce(s, 0.0) AS odds
+  FROM {p}fo CROSS JOIN {p}pr LEFT JOIN {p}nbs USING (mail_id, variant))"""
+
+
+_QUALITY = "SELECT mail_id, CAST(quality AS INTEGER) AS c, fold FROM mail JOIN {fo} USING (mail_id) WHERE quality IS NOT NULL"
+_LABEL = "SELECT mail_id, label AS c, fold FROM {fo}"
+oracle("cv_feature_models", f"""WITH {DT}, {_VARIANTS}, {_cv_bayes(_QUALITY, _FOLD['stratified'])},
+t AS (SELECT me.mail_id, fold, body AS t FROM me JOIN fo ON me.mail_id = fo.mail_id),
+bgr AS (SELECT mail_id, fold, bg, count(*) AS n FROM (SELECT mail_id, fold, unnest(CASE WHEN length(t) < 2 THEN []::VARCHAR[]
+          ELSE list_transform(range(1, length(t)), lambda i: substring(t, i, 2)) END) AS bg FROM t) GROUP BY mail_id, fold, bg),
+cnt AS (SELECT variant, bg, substring(bg, 1, 1) AS a, sum(n) AS c_ab FROM bgr CROSS JOIN variants WHERE fold <> variant GROUP BY variant, bg),
+ctx AS (SELECT variant, a, sum(c_ab) AS c_a FROM cnt GROUP BY variant, a),
+vv AS (SELECT variant, count(DISTINCT ch) AS v FROM (SELECT fold, unnest(regexp_extract_all(t, '(?s).')) AS ch FROM t) CROSS JOIN variants
+       WHERE fold <> variant GROUP BY variant),
+pp AS (SELECT mail_id, variant, sum(n * ln((coalesce(c_ab, 0) + 1) / (coalesce(c_a, 0) + v))) / sum(n) AS m
+       FROM bgr CROSS JOIN vv LEFT JOIN cnt USING (variant, bg) LEFT JOIN ctx ON ctx.variant = vv.variant AND ctx.a = substring(bgr.bg, 1, 1)
+       GROUP BY mail_id, variant)
+SELECT odds.mail_id, odds.fold, odds.variant, round(1.0 / (1.0 + exp(-odds)), 6) AS sentiment, round(coalesce(ln(1 + exp(-m)), 0.0), 6) AS perplexity
+FROM odds LEFT JOIN pp ON odds.mail_id = pp.mail_id AND odds.variant = pp.variant""")
+oracle("cv_vocabulary", f"""WITH {DT}, {_VARIANTS}, fo AS (SELECT mail_id, {_FOLD['stratified']} AS fold FROM mail),
+per AS (SELECT variant, term, CAST(sum(tf) AS BIGINT) AS cf, count(*) AS df FROM dt JOIN fo USING (mail_id) CROSS JOIN variants
+        WHERE fold <> variant GROUP BY variant, term),
+n AS (SELECT variant, count(*) AS n_mails FROM fo CROSS JOIN variants WHERE fold <> variant GROUP BY variant),
+r AS (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY cf DESC, term) - 1 AS i FROM per)
+SELECT variant, term, cf, df, CAST(i AS INTEGER) AS term_index, round(ln((1.0 + n_mails) / (df + 1)) + 1, 6) AS idf
+FROM r JOIN n USING (variant) WHERE i < 500""")
+
+
+def _cv_metrics(p: str, plan: str) -> str:
+    preds = f"(SELECT fold, label AS y, CAST(round(odds, 6) > 0 AS INTEGER) AS pred FROM {p}odds WHERE fold = variant)"
+    cols = ", ".join(f"round(avg({v}) OVER (), 6) AS {v}_mean, round(stddev_pop({v}) OVER (), 6) AS {v}_std" for v in ("accuracy", "f1"))
+    return f"SELECT *, {cols}, '{plan}' AS plan FROM ({_metrics(_cm(preds, 'fold'), 'fold')})"
+
+
+oracle("cv_naive_bayes", f"""WITH {DT}, {_VARIANTS}, {_cv_bayes(_LABEL, _FOLD['stratified'], 's')}, {_cv_bayes(_LABEL, _FOLD['contiguous'], 'q')}
+{_cv_metrics('s', 'stratified')} UNION ALL {_cv_metrics('q', 'contiguous')}""")
 oracle("parse_url_list_text", f"""WITH {MAIL}, uf AS (SELECT mail_id, {S.extract_urls('raw_body')} AS urls FROM mail)
 SELECT mail_id, CAST(length(urls) AS INTEGER) AS url_count, array_to_string(urls, ' ') AS urls_text FROM uf""")
 
@@ -417,3 +474,5 @@ FROM conversations WHERE turn % 6 = 3""")
 oracle("stream_score", S.score_mailbox_sql("ENSEMBLE"))
 oracle("stream_dedup", f"""WITH {MAIL_EMAIL}, b AS (SELECT {S.clean_deep('raw_body')} AS body FROM mail)
 SELECT DISTINCT sha256(body) AS body_sha, CAST(length(body) AS INTEGER) AS body_len FROM b""")
+oracle("stream_dedup_restart", f"""WITH {MAIL_EMAIL}, b AS (SELECT {S.clean_deep('raw_body')} AS body, label FROM mail)
+SELECT sha256(body) AS body_sha, CAST(length(body) AS INTEGER) AS body_len FROM b GROUP BY body HAVING min(label) = 1""")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from .. import constants as K
+from .quoted import read_quoted
 
 # Options that make a CSV/TSV round trip lossless (quoted multi-line fields,
-# doubled quotes, whitespace kept).
+# doubled quotes, whitespace kept).  Reading goes through `quoted`, which splits files.
 CSV_OPTIONS = {
     "header": "true", "quote": '"', "escape": '"', "multiLine": "true",
     "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
@@ -27,7 +28,7 @@ def scan_tsv_positional(spark: SparkSession, path: str, names=("label_id", "body
     """Two-column TSV with a header whose names are ignored: columns are
     taken by position and renamed."""
     schema = ", ".join(f"{n} {t}" for n, t in zip(names, types))
-    return spark.read.options(sep="\t", **CSV_OPTIONS).schema(schema).csv(path)
+    return read_quoted(spark, path, schema, sep="\t")
 
 
 def write_email_csv(df: DataFrame, path: str) -> None:
@@ -38,7 +39,7 @@ def write_email_csv(df: DataFrame, path: str) -> None:
 
 def scan_email_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV source with a declared schema (no inference); `urls` parsed back."""
-    df = spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
+    df = read_quoted(spark, path, schema)
     if "urls" in df.columns:
         df = df.withColumn("urls", F.coalesce(F.from_json("urls", "array<string>"), F.array().cast("array<string>")))
     return df

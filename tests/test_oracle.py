@@ -1,4 +1,4 @@
-"""Every SQL-expressible key against its DuckDB oracle on sf0.001."""
+"""Every SQL-expressible key against its DuckDB oracle on sf0.001, and its plan."""
 
 import hashlib
 import math
@@ -31,6 +31,8 @@ def digest(cols, rows):
 @pytest.mark.parametrize("key", sorted(E.oracle_sql()))
 def test_matches_oracle(spark, duck, key):
     sdf = E.queries()[key](spark, SF)
+    plan = sdf._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan  # no row-at-a-time Python
     srows = [tuple(r) for r in sdf.collect()]
     res = duck.execute(E.oracle_sql()[key])
     dcols = [d[0] for d in res.description]
