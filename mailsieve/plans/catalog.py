@@ -31,9 +31,15 @@ def split_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RK.split_flag(FX.mail_table(spark, sf_dir), "mail_id", 0.2, 42, "label")
 
 
+_FITTED: dict[tuple[str, str], BY.MailScorers] = {}
+
+
 def mail_scorers(spark: SparkSession, sf_dir: str) -> BY.MailScorers:
-    """Both scorers, fitted on the training part of MAIL."""
-    return BY.MailScorers.fit(split_mail(spark, sf_dir).filter("is_test = 0"))
+    """Both scorers, fitted on the training part of MAIL once an application; they are a few hundred numbers."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _FITTED:
+        _FITTED[key] = BY.MailScorers.fit(split_mail(spark, sf_dir).filter("is_test = 0"))
+    return _FITTED[key]
 
 
 def scored_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,9 +90,9 @@ def pred_table(spark, sf_dir, labelled_only=False):
     return p.select("mail_id", "y", "p_rf", "p_second", risk.cast("int").alias("url_max_risk"))
 
 
-def pred_long(spark, sf_dir):
-    """(mail_id, model, y, pred) for the three scorers on labelled mails."""
-    p = pred_table(spark, sf_dir, labelled_only=True)
+def pred_long(spark, sf_dir, p=None):
+    """(mail_id, model, y, pred) for the three scorers on labelled mails, or on those of a prediction table."""
+    p = pred_table(spark, sf_dir, labelled_only=True) if p is None else p
     fused = SC.fuse(F.col("p_rf"), F.col("p_second"))
     models = F.array(
         F.struct(F.lit("rf").alias("model"), SC.is_phishing(F.round(F.col("p_rf"), 6)).alias("pred")),
@@ -278,9 +284,9 @@ def q_tokenize_corpus(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- relational keys
-def mail_email(spark, sf_dir):
-    """MAIL as e-mail rows: defaults applied, deep-cleaned body, URLs."""
-    m = FX.mail_table(spark, sf_dir)
+def mail_email(spark, sf_dir, mails=None):
+    """MAIL (or some of it) as e-mail rows: defaults applied, deep-cleaned body, URLs."""
+    m = FX.mail_table(spark, sf_dir) if mails is None else mails
     m = m.withColumns({"body": T.clean_text_deep(F.col("raw_body")),
                        "urls": U.extract_urls(F.col("raw_body"))})
     m = R.default_columns(m).withColumn("url_count", F.size("urls"))
@@ -366,8 +372,8 @@ def q_union_ragged(spark, sf_dir):
 
 @query("head_preview")
 def q_head_preview(spark, sf_dir):
-    m = mail_email(spark, sf_dir)
-    return m.orderBy("mail_id").limit(5).select("mail_id", "subject", "sender", "reply_to", "received_count",
+    first = FX.mail_table(spark, sf_dir).orderBy("mail_id").limit(5)  # cleaned after the limit: five bodies, not all
+    return mail_email(spark, sf_dir, first).select("mail_id", "subject", "sender", "reply_to", "received_count",
                                                  F.substring("body", 1, 60).alias("body_head"), "url_count", "label")
 
 
@@ -431,8 +437,9 @@ def q_classification_report(spark, sf_dir):
 
 
 def fold_metrics(spark, sf_dir):
-    folds = RK.stratified_folds(pred_table(spark, sf_dir, True), "mail_id", "y").select("mail_id", "fold")
-    return M.binary_metrics(pred_long(spark, sf_dir).join(folds, "mail_id"), "y", "pred", ["model", "fold"])
+    p = materialize(pred_table(spark, sf_dir, True), "held-out-scores")
+    folds = RK.stratified_folds(p, "mail_id", "y").select("mail_id", "fold")
+    return M.binary_metrics(pred_long(spark, sf_dir, p).join(folds, "mail_id"), "y", "pred", ["model", "fold"])
 
 
 @query("fold_summary")
@@ -443,9 +450,9 @@ def q_fold_summary(spark, sf_dir):
 @query("seed_stability")
 def q_seed_stability(spark, sf_dir):
     """Five 20% hash samples of the held-out labelled rows, accuracy/F1 of the fused score per seed, then mean and deviation."""
-    p = pred_table(spark, sf_dir, True)
+    p = materialize(pred_table(spark, sf_dir, True), "held-out-scores")
     samples = RK.sample_fraction_seeds(p.select("mail_id"), "mail_id")
-    preds = pred_long(spark, sf_dir).filter(F.col("model") == "fused")
+    preds = pred_long(spark, sf_dir, p).filter(F.col("model") == "fused")
     per_seed = M.binary_metrics(samples.join(preds, "mail_id"), "y", "pred", ["seed"])
     return M.mean_std(per_seed, ["accuracy", "f1"]).withColumn("n_seeds", F.lit(5))
 

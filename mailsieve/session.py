@@ -73,5 +73,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+SPREAD_FROM, SPREAD_TO = 1 << 19, 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table with its rows dealt to all cores, where it is too small for its files to do that.
+
+    A table of one file with one row group is read by one task, and all narrow
+    work on it follows there.  From SPREAD_TO bytes a core on, the files' own
+    splits are enough and nothing is moved; below SPREAD_FROM in all it is not
+    worth a shuffle.  Filters and column choices still reach the scan."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if SPREAD_FROM <= size < cores * SPREAD_TO else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
