@@ -26,7 +26,7 @@ _SPECIAL = "<|"  # begins a special token
 _PROBE = "It's 42 ñandú's,\n\n(don't) x1²º.\nThe end... I'LL we've"
 
 
-def _bytes_of_symbols() -> dict[str, int]:
+def bytes_of_symbols() -> dict[str, int]:
     """The printable stand-in of each byte in such a vocabulary: itself if printable, else the next character from U+0100."""
     shown = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = [b for b in range(256) if b not in set(shown)]
@@ -46,7 +46,7 @@ class ByteIds:
             spec = json.load(f)
         self.library = Tokenizer.from_str(json.dumps(spec))
         special = {t["content"] for t in spec["added_tokens"]}
-        symbols = _bytes_of_symbols()
+        symbols = bytes_of_symbols()
         vocab = {t: i for t, i in spec["model"]["vocab"].items() if t not in special}
         merged = [m if isinstance(m, str) else " ".join(m) for m in spec["model"]["merges"]]
         ids = [vocab[m.replace(" ", "")] for m in merged]

@@ -33,6 +33,16 @@ def test_word_ids_equal_the_library():
     assert encoder.encode([]) == []
 
 
+def test_rank_merges_equal_the_library_on_all_vocabulary_words():
+    library = Tokenizer.from_file(WORDS)
+    random.seed(11)
+    words = sorted({t.removesuffix("</w>") for t in library.get_vocab()})
+    words = [w for w in words if w.isalpha() and w.isascii()]
+    words += [a + b for a, b in zip(random.choices(words, k=20000), random.choices(words, k=20000))]
+    words += ["".join(random.choices("abcdeèéñöß", k=random.randint(1, 15))) for _ in range(20000)]
+    assert word_ids.WordIds(WORDS).encode(words) == [u32(e.ids) for e in library.encode_batch_fast(words, add_special_tokens=False)]
+
+
 def test_word_ids_refuse_other_vocabularies():
     with pytest.raises(ValueError):
         word_ids.WordIds(P.path("byte_bpe_50k.json"))
