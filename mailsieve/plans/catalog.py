@@ -351,6 +351,17 @@ def q_url_presence_by_label(spark, sf_dir):
         F.round(F.avg((F.col("url_count") > 0).cast("int")), 6).alias("share_with_urls"))
 
 
+@query("leak_report")
+def q_leak_report(spark, sf_dir):
+    """Mutual information with the label, alone and given the source, of the mails' and the fraud table's features."""
+    columns = ["source", "label", "urls", "body"]
+    m = mail_email(spark, sf_dir).withColumn("source", F.col("source_dataset")).select(*columns)
+    f = fraud_email(spark, sf_dir).withColumn("source", F.col("source_dataset")).select(*columns)
+    rows = m.unionByName(f).select("source", "label", F.size("urls").alias("url_count"), F.length("body").alias("body_len"),
+                                   FT.keyword_hits(F.col("body")).alias("keyword_hits"))
+    return LK.leak_report(materialize(rows, "leak-features"), ["url_count", "body_len", "keyword_hits"])
+
+
 @query("union_sources")
 def q_union_sources(spark, sf_dir):
     m = mail_email(spark, sf_dir).select(F.lit("mail").alias("origin"), "mail_id", "label", "body")
@@ -509,6 +520,8 @@ def q_ablation_report(spark, sf_dir):
 # ---------------------------------------------------------------- corpus model keys
 from ..operators import corpus_models as CM  # noqa: E402
 from ..operators import feature_models as FM  # noqa: E402
+from ..operators import heavy_terms as HT  # noqa: E402
+from ..operators import leaks as LK  # noqa: E402
 
 
 def corpus_terms(spark, sf_dir):
@@ -531,6 +544,12 @@ def q_vocab_top500(spark, sf_dir):
     return CM.vocabulary(CM.term_stats(dt, "mail_id"), K.VOCAB_SIZE).select("term", "cf", "df", "term_index")
 
 
+@query("vocab_top500_summary")
+def q_vocab_top500_summary(spark, sf_dir):
+    """The same vocabulary from mergeable summaries and an exact count of the candidates."""
+    return HT.top_terms(mail_email(spark, sf_dir).select("mail_id", "body"), "body", K.VOCAB_SIZE)
+
+
 @query("topk_terms")
 def q_topk_terms(spark, sf_dir):
     _, dt = corpus_terms(spark, sf_dir)

@@ -168,6 +168,26 @@ oracle("url_presence_by_label", f"""WITH {MAIL_EMAIL}, {FRAUD_EMAIL},
 u AS (SELECT source_dataset, label, url_count FROM me UNION ALL SELECT source_dataset, label, url_count FROM fe)
 SELECT source_dataset, label, count(*) AS n, round(avg(CASE WHEN url_count > 0 THEN 1 ELSE 0 END), 6) AS share_with_urls
 FROM u GROUP BY source_dataset, label""")
+
+
+def _bits(given: str) -> str:
+    """Mutual information of bucket and label within the groups of `given` (a comma and columns, or nothing)."""
+    w = lambda keys: f"sum(n) OVER (PARTITION BY feature{given}{keys})"
+    return (f"SELECT feature, round(greatest(sum(t), 0.0), 6) AS bits FROM (SELECT feature, n / sum(n) OVER (PARTITION BY feature) "
+            f"* log2(n * {w('')} / ({w(', bucket')} * {w(', label')})) AS t "
+            f"FROM (SELECT feature{given}, bucket, label, CAST(count(*) AS DOUBLE) AS n FROM cells GROUP BY feature{given}, bucket, label)) GROUP BY feature")
+
+
+oracle("leak_report", f"""WITH {MAIL_EMAIL}, {FRAUD_EMAIL},
+u AS (SELECT source_dataset AS source, label, body, url_count FROM me UNION ALL SELECT source_dataset, label, body, url_count FROM fe),
+wide AS (SELECT source, label, url_count, length(body) AS body_len, {S.keyword_hits('body')} AS keyword_hits FROM u),
+long AS (SELECT 'url_count' AS feature, source, label, url_count AS v FROM wide UNION ALL SELECT 'body_len', source, label, body_len FROM wide
+         UNION ALL SELECT 'keyword_hits', source, label, keyword_hits FROM wide),
+lim AS (SELECT feature, list_distinct(quantile_disc(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS q FROM long GROUP BY feature),
+cells AS (SELECT feature, source, label, len(list_filter(q, lambda x: v > x)) AS bucket FROM long JOIN lim USING (feature)),
+alone AS ({_bits('')}), given AS ({_bits(', source')})
+SELECT feature, alone.bits, given.bits AS bits_given_source, CAST(row_number() OVER (ORDER BY alone.bits DESC, feature) AS INTEGER) AS rank
+FROM alone JOIN given USING (feature)""")
 oracle("union_sources", f"""WITH {MAIL_EMAIL}, {FRAUD_EMAIL}
 SELECT 'mail' AS origin, mail_id, label, CAST(length(body) AS INTEGER) AS body_len FROM me
 UNION ALL SELECT 'fraud', mail_id, label, CAST(length(body) AS INTEGER) FROM fe""")
@@ -313,6 +333,7 @@ def _voc(k: int) -> str:
 
 oracle("term_stats", f"WITH {DT} SELECT * FROM st")
 oracle("vocab_top500", f"WITH {DT} {_voc(500)}")
+oracle("vocab_top500_summary", f"WITH {DT} {_voc(500)}")
 oracle("topk_terms", f"WITH {DT} {_voc(10)}")
 oracle("term_counts", f"WITH {DT}, voc AS ({_voc(500)}) SELECT dt.mail_id, dt.term, voc.term_index, dt.tf FROM dt JOIN voc ON dt.term = voc.term")
 oracle("tfidf_table", f"""WITH {DT}, voc AS ({_voc(500)}), nd AS (SELECT count(*) AS n FROM me),
