@@ -27,12 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep_only, materialize, table, text_slices
+from .common import byte_slices, keep_only, materialize, table
 from .word_ids import encoder
 
 MAGIC = b"RPG1"
 BLOCK_IDS = 1 << 19  # ids that end a block (a block holds whole documents)
-SLICE_CHARS = 2_000_000  # text encoded at once
+SLICE_BYTES = 6_000_000  # text encoded at once
 LEAST_SAVED = 0.02  # share of the symbols that a round must save to be followed by another
 LEAST_USES = 24  # occurrences that make a pair worth a rule
 MARK_EVERY = 256  # symbols from one mark to the next
@@ -189,7 +189,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int = BLO
 
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
-            for at, texts in text_slices(batch, "text", SLICE_CHARS):
+            for at, texts in byte_slices(batch.column("text"), SLICE_BYTES):
                 for doc_id, ids in zip(doc_ids[at:at + len(texts)], encode(texts)):
                     parts += (ids, end)
                     n = len(ids) // 4 + 1
