@@ -14,13 +14,17 @@ which then may differ by one element: its one-deletion neighbourhood is indexed.
 A set whose lighter segment has one element more emits the same signatures, as
 its partner may have decided so.
 
-Signatures travel in packed arrays; no row is made for one that a single
-document has.  In a first round every document meets the smallest one of its
-signature (linear in the signatures); exact overlaps decide, and linked
-documents form components.  In a second round, documents that shared signatures
-connect, but not all links, are compared across components: by blocks of such a
-cluster, exactly, and only pairs that share a rare shingle.  So no link between
-components is lost, and pairs of copies are never made rows.
+Signatures travel in packed arrays.  Documents of a signature that few share
+(SMALL) are paired with each other; where more do, each meets the smallest one,
+already in its task.  A pair goes on if its sizes allow the similarity and so do
+the documents' sketches: parities of hashed shingles, in which as many bits
+differ as elements do at most.  Exact overlaps of whole texts decide, and linked
+documents form components.  For signatures of many documents that are not all in
+one component by then, the documents that such signatures connect are compared
+across components, by blocks, exactly, and only pairs that share a rare shingle.
+So no link between components is lost, and large groups of copies are never
+made pairs.  Texts are moved only of documents that a bit filter of bounded size
+takes for members of pairs.
 
 Edge cases: a text without words is empty and linked with nothing; with fewer
 words than a shingle the whole sequence is one; a null doc_id has no component;
@@ -44,6 +48,10 @@ from .components import components
 from .shingles import mixed, overlap, shingle_sets
 
 LIGHT = 0  # elements of a segment up to which a pair's allowance goes to the union
+SMALL = 32  # documents that share a signature up to which all are paired
+SKETCH_BITS = 1024  # parities kept of a set
+BUCKETS = 64  # parts of the signatures, at least
+FILTER_WORDS = 1 << 20  # 64-bit words of a filter at most
 MEMBERS = 256  # documents that are compared with one in one group
 BLOCK = 1024  # documents of a block of a cluster
 
@@ -109,12 +117,38 @@ def _similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * common >= num * (len(a) + len(b) - common)
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """Parity of the elements that each of SKETCH_BITS bits stands for."""
+    at = (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+
+
+def may_link(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of sizes n and m with sketches x and y (a row each) can be similar enough: differing bits are differing elements."""
+    apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return (den * np.minimum(n, m) >= num * np.maximum(n, m)) & (apart * (den + num) <= (n + m) * (den - num))
+
+
+def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id is among the (distinct) ids, and a few others: one bit an id in a filter of at most FILTER_WORDS words."""
+    words = 1 << max(6, min(FILTER_WORDS, ids.count() // 4 + 1).bit_length())
+
+    def at(column: str):
+        return (F.pmod(F.shiftright(F.xxhash64(column), 6), F.lit(words)).alias("_word"),
+                F.expr(f"shiftleft(1L, cast(xxhash64({column}) & 63 AS int))"))
+
+    word, bit = at(ids.columns[0])
+    bits = ids.select(word, bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    word, bit = at("doc_id")
+    near = docs.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bits), "_word")
+    return near.filter(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_word", "_bit", "_bits")
+
+
 def _signed(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> DataFrame:
     """Sizes, links of exact copies within a task, and packed signatures by bucket.
 
-    Row kinds: 0 a document (a, n); 1 a link (a, b); 3 packed signatures of a
-    bucket; 4 a pair to be verified (a, b); 5 documents that share a signature
-    but are of too different sizes (a, b).
+    Row kinds: 0 a document (a, n, sketch in packed); 1 a link (a, b); 3 packed signatures of a
+    bucket; 4 a pair to be verified (a, b); 6 a document and the smallest one of a signature that many share (a, b).
     """
     schema = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("bucket", pa.int32()),
                         ("packed", pa.binary())])
@@ -136,7 +170,7 @@ def _signed(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> Da
             for at, texts in text_slices(batch, "text"):
                 ids = doc_ids[at:at + len(texts)]
                 sets = shingle_sets(texts, width)
-                yield rows(kind=0, a=ids, n=[len(s) for s in sets])
+                yield rows(kind=0, a=ids, n=[len(s) for s in sets], packed=[sketch(s) for s in sets])
                 copies: list[tuple[int, int]] = []
                 for doc_id, s in zip(ids, sets):
                     if doc_id is None or not len(s):
@@ -158,11 +192,13 @@ def _signed(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> Da
             doc_id, size = np.array(docs_, np.int64), np.array(sizes, np.int64)
             order = np.lexsort((doc_id[doc], sig))
             sig, doc = sig[order], doc[order]
-            lead, count = _groups(sig)  # one document a signature goes to the other tasks
-            for kind, pairs in _pairs(doc_id[doc], size[doc], lead, count, num, den).items():
+            lead, count = _groups(sig)  # where many share a signature, just so many go to the other tasks that it counts as such there too
+            many = np.repeat(count > SMALL, count)
+            for kind, pairs in _stars(doc_id[doc[many]], size[doc[many]], *_groups(sig[many]), num, den).items():
                 if len(pairs):
                     yield rows(kind=kind, a=pairs[:, 0], b=pairs[:, 1])
-            sig, doc = sig[lead], doc[lead]
+            stay = np.arange(len(sig)) - np.repeat(lead, count) <= SMALL
+            sig, doc = sig[stay], doc[stay]
             bucket = (sig % np.uint64(buckets)).astype(np.int32)
             order = np.lexsort((doc, bucket))
             sig, doc, bucket = sig[order], doc[order], bucket[order]
@@ -197,29 +233,68 @@ def _groups(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lead, np.diff(np.append(lead, len(sig)))
 
 
-def _pairs(doc: np.ndarray, size: np.ndarray, lead: np.ndarray, count: np.ndarray, num: int, den: int) -> dict[int, np.ndarray]:
-    """Distinct pairs of each run's documents with its first: kind 4 where the sizes allow the similarity, 5 elsewhere."""
+def _fit(n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
+    return den * np.minimum(n, m) >= num * np.maximum(n, m)
+
+
+def _stars(doc: np.ndarray, size: np.ndarray, lead: np.ndarray, count: np.ndarray, num: int, den: int) -> dict[int, np.ndarray]:
+    """Distinct pairs of each run's documents with its first: all as kind 6, those whose sizes allow the similarity as kind 4 too."""
     first = np.repeat(lead, count)
-    a, b, n, m = doc, doc[first], size, size[first]
-    close = den * np.minimum(n, m) >= num * np.maximum(n, m)
-    return {kind: np.unique(np.stack((a[keep], b[keep]), 1), axis=0) for kind, keep in ((4, (a != b) & close), (5, (a != b) & ~close))}
+    a, b, apart = doc, doc[first], doc != doc[first]
+    close = _fit(size, size[first], num, den)
+    return {kind: np.unique(np.stack((a[keep], b[keep]), 1), axis=0) for kind, keep in ((4, apart & close), (6, apart))}
+
+
+def _pairs(doc: np.ndarray, size: np.ndarray, lead: np.ndarray, count: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Distinct pairs (larger id, smaller id) within runs of at most SMALL documents, as far as the sizes allow the similarity."""
+    out = [np.zeros((0, 2), np.int64)]
+    place = np.where(np.repeat(count <= SMALL, count), np.arange(len(doc)) - np.repeat(lead, count), 0)
+    for step in range(1, SMALL):  # each document and the one `step` places before it
+        keep = np.flatnonzero(place >= step)
+        if not len(keep):
+            break
+        x, y = doc[keep], doc[keep - step]
+        good = (x != y) & _fit(size[keep], size[keep - step], num, den)
+        out.append(np.unique(np.stack((np.maximum(x, y)[good], np.minimum(x, y)[good]), 1), axis=0))
+    return np.unique(np.concatenate(out), axis=0)
 
 
 def _met(num: int, den: int):
-    """Function of a bucket's rows: the pairs of documents that several tasks' signatures bring together."""
+    """Function of a bucket's rows: the pairs of documents that signatures bring together."""
 
     def run(table_: pa.Table) -> pa.Table:
         parts = [_unpack(p.as_py()) for p in table_.column("packed")]
         sig, doc, size = (np.concatenate([p[i] for p in parts]) for i in range(3))
         order = np.lexsort((doc, sig))
         sig, doc, size = sig[order], doc[order].astype(np.int64), size[order].astype(np.int64)
-        pairs = _pairs(doc, size, *_groups(sig), num, den)
-        return pa.table({"kind": pa.array(np.repeat(list(pairs), [len(p) for p in pairs.values()]), pa.int8()),
-                         **{c: pa.array(np.concatenate([p[:, i] for p in pairs.values()])) for i, c in enumerate("ab")}})
+        lead, count = _groups(sig)
+        shared = np.repeat(count > 1, count)  # most signatures are one document's
+        sig, doc, size = sig[shared], doc[shared], size[shared]
+        lead, count = _groups(sig)
+        many = np.repeat(count > SMALL, count)
+        found = _stars(doc[many], size[many], *_groups(sig[many]), num, den)
+        found[4] = np.unique(np.concatenate((found[4], _pairs(doc, size, lead, count, num, den))), axis=0)
+        return pa.table({"kind": pa.array(np.repeat(list(found), [len(p) for p in found.values()]), pa.int8()),
+                         **{c: pa.array(np.concatenate([p[:, i] for p in found.values()])) for i, c in enumerate("ab")}})
 
     return run
 
 
+def _sketched(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sketches allow the similarity.  Rows that repeat a doc_id have a sketch each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64) for c in ("s_a", "s_b"))
+                yield batch.select(["a", "b"]).filter(pa.array(may_link(n, m, x, y, num, den)))
+
+    for side in "ab":
+        mine = sizes.select(F.col("a").alias(side), F.col("n").alias(f"n_{side}"), F.col("packed").alias(f"s_{side}"))
+        pairs = pairs.join(mine, side)
+    return pairs.mapInArrow(run, "a long, b long").distinct()
+
+
 def _close_pairs(sets: list[np.ndarray], group: list[int], side: list[int], num: int, den: int) -> list[tuple[int, int]]:
     """Pairs of sets that link, as far as they join groups; with two sides, pairs across them.
 
@@ -267,7 +342,7 @@ def _within_clusters(clusters: DataFrame, found: DataFrame, docs: DataFrame, wid
     members = (named.join(open_, "cluster")
                .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")))
     members = materialize(members, "open")
-    texts = keep_only(docs, "doc_id", "text").join(members, F.col("doc_id") == F.col("node"))
+    texts = likely(keep_only(docs, "doc_id", "text"), members.select("node").distinct()).join(members, F.col("doc_id") == F.col("node"))
     placed = (texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
               .select("cluster", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "own", "text"))
 
@@ -291,7 +366,7 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) ->
     MEMBERS, each with a copy of that one's text.
     """
     groups = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(MEMBERS)).cast("int").alias("parts"))
-    texts = keep_only(docs, "doc_id", "text")
+    texts = likely(keep_only(docs, "doc_id", "text"), pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct())
     split = pairs.join(groups, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts").cast("long")).cast("int"))
     members = split.select("a", "b", "part").join(texts.withColumnRenamed("doc_id", "a"), "a").select("b", "part", "a", "text")
     leads = (groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -316,24 +391,27 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) ->
 def join(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; documents link at a similarity of num / den."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     signed = materialize(_signed(docs, width, num, den, buckets), "signatures")
     met = materialize(signed.filter("kind = 3").select("bucket", "packed").groupBy("bucket")
                       .applyInArrow(_met(num, den), "kind tinyint, a long, b long")
                       .unionByName(signed.filter("kind > 3").select("kind", "a", "b")).distinct(), "met")
-    rows = materialize(signed.filter("kind < 2").select("kind", "a", "b", "n"), "rows")
+    rows = materialize(signed.filter("kind < 2").select("kind", "a", "b", "n", "packed"), "rows")
     discard(signed)  # the packed signatures are done with
     copies = rows.filter("kind = 1").select("a", "b")
 
-    # first round: with the smallest document of each signature in its task, and of these with the smallest of all
-    links = materialize(copies.unionByName(verify(met.filter("kind = 4").select("a", "b"), docs, width, num, den)), "links")
+    # first round: pairs of signatures of a few documents, and stars of those of many
+    able = materialize(_sketched(met.filter("kind = 4").select("a", "b"), rows.filter("kind = 0"), num, den), "able")
+    links = materialize(copies.unionByName(verify(able, docs, width, num, den)), "links")
     found = materialize(components(links), "components")
 
-    # second round: documents that signatures connect, however indirectly, but no link yet
-    clusters = components(met).select("node", F.col("component").alias("cluster"))
-    late = materialize(_within_clusters(clusters, found, docs, width, num, den), "links")
-    if late.limit(1).count():
-        found = components(links.unionByName(late))
+    # second round: documents that signatures of many connect, however indirectly, but no link yet
+    stars = met.filter("kind = 6").select("a", "b")
+    if stars.limit(1).count():
+        clusters = components(stars).select("node", F.col("component").alias("cluster"))
+        late = materialize(_within_clusters(clusters, found, docs, width, num, den), "links")
+        if late.limit(1).count():
+            found = components(links.unionByName(late))
     sizes = rows.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"))
     return (sizes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))

@@ -53,7 +53,7 @@ def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     n = len(hashes)
     rolled = np.zeros(max(n - width + 1, 0), np.uint64)
     for k in range(width):
-        rolled = rolled * np.uint64(_BASE) + hashes[k:n - width + 1 + k]
+        rolled = rolled * np.uint64(_BASE) + hashes[k:k + len(rolled)]
     rolled = mixed(rolled)
     out, start = [], 0
     for count in counts.tolist():

@@ -46,14 +46,16 @@ def near_corpus(seed, n):
     return rows[:n]
 
 
-@pytest.mark.parametrize("width,num,den", [(4, 85, 100), (5, 4, 5)])
-def test_join_loses_no_link(documents, width, num, den):
+@pytest.mark.parametrize("width,num,den,small,words", [(4, 85, 100, 32, 1 << 20), (5, 4, 5, 32, 1 << 20), (4, 85, 100, 1, 64), (5, 4, 5, 3, 1 << 20)])
+def test_join_loses_no_link(documents, monkeypatch, width, num, den, small, words):
+    monkeypatch.setattr(ngram_join, "SMALL", small)  # 1: every signature that two documents share is one of many
+    monkeypatch.setattr(ngram_join, "FILTER_WORDS", words)
     texts = near_corpus(width, 300) + [None, "", "one", "ONE", " \t"]
     sets = [shingle_set(t, width) for t in texts]
     edges = [(a, b) for a, b in combinations(range(len(texts)), 2)
              if sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
     assert len(edges) > 50
-    got = ngram_join.join(documents(texts), width, num, den).collect()
+    got = ngram_join.join(documents(texts).repartition(5), width, num, den).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {
         i: (len(sets[i]), c) for i, c in smallest(range(len(texts)), edges).items()}
 
@@ -72,6 +74,46 @@ def test_every_similar_pair_shares_a_signature():
     assert met > 200
 
 
+def test_a_large_group_of_near_copies_and_a_chain_of_chance_hits(documents):
+    """100 copies with an edit each, and documents that only share short passages with the next one."""
+    random.seed(3)
+    word = lambda: f"v{random.randrange(5000)}"
+    base = [word() for _ in range(60)]
+    texts = []
+    for i in range(100):
+        words = list(base)
+        words[i % 60] = f"edit{i}"
+        texts.append(" ".join(words))
+    passages = [[word() for _ in range(9)] for _ in range(81)]
+    texts += [" ".join(passages[i] + passages[i + 1] + [word()]) for i in range(80)]
+    sets = [shingle_set(t, 4) for t in texts]
+    edges = [(a, b) for a, b in combinations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    got = ngram_join.join(documents(texts).repartition(4), 4, 85, 100).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == smallest(range(len(texts)), edges)
+
+
+def test_sketches_never_part_a_similar_pair():
+    random_ = np.random.default_rng(5)
+    parted = 0
+    for size in (1, 5, 30, 200, 1000, 5000):
+        for _ in range(60):
+            a = np.unique(random_.integers(0, 2**63, size, dtype=np.uint64))
+            b = np.unique(np.concatenate((a[random_.integers(0, size // 2 + 1):], random_.integers(0, 2**63, random_.integers(0, size // 3 + 2), dtype=np.uint64))))
+            x, y = (np.frombuffer(ngram_join.sketch(s), np.uint64)[None] for s in (a, b))
+            able = ngram_join.may_link(np.array([len(a)]), np.array([len(b)]), x, y, 85, 100)[0]
+            assert able or not ngram_join._similar(a, b, 85, 100)
+            parted += not able
+    assert parted > 100
+
+
+def test_likely_documents_hold_all_wanted_ones(spark, documents):
+    docs = documents([(i, "t") for i in range(2000)] + [(None, "n"), (7, "again")])
+    wanted = spark.createDataFrame([(i,) for i in range(0, 2000, 40)], "a long")
+    got = [r["doc_id"] for r in ngram_join.likely(docs, wanted).collect()]
+    assert set(range(0, 2000, 40)) <= set(got) and len(got) < 700
+    assert ngram_join.likely(docs, wanted.filter("false")).collect() == []
+
+
 def test_join_with_odd_ids(documents):
     text = "a b c d e f g h i j k l m n"
     got = ngram_join.join(documents([(7, text), (None, text), (3, text), (3, text), (9, "x")]), 4, 85, 100).collect()
@@ -88,6 +130,7 @@ def test_shingles_of_long_and_short_texts():
     sets = shingles.shingle_sets(texts, 4)
     assert [len(s) for s in sets] == [0, 1, 1, 1, 4, 1] and sets[2] == sets[3]
     assert shingles.shingle_sets([], 4) == []
+    assert [len(s) for s in shingles.shingle_sets(["a b"], 5)] == [1] and [len(s) for s in shingles.shingle_sets(["a", ""], 5)] == [1, 0]
 
 
 def test_components_of_paths_stars_and_rings(spark):
