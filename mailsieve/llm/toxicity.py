@@ -39,6 +39,7 @@ LEAST_DOCS = 3  # examples that a term occurs in
 K = 15  # nearest examples that vote
 BLOCK = 64  # examples of an index block
 FIRST_BLOCKS = 8  # blocks that are searched before bounds are compared
+TOGETHER = 64  # texts that are searched at once
 DOUBT = 0.5  # weight of the base rate against the cosines of the voters
 EVIDENCE = 3  # voters named in the result
 
@@ -71,13 +72,15 @@ class Index:
             if norms[e]:
                 per_term.setdefault(t, []).append((place[e], w / norms[e]))
         self.blocks = -(-len(order) // BLOCK)
-        self.postings: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.maxima: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for t, p in per_term.items():
-            p.sort()
-            at, w = np.array([a for a, _ in p], np.int64), np.array([b for _, b in p])
-            blocks, begins = np.unique(at // BLOCK, return_index=True)
-            self.postings[t], self.maxima[t] = (at, w), (blocks, np.maximum.reduceat(w, begins))
+        # postings of all terms, one after the other, and the largest weight of each term's blocks likewise
+        held = sorted((t, *p) for t, ps in per_term.items() for p in ps)
+        term, self.at, self.part = (np.array([h[c] for h in held], kind) for c, kind in enumerate((np.int64, np.int64, float)))
+        key = term * max(self.blocks, 1) + self.at // BLOCK
+        begins = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        self.begins = np.append(begins, len(key))  # of each term's postings in each block
+        self.max_block = self.at[begins] // BLOCK
+        self.max_part = np.maximum.reduceat(self.part, begins) if len(key) else np.zeros(0)
+        self.max_spans = np.searchsorted(term[begins], np.arange(len(idf) + 1))
         empty = Counter(labels[e] for e in range(len(vectors)) if not vectors[e])
         toxic, clean = (empty[k] * weights.get(k, 0.0) for k in (1, 0))
         self.none = toxic / (toxic + clean + 1.0) if vectors else 0.0
@@ -85,49 +88,75 @@ class Index:
         total = sum(every[k] * weights.get(k, 0.0) for k in (0, 1))
         self.base = every[1] * weights.get(1, 0.0) / total if total else 0.0
 
-    def nearest(self, vector: dict[int, int], k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples with a cosine over 0, best first."""
-        terms = [t for t in vector if t in self.postings and self.idf[t] > 0]
-        if not terms:
-            return np.zeros(0, np.int64), np.zeros(0)
-        q = np.array([(1 + math.log(vector[t])) * self.idf[t] for t in terms])
-        q /= math.sqrt(sum(((1 + math.log(n)) * self.idf[t]) ** 2 for t, n in vector.items()))
-        bound = np.bincount(np.concatenate([self.maxima[t][0] for t in terms]),
-                            np.concatenate([w * self.maxima[t][1] for t, w in zip(terms, q)]), self.blocks)
-        at = np.concatenate([self.postings[t][0] for t in terms])
-        part = np.concatenate([w * self.postings[t][1] for t, w in zip(terms, q)])
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        # the blocks of the highest bounds, then all others that can reach the K-th best found there
-        chosen = np.zeros(self.blocks, bool)
-        chosen[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
-        for blocks in (chosen, None):
-            if blocks is None:
-                blocks = ~chosen & (bound >= (best[-1] - 1e-12 if len(best) == k else 0)) & (bound > 0)
-                if not blocks.any():
-                    break
-            inside = blocks[at // BLOCK]
-            cosine = np.bincount(at[inside], part[inside], self.blocks * BLOCK)
-            found = np.flatnonzero(cosine)
-            best_at, best = self._top(np.concatenate((best_at, found)), np.concatenate((best, cosine[found])), k)
-        return best_at, best
-
-    def _top(self, at: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((self.first[at], -np.round(cosine, 12)))[:k]
-        return at[order], cosine[order]
+    @staticmethod
+    def _spread(number: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All places of the spans `number`, begins[n] to begins[n + 1], and which of the given spans each is in."""
+        many = begins[number + 1] - begins[number]
+        which = np.repeat(np.arange(len(number)), many)
+        return which, np.arange(len(which)) + np.repeat(begins[number] - (np.cumsum(many) - many), many)
+
+    def nearest(self, row: np.ndarray, term: np.ndarray, uses: np.ndarray, rows: int, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place, cosine) of the k nearest examples of each of some texts with a cosine over 0, best first.
+
+        The texts' vectors come as entries (row, term, uses).  All of them are searched
+        together: the blocks of each text's highest bounds first, then every other
+        block that can reach the text's k-th best cosine found there."""
+        q = (1 + np.log(uses)) * self.idf[term]
+        norm = np.sqrt(np.bincount(row, q * q, rows))
+        row, term, q = (c[q > 0] for c in (row, term, q))
+        q = q / norm[row]
+        entry, part = self._spread(term, self.max_spans)  # the blocks in which each term occurs
+        row, q, cell = row[entry], q[entry], row[entry] * self.blocks + self.max_block[part]
+        bound = np.bincount(cell, q * self.max_part[part], rows * self.blocks).reshape(rows, -1)
+
+        def cosines(blocks: np.ndarray) -> np.ndarray:
+            inside = np.flatnonzero(blocks.ravel()[cell])
+            which, place = self._spread(part[inside], self.begins)
+            which = inside[which]
+            return np.bincount(row[which] * (self.blocks * BLOCK) + self.at[place], q[which] * self.part[place],
+                               rows * self.blocks * BLOCK).reshape(rows, -1, BLOCK)
+
+        best = np.argsort(-bound, axis=1, kind="stable")[:, :FIRST_BLOCKS]
+        chosen = np.zeros(bound.shape, bool)
+        np.put_along_axis(chosen, best, True, axis=1)
+        cosine = cosines(chosen)
+        there = np.take_along_axis(cosine, best[:, :, None], axis=1).reshape(rows, -1)
+        kth = np.partition(there, -k, axis=1)[:, -k] if there.shape[1] >= k else np.zeros(rows)
+        rest = ~chosen & (bound > 0) & (bound >= kth[:, None] - 1e-12)
+        if rest.any():
+            cosine += cosines(rest)
+        cosine = cosine.reshape(rows, -1)
+        found, at = np.nonzero(cosine >= np.maximum(kth[:, None] - 1e-11, 1e-300))
+        value = cosine[found, at]
+        order = np.lexsort((self.first[at], -np.round(value, 12), found))
+        found, at, value = found[order], at[order], value[order]
+        keep = np.arange(len(found)) - np.searchsorted(found, found) < k
+        return found[keep], at[keep], value[keep]
+
+    def scores(self, terms: list, uses: list, k: int = K) -> list[tuple[float, list[tuple]]]:
+        """For each text: the probability of label 1, and the nearest examples as (id, label, cosine)."""
+        out: list[tuple[float, list[tuple]]] = [(self.none, [])] * len(terms)
+        for first in range(0, len(terms), TOGETHER):
+            part = terms[first:first + TOGETHER]
+            row = np.repeat(np.arange(len(part)), [len(t or ()) for t in part])
+            if not len(row) or not self.blocks:
+                continue
+            term = np.concatenate([np.asarray(t, np.int64) for t in part if t])
+            used = np.concatenate([np.asarray(u, np.int64) for u in uses[first:first + TOGETHER] if u])
+            found, at, cosine = self.nearest(row, term, used, len(part), k)
+            weight = cosine * np.array([self.weights.get(0, 0.0), self.weights.get(1, 0.0)])[self.labels[at]]
+            begins = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else []
+            for begin, end in zip(begins, [*begins[1:], len(found)]):
+                w, c, y = weight[begin:end], cosine[begin:end], self.labels[at[begin:end]]
+                scale = w.sum() / c.sum()
+                score = (w[y == 1].sum() + DOUBT * scale * self.base) / (w.sum() + DOUBT * scale)
+                evidence = [(self.ids[a], int(self.labels[a]), float(x)) for a, x in zip(at[begin:end][:EVIDENCE], c[:EVIDENCE])]
+                out[first + int(found[begin])] = float(min(1.0, max(0.0, score))), evidence
+        return out
 
     def score(self, vector: dict[int, int], k: int = K) -> tuple[float, list[tuple]]:
-        """Probability of label 1, and the nearest examples as (id, label, cosine)."""
-        if not vector:
-            return self.none, []
-        at, cosine = self.nearest(vector, k)
-        if not len(at):
-            return self.none, []
-        labels = self.labels[at]
-        weight = cosine * np.array([self.weights[x] for x in labels.tolist()])
-        scale = weight.sum() / cosine.sum()
-        score = (weight[labels == 1].sum() + DOUBT * scale * self.base) / (weight.sum() + DOUBT * scale)
-        evidence = [(self.ids[a], int(self.labels[a]), float(c)) for a, c in zip(at[:EVIDENCE], cosine[:EVIDENCE])]
-        return float(min(1.0, max(0.0, score))), evidence
+        """The same for one text's vector."""
+        return self.scores([list(vector)], [list(vector.values())], k)[0]
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -191,6 +220,19 @@ def _vectors(docs: DataFrame, terms: list[str], columns: list[str]) -> DataFrame
     return docs.mapInArrow(run, f"{schema}, terms array<int>, uses array<int>")
 
 
+def _documents_of(vectors: DataFrame, n_terms: int) -> DataFrame:
+    """(t, n): how many vectors hold each term; a task sends one row a term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(n_terms, np.int64)
+        for batch in batches:
+            held += np.bincount(batch.column("terms").flatten().to_numpy(zero_copy_only=False), minlength=n_terms)
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(held[some])], ["t", "n"])
+
+    return vectors.select("terms").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n"))
+
+
 def build_index(spark: SparkSession, docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> tuple[list[str], Index, DataFrame]:
     """Terms, the index, and every document's vector (doc_id, terms, uses), written."""
     sample = _sample(labels, examples)
@@ -201,7 +243,7 @@ def build_index(spark: SparkSession, docs: DataFrame, labels: DataFrame, example
     terms = _terms(texts, classes)
     vectors = materialize(_vectors(keep_only(docs, "doc_id", "text"), terms, ["doc_id"]), "vectors")
     total = vectors.count()
-    seen = {r["t"]: r["n"] for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
+    seen = {r["t"]: r["n"] for r in _documents_of(vectors, len(terms)).collect()}  # a row a term
     idf = np.array([math.log((total + 1) / (seen.get(t, 0) + 1)) for t in range(len(terms))])
     rows = (vectors.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).orderBy("h", "doc_id")
             .select("doc_id", "y", "terms", "uses").collect())
@@ -219,7 +261,7 @@ def _scores(frame: DataFrame, index: Index, columns: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = shared.value
         for batch in batches:
-            out = [found.score(dict(zip(t or (), n or ()))) for t, n in zip(batch.column("terms").to_pylist(), batch.column("uses").to_pylist())]
+            out = found.scores(batch.column("terms").to_pylist(), batch.column("uses").to_pylist())
             evidence = [[dict(zip(("doc_id", "label", "cosine"), e)) for e in ev] for _, ev in out]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in columns], pa.array([s for s, _ in out], pa.float64()), pa.array(evidence, kind)],
