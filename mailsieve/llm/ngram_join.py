@@ -50,6 +50,7 @@ from .shingles import mixed, overlap, shingle_sets
 LIGHT = 0  # elements of a segment up to which a pair's allowance goes to the union
 SMALL = 32  # documents that share a signature up to which all are paired
 SKETCH_BITS = 1024  # parities kept of a set
+SIGNATURES = 500_000  # signatures that a task packs at once
 BUCKETS = 64  # parts of the signatures, at least
 FILTER_WORDS = 1 << 20  # 64-bit words of a filter at most
 MEMBERS = 256  # documents that are compared with one in one group
@@ -165,7 +166,7 @@ def _signed(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> Da
         scheme = _scheme(num, den)
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
-            sigs, docs_, sizes = [], [], []
+            held: list[tuple[np.ndarray, int, int]] = []  # signatures, id and size of documents
             first: dict[bytes, int] = {}
             for at, texts in text_slices(batch, "text"):
                 ids = doc_ids[at:at + len(texts)]
@@ -180,39 +181,45 @@ def _signed(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> Da
                     if same != doc_id:
                         copies.append((doc_id, same))
                         continue
-                    sigs.append(scheme.signatures(s))
-                    docs_.append(doc_id)
-                    sizes.append(len(s))
+                    held.append((scheme.signatures(s), doc_id, len(s)))
                 if copies:
                     yield rows(kind=1, a=[c for c, _ in copies], b=[c for _, c in copies])
-            if not docs_:
-                continue
-            sig = np.concatenate(sigs)
-            doc = np.repeat(np.arange(len(docs_), dtype=np.int32), [len(s) for s in sigs])
-            doc_id, size = np.array(docs_, np.int64), np.array(sizes, np.int64)
-            order = np.lexsort((doc_id[doc], sig))
-            sig, doc = sig[order], doc[order]
-            lead, count = _groups(sig)  # where many share a signature, just so many go to the other tasks that it counts as such there too
+                if sum(len(x) for x, _, _ in held) >= SIGNATURES:
+                    yield from packed_rows(held)
+                    held = []
+            yield from packed_rows(held)
+
+    def packed_rows(held: list[tuple[np.ndarray, int, int]]) -> Iterator[pa.RecordBatch]:
+        """Stars of signatures that many of these documents share, and the signatures that go on, by bucket."""
+        if not held:
+            return
+        sig = np.concatenate([x for x, _, _ in held])
+        doc = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for x, _, _ in held])
+        doc_id, size = (np.array([h[c] for h in held], np.int64) for c in (1, 2))
+        order = np.lexsort((doc_id[doc], sig))
+        sig, doc = sig[order], doc[order]
+        lead, count = _groups(sig)  # where many share a signature, just so many go to the other tasks that it counts as such there too
+        if (count > SMALL).any():
             many = np.repeat(count > SMALL, count)
             for kind, pairs in _stars(doc_id[doc[many]], size[doc[many]], *_groups(sig[many]), num, den).items():
                 if len(pairs):
                     yield rows(kind=kind, a=pairs[:, 0], b=pairs[:, 1])
             stay = np.arange(len(sig)) - np.repeat(lead, count) <= SMALL
             sig, doc = sig[stay], doc[stay]
-            bucket = (sig % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort((doc, bucket))
-            sig, doc, bucket = sig[order], doc[order], bucket[order]
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            packed, names = [], []
-            for k in range(buckets):
-                x, y = cuts[k], cuts[k + 1]
-                if x < y:
-                    of, counts = np.unique(doc[x:y], return_counts=True)
-                    head = np.array([len(of)], "<i8").tobytes()
-                    packed.append(b"".join((head, doc_id[of].tobytes(), size[of].astype("<i4").tobytes(),
-                                            counts.astype("<i4").tobytes(), sig[x:y].tobytes())))
-                    names.append(k)
-            yield rows(kind=3, bucket=names, packed=packed)
+        bucket = (sig % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((doc, bucket))
+        sig, doc, bucket = sig[order], doc[order], bucket[order]
+        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+        packed, names = [], []
+        for k in range(buckets):
+            x, y = cuts[k], cuts[k + 1]
+            if x < y:
+                of, counts = np.unique(doc[x:y], return_counts=True)
+                head = np.array([len(of)], "<i8").tobytes()
+                packed.append(b"".join((head, doc_id[of].tobytes(), size[of].astype("<i4").tobytes(),
+                                        counts.astype("<i4").tobytes(), sig[x:y].tobytes())))
+                names.append(k)
+        yield rows(kind=3, bucket=names, packed=packed)
 
     return keep_only(docs, "doc_id", "text").mapInArrow(
         run, "kind tinyint, a long, b long, n long, bucket int, packed binary")
