@@ -49,8 +49,8 @@ _WINDOWS = {c: bytes([c]).decode("cp1252") for c in range(0x80, 0xA0) if c not i
 
 # Token classes: runs of a script written without spaces (ideographs, kana,
 # Thai, Lao, Myanmar, Khmer), words of any other script, digit runs.
-UNSPACED = (r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{3040}-\x{30ff}"
-            r"\x{0e00}-\x{0eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}")
+UNSPACED_RANGES = ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x3040, 0x30FF), (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF))
+UNSPACED = "".join(rf"\x{{{a:04x}}}-\x{{{b:04x}}}" for a, b in UNSPACED_RANGES)
 UNSPACED_RUN = rf"([{UNSPACED}]+)"
 TOKEN_PATTERN = rf"[{UNSPACED}]+|[\p{{L}}\p{{M}}]+|\p{{Nd}}+"
 

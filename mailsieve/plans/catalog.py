@@ -61,6 +61,7 @@ from ..functions import urls as U  # noqa: E402
 from ..operators import lexicon as LX  # noqa: E402
 from ..operators import metrics as M  # noqa: E402
 from ..operators import relational as R  # noqa: E402
+from ..operators import segmentation as SG  # noqa: E402
 from ..session import materialize, read_table  # noqa: E402
 
 
@@ -268,6 +269,28 @@ def q_keyword_density(spark, sf_dir):
     )
 
 
+def mail_subject_runs(spark, sf_dir):
+    """MAIL bodies whose lexicon words stand together with those of a neighbour, so that words have to be found in longer runs."""
+    m = FX.mail_table(spark, sf_dir)
+    word = lambda i: FX._pick(FX.MAIL_KEYWORDS, i % len(FX.MAIL_KEYWORDS))
+    together = F.concat(word(F.col("mail_id")), word(F.col("mail_id") * 7 + 3), word(F.col("mail_id") * 5 + 1))
+    return m.select("mail_id", F.concat(F.col("raw_body"), F.lit(" "), together).alias("text"))
+
+
+@query("learnt_words")
+def q_learnt_words(spark, sf_dir):
+    """Words of scripts without spaces, with their cohesion and freedom, learnt from all mails."""
+    return SG.learn_words(mail_subject_runs(spark, sf_dir), "text")
+
+
+@query("tokenize_learnt")
+def q_tokenize_learnt(spark, sf_dir):
+    """Tokens of all mails, runs without spaces cut into learnt words."""
+    m = mail_subject_runs(spark, sf_dir)
+    tokens = SG.tokenize_learnt(m, "text", materialize(SG.learn_words(m, "text"), "learnt-words"))
+    return tokens.select("mail_id", F.explode("tokens").alias("token")).groupBy("mail_id", "token").agg(F.count("*").alias("n"))
+
+
 @query("lexicon_hits")
 def q_lexicon_hits(spark, sf_dir):
     """How many of the words of all benchmark items each mail contains, as substrings, and how densely."""

@@ -124,6 +124,21 @@ SELECT mail_id, CAST({S.keyword_hits('raw_body', K.LEXICON_FULL35)} AS INTEGER)
        {S.keyword_density('raw_body', K.LEXICON_FULL35)} AS density_full35,
        CAST({S.keyword_hits('raw_body', K.LEXICON_SHORT9)} AS INTEGER) AS hits_short9,
        {S.keyword_density('raw_body', K.LEXICON_SHORT9)} AS density_short9 FROM mail""")
+_JOINED = " || ".join(f"{S.lst(S.MAIL_KEYWORDS)}[({e}) % {len(S.MAIL_KEYWORDS)} + 1]" for e in ("mail_id", "mail_id * 7 + 3", "mail_id * 5 + 1"))
+oracle("learnt_words", f"""WITH {MAIL}, runs AS (SELECT unnest(regexp_extract_all(raw_body || ' ' || {_JOINED}, '[{S.WRITTEN_TOGETHER}]+')) AS run FROM mail),
+g AS (SELECT gram, count(*) AS n, length(gram) AS size FROM (SELECT unnest(flatten(list_transform(range(1, 6), lambda k:
+  list_transform(range(1, length(run) - k + 2), lambda i: substring(run, i, k))))) AS gram FROM runs) GROUP BY gram),
+total AS (SELECT sum(n) AS t FROM g WHERE size = 1),
+w AS (SELECT * FROM g WHERE size BETWEEN 2 AND 4 AND n >= 5),
+cuts AS (SELECT gram, n, size, unnest(range(1, size)) AS cut FROM w),
+held AS (SELECT cuts.gram, min(ln(cuts.n * CAST(t AS DOUBLE) / (a.n * b.n))) AS cohesion FROM cuts CROSS JOIN total
+         JOIN g a ON a.gram = substring(cuts.gram, 1, cut) JOIN g b ON b.gram = substring(cuts.gram, cut + 1) GROUP BY cuts.gram),
+after AS (SELECT substring(gram, 1, size - 1) AS gram, sum(n * ln(n)) AS t FROM g WHERE size > 1 GROUP BY 1),
+before AS (SELECT substring(gram, 2) AS gram, sum(n * ln(n)) AS t FROM g WHERE size > 1 GROUP BY 1),
+r AS (SELECT w.gram AS word, w.n, round(cohesion, 6) AS cohesion,
+             round(least(ln(w.n) - coalesce(after.t, 0.0) / w.n, ln(w.n) - coalesce(before.t, 0.0) / w.n), 6) AS freedom
+      FROM w JOIN held ON w.gram = held.gram LEFT JOIN after ON w.gram = after.gram LEFT JOIN before ON w.gram = before.gram)
+SELECT * FROM r WHERE cohesion >= 2.0 AND freedom >= 0.5""")
 oracle("lexicon_hits", f"""WITH {MAIL}, lex AS (SELECT DISTINCT unnest({S.tokenize('text')}) AS term FROM benchmark),
 h AS (SELECT mail_id, count(*) AS n FROM mail JOIN lex ON contains(raw_body, term) GROUP BY mail_id)
 SELECT mail_id, CAST(coalesce(n, 0) AS BIGINT) AS hits, coalesce(n, 0) / greatest(length(coalesce(raw_body, '')), 1) AS density
