@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import byte_slices, keep_only, materialize, table
 from .word_ids import encoder
 
+REMEMBERED = 250_000  # chunks that a worker keeps the ids of
+SLICE_BYTES = 3_000_000  # text encoded at once
 CAPACITY = 4096
 SMALL = CAPACITY // 3  # lengths up to here are left to the best-fit step
 GROUPS = 64  # groups of large lengths
@@ -183,11 +185,11 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
     """Pieces of every document: place, length, check sum, the task and the piece's number in its task and length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer, REMEMBERED).encode, np.array([end_id], "<u4").tobytes()
         part, seen = TaskContext.get().partitionId(), {}
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
-            for at, texts in byte_slices(batch.column("text")):
+            for at, texts in byte_slices(batch.column("text"), SLICE_BYTES):
                 out: list[list] = [[] for _ in range(6)]
                 for doc_id, ids in zip(doc_ids[at:at + len(texts)], encode(texts)):
                     ids += end

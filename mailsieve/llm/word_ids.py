@@ -164,8 +164,9 @@ class WordIds:
 _ENCODERS: dict[str, WordIds] = {}
 
 
-def encoder(path: str) -> WordIds:
-    """The worker process's encoder for a vocabulary file."""
+def encoder(path: str, limit: int = 500_000) -> WordIds:
+    """The worker process's encoder for a vocabulary file; it remembers at most `limit` chunks from now on."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordIds(path)
+    _ENCODERS[path].limit = limit
     return _ENCODERS[path]
