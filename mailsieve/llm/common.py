@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mailsieve.session import materialize, scratch_path
 
-__all__ = ["batches_of", "byte_slices", "discard", "input_mb", "keep_only", "materialize", "scratch_path", "table", "text_slices"]
+__all__ = ["batches_of", "byte_slices", "discard", "input_mb", "keep_only", "materialize", "release", "scratch_path", "table", "text_slices"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +52,14 @@ def text_slices(batch: pa.RecordBatch, column: str, max_chars: int = 4_000_000)
         yield first, texts
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system, for the worker process goes on to other tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def byte_slices(column: pa.Array, max_bytes: int = 8_000_000) -> Iterator[tuple[int, pa.Array]]:
     """(first row, values) of consecutive rows of a string column that hold about `max_bytes`; a longer value is a slice of its own."""
     if len(column):

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, keep_only, materialize, table, text_slices
+from .common import discard, keep_only, materialize, release, table, text_slices
 from .components import components
 from .shingles import mixed, overlap, shingle_sets
 
@@ -188,6 +188,7 @@ def _signed(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> Da
                     yield from packed_rows(held)
                     held = []
             yield from packed_rows(held)
+            release()
 
     def packed_rows(held: list[tuple[np.ndarray, int, int]]) -> Iterator[pa.RecordBatch]:
         """Stars of signatures that many of these documents share, and the signatures that go on, by bucket."""
@@ -281,6 +282,8 @@ def _met(num: int, den: int):
         many = np.repeat(count > SMALL, count)
         found = _stars(doc[many], size[many], *_groups(sig[many]), num, den)
         found[4] = np.unique(np.concatenate((found[4], _pairs(doc, size, lead, count, num, den))), axis=0)
+        del parts, sig, doc, size
+        release()
         return pa.table({"kind": pa.array(np.repeat(list(found), [len(p) for p in found.values()]), pa.int8()),
                          **{c: pa.array(np.concatenate([p[:, i] for p in found.values()])) for i, c in enumerate("ab")}})
 

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, keep_only, materialize, table
+from .common import byte_slices, keep_only, materialize, release, table
 from .word_ids import encoder
 
 REMEMBERED = 250_000  # chunks that a worker keeps the ids of
@@ -203,6 +203,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
                     [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *[pa.array(c, pa.int64()) for c in out[2:]],
                      pa.array([part] * len(out[0]), pa.int32())],
                     ["doc_id", "piece", "start", "length", "ids_crc32", "number", "part"])
+        release()
 
     return keep_only(docs, "doc_id", "text").mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long, number long, part int")

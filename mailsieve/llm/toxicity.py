@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_only, materialize, table, text_slices
+from .common import keep_only, materialize, release, table, text_slices
 
 EXAMPLES = 4000  # labelled rows of each class that are examples, at most
 LEAST_CHI2 = 15.0  # chi-square that makes a word a term
@@ -39,7 +39,8 @@ LEAST_DOCS = 3  # examples that a term occurs in
 K = 15  # nearest examples that vote
 BLOCK = 64  # examples of an index block
 FIRST_BLOCKS = 8  # blocks that are searched before bounds are compared
-TOGETHER = 64  # texts that are searched at once
+TOGETHER = 64  # texts that are searched at once, at most
+POSTINGS = 400_000  # postings of all their terms, unless one text has more
 DOUBT = 0.5  # weight of the base rate against the cosines of the voters
 EVIDENCE = 3  # voters named in the result
 
@@ -136,13 +137,19 @@ class Index:
     def scores(self, terms: list, uses: list, k: int = K) -> list[tuple[float, list[tuple]]]:
         """For each text: the probability of label 1, and the nearest examples as (id, label, cosine)."""
         out: list[tuple[float, list[tuple]]] = [(self.none, [])] * len(terms)
-        for first in range(0, len(terms), TOGETHER):
-            part = terms[first:first + TOGETHER]
+        size = self.begins[self.max_spans[1:]] - self.begins[self.max_spans[:-1]]  # postings of each term
+        work = np.cumsum([int(size[t].sum()) if t else 0 for t in terms])
+        first = 0
+        while first < len(terms):
+            done = work[first - 1] if first else 0
+            last = min(first + TOGETHER, max(first + 1, int(np.searchsorted(work, done + POSTINGS, "right"))))
+            begin_at, first = first, last
+            part = terms[begin_at:last]
             row = np.repeat(np.arange(len(part)), [len(t or ()) for t in part])
             if not len(row) or not self.blocks:
                 continue
             term = np.concatenate([np.asarray(t, np.int64) for t in part if t])
-            used = np.concatenate([np.asarray(u, np.int64) for u in uses[first:first + TOGETHER] if u])
+            used = np.concatenate([np.asarray(u, np.int64) for u in uses[begin_at:last] if u])
             found, at, cosine = self.nearest(row, term, used, len(part), k)
             weight = cosine * np.array([self.weights.get(0, 0.0), self.weights.get(1, 0.0)])[self.labels[at]]
             begins = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else []
@@ -151,7 +158,7 @@ class Index:
                 scale = w.sum() / c.sum()
                 score = (w[y == 1].sum() + DOUBT * scale * self.base) / (w.sum() + DOUBT * scale)
                 evidence = [(self.ids[a], int(self.labels[a]), float(x)) for a, x in zip(at[begin:end][:EVIDENCE], c[:EVIDENCE])]
-                out[first + int(found[begin])] = float(min(1.0, max(0.0, score))), evidence
+                out[begin_at + int(found[begin])] = float(min(1.0, max(0.0, score))), evidence
         return out
 
     def score(self, vector: dict[int, int], k: int = K) -> tuple[float, list[tuple]]:
@@ -266,6 +273,7 @@ def _scores(frame: DataFrame, index: Index, columns: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in columns], pa.array([s for s, _ in out], pa.float64()), pa.array(evidence, kind)],
                 [*columns, "score", "evidence"])
+        release()
 
     return frame.mapInArrow(run, f"{schema}, score double, evidence array<struct<doc_id: bigint, label: int, cosine: double>>")
 
