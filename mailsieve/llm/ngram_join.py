@@ -301,7 +301,7 @@ def _sketched(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFra
 
     for side in "ab":
         mine = sizes.select(F.col("a").alias(side), F.col("n").alias(f"n_{side}"), F.col("packed").alias(f"s_{side}"))
-        pairs = pairs.join(mine, side)
+        pairs = pairs.join(mine.hint("merge"), side)  # by shuffles at every size: either side grows with the documents
     return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -352,7 +352,7 @@ def _within_clusters(clusters: DataFrame, found: DataFrame, docs: DataFrame, wid
     members = (named.join(open_, "cluster")
                .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")))
     members = materialize(members, "open")
-    texts = likely(keep_only(docs, "doc_id", "text"), members.select("node").distinct()).join(members, F.col("doc_id") == F.col("node"))
+    texts = likely(keep_only(docs, "doc_id", "text"), members.select("node").distinct()).join(members.hint("merge"), F.col("doc_id") == F.col("node"))
     placed = (texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
               .select("cluster", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "own", "text"))
 
@@ -378,9 +378,9 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) ->
     groups = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(MEMBERS)).cast("int").alias("parts"))
     texts = likely(keep_only(docs, "doc_id", "text"), pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct())
     split = pairs.join(groups, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts").cast("long")).cast("int"))
-    members = split.select("a", "b", "part").join(texts.withColumnRenamed("doc_id", "a"), "a").select("b", "part", "a", "text")
+    members = split.select("a", "b", "part").join(texts.withColumnRenamed("doc_id", "a").hint("merge"), "a").select("b", "part", "a", "text")
     leads = (groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-             .join(texts.withColumnRenamed("doc_id", "b"), "b")
+             .join(texts.withColumnRenamed("doc_id", "b").hint("merge"), "b")
              .select(F.col("b").alias("lead"), F.col("part").alias("share"), F.col("text").alias("lead_text")))
 
     def compare(lead: pa.Table, member: pa.Table) -> pa.Table:
