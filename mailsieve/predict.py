@@ -30,7 +30,7 @@ def main(argv=None) -> None:
     args = ap.parse_args(argv)
 
     from .operators import detection as D
-    from .session import build_session, materialize
+    from .session import build_session, many_small_files, materialize
     from .sources import mail as SM
     spark = build_session()
     if args.cmd == "train":
@@ -40,7 +40,8 @@ def main(argv=None) -> None:
         print(f"saved detector to {args.out}")
         return
     files = SM.scan_mail_files(spark, args.folder)
-    parsed = materialize(SM.parse_messages(files), "parsed")  # read several times below
+    with many_small_files(spark):
+        parsed = materialize(SM.parse_messages(files), "parsed")  # read several times below
     mails = parsed.filter(F.col("error").isNull()).select(F.col("path").alias("mail_id"), "subject", "raw_body")
     out = D.score_mails(mails, D.Detector.load(spark, args.models), args.mode).withColumnRenamed("mail_id", "path")
     failed = parsed.filter(F.col("error").isNotNull()).select("path", "error")
