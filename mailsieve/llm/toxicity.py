@@ -37,8 +37,9 @@ EXAMPLES = 4000  # labelled rows of each class that are examples, at most
 LEAST_CHI2 = 15.0  # chi-square that makes a word a term
 LEAST_DOCS = 3  # examples that a term occurs in
 K = 15  # nearest examples that vote
-BLOCK = 64  # examples of an index block
-FIRST_BLOCKS = 8  # blocks that are searched before bounds are compared
+HOT = 256  # terms with a dense row, at most
+HOT_SHARE = 64  # which at least one of so many examples holds
+MARGIN = 1e-4  # more than single precision loses over HOT terms
 TOGETHER = 64  # texts that are searched at once, at most
 POSTINGS = 400_000  # postings of all their terms, unless one text has more
 DOUBT = 0.5  # weight of the base rate against the cosines of the voters
@@ -52,36 +53,33 @@ def _words(text: str) -> list[str]:
 
 
 class Index:
-    """Block-max inverted index over the vectors of the examples."""
+    """The vectors of the examples, by term: dense rows of the terms that many hold, postings of the others."""
 
     def __init__(self, vectors: list[dict[int, int]], labels: list[int], ids: list, weights: dict[int, float], idf: np.ndarray):
         self.idf, self.weights = idf, weights
-        rows = [(e, t, (1 + math.log(n)) * idf[t]) for e, v in enumerate(vectors) for t, n in v.items()]
-        norms = np.zeros(len(vectors))
-        for e, _, w in rows:
-            norms[e] += w * w
-        norms = np.sqrt(norms)
-        # examples of one kind next to each other make tight blocks: by label, heaviest term, place
-        heaviest = [max(v, key=lambda t: ((1 + math.log(v[t])) * idf[t], t)) if v else -1 for v in vectors]
-        order = sorted((e for e in range(len(vectors)) if vectors[e]), key=lambda e: (labels[e], heaviest[e], e))
-        place = {e: p for p, e in enumerate(order)}
+        order = [e for e in range(len(vectors)) if vectors[e]]
         self.labels = np.array([labels[e] for e in order], np.int64)
         self.first = np.array(order, np.int64)  # the place by hash, for ties
         self.ids = [ids[e] for e in order]
-        per_term: dict[int, list[tuple[int, float]]] = {}
-        for e, t, w in rows:
-            if norms[e]:
-                per_term.setdefault(t, []).append((place[e], w / norms[e]))
-        self.blocks = -(-len(order) // BLOCK)
-        # postings of all terms, one after the other, and the largest weight of each term's blocks likewise
-        held = sorted((t, *p) for t, ps in per_term.items() for p in ps)
-        term, self.at, self.part = (np.array([h[c] for h in held], kind) for c, kind in enumerate((np.int64, np.int64, float)))
-        key = term * max(self.blocks, 1) + self.at // BLOCK
-        begins = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        self.begins = np.append(begins, len(key))  # of each term's postings in each block
-        self.max_block = self.at[begins] // BLOCK
-        self.max_part = np.maximum.reduceat(self.part, begins) if len(key) else np.zeros(0)
-        self.max_spans = np.searchsorted(term[begins], np.arange(len(idf) + 1))
+        # entries of all examples, one after the other, each in the order of its terms
+        held = [(p, t, (1 + math.log(vectors[e][t])) * idf[t]) for p, e in enumerate(order) for t in sorted(vectors[e])]
+        at, self.term, part = (np.array([h[c] for h in held], kind) for c, kind in enumerate((np.int64, np.int64, float)))
+        norms = np.sqrt(np.bincount(at, part * part, len(order)))
+        at, self.term, part = (c[norms[at] > 0] for c in (at, self.term, part))
+        self.part = part / norms[at]
+        self.entries = np.searchsorted(at, np.arange(len(order) + 1))
+        uses = np.bincount(self.term, minlength=len(idf))
+        hot = np.argsort(-uses, kind="stable")[:HOT]
+        hot = hot[uses[hot] * HOT_SHARE >= max(len(order), 1)]
+        self.row_of = np.full(len(idf), -1, np.int64)  # a term's row in `dense`, if it has one
+        self.row_of[hot] = np.arange(len(hot))
+        self.dense = np.zeros((len(hot), len(order)), np.float32)
+        row = self.row_of[self.term]
+        self.dense[row[row >= 0], at[row >= 0]] = self.part[row >= 0]
+        rare = np.flatnonzero(row < 0)
+        rare = rare[np.argsort(self.term[rare], kind="stable")]
+        self.posted, self.posted_part = at[rare], self.part[rare]
+        self.postings = np.searchsorted(self.term[rare], np.arange(len(idf) + 1))
         empty = Counter(labels[e] for e in range(len(vectors)) if not vectors[e])
         toxic, clean = (empty[k] * weights.get(k, 0.0) for k in (1, 0))
         self.none = toxic / (toxic + clean + 1.0) if vectors else 0.0
@@ -100,35 +98,27 @@ class Index:
         """(row, place, cosine) of the k nearest examples of each of some texts with a cosine over 0, best first.
 
         The texts' vectors come as entries (row, term, uses).  All of them are searched
-        together: the blocks of each text's highest bounds first, then every other
-        block that can reach the text's k-th best cosine found there."""
+        together: cosines in single precision, less than MARGIN off, leave out what
+        cannot be among the k nearest; those of the others are computed in double."""
         q = (1 + np.log(uses)) * self.idf[term]
         norm = np.sqrt(np.bincount(row, q * q, rows))
         row, term, q = (c[q > 0] for c in (row, term, q))
         q = q / norm[row]
-        entry, part = self._spread(term, self.max_spans)  # the blocks in which each term occurs
-        row, q, cell = row[entry], q[entry], row[entry] * self.blocks + self.max_block[part]
-        bound = np.bincount(cell, q * self.max_part[part], rows * self.blocks).reshape(rows, -1)
-
-        def cosines(blocks: np.ndarray) -> np.ndarray:
-            inside = np.flatnonzero(blocks.ravel()[cell])
-            which, place = self._spread(part[inside], self.begins)
-            which = inside[which]
-            return np.bincount(row[which] * (self.blocks * BLOCK) + self.at[place], q[which] * self.part[place],
-                               rows * self.blocks * BLOCK).reshape(rows, -1, BLOCK)
-
-        best = np.argsort(-bound, axis=1, kind="stable")[:, :FIRST_BLOCKS]
-        chosen = np.zeros(bound.shape, bool)
-        np.put_along_axis(chosen, best, True, axis=1)
-        cosine = cosines(chosen)
-        there = np.take_along_axis(cosine, best[:, :, None], axis=1).reshape(rows, -1)
-        kth = np.partition(there, -k, axis=1)[:, -k] if there.shape[1] >= k else np.zeros(rows)
-        rest = ~chosen & (bound > 0) & (bound >= kth[:, None] - 1e-12)
-        if rest.any():
-            cosine += cosines(rest)
-        cosine = cosine.reshape(rows, -1)
-        found, at = np.nonzero(cosine >= np.maximum(kth[:, None] - 1e-11, 1e-300))
-        value = cosine[found, at]
+        exact = np.zeros((rows, len(self.idf)))
+        exact[row, term] = q
+        n, line = len(self.ids), self.row_of[term]
+        often = line >= 0
+        front = np.zeros((rows, len(self.dense)), np.float32)
+        front[row[often], line[often]] = q[often]
+        near = front @ self.dense
+        which, place = self._spread(term[~often], self.postings)
+        if len(which):
+            cell = row[~often][which] * n + self.posted[place]
+            near += np.bincount(cell, q[~often][which] * self.posted_part[place], rows * n).reshape(rows, -1)
+        kth = np.partition(near, n - k, axis=1)[:, n - k] if n >= k else np.zeros(rows, np.float32)
+        found, at = np.nonzero((near >= kth[:, None] - np.float32(MARGIN)) & (near > 0))
+        which, place = self._spread(at, self.entries)
+        value = np.bincount(which, exact[found[which], self.term[place]] * self.part[place], len(found))
         order = np.lexsort((self.first[at], -np.round(value, 12), found))
         found, at, value = found[order], at[order], value[order]
         keep = np.arange(len(found)) - np.searchsorted(found, found) < k
@@ -137,7 +127,7 @@ class Index:
     def scores(self, terms: list, uses: list, k: int = K) -> list[tuple[float, list[tuple]]]:
         """For each text: the probability of label 1, and the nearest examples as (id, label, cosine)."""
         out: list[tuple[float, list[tuple]]] = [(self.none, [])] * len(terms)
-        size = self.begins[self.max_spans[1:]] - self.begins[self.max_spans[:-1]]  # postings of each term
+        size = np.diff(self.postings)  # of each term
         work = np.cumsum([int(size[t].sum()) if t else 0 for t in terms])
         first = 0
         while first < len(terms):
@@ -146,7 +136,7 @@ class Index:
             begin_at, first = first, last
             part = terms[begin_at:last]
             row = np.repeat(np.arange(len(part)), [len(t or ()) for t in part])
-            if not len(row) or not self.blocks:
+            if not len(row) or not self.ids:
                 continue
             term = np.concatenate([np.asarray(t, np.int64) for t in part if t])
             used = np.concatenate([np.asarray(u, np.int64) for u in uses[begin_at:last] if u])

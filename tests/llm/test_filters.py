@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from mailsieve.llm import quality, toxicity
@@ -151,6 +152,19 @@ def test_nearest_examples_are_exact():
             assert cosine == pytest.approx([-c for c, _ in expected])
 
 
+def test_toxicity_search_expands_few_entries_of_common_words(monkeypatch):
+    random_ = random.Random(9)
+    vectors = [{t: random_.randint(1, 4) for t in random_.sample(range(40), 12)} | {40 + e % 700: 1} for e in range(2000)]
+    index = toxicity.Index(vectors, [e % 2 for e in range(2000)], list(range(2000)), {0: 1.0, 1: 1.0}, np.linspace(0.5, 3.0, 740))
+    expanded, spread = [], toxicity.Index._spread
+    monkeypatch.setattr(toxicity.Index, "_spread", staticmethod(lambda *a: [expanded.append(len(out := spread(*a)[0])), spread(*a)][1]))
+    asked = vectors[:128]
+    out = index.scores([list(v) for v in asked], [list(v.values()) for v in asked])
+    assert all(evidence[0][2] == pytest.approx(1.0) for _, evidence in out)
+    postings = sum(len(vectors) * 12 / 40 for v in asked for t in v if t < 40)
+    assert sum(expanded) < 0.1 * postings  # each search went through those of all its words
+
+
 def test_toxicity_learns_outside_the_fold(spark, documents, folder):
     rows, labels = toxic_corpus(spark)
     extra = [(500, None), (501, ""), (502, rows[0][1]), (502, rows[0][1]), (None, "vile scum moron"), (503, "kind " * 30000)]
