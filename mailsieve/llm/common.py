@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import sys
 from collections.abc import Callable, Iterator
-from contextlib import suppress
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mailsieve.session import materialize, scratch_path
 
-__all__ = ["batches_of", "byte_slices", "discard", "input_mb", "keep_only", "materialize", "release", "scratch_path", "table", "text_slices"]
+__all__ = ["batches_of", "byte_slices", "discard", "drop_shuffles", "input_mb", "keep_only", "materialize", "release", "scratch_path", "small_batches", "table", "text_slices"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +31,7 @@ def keep_only(df: DataFrame, *columns: str) -> DataFrame:
 def input_mb(df: DataFrame) -> float:
     """Size estimate of a frame in MB, from the optimizer's statistics."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return float(stats.sizeInBytes().toString()) / 1e6
+    return float(str(stats.sizeInBytes())) / 1e6
 
 
 def text_slices(batch: pa.RecordBatch, column: str, max_chars: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
@@ -76,6 +77,25 @@ def discard(df: DataFrame) -> None:
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
         folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
         folder.getFileSystem(conf).delete(folder, True)
+    drop_shuffles(df.sparkSession)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Settings under which texts go to Python some rows at once: Spark's 10,000 take tens of MB in the executor and in the worker each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of queries that have ended: it does so when the driver's heap is collected, which may be long after."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def batches_of(make: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:

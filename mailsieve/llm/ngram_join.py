@@ -18,8 +18,9 @@ Signatures travel in packed arrays.  Documents of a signature that few share
 (SMALL) are paired with each other; where more do, each meets the smallest one,
 already in its task.  A pair goes on if its sizes allow the similarity and so do
 the documents' sketches: parities of hashed shingles, in which as many bits
-differ as elements do at most.  Exact overlaps of whole texts decide, and linked
-documents form components.  For signatures of many documents that are not all in
+differ as elements do at most.  Exact overlaps of whole texts decide, of one pair of
+each document first and then of those still in two components, and linked documents
+form components.  For signatures of many documents that are not all in
 one component by then, the documents that such signatures connect are compared
 across components, by blocks, exactly, and only pairs that share a rare shingle.
 So no link between components is lost, and large groups of copies are never
@@ -43,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, keep_only, materialize, release, table, text_slices
+from .common import discard, drop_shuffles, input_mb, keep_only, materialize, release, small_batches, table, text_slices
 from .components import components
 from .shingles import mixed, overlap, shingle_sets
 
@@ -52,8 +53,13 @@ SMALL = 32  # documents that share a signature up to which all are paired
 SKETCH_BITS = 1024  # parities kept of a set
 SIGNATURES = 500_000  # signatures that a task packs at once
 BUCKETS = 64  # parts of the signatures, at least
+SIGNATURE_BYTES = 5  # of a signature that go to its bucket
+BUCKET_MB, MOST_BUCKETS = 4, 1 << 13  # of documents that a part is for
+SLICE = 500_000  # characters of texts that are signed at once
+COPIES = 50_000  # texts of a task among which exact copies are found before they are signed
 FILTER_WORDS = 1 << 20  # 64-bit words of a filter at most
-MEMBERS = 256  # documents that are compared with one in one group
+MEMBERS = 64  # documents that are compared with one in one group
+LARGE = 1 << 20  # bytes of a group's texts from which its memory is given back at once
 BLOCK = 1024  # documents of a block of a cluster
 
 
@@ -164,15 +170,16 @@ def _signed(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = _scheme(num, den)
+        held: list[tuple[np.ndarray, int, int]] = []  # signatures, id and size of documents
+        first: dict[bytes, int] = {}
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
-            held: list[tuple[np.ndarray, int, int]] = []  # signatures, id and size of documents
-            first: dict[bytes, int] = {}
-            for at, texts in text_slices(batch, "text"):
+            for at, texts in text_slices(batch, "text", SLICE):
                 ids = doc_ids[at:at + len(texts)]
                 sets = shingle_sets(texts, width)
                 yield rows(kind=0, a=ids, n=[len(s) for s in sets], packed=[sketch(s) for s in sets])
                 copies: list[tuple[int, int]] = []
+                first = first if len(first) < COPIES else {}
                 for doc_id, s in zip(ids, sets):
                     if doc_id is None or not len(s):
                         continue
@@ -187,8 +194,8 @@ def _signed(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> Da
                 if sum(len(x) for x, _, _ in held) >= SIGNATURES:
                     yield from packed_rows(held)
                     held = []
-            yield from packed_rows(held)
-            release()
+        yield from packed_rows(held)
+        release()
 
     def packed_rows(held: list[tuple[np.ndarray, int, int]]) -> Iterator[pa.RecordBatch]:
         """Stars of signatures that many of these documents share, and the signatures that go on, by bucket."""
@@ -218,7 +225,7 @@ def _signed(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> Da
                 of, counts = np.unique(doc[x:y], return_counts=True)
                 head = np.array([len(of)], "<i8").tobytes()
                 packed.append(b"".join((head, doc_id[of].tobytes(), size[of].astype("<i4").tobytes(),
-                                        counts.astype("<i4").tobytes(), sig[x:y].tobytes())))
+                                        counts.astype("<i4").tobytes(), _short(sig[x:y]))))
                 names.append(k)
         yield rows(kind=3, bucket=names, packed=packed)
 
@@ -226,13 +233,32 @@ def _signed(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> Da
         run, "kind tinyint, a long, b long, n long, bucket int, packed binary")
 
 
-def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures, documents and set sizes."""
+def _short(sig: np.ndarray) -> bytes:
+    """The first SIGNATURE_BYTES bytes of signatures: in a bucket few are equal by chance, and then only bring a pair too many."""
+    return sig.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SIGNATURE_BYTES].tobytes()
+
+
+def _signatures_of(packed: bytes) -> np.ndarray:
+    """The signatures, as numbers of SIGNATURE_BYTES bytes."""
+    n = int(np.frombuffer(packed, "<i8", 1)[0])
+    short = np.frombuffer(packed, np.uint8, -1, 8 + 16 * n).reshape(-1, SIGNATURE_BYTES)
+    wide = np.zeros((len(short), 8), np.uint8)
+    wide[:, -SIGNATURE_BYTES:] = short
+    return wide.view(">u8").ravel().astype(np.uint64)
+
+
+def _shared(packed: bytes, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of the signatures that are among the (sorted) shared ones, and the documents and set sizes of each."""
     n = int(np.frombuffer(packed, "<i8", 1)[0])
     ids = np.frombuffer(packed, "<i8", n, 8)
     sizes = np.frombuffer(packed, "<i4", n, 8 + 8 * n)
     counts = np.frombuffer(packed, "<i4", n, 8 + 12 * n)
-    return np.frombuffer(packed, "<u8", -1, 8 + 16 * n), np.repeat(ids, counts), np.repeat(sizes, counts)
+    sig = _signatures_of(packed)
+    at = np.searchsorted(shared, sig)
+    keep = np.flatnonzero(np.append(shared, sig[:1])[at] == sig) if len(shared) else np.zeros(0, np.int64)
+    keep = keep[at[keep] < len(shared)]
+    of = np.searchsorted(np.cumsum(counts), keep, "right")
+    return sig[keep], ids[of], sizes[of]
 
 
 def _groups(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,22 +293,28 @@ def _pairs(doc: np.ndarray, size: np.ndarray, lead: np.ndarray, count: np.ndarra
     return np.unique(np.concatenate(out), axis=0)
 
 
+def _buckets(mb: float, partitions: int) -> int:
+    """Number of parts of the signatures: it grows with the documents, for a task holds a part at once."""
+    return max(BUCKETS, partitions, min(MOST_BUCKETS, int(mb / BUCKET_MB)))
+
+
 def _met(num: int, den: int):
     """Function of a bucket's rows: the pairs of documents that signatures bring together."""
 
     def run(table_: pa.Table) -> pa.Table:
-        parts = [_unpack(p.as_py()) for p in table_.column("packed")]
-        sig, doc, size = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        packed = [p.as_py() for p in table_.column("packed")]
+        values = np.sort(np.concatenate([_signatures_of(p) for p in packed]))
+        shared = np.unique(values[1:][values[1:] == values[:-1]])  # most signatures are one document's
+        del values
+        sig, doc, size = (np.concatenate(c) for c in zip(*[_shared(p, shared) for p in packed]))
+        del packed
         order = np.lexsort((doc, sig))
-        sig, doc, size = sig[order], doc[order].astype(np.int64), size[order].astype(np.int64)
-        lead, count = _groups(sig)
-        shared = np.repeat(count > 1, count)  # most signatures are one document's
-        sig, doc, size = sig[shared], doc[shared], size[shared]
+        sig, doc, size = sig[order], doc[order], size[order].astype(np.int64)
         lead, count = _groups(sig)
         many = np.repeat(count > SMALL, count)
         found = _stars(doc[many], size[many], *_groups(sig[many]), num, den)
         found[4] = np.unique(np.concatenate((found[4], _pairs(doc, size, lead, count, num, den))), axis=0)
-        del parts, sig, doc, size
+        del sig, doc, size
         release()
         return pa.table({"kind": pa.array(np.repeat(list(found), [len(p) for p in found.values()]), pa.int8()),
                          **{c: pa.array(np.concatenate([p[:, i] for p in found.values()])) for i, c in enumerate("ab")}})
@@ -298,6 +330,7 @@ def _sketched(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFra
                 n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64) for c in ("s_a", "s_b"))
                 yield batch.select(["a", "b"]).filter(pa.array(may_link(n, m, x, y, num, den)))
+        release()
 
     for side in "ab":
         mine = sizes.select(F.col("a").alias(side), F.col("n").alias(f"n_{side}"), F.col("packed").alias(f"s_{side}"))
@@ -364,6 +397,9 @@ def _within_clusters(clusters: DataFrame, found: DataFrame, docs: DataFrame, wid
         node, own, side = (rows.column(c).to_pylist() for c in ("node", "own", "part"))
         mixed_block = rows.column("low")[0].as_py() != rows.column("high")[0].as_py()
         pairs = _close_pairs(sets, own, side, num, den) if not mixed_block or len(set(side)) > 1 else []
+        del sets
+        if rows.nbytes > LARGE:
+            release()
         return pa.table({"a": pa.array([node[x] for x, _ in pairs], pa.int64()), "b": pa.array([node[y] for _, y in pairs], pa.int64())})
 
     return placed.groupBy("cluster", "low", "high").applyInArrow(compare, "a long, b long")
@@ -393,16 +429,26 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) ->
                     for a, s in zip(batch.column("a")[at:at + len(part)], shingle_sets(part, width)):
                         if any(_similar(s, x, num, den) for x in leads_):
                             out.add((a.as_py(), b))
+        if lead.nbytes + member.nbytes > LARGE:
+            release()
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return leads.groupBy("lead", "share").cogroup(members.groupBy("b", "part")).applyInArrow(compare, "a long, b long")
 
 
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose documents are not in one component yet."""
+    for side in "ab":
+        pairs = pairs.join(found.select(F.col("node").alias(side), F.col("component").alias(f"in_{side}")), side, "left")
+    return pairs.filter(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b")
+
+
 def join(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; documents link at a similarity of num / den."""
     spark = docs.sparkSession
-    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    signed = materialize(_signed(docs, width, num, den, buckets), "signatures")
+    buckets = _buckets(input_mb(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    with small_batches(spark):
+        signed = materialize(_signed(docs, width, num, den, buckets), "signatures")
     met = materialize(signed.filter("kind = 3").select("bucket", "packed").groupBy("bucket")
                       .applyInArrow(_met(num, den), "kind tinyint, a long, b long")
                       .unionByName(signed.filter("kind > 3").select("kind", "a", "b")).distinct(), "met")
@@ -412,8 +458,16 @@ def join(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
     # first round: pairs of signatures of a few documents, and stars of those of many
     able = materialize(_sketched(met.filter("kind = 4").select("a", "b"), rows.filter("kind = 0"), num, den), "able")
-    links = materialize(copies.unionByName(verify(able, docs, width, num, den)), "links")
+    drop_shuffles(spark)  # of sketches, a pair's each
+    # texts are compared with one other each, and then only where that has not joined the two yet: groups of copies have few links verified
+    one = able.groupBy("a").agg(F.min("b").alias("b"))
+    links = materialize(copies.unionByName(verify(one, docs, width, num, den)), "links")
     found = materialize(components(links), "components")
+    rest = materialize(_apart(able.join(one, ["a", "b"], "left_anti"), found), "rest")
+    drop_shuffles(spark)  # of texts
+    if rest.limit(1).count():
+        links = materialize(links.unionByName(verify(rest, docs, width, num, den)), "links")
+        found = materialize(components(links), "components")
 
     # second round: documents that signatures of many connect, however indirectly, but no link yet
     stars = met.filter("kind = 6").select("a", "b")

@@ -6,6 +6,7 @@ import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
+CHARS = 250_000  # characters hashed at once, unless one text has more: some 40 bytes of memory each
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -47,8 +48,15 @@ def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     A text of fewer words has its whole sequence as one shingle, a text without
     words has none.
     """
-    if not texts:
-        return []
+    out: list[np.ndarray] = []
+    part = np.cumsum([len(t) for t in texts]) // CHARS
+    for first, end in zip(firsts := np.flatnonzero(np.diff(part, prepend=-1)).tolist(), [*firsts[1:], len(texts)]):
+        out += _sets(texts[first:end], width)
+    return out
+
+
+def _sets(texts: list[str], width: int) -> list[np.ndarray]:
+    """The same for a few texts, hashed together."""
     hashes, counts = word_hashes([t.encode("utf-8", "surrogatepass").lower() for t in texts])
     n = len(hashes)
     rolled = np.zeros(max(n - width + 1, 0), np.uint64)

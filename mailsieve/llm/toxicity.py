@@ -24,7 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -194,11 +194,15 @@ def _terms(texts: DataFrame, sizes: dict[int, int]) -> list[str]:
     return sorted(r["word"] for r in chosen)
 
 
-def _vectors(docs: DataFrame, terms: list[str], columns: list[str]) -> DataFrame:
-    """The named columns, and `terms` and `uses`: places in the term list and how often each occurs."""
+def _named(frame: DataFrame, columns: list[str]) -> str:
+    """The schema of the named columns."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields if f.name in columns)
+
+
+def _vectors(terms: list[str], columns: list[str]) -> Callable:
+    """mapInArrow function to the named columns, and `terms` and `uses`: places in the term list and how often each occurs."""
     number = {w: i for i, w in enumerate(terms)}
     known = frozenset(terms)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,7 +218,7 @@ def _vectors(docs: DataFrame, terms: list[str], columns: list[str]) -> DataFrame
                     [*[batch.column(c).slice(at, len(texts)) for c in columns], *[pa.array(c, pa.list_(pa.int32())) for c in out]],
                     [*columns, "terms", "uses"])
 
-    return docs.mapInArrow(run, f"{schema}, terms array<int>, uses array<int>")
+    return run
 
 
 def _documents_of(vectors: DataFrame, n_terms: int) -> DataFrame:
@@ -238,7 +242,8 @@ def build_index(spark: SparkSession, docs: DataFrame, labels: DataFrame, example
              .groupBy(F.col("toxic").cast("int").alias("y")).agg(F.count_distinct("doc_id").alias("n")).collect()}
     texts = keep_only(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "y")  # 2 x EXAMPLES rows at most
     terms = _terms(texts, classes)
-    vectors = materialize(_vectors(keep_only(docs, "doc_id", "text"), terms, ["doc_id"]), "vectors")
+    texts = keep_only(docs, "doc_id", "text")
+    vectors = materialize(texts.mapInArrow(_vectors(terms, ["doc_id"]), f"{_named(texts, ['doc_id'])}, terms array<int>, uses array<int>"), "vectors")
     total = vectors.count()
     seen = {r["t"]: r["n"] for r in _documents_of(vectors, len(terms)).collect()}  # a row a term
     idf = np.array([math.log((total + 1) / (seen.get(t, 0) + 1)) for t in range(len(terms))])
@@ -249,15 +254,14 @@ def build_index(spark: SparkSession, docs: DataFrame, labels: DataFrame, example
     return terms, index, vectors
 
 
-def _scores(frame: DataFrame, index: Index, columns: list[str]) -> DataFrame:
-    """Add score and evidence to a frame of vectors."""
+def _scores(frame: DataFrame, index: Index, columns: list[str], vectors: Callable = iter) -> DataFrame:
+    """Add score and evidence to a frame of vectors, or to one of which `vectors` makes them in the same task."""
     shared = frame.sparkSession.sparkContext.broadcast(index)  # EXAMPLES bounds it
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields if f.name in columns)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = shared.value
-        for batch in batches:
+        for batch in vectors(batches):
             out = found.scores(batch.column("terms").to_pylist(), batch.column("uses").to_pylist())
             evidence = [[dict(zip(("doc_id", "label", "cosine"), e)) for e in ev] for _, ev in out]
             yield pa.RecordBatch.from_arrays(
@@ -265,7 +269,7 @@ def _scores(frame: DataFrame, index: Index, columns: list[str]) -> DataFrame:
                 [*columns, "score", "evidence"])
         release()
 
-    return frame.mapInArrow(run, f"{schema}, score double, evidence array<struct<doc_id: bigint, label: int, cosine: double>>")
+    return frame.mapInArrow(run, f"{_named(frame, columns)}, score double, evidence array<struct<doc_id: bigint, label: int, cosine: double>>")
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
@@ -281,7 +285,7 @@ def filter_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, th
     inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     names = inner.columns
     with_text = inner.withColumn("text", F.col(names[docs.columns.index("text")]))
-    scored = _scores(_vectors(with_text, terms, names), index, names)
+    scored = _scores(with_text, index, names, _vectors(terms, names))
     return scored.filter(F.col("score") < threshold).select(*[F.col(n).alias(o) for n, o in zip(names, docs.columns)])
 
 

@@ -184,3 +184,49 @@ def test_large_cells_are_cut_into_blocks(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
     got = embedding_dedup.link(frame, 0.93)
     assert got.agg(F.min("n_links"), F.max("n_links"), F.max("component_id")).first() == (119, 119, 0)
+
+
+def test_verify_gets_one_pair_a_document_of_a_group_of_copies(spark, documents, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[:200 + k] + [f"own{k}"] + words[200 + k:]) for k in range(24)]
+    asked, verify = [], ngram_join.verify
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "verify", counted)
+    rows = ngram_join.join(documents(texts), 4, 85, 100).collect()
+    assert {r["component_id"] for r in rows} == {0}
+    assert sum(asked) < 2 * len(texts)  # all pairs would be 276
+
+
+def test_join_of_documents_apart_from_their_smallest_partner(spark, documents, monkeypatch):
+    """A chain: 0 and 2 are no copies of each other but may be compared first; the links by way of 1 still join all."""
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join([f"x{k}_{i}" if i < 6 * k else w for i, w in enumerate(words)]) for k in (0, 1, 2, 3)]
+    chain = [" ".join([f"x{i}" if i < 8 * k else w for i, w in enumerate(words)]) for k in range(5)]
+    for given in (texts, chain):
+        sets = [{tuple(t.split()[i:i + 4]) for i in range(197)} for t in given]
+        linked = [[100 * len(a & b) >= 85 * len(a | b) for b in sets] for a in sets]
+        expected = list(range(len(given)))
+        for _ in given:
+            expected = [min(expected[j] for j in range(len(given)) if linked[i][j]) for i in range(len(given))]
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(documents(given), 4, 85, 100).collect()}
+        assert [got[i] for i in range(len(given))] == expected
+
+
+def test_shingles_of_many_texts_take_little_memory():
+    import tracemalloc
+
+    texts = [" ".join(f"w{(i * 7919 + k) % 5003}" for k in range(1000)) for i in range(600)]
+    tracemalloc.start()
+    sets = shingles.shingle_sets(texts, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(sets) == 600 and peak < sum(s.nbytes for s in sets) + 30e6
+
+
+def test_parts_of_the_signatures_grow_with_the_documents():
+    assert ngram_join._buckets(1, 8) == 64 and ngram_join._buckets(1, 200) == 200
+    assert ngram_join._buckets(5000, 8) == 2 * ngram_join._buckets(2500, 8)
