@@ -18,7 +18,8 @@ Signatures travel in packed arrays.  Documents of a signature that few share
 (SMALL) are paired with each other; where more do, each meets the smallest one,
 already in its task.  A pair goes on if its sizes allow the similarity and so do
 the documents' sketches: parities of hashed shingles, in which as many bits
-differ as elements do at most.  Exact overlaps of whole texts decide, of one pair of
+differ as elements do at most, for two large sets again with as many bits as they
+have shingles.  Exact overlaps of whole texts decide, of one pair of
 each document first and then of those still in two components, and linked documents
 form components.  For signatures of many documents that are not all in
 one component by then, the documents that such signatures connect are compared
@@ -58,6 +59,7 @@ BUCKET_MB, MOST_BUCKETS = 4, 1 << 13  # of documents that a part is for
 SLICE = 500_000  # characters of texts that are signed at once
 COPIES = 50_000  # texts of a task among which exact copies are found before they are signed
 FILTER_WORDS = 1 << 20  # 64-bit words of a filter at most
+SKETCHES = 256  # pairs whose sketches are compared at once
 MEMBERS = 64  # documents that are compared with one in one group
 LARGE = 1 << 20  # bytes of a group's texts from which its memory is given back at once
 BLOCK = 1024  # documents of a block of a cluster
@@ -124,10 +126,23 @@ def _similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * common >= num * (len(a) + len(b) - common)
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """Parity of the elements that each of SKETCH_BITS bits stands for."""
-    at = (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+def sketch(hashes: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
+    """Parity of the elements that each bit stands for (their number is a power of two)."""
+    at = (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def wide_sketch(hashes: np.ndarray) -> bytes:
+    """A sketch of as many bits as the set has elements, or up to twice as many: SKETCH_BITS say little of large sets."""
+    return sketch(hashes, max(SKETCH_BITS, 1 << max(len(hashes) - 1, 0).bit_length()))
+
+
+def folded(x: np.ndarray, size: int) -> np.ndarray:
+    """Sketches (a row each) as they would be with `size` bytes: a bit of a shorter one stands for neighbours of a longer one."""
+    if x.shape[1] == size:
+        return x
+    bits = np.unpackbits(x, axis=1).reshape(len(x), size * 8, -1)
+    return np.packbits(np.bitwise_xor.reduce(bits, axis=2), axis=1)
 
 
 def may_link(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -327,9 +342,16 @@ def _sketched(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64) for c in ("s_a", "s_b"))
-                yield batch.select(["a", "b"]).filter(pa.array(may_link(n, m, x, y, num, den)))
+                n, m, p, q = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b", "s_a", "s_b"))
+                sizes_ = np.array([(len(x), len(y)) for x, y in zip(p, q)])
+                good = np.zeros(len(n), bool)
+                for of_a, of_b in np.unique(sizes_, axis=0).tolist():
+                    alike = np.flatnonzero((sizes_ == (of_a, of_b)).all(axis=1))
+                    for first in range(0, len(alike), SKETCHES):
+                        at = alike[first:first + SKETCHES]
+                        x, y = (folded(np.frombuffer(b"".join(s[at]), np.uint8).reshape(len(at), -1), min(of_a, of_b)).view(np.uint64) for s in (p, q))
+                        good[at] = may_link(n[at], m[at], x, y, num, den)
+                yield batch.select(["a", "b"]).filter(pa.array(good))
         release()
 
     for side in "ab":
@@ -338,6 +360,28 @@ def _sketched(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFra
     return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
+def _sketched_wide(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b), those of two large sets only if sketches as long as the sets allow the similarity too: they are much shorter than the texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in text_slices(batch, "text", SLICE):
+                sets = shingle_sets(texts, width)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                                                  pa.array([wide_sketch(s) for s in sets], pa.binary())], ["a", "n", "packed"])
+        release()
+
+    large = sizes.filter(F.col("n") > SKETCH_BITS).select("a").distinct()
+    both = materialize(pairs.join(large.hint("merge"), "a").join(large.withColumnRenamed("a", "b").hint("merge"), "b").select("a", "b"), "large-pairs")
+    if not both.limit(1).count():
+        return pairs
+    ids = both.select("a").unionByName(both.select(F.col("b").alias("a"))).distinct()
+    # all texts of an id, whatever their size, have a sketch here
+    wide = likely(keep_only(docs, "doc_id", "text"), ids).select("doc_id", "text").mapInArrow(run, "a long, n long, packed binary")
+    with small_batches(docs.sparkSession):
+        kept = materialize(_sketched(both, wide, num, den), "able")
+    return pairs.join(both.hint("merge"), ["a", "b"], "left_anti").unionByName(kept)
+
+
 def _close_pairs(sets: list[np.ndarray], group: list[int], side: list[int], num: int, den: int) -> list[tuple[int, int]]:
     """Pairs of sets that link, as far as they join groups; with two sides, pairs across them.
 
@@ -459,6 +503,8 @@ def join(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     # first round: pairs of signatures of a few documents, and stars of those of many
     able = materialize(_sketched(met.filter("kind = 4").select("a", "b"), rows.filter("kind = 0"), num, den), "able")
     drop_shuffles(spark)  # of sketches, a pair's each
+    able = materialize(_sketched_wide(able, rows.filter("kind = 0"), docs, width, num, den), "able")
+    drop_shuffles(spark)
     # texts are compared with one other each, and then only where that has not joined the two yet: groups of copies have few links verified
     one = able.groupBy("a").agg(F.min("b").alias("b"))
     links = materialize(copies.unionByName(verify(one, docs, width, num, den)), "links")

@@ -106,6 +106,41 @@ def test_sketches_never_part_a_similar_pair():
     assert parted > 100
 
 
+def test_wide_sketches_fold_to_narrow_ones_and_tell_large_sets_apart():
+    random_ = np.random.default_rng(6)
+    for size in (1, 1024, 1025, 9000):
+        a = np.unique(random_.integers(0, 2**63, size, dtype=np.uint64))
+        wide = np.frombuffer(ngram_join.wide_sketch(a), np.uint8)[None]
+        assert len(a) <= wide.shape[1] * 8 < max(2 * len(a), 1025)
+        assert ngram_join.folded(wide, 128).tobytes() == ngram_join.sketch(a)
+    parted = 0
+    for size in (1500, 4000, 7000, 9000):
+        for part in (0.0, 0.02, 0.05, 0.08, 0.3, 0.9):
+            a = np.unique(random_.integers(0, 2**63, size, dtype=np.uint64))
+            b = np.unique(np.concatenate((a[int(size * part):], random_.integers(0, 2**63, int(size * part * 1.1), dtype=np.uint64))))
+            x, y = (np.frombuffer(ngram_join.wide_sketch(s), np.uint8)[None] for s in (a, b))
+            size_ = min(x.shape[1], y.shape[1])
+            able = ngram_join.may_link(np.array([len(a)]), np.array([len(b)]), *(ngram_join.folded(s, size_).view(np.uint64) for s in (x, y)), 85, 100)[0]
+            assert able or not ngram_join._similar(a, b, 85, 100)
+            parted += not able
+            assert not able or part < 0.9
+    assert parted >= 4
+
+
+def test_pairs_of_large_sets_go_on_only_if_wide_sketches_allow_it(spark, documents):
+    """Ids 1 and 2 are near copies, 3 is another text, 4 a short one and a copy of 1 under one id."""
+    random.seed(4)
+    first, other = ([f"w{random.randrange(10**6)}" for _ in range(6000)] for _ in range(2))
+    edited = list(first)
+    edited[100] = "edit"
+    docs = documents([(1, " ".join(first)), (2, " ".join(edited)), (3, " ".join(other)), (4, "a b c d e f"), (4, " ".join(first)), (5, "a b c d e f")])
+    sizes = spark.createDataFrame([(1, 5997), (2, 5997), (3, 5997), (4, 3), (4, 5997), (5, 3)], "a long, n long")
+    pairs = spark.createDataFrame([(2, 1), (3, 1), (3, 2), (4, 1), (5, 4)], "a long, b long")
+    got = ngram_join._sketched_wide(pairs, sizes, docs, 4, 85, 100)
+    assert sorted(tuple(r) for r in got.collect()) == [(2, 1), (4, 1), (5, 4)]
+    assert {(r["doc_id"], r["component_id"]) for r in ngram_join.join(docs, 4, 85, 100).collect()} == {(1, 1), (2, 1), (3, 3), (4, 1), (5, 1)}
+
+
 def test_likely_documents_hold_all_wanted_ones(spark, documents):
     docs = documents([(i, "t") for i in range(2000)] + [(None, "n"), (7, "again")])
     wanted = spark.createDataFrame([(i,) for i in range(0, 2000, 40)], "a long")
