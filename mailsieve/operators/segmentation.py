@@ -21,12 +21,15 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import materialize
+from .token_counts import count_by_text
 
 LONGEST = 4  # characters of a word at most
 LEAST = 5  # occurrences
@@ -102,10 +105,19 @@ def tokenize_learnt(docs: DataFrame, text_col: str, words: DataFrame, out_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(out_col)
-            tokens = []
-            for runs in batch.column(at).to_pylist():
-                tokens.append([t for r in runs for t in (segment(r, weight, longest, single) if unspaced(r) else [r])])
-            yield batch.set_column(at, out_col, pa.array(tokens, pa.list_(pa.string())))
+            yield batch.set_column(at, out_col, cut(batch.column(at)))
+
+    def cut(lists: pa.ListArray) -> pa.ListArray:
+        """The lists with their runs cut; each distinct token of the batch is looked at once."""
+        coded = lists.flatten().dictionary_encode()
+        parts = [segment(t, weight, longest, single) if unspaced(t) else None for t in coded.dictionary.to_pylist()]
+        if not any(p and len(p) > 1 for p in parts):
+            return lists.cast(pa.list_(pa.string()))
+        parts = pa.array([[t] if p is None else p for t, p in zip(coded.dictionary.to_pylist(), parts)], pa.list_(pa.string()))
+        taken = parts.take(coded.indices)
+        sizes = np.concatenate(([0], np.cumsum(pc.list_value_length(taken).to_numpy(zero_copy_only=False))))
+        ends = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))
+        return pa.ListArray.from_arrays(pa.array(sizes[ends].astype(np.int32)), taken.flatten())
 
     def unspaced(token: str) -> bool:
         return any(a <= token[0] <= b for a, b in ranges)
@@ -114,3 +126,12 @@ def tokenize_learnt(docs: DataFrame, text_col: str, words: DataFrame, out_col: s
     spaced = F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), T.UNSPACED_RUN, " $1 ")
     rows = docs.withColumn(out_col, F.regexp_extract_all(spaced, F.lit(T.TOKEN_PATTERN), 0))
     return rows.mapInArrow(run, rows.schema)
+
+
+def count_learnt(docs: DataFrame, id_col: str, text_col: str, words: DataFrame) -> DataFrame:
+    """(id, token, n): how often each text's tokens come, counted where the text is; texts of one id are added up, which takes a shuffle."""
+    twice = docs.groupBy(id_col).count().filter("count > 1").limit(1).count() > 0
+    rows = tokenize_learnt(docs.select(id_col, text_col), text_col, words, "_tokens").select(id_col, "_tokens")
+    counts = rows.mapInArrow(count_by_text, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, term string, tf long")
+    counts = counts.select(id_col, F.col("term").alias("token"), F.col("tf").alias("n"))
+    return counts.groupBy(id_col, "token").agg(F.sum("n").alias("n")) if twice else counts

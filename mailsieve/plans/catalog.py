@@ -285,8 +285,7 @@ def q_learnt_words(spark, sf_dir):
 def q_tokenize_learnt(spark, sf_dir):
     """Tokens of all mails, runs without spaces cut into learnt words."""
     m = mail_subject_runs(spark, sf_dir)
-    tokens = SG.tokenize_learnt(m, "text", materialize(SG.learn_words(m, "text"), "learnt-words"))
-    return tokens.select("mail_id", F.explode("tokens").alias("token")).groupBy("mail_id", "token").agg(F.count("*").alias("n"))
+    return SG.count_learnt(m, "mail_id", "text", materialize(SG.learn_words(m, "text"), "learnt-words"))
 
 
 @query("lexicon_hits")

@@ -71,3 +71,17 @@ def test_tokens_of_mixed_texts(spark):
     got = {r["id"]: r["tokens"] for r in SG.tokenize_learnt(asked, "t", words).collect()}
     assert got == {1: ["click", "点击", "验证码", "now", "42"], 2: [], 3: [], 4: ["银行卡", "安全", "龘"]}
     assert [r["tokens"] for r in SG.tokenize_learnt(asked.filter("id = 4"), "t", words.filter("false")).collect()] == [list("银行卡安全龘")]
+
+
+def test_learnt_tokens_are_counted_in_the_row(spark):
+    """No shuffle of tokens where ids are unique; texts of one id are added up; counts are those of the tokens."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(corpus())], "id int, t string")
+    words = SG.learn_words(docs, "t", cohesion=1.0)
+    rows = [(1, "Click 点击验证码 now now 42 点击"), (2, None), (3, ""), (4, "银行卡安全龘"), (5, "only plain plain")]
+    for asked in (rows, [*rows, (4, "银行卡 x"), (None, "null id"), (None, "null")]):
+        frame = spark.createDataFrame(asked, "id int, t string")
+        got = SG.count_learnt(frame, "id", "t", words)
+        tokens = SG.tokenize_learnt(frame, "t", words).collect()
+        want = Counter((r["id"], t) for r in tokens for t in r["tokens"])
+        assert {(r["id"], r["token"]): r["n"] for r in got.collect()} == want and got.count() == len(want)
+        assert ("Exchange" in got._jdf.queryExecution().executedPlan().toString()) == (len(asked) > len(rows))
