@@ -53,3 +53,18 @@ def test_cli_train_and_score_folder(spark, capsys):
     assert res.count() == res.select("path").distinct().count() > 0
     assert res.filter(~F.col("level").isin("无风险", "中危", "高危")).count() == 0
     assert "data/" in capsys.readouterr().out
+
+
+def test_fit_on_known_tokens_equals_fit_on_texts(spark):
+    from mailsieve.operators import ml as ML
+    texts = ["Verify your account now 验证 now", "lunch at noon, team", "", None, "verify verify 验证码 link", "team minutes of noon"]
+    rows = [(i, texts[i % 6], int(i % 6 in (0, 4)), float(i % 5)) for i in range(60)]
+    mails = spark.createDataFrame(rows, "mail_id long, body string, label int, x double")
+    vocabulary = ML.Vocabulary.fit(mails, "mail_id", "body", 6)
+    tokens = mails.withColumn("tokens", ML.known_tokens(F.col("body"), [vocabulary])).drop("body")
+    assert {t for r in tokens.collect() for t in r["tokens"]} == set(vocabulary.terms)
+    found = []
+    for data, tokenized in ((mails, False), (tokens, True)):
+        model = ML.fit_text_classifier(data, numeric_cols=("x",), num_trees=5, max_depth=4, vocabulary=vocabulary, tokenized=tokenized)
+        found.append({r["mail_id"]: r["p"] for r in ML.positive_probability(model, data).collect()})
+    assert found[0] == found[1] and len(found[0]) == 60
