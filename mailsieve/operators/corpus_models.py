@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
+from ..session import materialize
 from .char_model import CharModel, bigram_counts
 from .feature_models import FeatureCounts, class_log_odds, perplexity_from_mean, probability_from_odds
 from .token_counts import count_by_text
@@ -80,7 +81,7 @@ def bigram_perplexity(df: DataFrame, id_col: str, text_col: str, prefix: int | N
     """(id, perplexity) = log1p(exp(-mean ln P(b|a))) for every doc under the
     model of all docs; 0.0 for texts under 2 characters."""
     docs = df.select(id_col, _prefixed(text_col, prefix).alias("_t"))
-    model = CharModel.of(bigram_counts(docs, F.col("_t")))
+    model = CharModel.of(materialize(bigram_counts(docs, F.col("_t")), "bigram-counts"))  # the model's tables each start from the counts
     return model.add_means(docs, "_t", id_col).select(id_col, perplexity_from_mean(F.col("_m")[0]).alias("perplexity"))
 
 

@@ -522,10 +522,11 @@ def q_mixed_testset(spark, sf_dir):
 def q_ablation_report(spark, sf_dir):
     """The shape scorer with and without perplexity, fitted on the training
     mails that are not in the mixed test set, judged on that set."""
-    email = mail_email(spark, sf_dir).select("mail_id", "body")
+    shaped = split_mail(spark, sf_dir).withColumns(BY.text_shape(F.col("raw_body")))
+    # cleaned once: the perplexity reads the texts for its counts and again for its means
+    email = materialize(mail_email(spark, sf_dir, shaped).select("mail_id", "label", "is_test", "body", *BY.SHAPE), "ablation-mails")
     ppl = CM.bigram_perplexity(email, "mail_id", "body")
-    rows = materialize(split_mail(spark, sf_dir).withColumns(BY.text_shape(F.col("raw_body"))).join(ppl, "mail_id")
-                       .select("mail_id", "label", "is_test", "perplexity", *BY.SHAPE), "ablation")
+    rows = materialize(email.drop("body").join(ppl, "mail_id").select("mail_id", "label", "is_test", "perplexity", *BY.SHAPE), "ablation")
     mixed = materialize(mixed_testset(spark, sf_dir), "mixed")
     train = rows.filter("is_test = 0").join(mixed.select("mail_id"), "mail_id", "left_anti")
     test = mixed.select("mail_id", F.col("label").alias("y")).join(rows.drop("label"), "mail_id")
