@@ -59,6 +59,7 @@ BUCKET_MB, MOST_BUCKETS = 4, 1 << 13  # of documents that a part is for
 SLICE = 500_000  # characters of texts that are signed at once
 COPIES = 50_000  # texts of a task among which exact copies are found before they are signed
 FILTER_WORDS = 1 << 20  # 64-bit words of a filter at most
+LONG = 100  # texts that go to Python at once where they may be long ones
 SKETCHES = 256  # pairs whose sketches are compared at once
 MEMBERS = 64  # documents that are compared with one in one group
 LARGE = 1 << 20  # bytes of a group's texts from which its memory is given back at once
@@ -360,8 +361,8 @@ def _sketched(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFra
     return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
-def _sketched_wide(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b), those of two large sets only if sketches as long as the sets allow the similarity too: they are much shorter than the texts."""
+def _wide_sketches(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(a, n, packed), written: size and wide sketch of all texts of the documents among the (distinct) ids, and of a few others."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in text_slices(batch, "text", SLICE):
@@ -370,13 +371,20 @@ def _sketched_wide(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, width: i
                                                   pa.array([wide_sketch(s) for s in sets], pa.binary())], ["a", "n", "packed"])
         release()
 
+    near = likely(keep_only(docs, "doc_id", "text"), ids).select("doc_id", "text")
+    with small_batches(docs.sparkSession, LONG):  # these texts may be the long ones
+        return materialize(near.mapInArrow(run, "a long, n long, packed binary"), "wide-sketches")
+
+
+def _sketched_wide(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b), those of two large sets only if sketches as long as the sets allow the similarity too: they are much shorter than the texts."""
     large = sizes.filter(F.col("n") > SKETCH_BITS).select("a").distinct()
     both = materialize(pairs.join(large.hint("merge"), "a").join(large.withColumnRenamed("a", "b").hint("merge"), "b").select("a", "b"), "large-pairs")
     if not both.limit(1).count():
         return pairs
     ids = both.select("a").unionByName(both.select(F.col("b").alias("a"))).distinct()
-    # all texts of an id, whatever their size, have a sketch here
-    wide = likely(keep_only(docs, "doc_id", "text"), ids).select("doc_id", "text").mapInArrow(run, "a long, n long, packed binary")
+    # all texts of an id, whatever their size, have a sketch here; both sides of the pairs read it
+    wide = _wide_sketches(docs, ids, width)
     with small_batches(docs.sparkSession):
         kept = materialize(_sketched(both, wide, num, den), "able")
     return pairs.join(both.hint("merge"), ["a", "b"], "left_anti").unionByName(kept)
