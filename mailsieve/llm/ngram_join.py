@@ -22,7 +22,11 @@ differ as elements do at most, for two large sets again with as many bits as the
 have shingles.  Exact overlaps of whole texts decide, of one pair of
 each document first and then of those still in two components, and linked documents
 form components.  For signatures of many documents that are not all in
-one component by then, the documents that such signatures connect are compared
+one component by then, the documents that such signatures connect meet again by
+their rarest shingles: two that link have one in common, whatever the order that
+tells what is rare (counts in a bounded sample do).  Documents of different
+components that meet and whose sizes and sketches allow the similarity, or that
+more than FEW bring together, form smaller clusters, and within these they are compared
 across components, by blocks, exactly, and only pairs that share a rare shingle.
 So no link between components is lost, and large groups of copies are never
 made pairs.  Texts are moved only of documents that a bit filter of bounded size
@@ -64,6 +68,9 @@ SKETCHES = 256  # pairs whose sketches are compared at once
 MEMBERS = 64  # documents that are compared with one in one group
 LARGE = 1 << 20  # bytes of a group's texts from which its memory is given back at once
 BLOCK = 1024  # documents of a block of a cluster
+COUNTERS = 1 << 21  # counts of shingles by which the rare ones of a set are told
+COUNTED = 8192  # documents whose shingles are counted for that, about: they give an order only
+FEW = 256  # documents of a rare shingle up to which all are paired
 
 
 class Scheme:
@@ -295,16 +302,18 @@ def _stars(doc: np.ndarray, size: np.ndarray, lead: np.ndarray, count: np.ndarra
     return {kind: np.unique(np.stack((a[keep], b[keep]), 1), axis=0) for kind, keep in ((4, apart & close), (6, apart))}
 
 
-def _pairs(doc: np.ndarray, size: np.ndarray, lead: np.ndarray, count: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Distinct pairs (larger id, smaller id) within runs of at most SMALL documents, as far as the sizes allow the similarity."""
+def _pairs(doc: np.ndarray, size: np.ndarray, lead: np.ndarray, count: np.ndarray, num: int, den: int,
+           most: int = SMALL, own: np.ndarray | None = None) -> np.ndarray:
+    """Distinct pairs (larger id, smaller id) within runs of at most `most` documents, as far as the sizes allow the similarity and the components differ."""
     out = [np.zeros((0, 2), np.int64)]
-    place = np.where(np.repeat(count <= SMALL, count), np.arange(len(doc)) - np.repeat(lead, count), 0)
-    for step in range(1, SMALL):  # each document and the one `step` places before it
+    own = doc if own is None else own
+    place = np.where(np.repeat(count <= most, count), np.arange(len(doc)) - np.repeat(lead, count), 0)
+    for step in range(1, most):  # each document and the one `step` places before it
         keep = np.flatnonzero(place >= step)
         if not len(keep):
             break
         x, y = doc[keep], doc[keep - step]
-        good = (x != y) & _fit(size[keep], size[keep - step], num, den)
+        good = (own[keep] != own[keep - step]) & _fit(size[keep], size[keep - step], num, den)
         out.append(np.unique(np.stack((np.maximum(x, y)[good], np.minimum(x, y)[good]), 1), axis=0))
     return np.unique(np.concatenate(out), axis=0)
 
@@ -428,6 +437,125 @@ def _close_pairs(sets: list[np.ndarray], group: list[int], side: list[int], num:
     return out
 
 
+def _rarity(texts: DataFrame, width: int) -> np.ndarray:
+    """How often these texts have shingles of each of COUNTERS parts of the hashes, up to 65,535 times."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int32)
+        for batch in batches:
+            for _, part in text_slices(batch, "text", SLICE):
+                at, n = np.unique(_part(np.concatenate(shingle_sets(part, width))), return_counts=True)
+                total[at] += n.astype(np.int32)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["part", "n"])
+        release()
+
+    seen = texts.select("text").mapInArrow(run, "part int, n long").groupBy("part").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()
+    out = np.ones(COUNTERS, np.uint16)
+    out[seen.column("part").to_numpy()] = np.minimum(seen.column("n").to_numpy(), 65535)
+    return out
+
+
+def _part(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def _prefixes(texts: DataFrame, rarity, width: int, num: int, den: int, buckets: int) -> DataFrame:
+    """(bucket, packed): the rarest shingles of each set, so many that two sets which link have one of them in common; with its document, component and size."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("cluster", "node", "own")]
+            for at, part in text_slices(batch, "text", SLICE):
+                sets = shingle_sets(part, width)
+                sizes = np.array([len(s) for s in sets])
+                value = np.concatenate(sets)
+                owner = np.repeat(np.arange(len(sets)), sizes)
+                order = np.lexsort((value, rarity.value[_part(value)], owner))
+                place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                keep = order[place < np.repeat(sizes - -(-num * sizes // den) + 1, sizes)]
+                cluster, node, own = (c[at:at + len(sets)][owner[keep]] for c in columns)
+                held.append((mixed(value[keep] ^ mixed(cluster.astype(np.uint64))), node, own, sizes[owner[keep]]))
+            if sum(len(h[0]) for h in held) >= SIGNATURES:
+                yield packed(held)
+                held = []
+        if held:
+            yield packed(held)
+        release()
+
+    def packed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        value, node, own, size = (np.concatenate(c) for c in zip(*held))
+        bucket = (value % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((node, bucket))
+        value, node, own, size, bucket = (c[order] for c in (value, node, own, size, bucket))
+        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+        some = np.flatnonzero(np.diff(cuts))
+        rows = [b"".join((np.array([y - x], "<i8").tobytes(), node[x:y].astype("<i8").tobytes(), own[x:y].astype("<i8").tobytes(),
+                          size[x:y].astype("<i4").tobytes(), _short(value[x:y]))) for x, y in zip(cuts[some], cuts[some + 1])]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "packed"])
+
+    return texts.mapInArrow(run, "bucket int, packed binary")
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, ...]:
+    n = int(np.frombuffer(packed, "<i8", 1)[0])
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, -SIGNATURE_BYTES:] = np.frombuffer(packed, np.uint8, -1, 8 + 20 * n).reshape(-1, SIGNATURE_BYTES)
+    return (wide.view(">u8").ravel().astype(np.uint64), np.frombuffer(packed, "<i8", n, 8), np.frombuffer(packed, "<i8", n, 8 + 8 * n),
+            np.frombuffer(packed, "<i4", n, 8 + 16 * n).astype(np.int64))
+
+
+def _rare_met(num: int, den: int, few: int = FEW):
+    """Function of a bucket's rows: the pairs of documents of two components that share one of their rarest shingles (kind 4),
+    and, where more than `few` share it, each and the first one (kind 6)."""
+
+    def run(table_: pa.Table) -> pa.Table:
+        value, node, own, size = (np.concatenate(c) for c in zip(*[_unpacked(p.as_py()) for p in table_.column("packed")]))
+        order = np.lexsort((node, own, value))
+        value, node, own, size = (c[order] for c in (value, node, own, size))
+        lead, count = _groups(value)
+        apart = np.repeat(own[lead] != own[lead + count - 1], count)  # the others' documents are in one component, or alone
+        value, node, own, size = (c[apart] for c in (value, node, own, size))
+        if not len(value):
+            return pa.table({c: pa.array([], t) for c, t in (("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()))})
+        lead, count = _groups(value)
+        many = np.repeat(count > few, count)
+        found = {4: _pairs(node, size, lead, count, num, den, few, own)}
+        if many.any():
+            found[6] = _stars(node[many], size[many], *_groups(value[many]), num, den)[6]
+        release()
+        return pa.table({"kind": pa.array(np.repeat(list(found), [len(p) for p in found.values()]), pa.int8()),
+                         **{c: pa.array(np.concatenate([p[:, i] for p in found.values()])) for i, c in enumerate("ab")}})
+
+    return run
+
+
+def _narrowed(clusters: DataFrame, found: DataFrame, sizes: DataFrame, docs: DataFrame, width: int, num: int, den: int, buckets: int) -> DataFrame:
+    """(node, cluster): smaller clusters in which all links between components of the given ones are.
+
+    Signatures of many chain documents that have little but a common line in
+    common; here only those stay together that share rare shingles and may link."""
+    spark = docs.sparkSession
+    named = clusters.join(found.withColumnRenamed("component", "own"), "node", "left").select("cluster", "node", F.coalesce("own", "node").alias("own"))
+    open_ = named.groupBy("cluster").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low <> high").select("cluster")
+    members = materialize(named.join(open_, "cluster"), "members")
+
+    def texts(some: DataFrame) -> DataFrame:
+        near = likely(keep_only(docs, "doc_id", "text"), some.select("node").distinct())
+        return near.join(some, F.col("doc_id") == F.col("node")).select("cluster", "node", "own", "text")
+
+    every = max(1, members.count() // COUNTED)
+    with small_batches(spark):
+        rarity = spark.sparkContext.broadcast(_rarity(texts(members.filter(F.pmod(F.xxhash64("node"), F.lit(every)) == 0)), width))
+        prefixes = materialize(_prefixes(texts(members), rarity, width, num, den, buckets), "prefixes")
+    met = materialize(prefixes.groupBy("bucket").applyInArrow(_rare_met(num, den), "kind tinyint, a long, b long").distinct(), "rare-met")
+    discard(prefixes)
+    rarity.destroy()
+    able = materialize(_sketched(met.filter("kind = 4").select("a", "b"), sizes, num, den), "able")
+    drop_shuffles(spark)
+    able = _sketched_wide(able, sizes, docs, width, num, den)
+    return components(able.unionByName(met.filter("kind = 6").select("a", "b"))).select("node", F.col("component").alias("cluster"))
+
+
 def _within_clusters(clusters: DataFrame, found: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links that join components of documents whose signatures connect them, by blocks of clusters."""
     named = (clusters.join(found.withColumnRenamed("component", "own"), "node", "left")
@@ -527,6 +655,8 @@ def join(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     stars = met.filter("kind = 6").select("a", "b")
     if stars.limit(1).count():
         clusters = components(stars).select("node", F.col("component").alias("cluster"))
+        clusters = _narrowed(clusters, found, rows.filter("kind = 0"), docs, width, num, den, buckets)
+        drop_shuffles(spark)
         late = materialize(_within_clusters(clusters, found, docs, width, num, den), "links")
         if late.limit(1).count():
             found = components(links.unionByName(late))

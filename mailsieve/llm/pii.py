@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_only, table, text_slices
+from .common import keep_only, release, table, text_slices
 
 
 class Span(NamedTuple):
@@ -145,6 +145,7 @@ def _mapped(docs: DataFrame, columns: list[str], make: Callable[[str], tuple], f
                 kept = [batch.column(c).slice(at, len(texts)) for c in columns]
                 yield pa.RecordBatch.from_arrays([*kept, *[pa.array(v, f.type) for v, f in zip(made, fields)]],
                                                  [*columns, *[f.name for f in fields]])
+        release()
 
     return docs.mapInArrow(run, schema)
 
@@ -164,13 +165,14 @@ def redact(docs: DataFrame) -> DataFrame:
     names, order = docs.columns, [f"_c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*order)  # names may clash with those used here
     text = order[names.index("text")]
-    masked = plain.withColumn("text", F.col(text))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields) + ", masked string"
-    out = _mapped(masked.select(*order, "text"), order, lambda t: (mask(t, find(t)),), [pa.field("masked", pa.string())], schema)
-    clean = F.when(F.col(text).isNull(), F.lit(None)).otherwise(F.col("masked"))
-    value = {"text": clean, "n_chars": F.when(F.col(text).isNotNull(), F.length("masked"))}
+    others = [c for c in order if c != text]  # the text goes to the tasks once and comes back masked
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.select(*others).schema.fields)
+    out = _mapped(plain.select(*others, F.col(text).alias("text"), F.col(text).isNull().alias("_none")), [*others, "_none"], lambda t: (mask(t, find(t)),),
+                  [pa.field("masked", pa.string())], ", ".join([schema, "_none boolean, masked string"] if others else ["_none boolean, masked string"]))
+    clean = F.when(~F.col("_none"), F.col("masked"))
+    value = {"text": clean, "n_chars": F.length(clean)}
     return out.select(*[
-        (F.coalesce(value[n], F.col(c)) if n == "n_chars" else value.get(n, F.col(c))).cast(docs.schema[i].dataType).alias(n)
+        (F.coalesce(value[n], F.col(c)) if n == "n_chars" else value[n] if n in value else F.col(c)).cast(docs.schema[i].dataType).alias(n)
         for i, (n, c) in enumerate(zip(names, order))])
 
 
