@@ -34,11 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, keep_only, materialize, release, table
+from .common import byte_slices, keep_only, materialize, release, small_batches, table
 from .word_ids import encoder
 
 REMEMBERED = 250_000  # chunks that a worker keeps the ids of
 SLICE_BYTES = 3_000_000  # text encoded at once
+ROWS = 1500  # documents that go to Python at once
 CAPACITY = 4096
 SMALL = CAPACITY // 3  # lengths up to here are left to the best-fit step
 GROUPS = 64  # groups of large lengths
@@ -232,7 +233,8 @@ def place(pieces: DataFrame, plan: Plan) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """Pack all documents into sequences of at most `capacity` ids."""
-    pieces = materialize(encode_pieces(docs, tokenizer, end_id, capacity), "pieces")
+    with small_batches(docs.sparkSession, ROWS):
+        pieces = materialize(encode_pieces(docs, tokenizer, end_id, capacity), "pieces")
     by_task = materialize(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "piece-counts")
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -34,6 +34,7 @@ class Span(NamedTuple):
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn", "local_phone")
 THRESHOLD = 0.5  # score of an added span that is kept
+SLICE = 500_000  # characters of texts that are looked through at once
 NEAR = 48  # code points before and after a span in which words count
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -140,7 +141,7 @@ def mask(text: str, spans: list[Span]) -> str:
 def _mapped(docs: DataFrame, columns: list[str], make: Callable[[str], tuple], fields: list[pa.Field], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in text_slices(batch, "text"):
+            for at, texts in text_slices(batch, "text", SLICE):
                 made = list(zip(*(make(t) for t in texts)))
                 kept = [batch.column(c).slice(at, len(texts)) for c in columns]
                 yield pa.RecordBatch.from_arrays([*kept, *[pa.array(v, f.type) for v, f in zip(made, fields)]],
